@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import staged, table
+from . import repeats
 from .encoding import fit_garble, garbled, look_alikes, unit
+from .languages import fit_languages, identified, mislabelled, named, of_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 BLOCK = ["doc_id", "page_no", "block_idx"]
@@ -19,6 +21,31 @@ def _cases(df: DataFrame, name: str, idx: str, *more: str) -> DataFrame:
     return df.select(unit(name), "doc_id", "page_no", F.col(idx).alias("idx"), *more)
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "doc_metadata").groupBy("doc_id").agg(F.max("source").alias("source"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are repeated excessively within their source."""
+    found = repeats.lines_of_tables(table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "paragraphs"))
+    out = repeats.repeated(found, _sources(spark, sf_dir))
+    return out.select("unit", "doc_id", "page_no", "idx", "line_no").distinct()
+
+
+def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block and paragraph without the lines that are repeated within its source."""
+    blocks, paragraphs, sources = table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "paragraphs"), _sources(spark, sf_dir)
+    hot = staged(repeats.repeated(repeats.lines_of_tables(blocks, paragraphs), sources).select("unit", "source", "line").distinct(), "hot")
+    key = ["doc_id", "page_no", "idx"]
+    a = blocks.withColumnRenamed("block_idx", "idx").dropDuplicates(key)
+    b = paragraphs.select("doc_id", "page_no", F.col("para_idx").alias("idx"), repeats.run_text(F.col("runs")).alias("text")).dropDuplicates(key)
+    made = [
+        repeats.without_repeated(df, key, brk, hot.where(F.col("unit") == name), sources).select(unit(name), *key, "text", "n_cut")
+        for df, name, brk in ((a, "block", "\n"), (b, "paragraph", repeats.BREAK))
+    ]
+    return made[0].unionByName(made[1])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks and font names that are garbled at least in part."""
     blocks, fragments = table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "fragments")
@@ -52,8 +79,46 @@ def p4_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(_cases(look_alikes(fragments, "text", FRAGMENT, forms=True), "fragment", "frag_idx", "form"))
 
 
+def _runs(paragraphs: DataFrame) -> DataFrame:
+    """The runs that may have enough letters, one a row; null runs and texts have none."""
+    each = paragraphs.select("doc_id", "page_no", "para_idx", F.posexplode("runs").alias("run_idx", "run"))
+    return each.where(F.length("run.text") * 2 >= 25).select("doc_id", "page_no", "para_idx", "run_idx", F.col("run.text").alias("text"), F.col("run.language").alias("language"))
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of blocks, of runs, of documents (with ``label``)."""
+    blocks, fragments = table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "fragments")
+    garble, model = fit_garble(blocks, fragments), fit_languages(blocks)
+    of_blocks = staged(identified(blocks.where(F.col("text").isNotNull()), BLOCK, model, garble), "languages")
+    of_runs = identified(_runs(table(spark, sf_dir, "paragraphs")), ["doc_id", "page_no", "para_idx", "run_idx"], model)
+    labels = table(spark, sf_dir, "doc_metadata").groupBy("doc_id").agg(F.max("language").alias("language"))
+    of_docs = of_documents(of_blocks).join(named(labels, "doc_id"), "doc_id")
+    return of_blocks, of_runs, of_docs
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, runs and documents whose language is missing or wrong, and blocks of several languages."""
+    of_blocks, of_runs, of_docs = _languages(spark, sf_dir)
+    none = F.lit(-1)
+    a = mislabelled(of_blocks, BLOCK).select(unit("block"), "doc_id", "page_no", F.col("block_idx").alias("idx"), none.alias("run_idx"), "lang")
+    b = mislabelled(of_runs, ["doc_id", "page_no", "para_idx", "run_idx"]).select(unit("run"), "doc_id", "page_no", F.col("para_idx").alias("idx"), "run_idx", "lang")
+    c = of_docs.where(~F.col("label").eqNullSafe(F.col("lang"))).select(unit("document"), "doc_id", none.alias("page_no"), none.alias("idx"), none.alias("run_idx"), "lang")
+    return a.unionByName(b).unionByName(c)
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every PDF, block and run with its language or languages, where they stand, and how sure that is."""
+    of_blocks, of_runs, of_docs = _languages(spark, sf_dir)
+    columns = ["langs", "starts", "ends", "confidence"]
+    a = of_blocks.dropDuplicates(BLOCK).select(unit("block"), "doc_id", "page_no", F.col("block_idx").alias("idx"), F.lit(-1).alias("run_idx"), *columns)
+    b = of_runs.dropDuplicates(["doc_id", "page_no", "para_idx", "run_idx"]).select(unit("run"), "doc_id", "page_no", F.col("para_idx").alias("idx"), "run_idx", *columns)
+    whole = [F.array("lang").alias("langs"), F.array(F.lit(0)).alias("starts"), F.array(F.lit(-1)).alias("ends"), F.array("confidence").alias("confidence")]
+    c = of_docs.select(unit("document"), "doc_id", F.lit(-1).alias("page_no"), F.lit(-1).alias("idx"), F.lit(-1).alias("run_idx"), *whole)
+    return a.unionByName(b).unionByName(c)
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_consistent": p4_consistent}
+    return {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_consistent": p4_consistent, "p5_found": p5_found, "p5_languages": p5_languages}
 
 
 def oracle_sql() -> dict[str, str]:
