@@ -160,22 +160,6 @@ def suspect(text: str) -> bool:
     return bool(ALWAYS.search(text) or (_OTHER.search(text) and _MIXED.search(text))) or not unicodedata.is_normalized("NFC", text)
 
 
-@cache
-def suspect_jvm() -> str:
-    """A regular expression for the JVM that finds every text that may have to be changed."""
-    seconds = {d[-1] for o in range(0xC0, 0x30000) if (d := unicodedata.normalize("NFD", chr(o))) != chr(o) and len(d) > 1}
-    hits = [o for o in range(0x80, 0x30000) if not 0xAC00 <= o < 0xD7A4 and (ALWAYS.match(c := chr(o)) or c in seconds or not unicodedata.is_normalized("NFC", c))]
-    ranges: list[list[int]] = []
-    for o in [*hits, *range(0xE0000, 0xE0080)]:
-        if ranges and ranges[-1][1] == o - 1:
-            ranges[-1][1] = o
-        else:
-            ranges.append([o, o])
-    always = "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in ranges)
-    latin, other = "[A-Za-z\u00c0-\u024f]", "[\u0370-\u052f\u1f00-\u1fff]"
-    return f"(?s)[{always}]|\\p{{Mn}}\\p{{Mn}}|{latin}.*{other}|{other}.*{latin}"
-
-
 def consistent(texts: list[str | None]) -> list[str | None]:
     """Each text in its consistent form; null stays null, the empty text stays empty."""
     out = list(texts)
