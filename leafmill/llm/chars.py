@@ -182,7 +182,7 @@ def _numbers() -> re.Pattern:
 def letters(text: str) -> str:
     """The letters (category L) of a text in order, regardless of case."""
     text = _NO_LETTERS.sub("", text)
-    return text.lower() if text.isascii() else _numbers().sub("", text).casefold()
+    return (text if text.isalpha() else _numbers().sub("", text)).casefold()
 
 
 WORD = re.compile(r"[^\W_]+")
