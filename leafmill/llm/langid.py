@@ -39,7 +39,7 @@ _NAMES = {name: entry.split()[0] for entry in LANGUAGES.split(";") for name in e
 WORDS = re.compile(r"[぀-ヿ]+|[㐀-鿿]+|[^\W\d_]+")
 #: Where a sentence may end, for segments of one language.
 _ENDS = re.compile(r"(?<=[.!?؟।])(?=[\s\"”»“)])\s*|(?<=[。！？])|\n+")
-_LETTER = re.compile(r"[^\W\d_]")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _DOUBLE = re.compile(r"[぀-鿿가-힣]")
 
 
@@ -53,7 +53,12 @@ def language_of_label(label: str | None) -> str | None:
 
 def weight(text: str) -> int:
     """The letters of a text; those of scripts whose letters stand for whole syllables or words count twice."""
-    return len(_LETTER.findall(text)) + (0 if text.isascii() else len(_DOUBLE.findall(text)))
+    text = _NO_LETTERS.sub("", text)
+    return len(text) + (0 if text.isascii() else len(_DOUBLE.findall(text)))
+
+
+def n_letters(text: str) -> int:
+    return len(_NO_LETTERS.sub("", text))
 
 
 def vocabulary(path: str | None = None) -> set[str]:
@@ -171,17 +176,24 @@ class Languages:
         parts = [_parts(t) for t in texts]
         flat = [t[a:b] for t, x in zip(texts, parts) for a, b in x]
         found = self.scores(flat)
-        size = np.array([len(x) for x in parts], np.int64)
-        out, k = [], 0
-        for t, x, n in zip(texts, parts, size.tolist()):
-            s = found[k : k + n]
+        best = found.argmax(1)
+        sure_of = (1.0 / np.exp(np.minimum(found - found.max(1, keepdims=True), 0.0)).sum(1)).tolist()
+        some, codes = found.any(1).tolist(), [self.codes[i] for i in best.tolist()]
+        out, k = [], -1
+        for t, x in zip(texts, parts):
+            n = len(x)
+            if n == 1:
+                k += 1
+                out.append([(0, len(t), codes[k], sure_of[k])] if some[k] else [])
+                continue
+            s = found[k + 1 : k + 1 + n]
             k += n
-            total = s.sum(0) if n else np.zeros(len(self.codes))
+            total = s.sum(0)
             if not total.any():
                 out.append([])
                 continue
             main = int(total.argmax())
-            if n == 1:
+            if best[k - n + 1] == best[k] == main and len(set(codes[k - n + 1 : k + 1])) == 1:
                 out.append([(0, len(t), self.codes[main], _confidence(total, main))])
                 continue
             # a text of several languages may be called by none of them: the largest group of sure parts gives the main one

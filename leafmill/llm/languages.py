@@ -10,25 +10,28 @@ from .batches import bounded_sample, map_columns
 from .chars import consistent
 from .encoding import loaded, share
 
-_SCHEMA = "langs array<string>, starts array<int>, ends array<int>, letters array<int>, confidence array<double>, weight int, label string"
+_PLACES = "starts array<int>, ends array<int>, confidence array<double>"
 
 
-def fit_languages(df: DataFrame, text: str = "text", label: str = "language", by: tuple[str, ...] = ("doc_id", "page_no", "block_idx"), vocabulary: str | None = None) -> bytes:
-    """The model, fitted to at most ``langid.SAMPLE_ROWS`` labelled rows."""
-    rows = bounded_sample(df.where(F.col(text).isNotNull()), [F.col(text), F.col(label)], list(by), langid.SAMPLE_ROWS)
-    return langid.dumps(langid.fit(rows, vocabulary))
+def fit_languages(df: DataFrame, text: str = "text", label: str = "language", by: tuple[str, ...] = ("doc_id", "page_no", "block_idx"), vocabulary: str | None = None, rows: int = langid.SAMPLE_ROWS) -> bytes:
+    """The model, fitted to at most ``rows`` labelled rows."""
+    found = bounded_sample(df.where(F.col(text).isNotNull()), [F.col(text), F.col(label)], list(by), rows)
+    return langid.dumps(langid.fit(found, vocabulary))
 
 
-def identified(df: DataFrame, keys: list[str], model: bytes, garble: bytes | None = None, text: str = "text", label: str = "language") -> DataFrame:
-    """For each row its parts of one language: codes, places (code points of the text in consistent form), letters and confidences; the weight of its letters (as stored) and what its label names.
+def identified(
+    df: DataFrame, keys: list[str], model: bytes, garble: bytes | None = None, text: str = "text", label: str = "language", places: bool = True, cases: bool = False
+) -> DataFrame:
+    """For each row its parts of one language: codes and letters; the weight of all letters (as stored) and what its label names.
 
-    Rows whose text is null or without letters, and with ``garble`` the garbled ones, come out with no parts. Records
-    are not made unique.
+    With ``places`` also where the parts stand (code points of the text in consistent form) and how sure they are. With
+    ``cases`` only the rows whose label is missing or wrong, or that hold several languages. Rows whose text is null or
+    without letters, and with ``garble`` the garbled ones, come out with no parts. Records are not made unique.
     """
     spark = df.sparkSession
     shared, other = share(spark, model), share(spark, garble) if garble else None
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + _SCHEMA
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", langs array<string>, letters array<int>, weight int, label string" + (", " + _PLACES if places else "")
 
     def make():
         m, g = loaded(shared), loaded(other) if other else None
@@ -38,16 +41,18 @@ def identified(df: DataFrame, keys: list[str], model: bytes, garble: bytes | Non
             stored = ["" if t is None or (g and g.is_garbled(t)) else t for t in texts]
             found = consistent(stored)
             parts = m.classify(found)
-            return (
-                *own,
-                [[x[2] for x in p] for p in parts],
-                [[x[0] for x in p] for p in parts],
-                [[x[1] for x in p] for p in parts],
-                [[len(langid._LETTER.findall(t[x[0] : x[1]])) for x in p] for t, p in zip(found, parts)],
-                [[x[3] for x in p] for p in parts],
-                [langid.weight(t) for t in stored],
-                [langid.language_of_label(x) for x in labels],
-            )
+            weights = [langid.weight(t) for t in stored]
+            named = [langid.language_of_label(x) for x in labels]
+            langs = [[x[2] for x in p] for p in parts]
+            at = range(len(texts))
+            if cases:
+                at = [i for i in at if weights[i] >= langid.MIN_LETTERS and langs[i] and (langs[i][0] != named[i] or len(langs[i]) > 1)]
+                own, langs, weights, named, parts, found = ([x[i] for i in at] for x in (*own,)), *([x[i] for i in at] for x in (langs, weights, named, parts, found))
+            letters = [[langid.n_letters(t[x[0] : x[1]]) for x in p] for t, p in zip(found, parts)]
+            out = [*own, langs, letters, weights, named]
+            if places:
+                out += [[[x[k] for x in p] for p in parts] for k in (0, 1, 3)]
+            return tuple(out)
 
         return run
 

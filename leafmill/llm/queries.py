@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staged, table
-from . import repeats
+from . import repeats, sentences
 from .encoding import fit_garble, garbled, look_alikes, unit
 from .languages import fit_languages, identified, mislabelled, named, of_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 BLOCK = ["doc_id", "page_no", "block_idx"]
 FRAGMENT = ["doc_id", "page_no", "frag_idx"]
+#: Bound on the documents that the language model for whole documents is fitted to.
+DOCUMENT_SAMPLE = 6_000
 
 
 def _cases(df: DataFrame, name: str, idx: str, *more: str) -> DataFrame:
@@ -85,12 +87,12 @@ def _runs(paragraphs: DataFrame) -> DataFrame:
     return each.where(F.length("run.text") * 2 >= 25).select("doc_id", "page_no", "para_idx", "run_idx", F.col("run.text").alias("text"), F.col("run.language").alias("language"))
 
 
-def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _languages(spark: SparkSession, sf_dir: str, places: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of blocks, of runs, of documents (with ``label``)."""
     blocks, fragments = table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "fragments")
     garble, model = fit_garble(blocks, fragments), fit_languages(blocks)
-    of_blocks = staged(identified(blocks.where(F.col("text").isNotNull()), BLOCK, model, garble), "languages")
-    of_runs = identified(_runs(table(spark, sf_dir, "paragraphs")), ["doc_id", "page_no", "para_idx", "run_idx"], model)
+    of_blocks = staged(identified(blocks.where(F.col("text").isNotNull()), BLOCK, model, garble, places=places), "languages")
+    of_runs = identified(_runs(table(spark, sf_dir, "paragraphs")), ["doc_id", "page_no", "para_idx", "run_idx"], model, places=places, cases=not places)
     labels = table(spark, sf_dir, "doc_metadata").groupBy("doc_id").agg(F.max("language").alias("language"))
     of_docs = of_documents(of_blocks).join(named(labels, "doc_id"), "doc_id")
     return of_blocks, of_runs, of_docs
@@ -98,7 +100,7 @@ def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, runs and documents whose language is missing or wrong, and blocks of several languages."""
-    of_blocks, of_runs, of_docs = _languages(spark, sf_dir)
+    of_blocks, of_runs, of_docs = _languages(spark, sf_dir, False)
     none = F.lit(-1)
     a = mislabelled(of_blocks, BLOCK).select(unit("block"), "doc_id", "page_no", F.col("block_idx").alias("idx"), none.alias("run_idx"), "lang")
     b = mislabelled(of_runs, ["doc_id", "page_no", "para_idx", "run_idx"]).select(unit("run"), "doc_id", "page_no", F.col("para_idx").alias("idx"), "run_idx", "lang")
@@ -108,7 +110,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every PDF, block and run with its language or languages, where they stand, and how sure that is."""
-    of_blocks, of_runs, of_docs = _languages(spark, sf_dir)
+    of_blocks, of_runs, of_docs = _languages(spark, sf_dir, True)
     columns = ["langs", "starts", "ends", "confidence"]
     a = of_blocks.dropDuplicates(BLOCK).select(unit("block"), "doc_id", "page_no", F.col("block_idx").alias("idx"), F.lit(-1).alias("run_idx"), *columns)
     b = of_runs.dropDuplicates(["doc_id", "page_no", "para_idx", "run_idx"]).select(unit("run"), "doc_id", "page_no", F.col("para_idx").alias("idx"), "run_idx", *columns)
@@ -117,8 +119,26 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    some = documents.where(F.col("text").isNotNull())
+    model = fit_languages(some, label="lang", by=("doc_id",), rows=DOCUMENT_SAMPLE)
+    return sentences.split(some, "doc_id", model, sentences.learn(some, model))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence with its place in the text."""
+    return _sentences(spark, sf_dir).select("doc_id", "start_pos", "end_pos").distinct()
+
+
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence with its number in the text, its place, and the text's main language."""
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("start_pos")) - 1
+    return _sentences(spark, sf_dir).distinct().withColumn("sentence_no", number)
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_consistent": p4_consistent, "p5_found": p5_found, "p5_languages": p5_languages}
+    return {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_consistent": p4_consistent, "p5_found": p5_found, "p5_languages": p5_languages, "p8_found": p8_found, "p8_sentences": p8_sentences}
 
 
 def oracle_sql() -> dict[str, str]:
