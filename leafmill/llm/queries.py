@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staged, table
-from . import repeats, sentences
+from . import leaks, mixing, repeats, sentences
 from .encoding import fit_garble, garbled, look_alikes, unit
 from .languages import fit_languages, identified, mislabelled, named, of_documents
 
@@ -119,6 +119,30 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 13 consecutive words of an item's passage."""
+    found = leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), most_edits=0)
+    return found.select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 13 words of an item's passage with few edits, where the best match begins, and its edits."""
+    return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.mixed(mixing.counted(table(spark, sf_dir, "documents"), targets), targets)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that are reached."""
+    targets = table(spark, sf_dir, "mix_targets")
+    lengths = mixing.counted(table(spark, sf_dir, "documents"), targets)
+    return mixing.shares(mixing.mixed(lengths, targets), lengths, targets)
+
+
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     some = documents.where(F.col("text").isNotNull())
@@ -138,7 +162,7 @@ def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_consistent": p4_consistent, "p5_found": p5_found, "p5_languages": p5_languages, "p8_found": p8_found, "p8_sentences": p8_sentences}
+    return {"p1_found": p1_found, "p1_cleaned": p1_cleaned, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_consistent": p4_consistent, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}
 
 
 def oracle_sql() -> dict[str, str]:
