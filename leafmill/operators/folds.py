@@ -1,0 +1,269 @@
+"""Steps that depend on the order of what came before, as one fold over each document or page.
+
+Rows are hash-partitioned and sorted by group and order in the JVM; Python walks over the sorted Arrow batches and keeps
+one group at a time, so a group is as large as one document (or page) at most.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from statistics import fmean
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+from ..functions import text
+from .layout import BLOCK, PAGE, has_text, reading
+
+# Formats and punctuations of numbered lists, in the order of their numbers (1 is the bullet list).
+FORMATS = ("decimal", "lowerLetter", "upperLetter", "lowerRoman", "upperRoman")
+PUNCTUATIONS = ("dot", "paren", "enclosed")
+DEEPEST_LIST = 9
+
+
+def fold(df: DataFrame, group: list[str], order: list[Column], step: Callable[[list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``group`` columns and what ``step`` gives for the ordered rows of each group."""
+    kinds = dict(df.dtypes)
+    parsed = _parse_datatype_string(", ".join(f"`{k}` {kinds[k]}" for k in group) + ", " + schema)
+    arrow = to_arrow_schema(parsed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        out: list[tuple] = []
+        for key, members in groupby(rows, key=lambda r: tuple(r[g] for g in group)):
+            out += [(*key, *x) for x in step(list(members))]
+            if len(out) >= 10_000:
+                yield _batch(out, arrow)
+                out = []
+        if out:
+            yield _batch(out, arrow)
+
+    sorted_rows = df.repartition(*group).sortWithinPartitions(*(F.col(g) for g in group), *order)
+    return sorted_rows.mapInArrow(run, parsed)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def numbering_id(kind: Column, form: Column, punctuation: Column) -> Column:
+    """The number of a list scheme in the output: bullets are 1, unknown schemes are decimal with a dot."""
+    f = F.array_position(F.array(*map(F.lit, FORMATS)), form)
+    p = F.array_position(F.array(*map(F.lit, PUNCTUATIONS)), punctuation)
+    known = (F.coalesce(f, F.lit(0)) > 0) & (F.coalesce(p, F.lit(0)) > 0)
+    return F.when(kind == "bullet", 1).when(known, 1 + (f - 1) * 3 + p).otherwise(2).cast("int")
+
+
+def _first(rows: list[dict], name: str):
+    return next((r[name] for r in rows if r[name]), None)
+
+
+def _lines(page: list[dict]) -> Iterator[tuple]:
+    """Lines and vertical columns of a page's fragments; a fragment joins the first one whose mean it is near to."""
+    lines: list[list[dict]] = []
+    columns: list[list[dict]] = []
+    for r in page:
+        home, axis, reach = (columns, "x", 0.8) if r["vertical"] else (lines, "y", 0.6)
+        reach *= r["font_size"] or 12.0
+        for members in home:
+            if abs(r[axis] - fmean(m[axis] for m in members)) <= reach:
+                members.append(r)
+                break
+        else:
+            home.append([r])
+    for vertical, members in [(False, m) for m in lines] + [(True, m) for m in columns]:
+        members.sort(key=(lambda m: -m["y"]) if vertical else (lambda m: m["x"]))
+        parts: list[str] = []
+        last = None
+        for m in members:
+            if not m["clean"]:
+                continue
+            size = m["font_size"] or 10.0
+            if vertical:
+                if last is not None and last - m["y"] > 2.2 * 0.9 * size:
+                    parts.append("\n")
+                last = m["y"]
+            else:
+                if last is not None and m["x"] - last > 0.6 * size:
+                    parts.append(" ")
+                last = m["x"] + size * max(len(m["text"]), 1) * 0.5
+            parts.append(m["clean"])
+        joined = "".join(parts)
+        if not joined:
+            continue
+        size, xs, ys = _first(members, "font_size"), [m["x"] for m in members], [m["y"] for m in members]
+        height = size or 12.0
+        half = height * 0.5
+        edges = (min(xs) - half, min(ys) - height, max(xs) + half, max(ys) + half) if vertical else (min(xs), min(ys) - height, max(xs) + height, max(ys))
+        base = fmean(ys)
+        raised = not vertical and all(m["y"] - base > 0.3 * (m["font_size"] or height) for m in members)
+        yield joined, *edges, _first(members, "font_name"), size, vertical, raised
+
+
+def _blocks(page: list[dict]) -> Iterator[tuple]:
+    made = sorted(_lines(page), key=lambda b: (-b[4], b[1]))
+    for k, b in enumerate(made):
+        yield k, *b
+
+
+def fragments_to_blocks(fragments: DataFrame) -> DataFrame:
+    """Blocks of every page's text fragments, in reading order, with font traits and guessed language.
+
+    Fragments without a position or text are left out; a page without others has no blocks.
+    """
+    shown = fragments.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("text").isNotNull())
+    shown = shown.select(*PAGE, "frag_idx", "text", text.normalised(F.col("text")).alias("clean"), "x", "y", "font_name", "font_size", F.coalesce("vertical", F.lit(False)).alias("vertical"))
+    schema = "block_idx int, text string, x_left double, y_bottom double, x_right double, y_top double, font_name string, font_size double, vertical boolean, superscript boolean"
+    out = fold(shown, PAGE, [F.col("y").desc(), F.col("x"), F.col("frag_idx")], _blocks, schema)
+    t = text.font_traits(F.col("font_name"))
+    return out.withColumn("bold", t["bold"]).withColumn("italic", t["italic"]).withColumn("rtl", text.is_rtl(F.col("text"))).withColumn("language", text.guessed_language(F.col("text")))
+
+
+def _same_section(a: dict, b: dict) -> bool:
+    sizes = all(abs(a[c] - b[c]) <= 0.5 for c in ("width", "height"))
+    margins = all(abs(a[f"margin_{c}"] - b[f"margin_{c}"]) <= 6.0 for c in ("left", "right", "top", "bottom"))
+    x, y = a["spacing"], b["spacing"]
+    gaps = x is None and y is None or x is not None and y is not None and abs(x - y) <= 3.0
+    return sizes and margins and gaps and (a["columns"] or 1) == (b["columns"] or 1) and (a["width"] > a["height"]) == (b["width"] > b["height"])
+
+
+def _sections(pages: list[dict]) -> Iterator[tuple]:
+    number, head = -1, None
+    for p in pages:
+        if head is None or not _same_section(head, p):
+            number, head = number + 1, p
+        yield p["page_no"], number, head["page_no"]
+
+
+def sections(pages: DataFrame) -> DataFrame:
+    """The section of every page: a new one where size, margins, columns or orientation differ from the section's first page."""
+    shown = pages.where(F.col("width").isNotNull() & F.col("height").isNotNull())
+    return fold(shown, ["doc_id"], [F.col("page_no")], _sections, "page_no int, section_no int, first_page int")
+
+
+def _levels(blocks: list[dict]) -> Iterator[tuple]:
+    stack: list[tuple[float, str]] = []
+    for b in blocks:
+        if b["kind"] is None:
+            stack = []
+            continue
+        key = b["kind"] if b["kind"] == "bullet" else f"{b['format']}:{b['punctuation']}"
+        level = next((k for k, (at, form) in enumerate(stack) if form == key and abs(b["indent"] - at) <= 6.0), None)
+        if level is None:
+            if len(stack) < DEEPEST_LIST:
+                stack.append((b["indent"], key))
+            level = len(stack) - 1
+        yield b["page_no"], b["block_idx"], b["kind"], b["format"], b["marker"], level
+
+
+def list_levels(placed: DataFrame) -> DataFrame:
+    """The level of every list item: that of an open item with the same format and indent, else one deeper; text that is no item closes all."""
+    m = text.list_marker(F.col("text"), F.col("block_role"))
+    found = F.when(has_text(F.col("text")), m)
+    shown = placed.withColumn("m", found).select("doc_id", "page_no", "block_idx", "seq", F.greatest(F.col("x_left") - F.col("margin_left"), F.lit(0.0)).alias("indent"), "m.kind", "m.format", "m.punctuation", "m.marker")
+    return fold(shown, ["doc_id"], [F.col("seq")], _levels, "page_no int, block_idx int, kind string, format string, marker string, level int")
+
+
+def _near(a: dict, b: dict, tolerance: float) -> bool:
+    return max(0.0, max(a["x_left"], b["x_left"]) - min(a["x_right"], b["x_right"])) <= tolerance and max(0.0, max(a["y_bottom"], b["y_bottom"]) - min(a["y_top"], b["y_top"])) <= tolerance
+
+
+def _clusters(members: list[dict], tolerance: float) -> list[list[dict]]:
+    """A member joins the first cluster that has a near one; clusters never merge."""
+    out: list[list[dict]] = []
+    for m in members:
+        home = next((c for c in out if any(_near(m, o, tolerance) for o in c)), None)
+        if home is None:
+            out.append([m])
+        else:
+            home.append(m)
+    return out
+
+
+_BOX = ["x_left", "y_bottom", "x_right", "y_top"]
+
+
+def _whole(blocks: DataFrame) -> DataFrame:
+    known = F.lit(True)
+    for c in _BOX:
+        known = known & F.col(c).isNotNull()
+    return blocks.where(known)
+
+
+def proximity_clusters(blocks: DataFrame, tolerance: float = 36.0) -> DataFrame:
+    """The cluster of every block on its page, in reading order."""
+
+    def step(page: list[dict]) -> Iterator[tuple]:
+        for k, members in enumerate(_clusters(page, tolerance)):
+            for m in members:
+                yield m["block_idx"], k
+
+    return fold(_whole(blocks).select(*BLOCK, *_BOX), PAGE, reading(), step, "block_idx int, cluster_no int")
+
+
+def _centroids(values: list[float], tolerance: float) -> list[float]:
+    """Running means of sorted values; a value joins the last mean that it is near to."""
+    out: list[tuple[float, int]] = []
+    for v in values:
+        if out and abs(out[-1][0] - v) <= tolerance:
+            mean, n = out[-1]
+            out[-1] = ((mean * n + v) / (n + 1), n + 1)
+        else:
+            out.append((v, 1))
+    return [m for m, _ in out]
+
+
+def grid_edges(cells: list[dict], vertical: bool) -> list[float]:
+    """Edges of a table's rows (from the top) or columns: between the centres of its cells, and its outer ends."""
+    low, high = ("y_bottom", "y_top") if vertical else ("x_left", "x_right")
+    first, last = min(c[low] for c in cells), max(c[high] for c in cells)
+    counted = cells
+    if not vertical:  # cells that span most of the table say nothing of its columns
+        counted = [c for c in cells if c[high] - c[low] <= 0.8 * max(1.0, last - first)] or cells
+    tolerance = max(6.0, 0.6 * fmean(c[high] - c[low] for c in cells))
+    means = _centroids(sorted(((c[low] + c[high]) / 2 for c in counted), reverse=vertical), tolerance)
+    between = [(a + b) / 2 for a, b in zip(means, means[1:])]
+    return [last, *between, first] if vertical else [first, *between, last]
+
+
+def _band(value: float, edges: list[float], end: bool) -> int:
+    """The first band between neighbouring edges that holds a coordinate (2 points more at either side), else the outer one."""
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        if min(a, b) - 2.0 <= value <= max(a, b) + 2.0:
+            return k
+    return len(edges) - 2 if end else 0
+
+
+def table_grid(cells: list[dict]) -> Iterator[tuple[dict, int, int, int, int]]:
+    """Each cell's block with its row, column and spans."""
+    rows, columns = grid_edges(cells, True), grid_edges(cells, False)
+    for c in cells:
+        middle = ((c["y_bottom"] + c["y_top"]) / 2, (c["x_left"] + c["x_right"]) / 2)
+        r = _band(middle[0], rows, False)
+        r0 = min(r, _band(c["y_top"] - 2.5, rows, False))
+        r1 = max(r, _band(c["y_bottom"] + 2.5, rows, True))
+        k = _band(middle[1], columns, False)
+        k0, k1 = min(k, _band(c["x_left"] + 2.5, columns, False)), max(k, _band(c["x_right"] - 2.5, columns, True))
+        yield c, r0, k0, r1 - r0 + 1, k1 - k0 + 1
+
+
+def tagged_tables(blocks: DataFrame, least: int = 4, tolerance: float = 12.0) -> DataFrame:
+    """Cells of the tables that blocks with the roles of cells make: of ``least`` near blocks at least."""
+
+    def step(page: list[dict]) -> Iterator[tuple]:
+        k = 0
+        for cells in _clusters(page, tolerance):
+            if len(cells) < least:
+                continue
+            for c, r, col, rows, cols in table_grid(cells):
+                yield c["block_idx"], k, r, col, rows, cols, c["header"], c["text"]
+            k += 1
+
+    role = F.upper("block_role")
+    shown = _whole(blocks).where(role.isin("TD", "TH")).select(*BLOCK, *_BOX, "text", (role == "TH").alias("header"))
+    schema = "block_idx int, table_no int, row_no int, column_no int, row_span int, column_span int, header boolean, text string"
+    return fold(shown, PAGE, reading(), step, schema)
