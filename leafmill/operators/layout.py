@@ -151,10 +151,10 @@ def breaks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 def edge_clusters(df: DataFrame, keys: list[str], edge: str, tolerance: float = 1.0) -> DataFrame:
     """Clusters of a page's edges: a new one where the gap to the edge before exceeds the tolerance; its centre and size."""
     order = Window.partitionBy(*keys).orderBy(edge)
-    gap = F.col(edge) - F.lag(edge).over(order)
-    marked = df.where(F.col(edge).isNotNull()).select(*keys, edge, F.when(gap <= tolerance, 0).otherwise(1).alias("new"))
-    numbered = marked.withColumn("cluster_no", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "cluster_no").agg(F.avg(edge).alias("centre"), F.count("*").alias("n")).withColumn("cluster_no", F.col("cluster_no").cast("int"))
+    each = df.where(F.col(edge).isNotNull()).groupBy(*keys, edge).agg(F.count("*").alias("here"))
+    marked = each.withColumn("new", F.when(F.col(edge) - F.lag(edge).over(order) <= tolerance, 0).otherwise(1))
+    numbered = marked.withColumn("cluster_no", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return numbered.groupBy(*keys, "cluster_no").agg((F.sum(F.col(edge) * F.col("here")) / F.sum("here")).alias("centre"), F.sum("here").alias("n"))
 
 
 def roles_to_blocks(roles: DataFrame, blocks: DataFrame) -> DataFrame:

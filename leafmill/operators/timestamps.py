@@ -125,7 +125,7 @@ def readings(value: str | None, home: str | None, order: str | None) -> list[tup
 
 def _weights(rows: pd.DataFrame) -> pd.DataFrame:
     """EM over one source's notations; a row is a set of readings (``sig``: kind:likely, comma between) and its count."""
-    sets = [[(k, 1.0 if x == "1" else UNEXPECTED) for k, x in (p.split(":") for p in s.split(","))] for s in rows.sig]
+    sets = [[(k, 1.0 if x == "1" else UNEXPECTED) for k, x in (p.split(":") for p in s.split(","))] for s in rows._lm_sig]
     kinds = sorted({k for s in sets for k, _ in s})
     weight = {k: 1.0 / len(kinds) for k in kinds}
     total = rows.n.sum() + len(kinds)
@@ -137,22 +137,23 @@ def _weights(rows: pd.DataFrame) -> pd.DataFrame:
                 sums[k] += n * weight[k] * p / z
         weight = {k: x / total for k, x in sums.items()}
     out = []
-    for sig, s in zip(rows.sig, sets):
+    for sig, s in zip(rows._lm_sig, sets):
         z = sum(weight[k] * p for k, p in s)
         best, p = max(s, key=lambda kp: (weight[kp[0]] * kp[1], kp[0]))
-        out.append((rows.source_key.iloc[0], sig, best, weight[best] * p / z))
-    return pd.DataFrame(out, columns=["source_key", "sig", "kind", "posterior"])
+        out.append((rows._lm_source.iloc[0], sig, best, weight[best] * p / z))
+    return pd.DataFrame(out, columns=["_lm_source", "_lm_sig", "kind", "_lm_posterior"])
 
 
 def normalised(df: DataFrame, value: str = "value", source: str = "source", home_zone: str = "home_zone", date_order: str = "date_order") -> DataFrame:
-    """``df`` with ``utc_us``, ``kind``, ``posterior`` and ``time_status``.
+    """``df`` with ``utc_us``, ``kind``, ``posterior`` and ``time_status``; columns that have these names already are replaced.
 
     ``time_status``: ``instant``; ``ambiguous`` (no reading is sure enough); ``skipped`` or ``repeated`` (a local time that
     a clock change skips or repeats); ``unusable`` (null, empty, or no real time). ``utc_us`` is null but for ``instant``.
     A value without zone is local time in ``home_zone``; where that is null it is unusable. Repeated rows stay repeated.
     """
+    df = df.drop("utc_us", "kind", "posterior", "time_status")
     columns = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField("source_key", T.StringType()), T.StructField("sig", T.StringType()), T.StructField("read", _READ)])
+    schema = T.StructType([*df.schema.fields, T.StructField("_lm_source", T.StringType()), T.StructField("_lm_sig", T.StringType()), T.StructField("_lm_read", _READ)])
     at = [columns.index(c) for c in (value, home_zone, date_order, source)]
 
     def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,15 +163,15 @@ def normalised(df: DataFrame, value: str = "value", source: str = "source", home
             found = [readings(*x) for x in zip(v, home, order)]
             sigs = [",".join(f"{k}:{int(EXPECTED[0] <= u < EXPECTED[1])}" for k, u, _ in x) for x in found]
             made = [[{"kind": k, "utc_us": u, "status": s} for k, u, s in x] for x in found]
-            own = [pa.array([x or "" for x in origin]), pa.array(sigs), pa.array(made, kind.field("read").type)]
+            own = [pa.array([x or "" for x in origin]), pa.array(sigs), pa.array(made, kind.field("_lm_read").type)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], schema=pa.schema([*batch.schema, *list(kind)[-3:]]))
 
     read = df.mapInArrow(read_all, schema)
-    counted = read.where(F.size("read") > 0).groupBy("source_key", "sig").agg(F.count("*").alias("n"))
-    weights = counted.groupBy("source_key").applyInPandas(_weights, "source_key string, sig string, kind string, posterior double")
-    chosen = read.join(weights.withColumnRenamed("kind", "_kind"), ["source_key", "sig"], "left")
-    best = F.element_at(F.filter("read", lambda c: c["kind"] == F.col("_kind")), 1)
-    same = F.size(F.array_distinct(F.transform("read", lambda c: c["utc_us"]))) == 1
-    status = F.when(F.size("read") == 0, "unusable").when((F.col("posterior") < SURE) & ~same, "ambiguous").otherwise(best["status"])
-    out = chosen.select(*(F.col(f"`{c}`") for c in columns), F.when(status == "instant", best["utc_us"]).alias("utc_us"), F.col("_kind").alias("kind"), "posterior", status.alias("time_status"))
+    counted = read.where(F.size("_lm_read") > 0).groupBy("_lm_source", "_lm_sig").agg(F.count("*").alias("n"))
+    weights = counted.groupBy("_lm_source").applyInPandas(_weights, "_lm_source string, _lm_sig string, kind string, _lm_posterior double")
+    chosen = read.join(weights.withColumnRenamed("kind", "_lm_kind"), ["_lm_source", "_lm_sig"], "left")
+    best = F.element_at(F.filter("_lm_read", lambda c: c["kind"] == F.col("_lm_kind")), 1)
+    same = F.size(F.array_distinct(F.transform("_lm_read", lambda c: c["utc_us"]))) == 1
+    status = F.when(F.size("_lm_read") == 0, "unusable").when((F.col("_lm_posterior") < SURE) & ~same, "ambiguous").otherwise(best["status"])
+    out = chosen.select(*(F.col(f"`{c}`") for c in columns), F.when(status == "instant", best["utc_us"]).alias("utc_us"), F.col("_lm_kind").alias("kind"), F.col("_lm_posterior").alias("posterior"), status.alias("time_status"))
     return out

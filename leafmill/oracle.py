@@ -114,9 +114,10 @@ def oracle_sql() -> dict[str, str]:
         "page_and_column_breaks": f"""with {B}, {P}, {MARGINS}, {COLUMNS}, {PLACED}, x as (select *, {COLUMN_NO} col from pl where {SHOWN}),
             y as (select *, row_number() over (partition by doc_id, page_no order by seq) = 1 first, min(page_no) over (partition by doc_id) start, row_number() over (partition by doc_id, page_no, col order by seq) = 1 fc from x)
             select doc_id, page_no, block_idx, first and page_no > start page_break, fc and not first column_break from y""",
-        "edge_clusters": f"""with {B}, e as (select doc_id, page_no, x_left, case when x_left - lag(x_left) over (partition by doc_id, page_no order by x_left) <= 1.0 then 0 else 1 end nw from b where x_left is not null),
+        "edge_clusters": f"""with {B}, d as (select doc_id, page_no, x_left, count(*) here from b where x_left is not null group by all),
+            e as (select *, case when x_left - lag(x_left) over (partition by doc_id, page_no order by x_left) <= 1.0 then 0 else 1 end nw from d),
             f as (select *, sum(nw) over (partition by doc_id, page_no order by x_left rows between unbounded preceding and current row) cn from e)
-            select doc_id, page_no, cn::int cluster_no, avg(x_left) centre, count(*) n from f group by doc_id, page_no, cn""",
+            select doc_id, page_no, cn::int cluster_no, sum(x_left * here) / sum(here) centre, sum(here)::bigint n from f group by doc_id, page_no, cn""",
         "roles_to_blocks": f"""with {B}, r as (select doc_id, page_no, block_role "role", row_number() over (partition by doc_id, page_no order by block_idx) k from b where block_role is not null),
             n as (select *, row_number() over (partition by doc_id, page_no order by {READ}) k from b) select doc_id, page_no, block_idx, "role" from n left join r using (doc_id, page_no, k)""",
         "link_matches": f"""with {B}, o as (select doc_id, page_no, block_idx link_idx, x_left + 4 lx, y_bottom - 3 bx, x_right + 4 rx, y_top - 3 ty from b where color is not null),

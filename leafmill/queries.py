@@ -287,7 +287,7 @@ def list_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.tagged_tables(_blocks(spark, sf_dir, "block_role"), tolerance=36.0)
+    return folds.tagged_tables(_blocks(spark, sf_dir, "block_role"), least=3, tolerance=240.0)
 
 
 def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
