@@ -148,6 +148,8 @@ class Languages:
     def scores(self, texts: list[str]) -> np.ndarray:
         """[text, language] log-likelihoods; a text without letters has zeros."""
         found = [WORDS.findall(t.lower()) for t in texts]
+        if not self.codes:
+            return np.zeros((len(texts), 1))
         if len(self.rows) > 300_000:
             self.rows.clear()
             self.table = None
@@ -173,6 +175,8 @@ class Languages:
 
     def classify(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
         """For each text its parts of one language: start, end, language and confidence. A text without letters has none."""
+        if not self.codes:
+            return [[] for _ in texts]
         parts = [_parts(t) for t in texts]
         flat = [t[a:b] for t, x in zip(texts, parts) for a, b in x]
         found = self.scores(flat)
@@ -256,15 +260,18 @@ def _fit(codes: list[str], words: list[str], counts: np.ndarray, pieces: set[str
 
 
 def fit(rows: Iterable[tuple[str | None, str | None]], path: str | None = None) -> Languages:
-    """Fit to rows of text and label. Labels may be missing or wrong now and then: the second round takes its own."""
+    """Fit to rows of text and label. Labels may be missing or wrong now and then: the second round takes its own.
+
+    Without labelled rows the model knows no language, and all texts come out without one.
+    """
     texts, labels = [], []
     for text, label in rows:
         if text:
             texts.append(text)
             labels.append(language_of_label(label))
     codes = sorted(c for c, n in Counter(filter(None, labels)).items() if n >= 20 or n >= 0.005 * len(texts))
-    if not codes:
-        raise ValueError("no language has enough labelled rows")
+    if not codes or not any(WORDS.search(t) for t in texts):
+        return Languages([], {}, np.zeros((257, 0)))
     pieces = vocabulary(path)
     model = None
     for _ in range(2):
@@ -274,6 +281,8 @@ def fit(rows: Iterable[tuple[str | None, str | None]], path: str | None = None)
                 by[label].update(WORDS.findall(text.lower()))
         kept = [dict(x.most_common(SAMPLE_WORDS)) for x in by.values()]
         words = sorted({w for x in kept for w in x})
+        if not words:
+            return Languages([], {}, np.zeros((257, 0)))
         counts = np.array([[x.get(w, 0) for x in kept] for w in words], float)
         model = _fit(codes, words, counts, pieces)
         best = model.scores(texts)

@@ -15,6 +15,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,11 @@ def words_of(texts: list[str | None]) -> list[list[str]]:
     return [WORD.findall(t.casefold()) if t else [] for t in consistent(texts)]
 
 
+def _id(word: str) -> int:
+    """A word's number, the same in every block."""
+    return xxhash.xxh64_intdigest(word) >> 2 | 1
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return x ^ (x >> np.uint64(29))
@@ -84,12 +90,12 @@ def items_of(rows: list[tuple[int, str | None]]) -> Items:
     vocabulary: dict[str, int] = {}
     of: dict[tuple[int, ...], list[int]] = {}
     for (item, _), words in zip(rows, words_of([t for _, t in rows])):
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
+        ids = [vocabulary.get(w) or vocabulary.setdefault(w, _id(w)) for w in words]
         for k in range(len(ids) - WORDS + 1):
             owners = of.setdefault(tuple(ids[k : k + WORDS]), [])
             if not owners or owners[-1] != item:
                 owners.append(item)
-    windows = np.array(list(of), np.int32).reshape(-1, WORDS)
+    windows = np.array(list(of), np.int64).reshape(-1, WORDS)
     keys = keys_of(windows)
     order = [np.argsort(keys[:, t], kind="stable") for t in range(keys.shape[1])]
     return Items(vocabulary, windows, list(of.values()), [keys[o, t] for t, o in enumerate(order)], order)
@@ -127,7 +133,7 @@ def leaked(found: Items, texts: list[str | None], most_edits: int = EDITS) -> li
     """(place of the text, item, least edits, first word) of each text that holds a window of an item."""
     words = words_of(texts)
     size = np.array([len(w) for w in words], np.int64)
-    ids = np.fromiter((found.vocabulary.get(w, 0) for x in words for w in x), np.int32, int(size.sum()))
+    ids = np.fromiter((found.vocabulary.get(w) or -_id(w) for x in words for w in x), np.int64, int(size.sum()))
     if len(ids) < WORDS or not len(found.windows):
         return []
     text = np.repeat(np.arange(len(words)), size)
@@ -138,7 +144,7 @@ def leaked(found: Items, texts: list[str | None], most_edits: int = EDITS) -> li
     first_word = np.cumsum(size) - size
     for k in range(0, len(at), 4_000):
         start = at[k : k + 4_000]
-        windows = ids[start[:, None] + np.arange(WORDS)]
+        windows = np.abs(ids[start[:, None] + np.arange(WORDS)])
         left, right = _pairs(found, windows)
         for c in range(0, len(left), 200_000):
             a, b = left[c : c + 200_000], right[c : c + 200_000]

@@ -39,7 +39,7 @@ def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, paragraphs, sources = table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "paragraphs"), _sources(spark, sf_dir)
     hot = staged(repeats.repeated(repeats.lines_of_tables(blocks, paragraphs), sources).select("unit", "source", "line").distinct(), "hot")
     key = ["doc_id", "page_no", "idx"]
-    a = blocks.withColumnRenamed("block_idx", "idx").dropDuplicates(key)
+    a = blocks.select("doc_id", "page_no", F.col("block_idx").alias("idx"), "text").dropDuplicates(key)
     b = paragraphs.select("doc_id", "page_no", F.col("para_idx").alias("idx"), repeats.run_text(F.col("runs")).alias("text")).dropDuplicates(key)
     made = [
         repeats.without_repeated(df, key, brk, hot.where(F.col("unit") == name), sources).select(unit(name), *key, "text", "n_cut")

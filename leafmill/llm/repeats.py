@@ -49,7 +49,7 @@ def chunks_of(lines: list[str]) -> tuple[list[int], list[list[int]]]:
     # the rolling hash of the last WINDOW letters; it does not reach over a line's start
     value = _mixed(cp.astype(np.uint64))
     rolling = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
+    for k in range(min(WINDOW, n)):
         rolling[k:] += value[: n - k] * (_B1 ** np.uint64(k) if k else np.uint64(1))
     cut = (at >= WINDOW - 1) & (_mixed(rolling) & np.uint64((1 << BITS) - 1) == 0)
     begin = at == 0
@@ -121,7 +121,8 @@ def repeated(lines: DataFrame, sources: DataFrame, min_docs: int = MIN_DOCS, min
 
 def lines_of_tables(blocks: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """The lines of blocks and of paragraphs, once for each record, as a written table."""
-    a = lines(blocks.withColumnRenamed("block_idx", "idx").where(F.col("text").isNotNull()), ["doc_id", "page_no", "idx"], "\n")
+    shown = blocks.where(F.col("text").isNotNull()).select("doc_id", "page_no", F.col("block_idx").alias("idx"), "text")
+    a = lines(shown, ["doc_id", "page_no", "idx"], "\n")
     p = paragraphs.select("doc_id", "page_no", F.col("para_idx").alias("idx"), run_text(F.col("runs")).alias("text")).where(F.col("text").isNotNull())
     b = lines(p, ["doc_id", "page_no", "idx"], BREAK)
     return staged(a.withColumn("unit", F.lit("block")).unionByName(b.withColumn("unit", F.lit("paragraph"))), "lines")
@@ -153,5 +154,5 @@ def without_repeated(df: DataFrame, keys: list[str], brk: str, hot: DataFrame, s
 
         return run
 
-    picked = df.drop("source").join(sources, "doc_id", "left").select(*keys, "source", "text")
+    picked = df.select(*keys, "text").join(sources, "doc_id", "left").select(*keys, "source", "text")
     return map_columns(picked, make, schema)

@@ -32,6 +32,8 @@ STRONG = "!?。！？؟।॥"
 CLOSERS = "”“\"»«›’')]}」』）】》〉"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "‹": "›", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", '"': '"'}
 BRACKETS = "(（[【"
+#: What is longer is no quote or bracket, but has an opening sign by mistake.
+LONGEST_QUOTE = 2_000
 _MARKS = re.compile(rf"[.{STRONG}…]+")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _ITEM = re.compile(r"\n[^\S\n]*(?:([-–—•*‣◦·])|(\d{1,3})[.)]|([A-Za-z])[)])[^\S\n]+(?=\S)")
@@ -177,7 +179,7 @@ def _spans(text: str) -> list[tuple[int, int, bool]]:
         if ch in PAIRS and not (ch in '»"' and i and not text[i - 1].isspace() and text[i - 1] not in "(（[" and not _no_spaces(text[i - 1])):
             depth, j = 1, i + 1
             ends = PAIRS[ch]
-            while j < n:
+            while j < min(n, i + LONGEST_QUOTE):
                 if text[j] in ends:
                     depth -= 1
                     if not depth:
@@ -185,7 +187,7 @@ def _spans(text: str) -> list[tuple[int, int, bool]]:
                 elif text[j] == ch:
                     depth += 1
                 j += 1
-            if j < n:
+            if not depth:
                 out.append((i, j + 1, ch in BRACKETS))
                 i = j + 1
                 continue
@@ -402,6 +404,8 @@ def _counted(df: DataFrame, model: bytes, known: dict[str, set[str]] | None, tex
 
 def document_languages(m: langid.Languages, texts: list[str | None]) -> list[str]:
     """The main language of each text, by all of it."""
+    if not m.codes:
+        return [_NEUTRAL] * len(texts)
     found = m.scores([t or "" for t in texts])
     return [m.codes[i] if s[i] else _NEUTRAL for s, i in zip(found, found.argmax(1))]
 
