@@ -12,6 +12,7 @@ from .operators import folds, layout, notes, pages, regions, stats
 from .operators.timestamps import normalised
 from .oracle import oracle_sql
 from .session import table
+from .sources import docx
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -294,6 +295,13 @@ def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.proximity_clusters(_blocks(spark, sf_dir))
 
 
+def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DOCX package of every PDF's paragraphs: its size and statistics."""
+    p = layout.once(table(spark, sf_dir, "paragraphs").select("doc_id", "page_no", "para_idx", "style", "alignment", "runs"), ["doc_id", "page_no", "para_idx"])
+    made = docx.packages(p, core_properties(spark, sf_dir), _pages(spark, sf_dir))
+    return made.withColumn("bytes", F.length("content")).drop("content")
+
+
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, text and two-column pages by source and orientation, with subtotals."""
     source = table(spark, sf_dir, "doc_metadata").groupBy("doc_id").agg(F.max("source").alias("source"))
@@ -313,6 +321,6 @@ def queries() -> dict[str, Query]:
         p3_found, p3_normalised, text_normalised, text_language, list_markers, signature_text, font_traits, pdf_dates, footnote_markers, anchor_names, document_statistics, text_statistics, core_properties,
         metadata_overlay, page_margins, page_columns, block_formats, heading_styles, block_spacing, continuations, page_and_column_breaks, edge_clusters, roles_to_blocks, link_matches, comment_matches,
         background_matches, footnote_matches, header_regions, footer_regions, watermarks, payload_dedup, hyperlink_dedup, split_ranges, split_pages, extract_pages, select_pages, split_points, split_every_n,
-        split_all, merge_pages, compression_info, page_units, cell_alignments, style_numbers, fragment_blocks, sections, list_levels, table_cells, proximity_clusters, page_report, latest_records,
+        split_all, merge_pages, compression_info, page_units, cell_alignments, style_numbers, fragment_blocks, sections, list_levels, table_cells, proximity_clusters, docx_files, page_report, latest_records,
     ]
     return {f.__name__: f for f in own}
