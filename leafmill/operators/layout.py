@@ -66,10 +66,10 @@ def placed(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return blocks.join(both, PAGE).withColumn("seq", seq)
 
 
-def block_formats(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Column, alignment, indent and line spacing of every block on a page."""
+def block_formats(shown: DataFrame) -> DataFrame:
+    """Column, alignment, indent and line spacing of every block on a page (``shown`` as ``placed`` gives them)."""
     c = F.col
-    return placed(blocks, pages).select(
+    return shown.select(
         *BLOCK,
         geometry.column_of(c("x_left"), c("width"), c("margin_left"), c("margin_right"), F.coalesce("columns", F.lit(1)), c("spacing")).alias("column_no"),
         geometry.alignment(c("x_left"), c("x_right"), c("width"), c("margin_left"), c("margin_right")).alias("alignment"),
@@ -112,15 +112,15 @@ def block_spacing(blocks: DataFrame) -> DataFrame:
     return blocks.select(*BLOCK, F.when(before > 0.5 * size, before).alias("space_before"), F.when(last, 0.6 * line).when(after > 0.5 * line, after).alias("space_after"))
 
 
-def continuations(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Paragraphs of every document: ``new_paragraph`` of each block and ``paragraph_no``.
+def continuations(shown: DataFrame) -> DataFrame:
+    """Paragraphs of every document (from blocks as ``placed`` gives them): ``new_paragraph`` of each block and ``paragraph_no``.
 
     A block goes on with the paragraph above it on its page if roles (where both are set) and columns are equal and the
     gap is 1.2 lines at most; and with the last one of the page before if that one ends without an end mark near the
     bottom margin and this one begins near the top.
     """
     order = Window.partitionBy("doc_id").orderBy("seq")
-    shown = placed(blocks.where(has_text(F.col("text")) & ~F.coalesce(F.col("vertical"), F.lit(False))), pages)
+    shown = shown.where(has_text(F.col("text")) & ~F.coalesce(F.col("vertical"), F.lit(False)))
     c = F.col
     shown = shown.withColumn("col", geometry.column_of(c("x_left"), c("width"), c("margin_left"), c("margin_right"), F.coalesce("columns", F.lit(1)), c("spacing")))
     was = lambda name: F.lag(name).over(order)
@@ -137,9 +137,9 @@ def continuations(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select(*BLOCK, "new_paragraph", F.sum(c("new_paragraph").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("paragraph_no"))
 
 
-def breaks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Whether a block begins a page behind the first one of its document, and whether a column behind the first of its page."""
-    shown = placed(blocks.where(has_text(F.col("text"))), pages)
+def breaks(shown: DataFrame) -> DataFrame:
+    """From blocks as ``placed`` gives them: whether a block begins a page behind the first one of its document, and whether a column behind the first of its page."""
+    shown = shown.where(has_text(F.col("text")))
     c = F.col
     shown = shown.withColumn("col", geometry.column_of(c("x_left"), c("width"), c("margin_left"), c("margin_right"), F.coalesce("columns", F.lit(1)), c("spacing")))
     first = F.row_number().over(Window.partitionBy(*PAGE).orderBy("seq")) == 1

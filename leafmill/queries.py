@@ -123,7 +123,7 @@ def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.block_formats(_blocks(spark, sf_dir, "font_size"), _pages(spark, sf_dir))
+    return layout.block_formats(layout.placed(_blocks(spark, sf_dir, "font_size"), _pages(spark, sf_dir)))
 
 
 def heading_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,11 +135,11 @@ def block_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.continuations(_blocks(spark, sf_dir, "font_size", "block_role", "vertical"), _pages(spark, sf_dir))
+    return layout.continuations(layout.placed(_blocks(spark, sf_dir, "font_size", "block_role", "vertical"), _pages(spark, sf_dir)))
 
 
 def page_and_column_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.breaks(_blocks(spark, sf_dir), _pages(spark, sf_dir))
+    return layout.breaks(layout.placed(_blocks(spark, sf_dir), _pages(spark, sf_dir)))
 
 
 def edge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
