@@ -152,5 +152,5 @@ def shares(chosen: DataFrame, lengths: DataFrame, targets: DataFrame) -> DataFra
     taken = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("taken_tokens"), F.sum("repeats").alias("taken_documents"), F.max("repeats").alias("most_repeats"))
     there = lengths.groupBy("source").agg(F.sum("tokens").alias("source_tokens"), F.count("*").alias("source_documents"))
     out = targets.select("source", "target_share", "max_repeats").join(there, "source", "left").join(taken, "source", "left").fillna(0)
-    whole = taken.agg(F.sum("taken_tokens").alias("all_tokens"))
-    return out.join(F.broadcast(whole)).withColumn("reached_share", F.coalesce(F.col("taken_tokens") / F.col("all_tokens"), F.lit(0.0))).drop("all_tokens")
+    whole = F.sum("taken_tokens").over(Window.partitionBy(F.lit(1)))  # over the targets: a row for each source
+    return out.withColumn("reached_share", F.when(whole > 0, F.col("taken_tokens") / whole).otherwise(F.lit(0.0)))

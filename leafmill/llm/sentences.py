@@ -13,18 +13,22 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from . import langid
 from .batches import map_columns
 from .encoding import loaded, share
 
 #: Log-likelihood ratios beyond which a word is an abbreviation, a starter, a collocation; the least count of evidence.
 ABBREVIATION, STARTER, COLLOCATION, LEAST = 0.3, 30.0, 7.88, 3
+#: Longer runs without white space are no words (such as sentences of scripts without spaces).
+LONGEST_TYPE = 30
 _NEUTRAL = "und"
 
 # Marks that end a sentence, closing and opening signs, pairs of quotes and brackets, list markers.
@@ -94,7 +98,9 @@ def count_types(text: str, out: Counter) -> None:
             last = i + 1 == len(found)
             if t.endswith(".") and not t.endswith(".."):
                 k = _kind(t[:-1])
-                if not last and not found[i + 1].strip(CLOSERS):
+                if len(k) > LONGEST_TYPE:
+                    pass
+                elif not last and not found[i + 1].strip(CLOSERS):
                     pass  # before a closing sign that stands by itself nothing can be told
                 elif k and k != "##":
                     out[(k, "with")] += 1
@@ -109,7 +115,7 @@ def count_types(text: str, out: Counter) -> None:
                 if t.endswith((".,", ".;", ".:")) and k.endswith("."):
                     out[(k[:-1], "with")] += 1
                     out[(k[:-1], "on")] += 1
-                elif k and any(c.isalpha() for c in k):
+                elif k and len(k) <= LONGEST_TYPE and any(c.isalpha() for c in k):
                     out[(k, "without")] += 1
             out[("", "tokens")] += 1
 
@@ -141,7 +147,7 @@ def count_words(text: str, known: set[str], out: Counter) -> None:
         before, sure = "", True
         for t in _TOKEN.findall(paragraph):
             m = _WORD.search(t)
-            if m and m.start() <= 2:
+            if m and m.start() <= 2 and len(m[0]) <= LONGEST_TYPE:
                 w = m[0]
                 out[(w, "all")] += 1
                 if w[0].isupper() or not _cased(w[0]):
@@ -410,30 +416,44 @@ def document_languages(m: langid.Languages, texts: list[str | None]) -> list[str
     return [m.codes[i] if s[i] else _NEUTRAL for s, i in zip(found, found.argmax(1))]
 
 
-def _by_language(counted: DataFrame, least: str) -> tuple[dict[str, dict[str, dict[str, int]]], dict[str, dict[str, int]]]:
-    """The counts of words with evidence (a model's parameters: of words that occur as ``least`` LEAST times or more) and the totals."""
-    wide = counted.groupBy("lang", "word").agg(F.map_from_entries(F.collect_list(F.struct("what", "n"))).alias("c"))
-    rows = wide.where((F.col("word") == "") | F.expr(" or ".join(f"coalesce(c['{x}'], 0) >= {LEAST}" for x in least.split()))).collect()
-    words: dict[str, dict] = {}
-    totals: dict[str, dict] = {}
-    for lang, word, c in rows:
-        if word:
-            words.setdefault(lang, {})[word] = c
-        else:
-            totals[lang] = c
-    return words, totals
+def _totals(counted: DataFrame) -> dict[str, dict[str, int]]:
+    """The totals of each language."""
+    out: dict[str, dict[str, int]] = {}
+    for lang, what, n in counted.where(F.col("word") == "").select("lang", "what", "n").collect():
+        out.setdefault(lang, {})[what] = n
+    return out
+
+
+def _selected(counted: DataFrame, least: str, totals: dict[str, dict[str, int]], test: Callable[[dict, dict], dict[str, set[str]]]) -> dict[str, dict[str, set[str]]]:
+    """What ``test`` selects of the words of each language that have counts of ``least``; it runs where the counts are, and only the selected words, the model's parameters, come to the driver."""
+    some = F.array_contains(F.map_keys("c"), least.split()[0])
+    for other in least.split()[1:]:
+        some = some | F.array_contains(F.map_keys("c"), other)
+    wide = counted.where(F.col("word") != "").groupBy("lang", "word").agg(F.map_from_entries(F.collect_list(F.struct("what", "n"))).alias("c"))
+
+    def make():
+        def run(langs, words, counts):
+            by: dict[str, dict[str, dict]] = {}
+            for lang, w, c in zip(langs, words, counts):
+                by.setdefault(lang, {})[w] = dict(c)
+            rows = [(lang, role, w) for lang, x in by.items() for role, found in test(x, totals.get(lang, {})).items() for w in found]
+            return tuple(map(list, zip(*rows))) if rows else ([], [], [])
+
+        return run
+
+    out: dict[str, dict[str, set[str]]] = {lang: {} for lang in totals}
+    for lang, role, w in map_columns(wide.where(some), make, "lang string, role string, word string").collect():
+        out[lang].setdefault(role, set()).add(w)
+    return out
 
 
 def learn(df: DataFrame, model: bytes, text: str = "text") -> dict[str, Periods]:
     """What periods mean in each language, from counts over all documents."""
-    words, totals = _by_language(_counted(df, model, None, text), "with")
-    known = {lang: abbreviations(words.get(lang, {}), t) for lang, t in totals.items()}
-    words, totals = _by_language(_counted(df, model, known, text), "start after")
-    out = {}
-    for lang in known:
-        first, after = starters(words.get(lang, {}), totals.get(lang, {}))
-        out[lang] = Periods(known[lang], first, after)
-    return out
+    types = staged(_counted(df, model, None, text), "types")
+    known = {lang: x.get("abbreviation", set()) for lang, x in _selected(types, "with", _totals(types), lambda rows, total: {"abbreviation": abbreviations(rows, total)}).items()}
+    words = staged(_counted(df, model, known, text), "words")
+    found = _selected(words, "start after", _totals(words), lambda rows, total: dict(zip(("first", "after"), starters(rows, total))))
+    return {lang: Periods(x, found.get(lang, {}).get("first", set()), found.get(lang, {}).get("after", set())) for lang, x in known.items()}
 
 
 def split(df: DataFrame, key: str, model: bytes, learned: dict[str, Periods], text: str = "text") -> DataFrame:
