@@ -291,6 +291,10 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.tagged_tables(_blocks(spark, sf_dir, "block_role"), least=3, tolerance=240.0)
 
 
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.detect_tables(_blocks(spark, sf_dir, "block_role"))
+
+
 def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.proximity_clusters(_blocks(spark, sf_dir))
 
@@ -321,6 +325,6 @@ def queries() -> dict[str, Query]:
         p3_found, p3_normalised, text_normalised, text_language, list_markers, signature_text, font_traits, pdf_dates, footnote_markers, anchor_names, document_statistics, text_statistics, core_properties,
         metadata_overlay, page_margins, page_columns, block_formats, heading_styles, block_spacing, continuations, page_and_column_breaks, edge_clusters, roles_to_blocks, link_matches, comment_matches,
         background_matches, footnote_matches, header_regions, footer_regions, watermarks, payload_dedup, hyperlink_dedup, split_ranges, split_pages, extract_pages, select_pages, split_points, split_every_n,
-        split_all, merge_pages, compression_info, page_units, cell_alignments, style_numbers, fragment_blocks, sections, list_levels, table_cells, proximity_clusters, docx_files, page_report, latest_records,
+        split_all, merge_pages, compression_info, page_units, cell_alignments, style_numbers, fragment_blocks, sections, list_levels, table_cells, tables, proximity_clusters, docx_files, page_report, latest_records,
     ]
     return {f.__name__: f for f in own}

@@ -180,3 +180,37 @@ def test_backgrounds(spark):
     r = spark.createDataFrame([("d", 0, 0, 10.0, 10.0, 90.0, 70.0, "808080", 1.0), ("d", 0, 1, 500.0, 10.0, 590.0, 70.0, "FF0000", 1.0)], schema)
     hit, rest = layout.backgrounds(b, r)
     assert [(x.block_idx, x.background) for x in hit.collect()] == [(0, "808080")] and [x.path_idx for x in rest.collect()] == [1]
+
+
+def test_table_cascade(spark):
+    cells = [(0, "TH", (10, 100, 60, 110)), (1, "TH", (65, 100, 130, 110)), (2, "TD", (10, 85, 60, 95)), (3, "TD", (65, 85, 130, 95))]
+    spaced = [(k + 10, None, (300 + 60 * (k % 2), 500 - 25 * (k // 2), 340 + 60 * (k % 2), 512 - 25 * (k // 2))) for k in range(4)]
+    ruled = [(20, None, (215, 215, 245, 225)), (21, None, (265, 215, 285, 225)), (22, None, (215, 265, 245, 275)), (23, None, (265, 265, 285, 275))]
+    b = blocks(spark, [(0, k, f"t{k}", box, 12, role) for k, role, box in [*cells, *spaced, *ruled]])
+    edges = [(210.0, y, 290.0, y) for y in (200.0, 250.0, 300.0)] + [(x, 200.0, x, 300.0) for x in (210.0, 250.0, 290.0)]
+    lines = spark.createDataFrame([("d", 0, *e) for e in edges], "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double")
+    found = {r.block_idx: r for r in folds.detect_tables(b, lines).collect()}
+    assert {k: r.found_by for k, r in found.items()} == {**dict.fromkeys(range(4), "tagged"), **dict.fromkeys(range(20, 24), "ruled"), **dict.fromkeys(range(10, 14), "spaced")}
+    assert [(found[k].row_no, found[k].column_no) for k in (20, 21, 22, 23)] == [(1, 0), (1, 1), (0, 0), (0, 1)]
+    assert found[0].header_row and not found[2].header_row
+    assert folds.detect_tables(b.limit(0)).count() == 0
+
+
+def test_pictures_are_used_once(spark):
+    b = blocks(spark, [(0, 0, "a", (0, 50, 10, 60), 12, None), (0, 1, "b", (0, 50, 10, 60), 12, None), (0, 2, "c", (100, 5, 110, 9), 12, None)])
+    i = spark.createDataFrame([("d", 0, 0, 0.0, 50.0, 10.0, 60.0), ("d", 0, 1, 0.0, 55.0, 10.0, 60.0)], "doc_id string, page_no int, image_idx int, x_left double, y_bottom double, x_right double, y_top double")
+    assert [(r.block_idx, r.image_idx) for r in folds.match_pictures(b, i).orderBy("block_idx").collect()] == [(0, 0), (1, 1)]
+
+
+def test_forms_and_equations(spark):
+    from leafmill.functions import forms
+
+    rows = [("checkbox", "Yes", True, None, "ok", "ok"), ("dropdown", None, None, ["a", "b"], "x", "tip"), ("signature", "Ann", None, None, "s", None), ("text", "one\n\ntwo", None, None, "t", "t"), ("text", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "kind string, value string, checked boolean, options array<string>, label string, tooltip string")
+    got = [r.v for r in df.select(forms.field_value(*(F.col(c) for c in df.columns)).alias("v")).collect()]
+    assert got == [["☑"], ["Selected: (none)", "Options: a, b", "(tip)"], [forms.SIGNATURE, "Signed: Ann"], ["one", "\xa0", "two"], ["\xa0"]]
+    assert [r.v for r in df.select(forms.field_label(F.col("label"), F.lit(None).cast("string"), F.col("kind")).alias("v")).collect()][-1] == "Text"
+    m = "<math xmlns='http://www.w3.org/1998/Math/MathML'><mfrac><msup><mi>x</mi><mn>2</mn></msup><msqrt><mi>y</mi></msqrt></mfrac><mo>=</mo><mfenced><mi>a</mi><mi>b</mi></mfenced></math>"
+    assert forms.linear_math("f " + m) == "(x^(2))/(sqrt(y))=(a,b)" and forms.linear_math("<math><mi>x") is None
+    out = spark.createDataFrame([(m,), (None,), ("plain",)], "t string").select(forms.math_text("t").alias("v")).collect()
+    assert [r.v for r in out] == ["(x^(2))/(sqrt(y))=(a,b)", None, None]
