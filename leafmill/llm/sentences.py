@@ -30,6 +30,8 @@ ABBREVIATION, STARTER, COLLOCATION, LEAST = 0.3, 30.0, 7.88, 3
 #: Longer runs without white space are no words (such as sentences of scripts without spaces).
 LONGEST_TYPE = 30
 _NEUTRAL = "und"
+# Languages that aren't written in Latin script.
+OTHER_SCRIPTS = ("ar", "bg", "bn", "el", "fa", "he", "hi", "ja", "ko", "ru", "sr", "th", "uk", "ur", "zh")
 
 # Marks that end a sentence, closing and opening signs, pairs of quotes and brackets, list markers.
 STRONG = "!?。！？؟।॥"
@@ -109,8 +111,12 @@ def count_types(text: str, out: Counter) -> None:
                     elif (c := found[i + 1].lstrip(_STRIP)[:1]) and (c.islower() or c.isdigit()):
                         out[(k, "on")] += 1
                 out[("", "periods")] += 1
+                out[("", "marks")] += 1
                 out[("", "ends")] += last
             else:
+                if t.rstrip(CLOSERS)[-1:] in STRONG and t.strip(CLOSERS):
+                    out[("", "marks")] += 1
+                    out[("", "ends")] += last
                 k = t.strip(_STRIP + ",;:!?…")
                 if t.endswith((".,", ".;", ".:")) and k.endswith("."):
                     out[(k[:-1], "with")] += 1
@@ -122,8 +128,8 @@ def count_types(text: str, out: Counter) -> None:
 
 def abbreviations(rows: dict[str, dict[str, int]], total: dict[str, int]) -> set[str]:
     """The types of one language that are abbreviations; ``rows`` has the counts of types that stand before periods."""
-    n, periods = max(2, total.get("tokens", 0)), max(1, total.get("periods", 0))
-    p1, ends = min(0.9, periods / n), total.get("ends", 0)
+    n, marks, ends = max(2, total.get("tokens", 0)), max(1, total.get("marks", 0)), total.get("ends", 0)
+    p1 = min(0.9, max(1, total.get("periods", 0)) / n)
     out = set()
     for k, c in rows.items():
         a, b = c.get("with", 0), c.get("without", 0)
@@ -133,9 +139,10 @@ def abbreviations(rows: dict[str, dict[str, int]], total: dict[str, int]) -> set
         ratio = 2 * scale * (a * math.log(0.99 / p1) + b * math.log(0.01 / (1 - p1)))
         size = len(k.replace(".", ""))
         score = ratio * math.exp(-size) * (k.count(".") + 1) * max(1, size) ** (-10.0 * b / a)
-        # a word that only stands at sentence ends is at a paragraph's end as often as any period, and nothing goes on behind it
-        apart = _llr(periods - ends - (a - c.get("end", 0)), periods - a, periods - ends, periods)
-        inside = c.get("end", 0) < 0.25 * a * ends / periods and _llr(a - c.get("end", 0), a, periods - ends, periods) >= COLLOCATION
+        # a word that only stands at sentence ends is at a paragraph's end as often as any mark, and nothing goes on behind it
+        within = a - c.get("end", 0)
+        apart = _llr(marks - ends - within, marks - a, marks - ends, marks)
+        inside = c.get("end", 0) < 0.25 * a * ends / marks and (_llr(within, a, marks - ends, marks) >= COLLOCATION or a > marks - ends)
         if score >= ABBREVIATION and (c.get("on", 0) >= 0.2 * a or inside and size < 5) and apart <= COLLOCATION:
             out.add(k)
     return out
@@ -450,7 +457,8 @@ def _selected(counted: DataFrame, least: str, totals: dict[str, dict[str, int]],
 def learn(df: DataFrame, model: bytes, text: str = "text") -> dict[str, Periods]:
     """What periods mean in each language, from counts over all documents."""
     types = staged(_counted(df, model, None, text), "types")
-    known = {lang: x.get("abbreviation", set()) for lang, x in _selected(types, "with", _totals(types), lambda rows, total: {"abbreviation": abbreviations(rows, total)}).items()}
+    # foreign words in languages of other scripts count where they are at home
+    known = {lang: {w for w in x.get("abbreviation", set()) if not (lang in OTHER_SCRIPTS and re.match("[A-Za-z]", w))} for lang, x in _selected(types, "with", _totals(types), lambda rows, total: {"abbreviation": abbreviations(rows, total)}).items()}
     words = staged(_counted(df, model, known, text), "words")
     found = _selected(words, "start after", _totals(words), lambda rows, total: dict(zip(("first", "after"), starters(rows, total))))
     return {lang: Periods(x, found.get(lang, {}).get("first", set()), found.get(lang, {}).get("after", set())) for lang, x in known.items()}
@@ -482,6 +490,6 @@ def split(df: DataFrame, key: str, model: bytes, learned: dict[str, Periods], te
 def _with_latin(lang: str, p: Periods, latin: Periods) -> Periods:
     """Languages of other scripts hold foreign sentences now and then: there what holds in languages of Latin script counts too."""
     script = Counter(unicodedata.name(w[0], "?").split()[0] for w in p.abbreviations | p.starters if w)
-    if lang not in ("ar", "hi", "ja", "ko", "ru", "th", "zh") and script.get("LATIN", 0) * 2 >= sum(script.values()):
+    if lang not in OTHER_SCRIPTS and script.get("LATIN", 0) * 2 >= sum(script.values()):
         return p
     return Periods(p.abbreviations | latin.abbreviations, p.starters | latin.starters, p.after_number | latin.after_number)
