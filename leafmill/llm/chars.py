@@ -30,8 +30,8 @@ FORMS = "Ⅰ-ⅿ⺀-⿟ﬀ-ﬆﬓ-ﬗיִ-﷿ﹰ-ﻼ！-ﾟﾡ-￦\U0001d400-\U00
 PARTS = "̀-ͯᄀ-ᇿ゙゚ٓ-ٕ"
 
 ALWAYS = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}{FORMS}{PARTS}{''.join(LATIN_VARIANTS)}]")
-_MIXED = re.compile("[A-Za-zÀ-ɏ]")
-_OTHER = re.compile("[Ͱ-ԯἀ-῿]")
+LATIN = re.compile("[A-Za-zÀ-ɏ]")
+OTHER = re.compile("[Ͱ-ԯἀ-῿]")
 _NONE, _LATIN, _CYRILLIC, _GREEK, _BREAK = 0, 1, 2, 3, 4
 _in_forms = re.compile(f"[{FORMS}]").fullmatch
 _in_invisible = re.compile(f"[{INVISIBLE}]").fullmatch
@@ -157,7 +157,7 @@ def suspect(text: str) -> bool:
     """Whether a text may have to be changed; what is not suspect is in its consistent form already."""
     if text.isascii():
         return False
-    return bool(ALWAYS.search(text) or (_OTHER.search(text) and _MIXED.search(text))) or not unicodedata.is_normalized("NFC", text)
+    return bool(ALWAYS.search(text) or (OTHER.search(text) and LATIN.search(text))) or not unicodedata.is_normalized("NFC", text)
 
 
 def consistent(texts: list[str | None]) -> list[str | None]:
