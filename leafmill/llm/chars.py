@@ -99,7 +99,8 @@ def _scripts_of_words(cp: np.ndarray, row: np.ndarray, script: np.ndarray, sure:
     best, top = votes.argmax(1), votes.max(1)
     of_row = row[np.flatnonzero(start)]
     fixed = top >= 1000
-    for w in np.flatnonzero(~fixed & (top > 0)):
+    # a word of Latin letters alone is a name or sign that other scripts use, too
+    for w in np.flatnonzero(~fixed & (top > 0) & (votes[:, _LATIN] < votes.sum(1))):
         sides = []
         for step in (-1, 1):
             k = w + step

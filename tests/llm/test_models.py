@@ -59,7 +59,7 @@ def test_round_trip(text):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("Mаnuals", "Manuals"), ("читaльный", "читальный"), ("Κesterνane", "Kestervane"), ("ｐаｇеｓ", "pages"), ("a соріеѕ file", "a copies file"), ("ﾌｫﾝﾄ", "フォント"), ("café", "café"), ("ﬁle\xa0x​y", "file xy"),
+        ("Mаnuals", "Manuals"), ("читaльный", "читальный"), ("Κesterνane", "Kestervane"), ("ｐаｇеｓ", "pages"), ("a соріеѕ file", "a copies file"), ("без предупреждения (x³) и а после", "без предупреждения (x³) и а после"), ("take а desk", "take a desk"), ("ﾌｫﾝﾄ", "フォント"), ("café", "café"), ("ﬁle\xa0x​y", "file xy"),
         ("В 9 г. the cat. С большой", "В 9 г. the cat. С большой"), ("m² ³ ¼ № – “x”", "m² ³ ¼ № – “x”"), ("한글", "한글"), ("⽂件", "文件"), ("ạ̇", "ạ̇"), ("ạ̇", "ạ̇"), ("", ""), (None, None),
     ],
 )
