@@ -36,13 +36,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block and paragraph without the lines that are repeated within its source."""
-    blocks, paragraphs, sources = table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "paragraphs"), _sources(spark, sf_dir)
-    hot = staged(repeats.repeated(repeats.lines_of_tables(blocks, paragraphs), sources).select("unit", "source", "line").distinct(), "hot")
-    key = ["doc_id", "page_no", "idx"]
+    blocks, paragraphs, key = table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "paragraphs"), ["doc_id", "page_no", "idx"]
+    found = staged(repeats.repeated(repeats.lines_of_tables(blocks, paragraphs), _sources(spark, sf_dir)).select("unit", *key, "line_no"), "repeated")
     a = blocks.select("doc_id", "page_no", F.col("block_idx").alias("idx"), "text").dropDuplicates(key)
     b = paragraphs.select("doc_id", "page_no", F.col("para_idx").alias("idx"), repeats.run_text(F.col("runs")).alias("text")).dropDuplicates(key)
     made = [
-        repeats.without_repeated(df, key, brk, hot.where(F.col("unit") == name), sources).select(unit(name), *key, "text", "n_cut")
+        repeats.without_repeated(df, key, brk, found.where(F.col("unit") == name)).select(unit(name), *key, "text", "n_cut")
         for df, name, brk in ((a, "block", "\n"), (b, "paragraph", repeats.BREAK))
     ]
     return made[0].unionByName(made[1])

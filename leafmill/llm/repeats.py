@@ -20,6 +20,8 @@ from .chars import consistent, letters
 #: Letters in the rolling window; a chunk ends where the hash's low bits are zero (every 2**BITS letters on average).
 WINDOW, BITS = 8, 5
 MIN_DOCS, MIN_SHARE = 3, 0.2
+#: Up to so many hot chunks are literals of a filter; beyond, they are joined.
+LITERAL_CHUNKS = 20_000
 #: Stands for a break between runs; a record's text may hold line feeds of its own.
 BREAK = "\x1e"
 
@@ -99,22 +101,29 @@ def lines(df: DataFrame, keys: list[str], brk: str) -> DataFrame:
 
 
 def repeated(lines: DataFrame, sources: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """The rows of ``lines`` (``unit``, ``doc_id``, ``line``, ``chunks``, ...) that are repeated excessively in their source.
+    """The rows of ``lines`` (``unit, doc_id, page_no, idx, line_no, line, chunks``) that are repeated excessively in their source.
 
     ``sources`` has ``doc_id`` and ``source`` of every document, each once. Units are counted apart. Documents without
     a source have no repeated lines. ``lines`` is read twice and should be a written table.
     """
     size = sources.where(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("docs_of_source"))
 
+    place = ["doc_id", "page_no", "idx", "line_no"]
+
     def excessive(of: DataFrame, what: str) -> DataFrame:
         each = of.join(sources.where(F.col("source").isNotNull()), "doc_id").groupBy("doc_id", "unit", "source", what).agg(F.lit(1).alias("one"))
         counted = each.groupBy("unit", "source", what).agg(F.count("*").alias("docs"))
         return counted.where(F.col("docs") >= min_docs).join(size, "source").where(F.col("docs") >= F.lit(min_share) * F.col("docs_of_source") - 1e-9)
 
-    hot = excessive(lines.select("doc_id", "unit", F.explode("chunks").alias("chunk")), "chunk")
+    chunks = lines.select("doc_id", "unit", F.explode("chunks").alias("chunk"))
+    hot = excessive(chunks, "chunk").select("chunk").distinct()
     # a chunk that is hot stands in a fifth of its source's documents: there are at most 5 x (mean chunks of a document) for each source
-    keys = [r[0] for r in hot.select("chunk").distinct().collect()]
-    candidates = lines.where(F.forall("chunks", lambda c: c.isin(keys))) if keys else lines.where(F.lit(False))
+    keys = [r[0] for r in hot.limit(LITERAL_CHUNKS + 1).collect()]
+    if len(keys) <= LITERAL_CHUNKS:
+        candidates = lines.where(F.forall("chunks", lambda c: c.isin(keys))) if keys else lines.where(F.lit(False))
+    else:  # very many sources: lines with a chunk that isn't hot are taken off by joins
+        cold = lines.select("unit", *place, F.explode("chunks").alias("chunk")).join(hot, "chunk", "left_anti").select("unit", *place).distinct()
+        candidates = lines.join(cold, ["unit", *place], "left_anti")
     found = excessive(candidates.select("doc_id", "unit", "line"), "line").select("unit", "source", "line")
     return candidates.join(sources, "doc_id").join(found, ["unit", "source", "line"])
 
@@ -128,31 +137,14 @@ def lines_of_tables(blocks: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return staged(a.withColumn("unit", F.lit("block")).unionByName(b.withColumn("unit", F.lit("paragraph"))), "lines")
 
 
-def without_repeated(df: DataFrame, keys: list[str], brk: str, hot: DataFrame, sources: DataFrame) -> DataFrame:
-    """``keys``, ``text`` without the repeated lines, and ``n_cut``; a record of nothing else keeps an empty text.
+def without_repeated(df: DataFrame, keys: list[str], brk: str, found: DataFrame) -> DataFrame:
+    """``keys``, ``text`` without the lines that ``found`` (``keys``, ``line_no``) lists, and ``n_cut``.
 
-    ``hot`` has ``source`` and ``line`` of what is repeated: at most 1/share x (mean lines of a document) rows a source.
+    ``df`` has each record once. A record of nothing else keeps an empty text, a null text stays null; other breaks than
+    line feeds become line feeds.
     """
-    cut: dict[str, set[int]] = {}
-    for source, line in hot.select("source", "line").distinct().collect():
-        cut.setdefault(source, set()).add(line)
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", text string, n_cut int"
-    shared = df.sparkSession.sparkContext.broadcast(cut)
-
-    def make():
-        def run(*columns):
-            *own, source, texts = columns
-            at, number, found = line_keys(texts, brk)
-            gone: dict[int, set[int]] = {}
-            if found:
-                for i, k, h in zip(at, number, chunks_of(found)[0]):
-                    if h in shared.value.get(source[i], ()):
-                        gone.setdefault(i, set()).add(k)
-            out = ["\n".join(x for k, x in enumerate(t.split(brk)) if k not in gone[i]) if i in gone else t and t.replace(BREAK, "\n") for i, t in enumerate(texts)]
-            return *own, out, [len(gone.get(i, ())) for i in range(len(out))]
-
-        return run
-
-    picked = df.select(*keys, "text").join(sources, "doc_id", "left").select(*keys, "source", "text")
-    return map_columns(picked, make, schema)
+    gone = found.groupBy(*keys).agg(F.collect_set("line_no").alias("gone"))
+    both = df.select(*keys, "text").join(gone, keys, "left")
+    kept = F.filter(F.split("text", brk), lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.replace("text", F.lit(brk), F.lit("\n"))).otherwise(F.array_join(kept, "\n"))
+    return both.select(*keys, text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_cut"))

@@ -117,6 +117,12 @@ def test_lines_of_one_hot_source(spark):
     assert {(r.doc_id, r.line_no) for r in found.collect()} == {(f"d{k}", 1) for k in range(0, 50, 5)}
 
 
+def test_many_hot_chunks_are_joined(spark, monkeypatch):
+    want = {tuple(r) for r in QUERIES["p1_found"](spark, SF).collect()}
+    monkeypatch.setattr(repeats, "LITERAL_CHUNKS", 3)
+    assert {tuple(r) for r in QUERIES["p1_found"](spark, SF).collect()} == want
+
+
 def test_leaks_against_brute_force(spark):
     docs, items = table(spark, SF, "documents"), table(spark, SF, "eval_items")
     grams = defaultdict(set)
