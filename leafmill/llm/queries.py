@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staged, table
-from . import leaks, mixing, repeats, sentences
+from . import langid, leaks, mixing, repeats, sentences
 from .encoding import fit_garble, garbled, look_alikes, unit
 from .languages import fit_languages, identified, mislabelled, named, of_documents
 
@@ -80,10 +80,10 @@ def p4_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(_cases(look_alikes(fragments, "text", FRAGMENT, forms=True), "fragment", "frag_idx", "form"))
 
 
-def _runs(paragraphs: DataFrame) -> DataFrame:
-    """The runs that may have enough letters, one a row; null runs and texts have none."""
+def _runs(paragraphs: DataFrame, least: int = 1) -> DataFrame:
+    """The runs that may have ``least`` letters by weight, one a row; null runs and texts have none."""
     each = paragraphs.select("doc_id", "page_no", "para_idx", F.posexplode("runs").alias("run_idx", "run"))
-    return each.where(F.length("run.text") * 2 >= 25).select("doc_id", "page_no", "para_idx", "run_idx", F.col("run.text").alias("text"), F.col("run.language").alias("language"))
+    return each.where(F.length("run.text") * 2 >= least).select("doc_id", "page_no", "para_idx", "run_idx", F.col("run.text").alias("text"), F.col("run.language").alias("language"))
 
 
 def _languages(spark: SparkSession, sf_dir: str, places: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -91,7 +91,7 @@ def _languages(spark: SparkSession, sf_dir: str, places: bool) -> tuple[DataFram
     blocks, fragments = table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "fragments")
     garble, model = fit_garble(blocks, fragments), fit_languages(blocks)
     of_blocks = staged(identified(blocks.where(F.col("text").isNotNull()), BLOCK, model, garble, places=places), "languages")
-    of_runs = identified(_runs(table(spark, sf_dir, "paragraphs")), ["doc_id", "page_no", "para_idx", "run_idx"], model, places=places, cases=not places)
+    of_runs = identified(_runs(table(spark, sf_dir, "paragraphs"), 1 if places else langid.MIN_LETTERS), ["doc_id", "page_no", "para_idx", "run_idx"], model, places=places, cases=not places)
     labels = table(spark, sf_dir, "doc_metadata").groupBy("doc_id").agg(F.max("language").alias("language"))
     of_docs = of_documents(of_blocks).join(named(labels, "doc_id"), "doc_id")
     return of_blocks, of_runs, of_docs

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import encoding, garble, languages, leaks, mixing, repeats, sentences
 from leafmill.llm.chars import consistent, letters
-from leafmill.llm.queries import queries
+from leafmill.llm.queries import _runs, queries
 from leafmill.session import table
 
 from ..conftest import SF
@@ -186,3 +186,11 @@ def test_staged_tables_go_to_the_shared_folder(spark):
 
     df = session.staged(spark.range(10), "test")
     assert df.count() == 10 and session.shared_dir(spark).split(":")[-1] in df.inputFiles()[0]
+
+
+def test_short_runs_have_a_language_too(spark):
+    """The bound of 25 letters is that of p5_found's cases alone."""
+    some = "named_struct('text', '{}', 'language', cast(null as string))"
+    p = spark.sql(f"select 'd' as doc_id, 0 as page_no, 0 as para_idx, array({some.format('Kurz.')}, {some.format('')}, {some.format('Ein langer Satz, der für sich steht.')}) as runs")
+    assert [r.run_idx for r in _runs(p).orderBy("run_idx").collect()] == [0, 2]
+    assert [r.run_idx for r in _runs(p, 25).collect()] == [2]
