@@ -35,6 +35,12 @@ def without_regions(blocks: DataFrame, pages: DataFrame, found: DataFrame, foote
     return blocks.join(gone, BLOCK, "left_anti")
 
 
+def region_texts(blocks: DataFrame, pages: DataFrame, found: DataFrame, footer: bool, depth: int = 3) -> DataFrame:
+    """``doc_id`` and ``texts``: those of the running header (or footer) that ``found`` lists, as its first page has them, the outermost first."""
+    each = region_blocks(blocks, pages, footer, depth).join(found.select("doc_id", F.col("first_page").alias("page_no")), PAGE).join(blocks.select(*BLOCK, "text"), BLOCK)
+    return each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("t")).select("doc_id", F.transform("t", lambda x: x["text"]).alias("texts"))
+
+
 def watermarks(blocks: DataFrame, pages: DataFrame, share: float = 0.8) -> DataFrame:
     """Texts at the same place in the middle of most pages: of two pages at least, and ``share`` of the document's."""
     at = lambda low, high, size: (F.col(low) + F.col(high)) / 2 / F.col(size)

@@ -21,14 +21,17 @@ def _complete(blocks: DataFrame) -> DataFrame:
 
 
 def build(blocks: DataFrame, pages: DataFrame, links: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of a document: ``paragraphs``, ``sections``, ``headers``, ``footers``, ``watermarks``, ``list_levels``, ``statistics``.
+    """The tables of a document: ``paragraphs``, ``sections``, ``headers``, ``footers``, ``header_texts``, ``footer_texts``, ``watermarks``, ``list_levels``, ``statistics``.
 
-    What several steps read is written once to the shared folder. Running headers and footers leave the body. Links are boxes (``b_``-edges) with ``link_idx`` and ``uri``.
+    What several steps read is written once to the shared folder. Running headers and footers leave the body, unless nothing else is in it. Links are boxes (``b_``-edges) with ``link_idx`` and ``uri``.
     """
     blocks, pages = staged(_complete(blocks), "blocks"), staged(pages.select(*PAGE, "width", "height"), "pages")
     headers, footers = regions.repeating_regions(blocks, pages, False), regions.repeating_regions(blocks, pages, True)
     headers, footers = staged(headers, "headers"), staged(footers, "footers")
-    body = staged(regions.without_regions(regions.without_regions(blocks, pages, headers, False), pages, footers, True), "body")
+    rest = regions.without_regions(regions.without_regions(blocks, pages, headers, False), pages, footers, True)
+    some = staged(rest.where(layout.has_text(F.col("text"))).select("doc_id").distinct(), "some")
+    headers, footers = headers.join(some, "doc_id", "left_semi"), footers.join(some, "doc_id", "left_semi")
+    body = staged(rest.join(some, "doc_id", "left_semi").unionByName(blocks.join(some, "doc_id", "left_anti")), "body")
     placed = staged(layout.placed(body, pages), "placed")
     levels = staged(folds.list_levels(placed), "levels")
     marker = list_marker(F.col("text"), F.col("block_role"))
@@ -70,6 +73,8 @@ def build(blocks: DataFrame, pages: DataFrame, links: DataFrame | None = None) -
         "sections": folds.sections(layout.page_margins(blocks, pages).join(layout.page_columns(blocks), PAGE, "left")),
         "headers": headers,
         "footers": footers,
+        "header_texts": regions.region_texts(blocks, pages, headers, False),
+        "footer_texts": regions.region_texts(blocks, pages, footers, True),
         "watermarks": regions.watermarks(body, pages),
         "list_levels": levels,
         "statistics": stats.document_statistics(paragraphs.withColumn("text", stats.run_text(F.col("runs"))), pages),
@@ -78,7 +83,8 @@ def build(blocks: DataFrame, pages: DataFrame, links: DataFrame | None = None) -
 
 def convert(blocks: DataFrame, pages: DataFrame, core: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """One DOCX package a document, from its blocks."""
-    return docx.packages(build(blocks, pages, links)["paragraphs"], core, pages)
+    made = build(blocks, pages, links)
+    return docx.packages(made["paragraphs"], core, pages, made["header_texts"], made["footer_texts"])
 
 
 def convert_files(files: DataFrame, password: str = "") -> DataFrame:

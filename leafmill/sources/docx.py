@@ -28,6 +28,8 @@ TYPES = {
     "/word/document.xml": WORD + "document.main+xml",
     "/word/styles.xml": WORD + "styles+xml",
     "/word/numbering.xml": WORD + "numbering+xml",
+    "/word/header.xml": WORD + "header+xml",
+    "/word/footer.xml": WORD + "footer+xml",
     "/word/footnotes.xml": WORD + "footnotes+xml",
     "/word/comments.xml": WORD + "comments+xml",
     "/docProps/core.xml": "application/vnd.openxmlformats-package.core-properties+xml",
@@ -129,13 +131,19 @@ class Package:
             kind = BREAKS.get(run["break_type"])
             _add(r, "br", **({"type": kind} if kind else {}))
 
-    def parts(self, core: dict, stats: dict, size: tuple[float, float]) -> dict[str, bytes]:
+    def parts(self, core: dict, stats: dict, size: tuple[float, float], header: list[str] | None = None, footer: list[str] | None = None) -> dict[str, bytes]:
         end = _add(self.place, "sectPr")
+        edges = [(name, texts) for name, texts in (("header", header), ("footer", footer)) if texts]
+        for k, (name, _) in enumerate(edges, len(self.targets) + 3):
+            ET.SubElement(end, _w(f"{name}Reference"), {_w("type"): "default", f"{{{R}}}id": f"rId{k}"})
         wide = size[0] > size[1]
         _add(end, "pgSz", w=round(size[0] * 20), h=round(size[1] * 20), **({"orient": "landscape"} if wide else {}))
         _add(end, "pgMar", top=1440, right=1440, bottom=1440, left=1440, header=720, footer=720, gutter=0)
         out = {"word/document.xml": _xml(self.body), "word/styles.xml": _styles(), "word/numbering.xml": _numbering(), "docProps/core.xml": _core(core), "docProps/app.xml": _app(stats)}
         related = [("rId1", "styles", "styles.xml", False), ("rId2", "numbering", "numbering.xml", False), *((i, "hyperlink", t, True) for t, i in self.targets.items())]
+        for name, texts in edges:
+            out[f"word/{name}.xml"] = _edge(name, texts)
+            related.append((f"rId{len(related) + 1}", name, f"{name}.xml", False))
         for name, entries in (("footnotes", [("", t) for t in self.footnotes]), ("comments", self.comments)):
             if entries:
                 out[f"word/{name}.xml"] = _notes(name, entries)
@@ -148,6 +156,21 @@ class Package:
         return out
 
 
+def _edge(name: str, texts: list[str]) -> bytes:
+    """A running header, or a footer with fields of the page's number and of all pages."""
+    root = ET.Element(_w("hdr" if name == "header" else "ftr"))
+    for text in texts:
+        for line in _ILLEGAL.sub("", text).split("\n"):
+            _add(_add(_add(root, "p"), "r"), "t", line.strip())
+    if name == "footer":
+        e = _add(root, "p")
+        for field in ("PAGE", "NUMPAGES"):
+            if field == "NUMPAGES":
+                _add(_add(e, "r"), "t", "/")
+            _add(e, "fldSimple", instr=field)
+    return _xml(root)
+
+
 def _notes(name: str, entries: list[tuple[str, str]]) -> bytes:
     root = ET.Element(_w(name))
     first = 2 if name == "footnotes" else 0
@@ -264,12 +287,12 @@ def _stats(rows: list[dict], pages: int) -> dict:
     return out | {"pages": pages}
 
 
-def packages(paragraphs: DataFrame, core: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+def packages(paragraphs: DataFrame, core: DataFrame, pages: DataFrame | None = None, headers: DataFrame | None = None, footers: DataFrame | None = None) -> DataFrame:
     """``doc_id, file, content`` and statistics: one DOCX file of each document's paragraphs, in order.
 
     ``paragraphs`` have ``doc_id, page_no, para_idx, runs`` and, where they are known, ``style, alignment, number_id, level,
     page_break, comment, comment_author, footnote``; ``core`` has the core properties of each ``doc_id``. A document without
-    properties gets defaults; one without paragraphs no file. A document is built in one task.
+    properties gets defaults; one without paragraphs no file. ``headers`` and ``footers`` have the running ``texts`` of each ``doc_id``. A document is built in one task.
     """
     own = [c for c in ("style", "alignment", "number_id", "level", "page_break", "comment", "comment_author", "footnote") if c in paragraphs.columns]
     props = core.select("doc_id", F.struct(*(c for c in core.columns if c != "doc_id")).alias("_core"))
@@ -278,13 +301,17 @@ def packages(paragraphs: DataFrame, core: DataFrame, pages: DataFrame | None = N
         size = pages.groupBy("doc_id").agg(F.max("width").alias("_w"), F.max("height").alias("_h"), F.count("*").alias("_n"))
         shown = shown.join(size, "doc_id", "left")
 
+    for name, texts in (("_header", headers), ("_footer", footers)):
+        if texts is not None:
+            shown = shown.join(texts.select("doc_id", F.col("texts").alias(name)), "doc_id", "left")
+
     def step(rows: list[dict]) -> Iterator[tuple]:
         package = Package()
         for p in rows:
             package.paragraph(p)
         head = rows[0]
         stats = _stats(rows, head.get("_n") or 1 + max(p["page_no"] for p in rows) - min(p["page_no"] for p in rows))
-        parts = package.parts(head["_core"] or {}, stats, (head.get("_w") or 612.0, head.get("_h") or 792.0))
+        parts = package.parts(head["_core"] or {}, stats, (head.get("_w") or 612.0, head.get("_h") or 792.0), head.get("_header"), head.get("_footer"))
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
             for name in sorted(parts, key=lambda n: (n != "[Content_Types].xml", n)):

@@ -46,6 +46,17 @@ def test_convert_files(spark):
     assert ET.fromstring(z.read("docProps/core.xml")).findtext(f"{{{docx.DC}}}title") == "Sample"
 
 
+def test_convert_writes_running_headers_and_footers(spark):
+    rows = [x for k in range(3) for x in ((k, 0, "Annual report", (72, 760, 300, 772), 12, None), (k, 1, f"Body {k}.", (72, 400, 300, 412), 12, None), (k, 2, f"Page {k + 1}", (280, 20, 330, 32), 8, None))]
+    same = blocks(spark, [x for x in rows if x[1] != 1]).withColumn("doc_id", F.lit("e"))  # nothing else: it stays in the body
+    pages = page(spark, 3).unionByName(page(spark, 3).withColumn("doc_id", F.lit("e")))
+    core = spark.createDataFrame([("d", "T")], "doc_id string, title string")
+    files = {r.doc_id: zipfile.ZipFile(io.BytesIO(r.content)) for r in assemble.convert(blocks(spark, rows).unionByName(same), pages, core).collect()}
+    shown = lambda d, part: [t.text for t in ET.fromstring(files[d].read(f"word/{part}.xml")).iter(f"{{{docx.W}}}t")]
+    assert (shown("d", "header"), shown("d", "document"), shown("d", "footer")) == (["Annual report"], ["Body 0.", "Body 1.", "Body 2."], ["Page 1", "/"])
+    assert "".join(shown("e", "document")).count("Annual report") == 3 and "word/header.xml" not in files["e"].namelist()
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.pdf").write_bytes(made())
