@@ -117,10 +117,10 @@ def continuations(shown: DataFrame) -> DataFrame:
 
     A block goes on with the paragraph above it on its page if roles (where both are set) and columns are equal and the
     gap is 1.2 lines at most; and with the last one of the page before if that one ends without an end mark near the
-    bottom margin and this one begins near the top.
+    bottom margin and this one begins near the top. A vertical block is a paragraph of its own.
     """
     order = Window.partitionBy("doc_id").orderBy("seq")
-    shown = shown.where(has_text(F.col("text")) & ~F.coalesce(F.col("vertical"), F.lit(False)))
+    shown = shown.where(has_text(F.col("text")))
     c = F.col
     shown = shown.withColumn("col", geometry.column_of(c("x_left"), c("width"), c("margin_left"), c("margin_right"), F.coalesce("columns", F.lit(1)), c("spacing")))
     was = lambda name: F.lag(name).over(order)
@@ -132,7 +132,8 @@ def continuations(shown: DataFrame) -> DataFrame:
     top = c("y_top") >= c("height") - c("margin_top") - reach
     across = (was("page_no") + 1 == c("page_no")) & bottom & top & F.lag(continues(c("text"), c("block_role"))).over(order)
     listed = list_marker(c("text"), c("block_role")).isNotNull()
-    goes_on = F.coalesce(roles & (same_page | across) & ~listed, F.lit(False))
+    upright = ~F.coalesce(c("vertical"), F.lit(False)) & ~F.coalesce(was("vertical"), F.lit(False))
+    goes_on = F.coalesce(roles & (same_page | across) & ~listed & upright, F.lit(False))
     out = shown.withColumn("new_paragraph", ~goes_on)
     return out.select(*BLOCK, "new_paragraph", F.sum(c("new_paragraph").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("paragraph_no"))
 

@@ -57,6 +57,12 @@ def test_convert_writes_running_headers_and_footers(spark):
     assert "".join(shown("e", "document")).count("Annual report") == 3 and "word/header.xml" not in files["e"].namelist()
 
 
+def test_vertical_blocks_are_paragraphs_of_their_own(spark):
+    rows = [(0, k, t, (72, 700 - 12 * k, 300, 712 - 12 * k), 12, "P") for k, t in enumerate(("One", "two", "縦書き", "three", "four"))]
+    found = assemble.build(blocks(spark, rows).withColumn("vertical", F.col("block_idx") == 2), page(spark))
+    assert ["".join(r.text for r in x.runs) for x in found["paragraphs"].orderBy("para_idx").collect()] == ["One two", "縦書き", "three four"]
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.pdf").write_bytes(made())
