@@ -26,7 +26,8 @@ def identified(
 
     With ``places`` also where the parts stand (code points of the text in consistent form) and how sure they are. With
     ``cases`` only the rows whose label is missing or wrong, or that hold several languages. Rows whose text is null or
-    without letters, and with ``garble`` the garbled ones, come out with no parts. Records are not made unique.
+    without letters come out with no parts. With ``garble``, the language of a garbled text (and the places) is that of
+    its readable form, and its weight is 0, so that it is no case. Records are not made unique.
     """
     spark = df.sparkSession
     shared, other = share(spark, model), share(spark, garble) if garble else None
@@ -38,10 +39,11 @@ def identified(
 
         def run(*columns):
             *own, texts, labels = columns
-            stored = ["" if t is None or (g and g.is_garbled(t)) else t for t in texts]
-            found = consistent(stored)
+            stored = ["" if t is None else t for t in texts]
+            bad = [bool(g) and g.is_garbled(t) for t in stored]
+            found = consistent([g.readable(t) if b else t for t, b in zip(stored, bad)])
             parts = m.classify(found)
-            weights = [langid.weight(t) for t in stored]
+            weights = [0 if b else langid.weight(t) for t, b in zip(stored, bad)]
             named = [langid.language_of_label(x) for x in labels]
             langs = [[x[2] for x in p] for p in parts]
             at = range(len(texts))

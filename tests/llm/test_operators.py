@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import encoding, garble, languages, leaks, mixing, repeats, sentences
+from leafmill.llm import encoding, garble, langid, languages, leaks, mixing, repeats, sentences
 from leafmill.llm.chars import consistent, letters
 from leafmill.llm.queries import _runs, queries
 from leafmill.session import table
@@ -188,6 +188,17 @@ def test_staged_tables_go_to_the_shared_folder(spark):
     assert df.count() == 10 and session.shared_dir(spark).split(":")[-1] in df.inputFiles()[0]
 
 
+def test_garbled_blocks_have_a_language_and_are_no_case(spark):
+    clean = ["Die Prüfung der Seiten für den jährlichen Bericht", "The night shift stored every form field again"]
+    bad = garble.garble(clean[0], (("utf-8", "cp1252"),))
+    model = garble.dumps(garble.fit([*clean * 100, bad]))
+    known = langid.dumps(langid.fit([(clean[0], "de"), (clean[1], "en")] * 100))
+    df = spark.createDataFrame([("d", 0, 0, bad, "en"), ("d", 0, 1, clean[1], "en")], "doc_id string, page_no int, block_idx int, text string, language string")
+    found = languages.identified(df, ["doc_id", "page_no", "block_idx"], known, model).cache()
+    assert [r.langs for r in found.orderBy("block_idx").collect()] == [["de"], ["en"]]
+    assert languages.of_documents(found).first().lang == "de" and languages.mislabelled(found, ["block_idx"]).count() == 0
+
+
 def test_short_runs_have_a_language_too(spark):
     """The bound of 25 letters is that of p5_found's cases alone."""
     some = "named_struct('text', '{}', 'language', cast(null as string))"
