@@ -29,15 +29,16 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are repeated excessively within their source."""
-    found = repeats.lines_of_tables(table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "paragraphs"))
-    out = repeats.repeated(found, _sources(spark, sf_dir))
+    sources = _sources(spark, sf_dir)
+    out = repeats.repeated(repeats.lines_of_tables(table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "paragraphs"), sources), sources)
     return out.select("unit", "doc_id", "page_no", "idx", "line_no").distinct()
 
 
 def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block and paragraph without the lines that are repeated within its source."""
     blocks, paragraphs, key = table(spark, sf_dir, "text_blocks"), table(spark, sf_dir, "paragraphs"), ["doc_id", "page_no", "idx"]
-    found = staged(repeats.repeated(repeats.lines_of_tables(blocks, paragraphs), _sources(spark, sf_dir)).select("unit", *key, "line_no"), "repeated")
+    sources = _sources(spark, sf_dir)
+    found = staged(repeats.repeated(repeats.lines_of_tables(blocks, paragraphs, sources), sources).select("unit", *key, "line_no"), "repeated")
     a = blocks.select("doc_id", "page_no", F.col("block_idx").alias("idx"), "text").dropDuplicates(key)
     b = paragraphs.select("doc_id", "page_no", F.col("para_idx").alias("idx"), repeats.run_text(F.col("runs")).alias("text")).dropDuplicates(key)
     made = [

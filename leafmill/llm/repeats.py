@@ -1,10 +1,12 @@
 """Lines that many documents of one source carry.
 
-The letters of every record are cut into chunks where a rolling hash of the last letters says so (content-defined
-chunking), and at the breaks of the record; for each chunk and source the distinct documents are counted. A line made of
-nothing but chunks that are repeated excessively is a candidate, whose documents are then counted exactly.
+The letters of a record are one stream, in which line breaks count for nothing: a chunk ends where the rolling hash of
+the last letters says so (content-defined chunking). For each chunk and source the distinct documents are counted, and a
+line is repeated excessively if all its chunks are; its head and tail lie in chunks that reach over its ends and are
+compared by an exact count of the lines that are left. A line without a chunk of its own is one chunk.
 
-A line's chunks depend on its letters alone, so each stands in as many documents as the line at least: no line is lost.
+The cuts inside a line depend on its letters alone (a rolling window that reaches over its start makes no chunk of it), so
+each of its chunks stands in as many documents as the line at least: no line is lost.
 """
 
 from __future__ import annotations
@@ -17,11 +19,9 @@ from ..session import staged
 from .batches import map_columns
 from .chars import consistent, letters
 
-#: Letters in the rolling window; a chunk ends where the hash's low bits are zero (every 2**BITS letters on average).
-WINDOW, BITS = 8, 5
+#: Letters in the rolling window, and in a chunk on average.
+WINDOW, MEAN = 6, 10
 MIN_DOCS, MIN_SHARE = 3, 0.2
-#: Up to so many hot chunks are literals of a filter; beyond, they are joined.
-LITERAL_CHUNKS = 20_000
 #: Stands for a break between runs; a record's text may hold line feeds of its own.
 BREAK = "\x1e"
 
@@ -48,19 +48,21 @@ def chunks_of(lines: list[str]) -> tuple[list[int], list[list[int]]]:
     cp = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(cp)
     at = np.arange(n) - np.repeat(starts, sizes)
-    # the rolling hash of the last WINDOW letters; it does not reach over a line's start
+    # the rolling hash of the last WINDOW letters; a window that reaches over the line's start cuts no chunk of it
     value = _mixed(cp.astype(np.uint64))
     rolling = np.zeros(n, np.uint64)
     for k in range(min(WINDOW, n)):
         rolling[k:] += value[: n - k] * (_B1 ** np.uint64(k) if k else np.uint64(1))
-    cut = (at >= WINDOW - 1) & (_mixed(rolling) & np.uint64((1 << BITS) - 1) == 0)
+    cut = (at >= WINDOW - 1) & (_mixed(rolling) % np.uint64(MEAN) == 0)
     begin = at == 0
     begin[1:] |= cut[:-1]
     first = np.flatnonzero(begin)
-    hashed = _hashed(cp, first, np.diff(np.r_[first, n])).astype(np.int64).tolist()
+    ends = np.r_[first[1:], n]
+    own = np.flatnonzero((at[first] > 0) & cut[ends - 1])
+    hashed = _hashed(cp, first, ends - first).astype(np.int64)[own].tolist()
     line = _hashed(cp, starts, sizes).astype(np.int64).tolist()
-    bounds = np.searchsorted(first, np.r_[starts, n]).tolist()
-    return line, [hashed[a:b] for a, b in zip(bounds, bounds[1:])]
+    bounds = np.searchsorted(first[own], np.r_[starts, n]).tolist()
+    return line, [hashed[a:b] or [whole] for a, b, whole in zip(bounds, bounds[1:], line)]
 
 
 def line_keys(texts: list[str | None], brk: str) -> tuple[list[int], list[int], list[str]]:
@@ -100,41 +102,42 @@ def lines(df: DataFrame, keys: list[str], brk: str) -> DataFrame:
     return map_columns(df.select(*keys, "text"), make, schema)
 
 
+def _excessive(rows: DataFrame, size: DataFrame, what: str) -> DataFrame:
+    """``unit, source`` and ``what`` where as many distinct documents of the source have it as ``size`` says (``least``)."""
+    # rows are counted first: they are as many as the documents at least, and no document has to go through that shuffle
+    often = rows.groupBy("unit", "source", what).agg(F.count("*").alias("n")).join(size, "source").where(F.col("n") >= F.col("least"))
+    each = rows.join(often.select("unit", "source", what), ["unit", "source", what], "left_semi").groupBy("unit", "source", what, "doc_id").agg(F.lit(1).alias("one"))
+    counted = each.groupBy("unit", "source", what).agg(F.count("*").alias("docs")).join(size, "source")
+    return counted.where(F.col("docs") >= F.col("least")).select("unit", "source", what)
+
+
 def repeated(lines: DataFrame, sources: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """The rows of ``lines`` (``unit, doc_id, page_no, idx, line_no, line, chunks``) that are repeated excessively in their source.
+    """The rows of ``lines`` (``unit, source, doc_id, page_no, idx, line_no, line, chunks``) that are repeated excessively in their source.
 
     ``sources`` has ``doc_id`` and ``source`` of every document, each once. Units are counted apart. Documents without
-    a source have no repeated lines. ``lines`` is read twice and should be a written table.
+    a source have no repeated lines. ``lines`` is read several times and should be a written table.
     """
-    size = sources.where(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("docs_of_source"))
-
-    place = ["doc_id", "page_no", "idx", "line_no"]
-
-    def excessive(of: DataFrame, what: str) -> DataFrame:
-        each = of.join(sources.where(F.col("source").isNotNull()), "doc_id").groupBy("doc_id", "unit", "source", what).agg(F.lit(1).alias("one"))
-        counted = each.groupBy("unit", "source", what).agg(F.count("*").alias("docs"))
-        return counted.where(F.col("docs") >= min_docs).join(size, "source").where(F.col("docs") >= F.lit(min_share) * F.col("docs_of_source") - 1e-9)
-
-    chunks = lines.select("doc_id", "unit", F.explode("chunks").alias("chunk"))
-    hot = excessive(chunks, "chunk").select("chunk").distinct()
-    # a chunk that is hot stands in a fifth of its source's documents: there are at most 5 x (mean chunks of a document) for each source
-    keys = [r[0] for r in hot.limit(LITERAL_CHUNKS + 1).collect()]
-    if len(keys) <= LITERAL_CHUNKS:
-        candidates = lines.where(F.forall("chunks", lambda c: c.isin(keys))) if keys else lines.where(F.lit(False))
-    else:  # very many sources: lines with a chunk that isn't hot are taken off by joins
-        cold = lines.select("unit", *place, F.explode("chunks").alias("chunk")).join(hot, "chunk", "left_anti").select("unit", *place).distinct()
-        candidates = lines.join(cold, ["unit", *place], "left_anti")
-    found = excessive(candidates.select("doc_id", "unit", "line"), "line").select("unit", "source", "line")
-    return candidates.join(sources, "doc_id").join(found, ["unit", "source", "line"])
-
-
-def lines_of_tables(blocks: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """The lines of blocks and of paragraphs, once for each record, as a written table."""
+    least = F.greatest(F.lit(min_docs), F.ceil(F.lit(min_share) * F.count("*") - 1e-9))
+    size = sources.where(F.col("source").isNotNull()).groupBy("source").agg(least.alias("least"))
+    lines = lines.where(F.col("source").isNotNull())
+    # a hot chunk stands in a share of its source's documents: a source has (chunks of a mean document) / share at most
+    hot = staged(_excessive(lines.select("unit", "source", "doc_id", F.explode("chunks").alias("chunk")), size, "chunk"), "chunks")
+    place = ["unit", "doc_id", "page_no", "idx", "line_no"]
+    first = lines.withColumn("chunk", F.element_at("chunks", 1)).join(hot, ["unit", "source", "chunk"], "left_semi").drop("chunk")
+    others = first.where(F.size("chunks") > 1).select("source", *place, F.explode(F.slice("chunks", F.lit(2), F.size("chunks"))).alias("chunk"))
+    cold = others.join(hot, ["unit", "source", "chunk"], "left_anti").select(*place).distinct()
+    candidates = staged(first.drop("chunks").join(cold, place, "left_anti"), "candidates")
+    return candidates.join(_excessive(candidates, size, "line"), ["unit", "source", "line"], "left_semi")
+
+
+def lines_of_tables(blocks: DataFrame, paragraphs: DataFrame, sources: DataFrame) -> DataFrame:
+    """The lines of blocks and of paragraphs with their source, as a written table."""
     shown = blocks.where(F.col("text").isNotNull()).select("doc_id", "page_no", F.col("block_idx").alias("idx"), "text")
     a = lines(shown, ["doc_id", "page_no", "idx"], "\n")
     p = paragraphs.select("doc_id", "page_no", F.col("para_idx").alias("idx"), run_text(F.col("runs")).alias("text")).where(F.col("text").isNotNull())
     b = lines(p, ["doc_id", "page_no", "idx"], BREAK)
-    return staged(a.withColumn("unit", F.lit("block")).unionByName(b.withColumn("unit", F.lit("paragraph"))), "lines")
+    both = a.withColumn("unit", F.lit("block")).unionByName(b.withColumn("unit", F.lit("paragraph")))
+    return staged(both.join(sources, "doc_id", "left"), "lines")
 
 
 def without_repeated(df: DataFrame, keys: list[str], brk: str, found: DataFrame) -> DataFrame:

@@ -85,7 +85,10 @@ def test_chunks_depend_on_a_lines_letters_alone():
     again = [repeats.chunks_of([x]) for x in lines]
     assert keys == [k[0] for k, _ in again] and chunks == [c[0] for _, c in again]
     assert keys[1] == keys[3] and keys[0] != keys[2]
-    assert set(chunks[0]) & set(chunks[2]) or len(chunks[0]) == 1
+    assert set(chunks[0]) & set(chunks[2]) and chunks[1] == [keys[1]]
+    # in another line the same letters make the same chunks
+    longer = repeats.chunks_of(["other words before " + lines[0] + " and behind"])[1][0]
+    assert set(chunks[0]) <= set(longer)
 
 
 @pytest.fixture(scope="module")

@@ -113,14 +113,18 @@ def test_lines_of_one_hot_source(spark):
     blocks = spark.createDataFrame(rows, "doc_id string, page_no int, block_idx int, text string")
     paragraphs = table(spark, SF, "paragraphs").limit(0)
     sources = blocks.select("doc_id", F.lit("s").alias("source"))
-    found = repeats.repeated(repeats.lines_of_tables(blocks, paragraphs), sources)
+    found = repeats.repeated(repeats.lines_of_tables(blocks, paragraphs, sources), sources)
     assert {(r.doc_id, r.line_no) for r in found.collect()} == {(f"d{k}", 1) for k in range(0, 50, 5)}
 
 
-def test_many_hot_chunks_are_joined(spark, monkeypatch):
-    want = {tuple(r) for r in QUERIES["p1_found"](spark, SF).collect()}
-    monkeypatch.setattr(repeats, "LITERAL_CHUNKS", 3)
-    assert {tuple(r) for r in QUERIES["p1_found"](spark, SF).collect()} == want
+def test_lines_of_hot_chunks_that_are_rare_themselves(spark):
+    """A line made of the hot chunks of others, in an order of its own, and one whose letters run into the next line's."""
+    half = ["every copy of this page keeps the notice of the town library", "share this report with the members of the night shift today"]
+    rows = [(f"d{k}", 0, 0, "\n".join([*half, f"only here {'abcdefghij'[k % 10]}{'klm'[k // 10]}"])) for k in range(29)] + [("d29", 0, 0, half[1] + half[0] + "\n" + half[0][:30] + "\n" + half[0][30:])]
+    blocks = spark.createDataFrame(rows, "doc_id string, page_no int, block_idx int, text string")
+    sources = blocks.select("doc_id", F.lit("s").alias("source"))
+    found = repeats.repeated(repeats.lines_of_tables(blocks, table(spark, SF, "paragraphs").limit(0), sources), sources)
+    assert {(r.doc_id, r.line_no) for r in found.collect()} == {(f"d{k}", n) for k in range(29) for n in (0, 1)}
 
 
 def test_leaks_against_brute_force(spark):
