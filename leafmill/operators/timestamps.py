@@ -1,8 +1,10 @@
 """Timestamps in mixed notations, precisions and time zones as one instant in UTC.
 
-Every notation that a value can be read in gives a candidate. Per source, expectation-maximisation over the mixture of
-notations weighs the candidates: a value contributes the likelihood of each valid reading, and the posterior chooses the
-reading or marks the value as ambiguous. A source's known order of day and month is a prior that excludes the other one.
+Every notation that a value can be read in gives a candidate, both orders of day and month among them. Per source,
+expectation-maximisation over the mixture of notations weighs the candidates: a value contributes the likelihood of each
+valid reading, and the posterior chooses the reading or marks the value as ambiguous. A source's known order of day and
+month is a prior worth many values; a value that only the other order can read may also be no real date, as often as the
+source's values are none.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import staged
+
 #: A reading is chosen if its posterior is this at least.
 SURE = 0.95
 ROUNDS = 30
 # The instants (1990 to 2039) that documents are expected to have; others are much less likely under a reading.
 EXPECTED = (631_152_000_000_000, 2_208_988_800_000_000)
 UNEXPECTED = 1e-4
+#: Values that the known order of a source counts for, and the likelihood of a date of the other order under no real date.
+KNOWN_ORDER, NO_DATE = 1_000, 0.1
 # Zone abbreviations and their offsets in minutes, and those that mean something else in one zone.
 ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "Z": 0, "WET": 0, "WEST": 60, "BST": 60, "IST": 330, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180, "MSD": 240,
@@ -49,6 +55,13 @@ NOTATIONS = [
 ]
 # Counts since 1970: notation, digits, and how a unit becomes microseconds.
 COUNTS = [("seconds", (9, 10), 1_000_000, 1), ("millis", (12, 13), 1_000, 1), ("micros", (15, 16), 1, 1), ("nanos", (18, 19), 1, 1_000)]
+_PATTERNS = {kind: (pattern, [(kind, groups)]) for kind, pattern, groups in NOTATIONS if kind not in ("dmy", "mdy")}
+_BY_SHAPE = {
+    "pdf": [_PATTERNS["pdf"]],
+    "ymd": [_PATTERNS["ymd"]],
+    "digits": [_PATTERNS["basic"], _PATTERNS["compact"]],
+    "other": [_PATTERNS["worded"], (NOTATIONS[-1][1], [(kind, groups) for kind, _, groups in NOTATIONS[-2:]])],
+}
 _FIXED = re.compile(r"(?:UTC|GMT)?([+-])(\d{1,2})[:']?(\d{2})?'?$")
 _READ = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("utc_us", T.LongType()), T.StructField("status", T.StringType())]))
 _EPOCH, _MICRO = datetime(1970, 1, 1), timedelta(microseconds=1)
@@ -109,28 +122,44 @@ def _reading(kind: str, found: re.Match, groups: tuple[int, ...], home: str | No
         return None
 
 
-def readings(value: str | None, home: str | None, order: str | None) -> list[tuple[str, int, str]]:
+def _notations(v: str) -> list:
+    """The notations that a value may have by its first characters."""
+    if v.startswith("D:"):
+        return _BY_SHAPE["pdf"]
+    if v[:4].isdecimal() and len(v) > 4:
+        return _BY_SHAPE["ymd" if v[4] in "-/." else "digits"]
+    return _BY_SHAPE["other"]
+
+
+def readings(value: str | None, home: str | None) -> list[tuple[str, int, str]]:
     """Every valid reading of a value: notation, microseconds since 1970, status. None for null and for what is no real time."""
     v = (value or "").strip("\ufeff \t\r\n\u00a0")
     out = []
-    for kind, pattern, groups in NOTATIONS:
-        if kind in ("dmy", "mdy") and order in ("dmy", "mdy") and kind != order:
-            continue
-        if (m := pattern.match(v)) and (r := _reading(kind, m, groups, home)):
-            out.append(r)
+    for pattern, kinds in _notations(v) if v else ():
+        if m := pattern.match(v):
+            out += [r for kind, groups in kinds if (r := _reading(kind, m, groups, home))]
     if v.isdecimal() and v.isascii():
         out += [(kind, int(v) * up // down, "instant") for kind, digits, up, down in COUNTS if len(v) in digits]
     return out
 
 
 def _weights(rows: pd.DataFrame) -> pd.DataFrame:
-    """EM over one source's notations; a row is a set of readings (``sig``: kind:likely, comma between) and its count."""
-    sets = [[(k, 1.0 if x == "1" else UNEXPECTED) for k, x in (p.split(":") for p in s.split(","))] for s in rows._lm_sig]
-    kinds = sorted({k for s in sets for k, _ in s})
+    """EM over one source's notations; a row is a set of readings (``sig``: kind:likely, comma between) and its count.
+
+    No readings at all count for the notation ``none``.
+    """
+    order = rows._lm_order.iloc[0]
+    other = {"dmy": "mdy", "mdy": "dmy"}.get(order)
+    sets = [[(k, 1.0 if x == "1" else UNEXPECTED) for k, x in (p.split(":") for p in s.split(",") if p)] for s in rows._lm_sig]
+    sets = [s + [("none", 1.0 if not s else NO_DATE)] if not s or {k for k, _ in s} == {other} else s for s in sets]
+    kinds = sorted({k for s in sets for k, _ in s} | ({order, "none"} if other else set()))
     weight = {k: 1.0 / len(kinds) for k in kinds}
-    total = rows.n.sum() + len(kinds)
+    total = rows.n.sum() + len(kinds) + (1.1 * KNOWN_ORDER if other else 0)
     for _ in range(ROUNDS):
         sums = dict.fromkeys(kinds, 1.0)
+        if other:
+            sums[order] += KNOWN_ORDER
+            sums["none"] += KNOWN_ORDER / 10
         for s, n in zip(sets, rows.n):
             z = sum(weight[k] * p for k, p in s)
             for k, p in s:
@@ -138,40 +167,53 @@ def _weights(rows: pd.DataFrame) -> pd.DataFrame:
         weight = {k: x / total for k, x in sums.items()}
     out = []
     for sig, s in zip(rows._lm_sig, sets):
+        if not sig:
+            continue
         z = sum(weight[k] * p for k, p in s)
         best, p = max(s, key=lambda kp: (weight[kp[0]] * kp[1], kp[0]))
-        out.append((rows._lm_source.iloc[0], sig, best, weight[best] * p / z))
-    return pd.DataFrame(out, columns=["_lm_source", "_lm_sig", "kind", "_lm_posterior"])
+        out.append((rows._lm_source.iloc[0], order, sig, best, weight[best] * p / z))
+    return pd.DataFrame(out, columns=["_lm_source", "_lm_order", "_lm_sig", "_lm_kind", "_lm_posterior"])
 
 
 def normalised(df: DataFrame, value: str = "value", source: str = "source", home_zone: str = "home_zone", date_order: str = "date_order") -> DataFrame:
     """``df`` with ``utc_us``, ``kind``, ``posterior`` and ``time_status``; columns that have these names already are replaced.
 
     ``time_status``: ``instant``; ``ambiguous`` (no reading is sure enough); ``skipped`` or ``repeated`` (a local time that
-    a clock change skips or repeats); ``unusable`` (null, empty, or no real time). ``utc_us`` is null but for ``instant``.
-    A value without zone is local time in ``home_zone``; where that is null it is unusable. Repeated rows stay repeated.
+    a clock change skips or repeats); ``unusable`` (null, empty, or no real time; also where only the order of day and
+    month that the source does not use can read it). ``utc_us`` is null but for ``instant``. A value without zone is
+    local time in ``home_zone``; where that is null it is unusable. Repeated rows stay repeated. The readings are
+    written once to the shared folder, as both the weights and the result come from them.
     """
     df = df.drop("utc_us", "kind", "posterior", "time_status")
     columns = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField("_lm_source", T.StringType()), T.StructField("_lm_sig", T.StringType()), T.StructField("_lm_read", _READ)])
+    own = [T.StructField(f"_lm_{c}", T.StringType()) for c in ("source", "order", "sig")] + [T.StructField("_lm_read", _READ)]
+    schema = T.StructType([*df.schema.fields, *own])
     at = [columns.index(c) for c in (value, home_zone, date_order, source)]
 
     def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = to_arrow_schema(schema)
         for batch in batches:
             v, home, order, origin = (batch.column(i).to_pylist() for i in at)
-            found = [readings(*x) for x in zip(v, home, order)]
-            sigs = [",".join(f"{k}:{int(EXPECTED[0] <= u < EXPECTED[1])}" for k, u, _ in x) for x in found]
+            found = [readings(*x) for x in zip(v, home)]
+            sigs = [",".join([f"{k}:{int(EXPECTED[0] <= u < EXPECTED[1])}" for k, u, _ in x]) for x in found]
             made = [[{"kind": k, "utc_us": u, "status": s} for k, u, s in x] for x in found]
-            own = [pa.array([x or "" for x in origin]), pa.array(sigs), pa.array(made, kind.field("_lm_read").type)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], schema=pa.schema([*batch.schema, *list(kind)[-3:]]))
-
-    read = df.mapInArrow(read_all, schema)
-    counted = read.where(F.size("_lm_read") > 0).groupBy("_lm_source", "_lm_sig").agg(F.count("*").alias("n"))
-    weights = counted.groupBy("_lm_source").applyInPandas(_weights, "_lm_source string, _lm_sig string, kind string, _lm_posterior double")
-    chosen = read.join(weights.withColumnRenamed("kind", "_lm_kind"), ["_lm_source", "_lm_sig"], "left")
+            more = [pa.array([x or "" for x in origin]), pa.array([x or "" for x in order]), pa.array(sigs), pa.array(made, kind.field("_lm_read").type)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema=pa.schema([*batch.schema, *list(kind)[-4:]]))
+
+    read = staged(df.mapInArrow(read_all, schema), "readings")
+    by = ["_lm_source", "_lm_order"]
+    counted = read.groupBy(*by, "_lm_sig").agg(F.count("*").alias("n"))
+    weights = counted.groupBy(*by).applyInPandas(_weights, "_lm_source string, _lm_order string, _lm_sig string, _lm_kind string, _lm_posterior double")
+    chosen = read.join(weights, [*by, "_lm_sig"], "left")
     best = F.element_at(F.filter("_lm_read", lambda c: c["kind"] == F.col("_lm_kind")), 1)
     same = F.size(F.array_distinct(F.transform("_lm_read", lambda c: c["utc_us"]))) == 1
-    status = F.when(F.size("_lm_read") == 0, "unusable").when((F.col("_lm_posterior") < SURE) & ~same, "ambiguous").otherwise(best["status"])
-    out = chosen.select(*(F.col(f"`{c}`") for c in columns), F.when(status == "instant", best["utc_us"]).alias("utc_us"), F.col("_lm_kind").alias("kind"), F.col("_lm_posterior").alias("posterior"), status.alias("time_status"))
-    return out
+    none = (F.size("_lm_read") == 0) | (F.col("_lm_kind") == "none")
+    unsure = (F.col("_lm_posterior") < SURE) & (~same | (F.size("_lm_read") == 1))
+    status = F.when(none, "unusable").when(unsure, "ambiguous").otherwise(best["status"])
+    return chosen.select(
+        *(F.col(f"`{c}`") for c in columns),
+        F.when(status == "instant", best["utc_us"]).alias("utc_us"),
+        F.when(~none, F.col("_lm_kind")).alias("kind"),
+        F.when(~none, F.col("_lm_posterior")).alias("posterior"),
+        status.alias("time_status"),
+    )
