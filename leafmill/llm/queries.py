@@ -120,9 +120,8 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold 13 consecutive words of an item's passage."""
-    found = leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), most_edits=0)
-    return found.select("doc_id", "item_id")
+    """Documents that hold 13 consecutive words of an item's passage: of all leaks, those that are verified to need no edit."""
+    return p6_leaks(spark, sf_dir).where(F.col("least_edits") == 0).select("doc_id", "item_id")
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,7 +228,7 @@ def test_leak_windows():
     rng = random.Random(4)
     vocabulary = [f"w{k}" for k in range(50)]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(40))) for k in range(6)] + [(9, None), (10, "short")]
-    found = leaks.items_of(items)
+    found = [leaks.items_of(items)]
     texts = [None, "", "w1 w2"]
     want = set()
     for k in range(80):
@@ -247,20 +247,46 @@ def test_leak_windows():
     assert {(t, i) for t, i, *_ in leaks.leaked(found, texts, 0)} == want and want
 
 
-def test_leaks_with_edits_reach_the_recall():
+@pytest.mark.parametrize("kind", ["substitution", "insertion", "deletion"])
+@pytest.mark.parametrize("n", [1, 2])
+def test_leaks_with_edits_reach_the_recall(kind, n):
+    """400 items of one window each, so that no other window helps."""
     rng = random.Random(5)
-    vocabulary = [f"w{k}" for k in range(400)]
-    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(30))) for k in range(60)]
-    found = leaks.items_of(items)
-    texts, hits = [], 0
-    for k, (_, p) in enumerate(items):
-        words = p.split()[5:18]
-        words[rng.randrange(13)] = "other"
-        texts.append(" ".join(words))
-    hits = {(t, i) for t, i, *_ in leaks.leaked(found, texts, 2)} & {(k, k) for k in range(60)}
-    assert len(hits) >= 0.9 * len(items)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(13))) for k in range(400)]
+    texts = []
+    for _, p in items:
+        words = p.split()
+        for _ in range(n):
+            at = rng.randrange(1, len(words) - 1)
+            if kind == "substitution":
+                words[at] = rng.choice(vocabulary)
+            elif kind == "insertion":
+                words.insert(at, rng.choice(vocabulary))
+            else:
+                del words[at]
+        texts.append(" ".join([rng.choice(vocabulary) for _ in range(20)] + words + [rng.choice(vocabulary) for _ in range(20)]))
+    hits = {(t, i) for t, i, *_ in leaks.leaked([leaks.items_of(items)], texts, 2)} & {(k, k) for k in range(400)}
+    assert len(hits) >= 0.95 * len(items)
 
 
 def test_edit_distance():
     a = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4]])
-    assert leaks.edits(a, np.array([[1, 2, 3, 4], [2, 3, 4, 5], [1, 9, 3, 4]])).tolist() == [0, 2, 1]
+    assert leaks.edits(a, np.array([[1, 2, 3, 4], [2, 3, 4, 5], [1, 9, 3, 4]])).tolist() == [0, 1, 1]
+    b = np.array([[1, 2, 3, 4, 5, 6], [1, 3, 4, 7, 8, 9], [1, 9, 2, 3, 9, 4]])
+    assert leaks.edits(a, b, 2).tolist() == leaks.verified(a, b, 2).tolist() == [0, 1, 2]
+    # against the whole table
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 4, (300, 7)), rng.integers(0, 4, (300, 9))
+
+    def plain(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, d in enumerate(y, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    want = [min(3, plain(x, y)) for x, y in zip(a.tolist(), b.tolist())]
+    assert np.minimum(leaks.edits(a, b, 2), 3).tolist() == want == np.minimum(leaks.verified(a, b, 2), 3).tolist()
