@@ -1,12 +1,14 @@
 """Documents of several sources combined to target shares of all tokens.
 
 Documents are counted by source and exact token length. A source's budget is filled by taking all its documents as often
-as they fit, then the same share of each length; what is left is met by a bounded knapsack over the lengths that remain. The documents of each length are then chosen in a seeded order.
+as they fit, then the same share of each length; what is left (twice the longest text at most) is met by a bounded
+knapsack over the lengths that remain. The documents of each length are then chosen in a seeded order.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,6 @@ from .batches import map_columns
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SEED = 41
-#: The knapsack covers budgets up to this; larger rests are filled from the longest lengths first.
-KNAPSACK = 60_000
 #: Parts of the seeded order that are counted before documents of one length are ranked.
 PARTS = 1_024
 
@@ -55,23 +55,42 @@ def token_counts(df: DataFrame, keys: list[str], text: str = "text", path: str |
 
 
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take, at most ``counts``, so that the sum is the largest one up to ``budget``."""
-    reach, steps = 1, []
-    mask = (1 << (budget + 1)) - 1
+    """How many of each length to take, at most ``counts``, so that the sum is the largest one up to ``budget``.
+
+    The sums that can be reached are the bits of a number. Every so many steps it is kept, and the steps between are done
+    again on the way back, so memory is that of the square root of the steps.
+    """
+    steps: list[tuple[int, int]] = []
     for k, (length, n) in enumerate(zip(lengths, counts)):
         n, size = min(n, budget // length), 1
-        while n > 0 and not reach >> budget & 1:
-            take = min(size, n)
-            steps.append((k, take, reach))
-            reach |= reach << (length * take) & mask
-            n -= take
+        while n > 0:
+            steps.append((k, min(size, n)))
+            n -= size
             size *= 2
+    mask = (1 << (budget + 1)) - 1
+    every = math.isqrt(len(steps)) + 1
+
+    def with_step(reach: int, step: tuple[int, int]) -> int:
+        return reach | reach << (lengths[step[0]] * step[1]) & mask
+
+    reach, kept, done = 1, [], 0
+    for done, step in enumerate(steps, 1):
+        if (done - 1) % every == 0:
+            kept.append(reach)
+        reach = with_step(reach, step)
+        if reach >> budget & 1:
+            break
     total = reach.bit_length() - 1
     out = [0] * len(lengths)
-    for k, take, before in reversed(steps):
-        if not before >> total & 1:
-            out[k] += take
-            total -= lengths[k] * take
+    for first in reversed(range(0, done, every)):
+        part = steps[first : min(first + every, done)]
+        before = [kept.pop()]
+        for step in part[:-1]:
+            before.append(with_step(before[-1], step))
+        for (k, take), sums in zip(reversed(part), reversed(before)):
+            if not sums >> total & 1:
+                out[k] += take
+                total -= lengths[k] * take
     return out
 
 
@@ -96,14 +115,8 @@ def plan(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int) -> tup
         extra[k] -= 1
         left += int(lengths[k])
     order = np.argsort(-lengths, kind="stable")
-    for k in order:
-        if left <= KNAPSACK:
-            break
-        more = int(min(counts[k] - extra[k], (left - KNAPSACK) // lengths[k] + 1, left // lengths[k]))
-        extra[k] += more
-        left -= more * int(lengths[k])
     rest = [int(k) for k in order if counts[k] > extra[k] and lengths[k] <= left]
-    for k, n in zip(rest, knapsack([int(lengths[k]) for k in rest], [int(counts[k] - extra[k]) for k in rest], min(left, 2 * KNAPSACK))):
+    for k, n in zip(rest, knapsack([int(lengths[k]) for k in rest], [int(counts[k] - extra[k]) for k in rest], left)):
         extra[k] += n
     return int(times), extra
 
