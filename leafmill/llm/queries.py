@@ -146,7 +146,8 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     some = documents.where(F.col("text").isNotNull())
     model = fit_languages(some, label="lang", by=("doc_id",), rows=DOCUMENT_SAMPLE)
-    return sentences.split(some, "doc_id", model, sentences.learn(some, model))
+    known = sentences.with_languages(some, "doc_id", model)
+    return sentences.split(known, "doc_id", sentences.learn(known))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,8 @@ from .encoding import loaded, share
 
 #: Log-likelihood ratios beyond which a word is an abbreviation, a starter, a collocation; the least count of evidence.
 ABBREVIATION, STARTER, COLLOCATION, LEAST = 0.3, 30.0, 7.88, 3
-#: Longer runs without white space are no words (such as sentences of scripts without spaces).
-LONGEST_TYPE = 30
+#: What is learned must also be this share of a language's periods, starts or numbers: so a language has 1 / RARE words of a kind at most.
+RARE = 5e-6
 _NEUTRAL = "und"
 # Languages that aren't written in Latin script.
 OTHER_SCRIPTS = ("ar", "bg", "bn", "el", "fa", "he", "hi", "ja", "ko", "ru", "sr", "th", "uk", "ur", "zh")
@@ -38,8 +38,8 @@ STRONG = "!?。！？؟।॥"
 CLOSERS = "”“\"»«›’')]}」』）】》〉"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "‹": "›", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", '"': '"'}
 BRACKETS = "(（[【"
-#: What is longer is no quote or bracket, but has an opening sign by mistake.
-LONGEST_QUOTE = 2_000
+_SIGNS = re.compile("[" + "".join(re.escape(c) for c in sorted({*PAIRS, *"".join(PAIRS.values())})) + "]")
+_CLOSES = {c: [kind for kind, ends in PAIRS.items() if c in ends] for c in "".join(PAIRS.values())}
 _MARKS = re.compile(rf"[.{STRONG}…]+")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _ITEM = re.compile(r"\n[^\S\n]*(?:([-–—•*‣◦·])|(\d{1,3})[.)]|([A-Za-z])[)])[^\S\n]+(?=\S)")
@@ -48,7 +48,8 @@ _NUMBER = re.compile(r"[\d.,:/-]*\d$")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])[^\S\n]*[\s]+(?=[฀-๿A-Z\"“„«])|(?<=[a-zA-Z.!?\"”»])\s+(?=[฀-๿])")
 # How speech goes on behind a quote in scripts without case.
 _AFTER_QUOTE = re.compile(r"(?:と|って|という|は|が|を|に|も|の|で|や|など|から|まで)|\s*(?:하고|라고|이라고|라는|이라는|라며|며|고\s)")
-_TOKEN = re.compile(r"\S+")
+#: Stands for what is before the first and behind the last token of a paragraph; no token holds white space.
+EDGE = "\n"
 _STRIP = "\"'“”„«»‹›‘’()[]{}「」『』（）【】¿¡"
 
 
@@ -92,38 +93,41 @@ def _is_initial(token: str) -> bool:
     return len(token) == 1 and token.isalpha() or bool(re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", token))
 
 
-def count_types(text: str, out: Counter) -> None:
-    """Of each token: with a period at its end, of these at a paragraph's end and before a small letter, digit or comma; without one."""
+def count_pairs(text: str, out: Counter) -> None:
+    """Each token of a paragraph with the one behind it; EDGE stands for what is before the first and behind the last."""
     for paragraph in _BLANK.split(text):
-        found = _TOKEN.findall(paragraph)
-        for i, t in enumerate(found):
-            last = i + 1 == len(found)
-            if t.endswith(".") and not t.endswith(".."):
-                k = _kind(t[:-1])
-                if len(k) > LONGEST_TYPE:
-                    pass
-                elif not last and not found[i + 1].strip(CLOSERS):
-                    pass  # before a closing sign that stands by itself nothing can be told
-                elif k and k != "##":
-                    out[(k, "with")] += 1
-                    if last:
-                        out[(k, "end")] += 1
-                    elif (c := found[i + 1].lstrip(_STRIP)[:1]) and (c.islower() or c.isdigit()):
-                        out[(k, "on")] += 1
-                out[("", "periods")] += 1
-                out[("", "marks")] += 1
-                out[("", "ends")] += last
-            else:
-                if t.rstrip(CLOSERS)[-1:] in STRONG and t.strip(CLOSERS):
-                    out[("", "marks")] += 1
-                    out[("", "ends")] += last
-                k = t.strip(_STRIP + ",;:!?…")
-                if t.endswith((".,", ".;", ".:")) and k.endswith("."):
-                    out[(k[:-1], "with")] += 1
-                    out[(k[:-1], "on")] += 1
-                elif k and len(k) <= LONGEST_TYPE and any(c.isalpha() for c in k):
-                    out[(k, "without")] += 1
-            out[("", "tokens")] += 1
+        if found := paragraph.split():
+            out.update(zip((EDGE, *found), (*found, EDGE)))
+
+
+def count_types(t: str, behind: str, n: int, out: Counter) -> None:
+    """For ``n`` pairs of tokens, of the first one: with a period at its end, of these at a paragraph's end and before a small letter, digit or comma; without one."""
+    if t == EDGE:
+        return
+    last = behind == EDGE
+    if t.endswith(".") and not t.endswith(".."):
+        k = _kind(t[:-1])
+        # before a closing sign that stands by itself nothing can be told
+        if (last or behind.strip(CLOSERS)) and k and k != "##":
+            out[(k, "with")] += n
+            if last:
+                out[(k, "end")] += n
+            elif (c := behind.lstrip(_STRIP)[:1]) and (c.islower() or c.isdigit()):
+                out[(k, "on")] += n
+        out[("", "periods")] += n
+        out[("", "marks")] += n
+        out[("", "ends")] += n * last
+    else:
+        if t.rstrip(CLOSERS)[-1:] in STRONG and t.strip(CLOSERS):
+            out[("", "marks")] += n
+            out[("", "ends")] += n * last
+        k = t.strip(_STRIP + ",;:!?…")
+        if t.endswith((".,", ".;", ".:")) and k.endswith("."):
+            out[(k[:-1], "with")] += n
+            out[(k[:-1], "on")] += n
+        elif k and any(c.isalpha() for c in k):
+            out[(k, "without")] += n
+    out[("", "tokens")] += n
 
 
 def abbreviations(rows: dict[str, dict[str, int]], total: dict[str, int]) -> set[str]:
@@ -133,7 +137,7 @@ def abbreviations(rows: dict[str, dict[str, int]], total: dict[str, int]) -> set
     out = set()
     for k, c in rows.items():
         a, b = c.get("with", 0), c.get("without", 0)
-        if a < LEAST or not any(x.isalpha() for x in k):
+        if a < max(LEAST, RARE * total.get("periods", 0)) or not any(x.isalpha() for x in k):
             continue
         scale = min(1.0, 1000 / (a + b))
         ratio = 2 * scale * (a * math.log(0.99 / p1) + b * math.log(0.01 / (1 - p1)))
@@ -148,28 +152,31 @@ def abbreviations(rows: dict[str, dict[str, int]], total: dict[str, int]) -> set
     return out
 
 
-def count_words(text: str, known: set[str], out: Counter) -> None:
-    """Of each capitalised word: at sure starts, inside sentences; of each word: after a number's period, in all."""
-    for paragraph in _BLANK.split(text):
-        before, sure = "", True
-        for t in _TOKEN.findall(paragraph):
-            m = _WORD.search(t)
-            if m and m.start() <= 2 and len(m[0]) <= LONGEST_TYPE:
-                w = m[0]
-                out[(w, "all")] += 1
-                if w[0].isupper() or not _cased(w[0]):
-                    if sure:
-                        out[(w, "start")] += 1
-                    elif before.strip(_STRIP) and not before.endswith((".", ":", "!", "?", "…")) and not before.rstrip(CLOSERS).endswith(tuple("." + STRONG)) and t[0] not in PAIRS:
-                        out[(w, "mid")] += 1
-                if before == "##.":
-                    out[(w, "after")] += 1
-            out[("", "words")] += 1
-            out[("", "starts")] += sure
-            k = _kind(t[:-1]) if t.endswith(".") else ""
-            out[("", "numbers")] += k == "##"
-            sure = bool(k) and k != "##" and k not in known and not _is_initial(k) and not t.endswith("..") or t.endswith(("!", "?"))
-            before = "##." if k == "##" else t
+def count_words(before: str, t: str, n: int, known: set[str], out: Counter) -> None:
+    """For ``n`` pairs of tokens, of the second one if capitalised: at sure starts, inside sentences; of any: after a number's period, in all."""
+    if t == EDGE:
+        return
+    sure = before == EDGE
+    if sure:
+        before = ""
+    else:
+        k = _kind(before[:-1]) if before.endswith(".") else ""
+        sure = bool(k) and k != "##" and k not in known and not _is_initial(k) and not before.endswith("..") or before.endswith(("!", "?"))
+        before = "##." if k == "##" else before
+    m = _WORD.search(t)
+    if m and m.start() <= 2:
+        w = m[0]
+        out[(w, "all")] += n
+        if w[0].isupper() or not _cased(w[0]):
+            if sure:
+                out[(w, "start")] += n
+            elif before.strip(_STRIP) and not before.endswith((".", ":", "!", "?", "…")) and not before.rstrip(CLOSERS).endswith(tuple("." + STRONG)) and t[0] not in PAIRS:
+                out[(w, "mid")] += n
+        if before == "##.":
+            out[(w, "after")] += n
+    out[("", "words")] += n
+    out[("", "starts")] += n * sure
+    out[("", "numbers")] += n * (t.endswith(".") and _kind(t[:-1]) == "##")
 
 
 def starters(rows: dict[str, dict[str, int]], total: dict[str, int]) -> tuple[set[str], set[str]]:
@@ -178,33 +185,34 @@ def starters(rows: dict[str, dict[str, int]], total: dict[str, int]) -> tuple[se
     first = {
         w
         for w, c in rows.items()
-        if c.get("start", 0) >= LEAST and c.get("mid", 0) <= 0.03 * c["start"] and w[0].isupper() and _llr(c["start"], c.get("all", 0), begin, n) >= STARTER
+        if c.get("start", 0) >= max(LEAST, RARE * begin) and c.get("mid", 0) <= 0.03 * c["start"] and w[0].isupper() and _llr(c["start"], c.get("all", 0), begin, n) >= STARTER
     }
-    return first, {w for w, c in rows.items() if w not in first and c.get("after", 0) >= LEAST and _llr(c["after"], numbers, c.get("all", 0), n) >= COLLOCATION}
+    return first, {w for w, c in rows.items() if w not in first and c.get("after", 0) >= max(LEAST, RARE * numbers) and _llr(c["after"], numbers, c.get("all", 0), n) >= COLLOCATION}
 
 
 def _spans(text: str) -> list[tuple[int, int, bool]]:
     """Quotes and brackets with both ends, the outer ones: start, end (of the closing sign), whether a bracket."""
+    signs = [(m.start(), m[0]) for m in _SIGNS.finditer(text)]
+    if len(signs) < 2:
+        return []
+    # each kind of opening sign is matched by itself; a sign that may do both closes, if its kind is open
+    ends: dict[int, int] = {}
+    stacks: dict[str, list[int]] = {}
+    for i, ch in signs:
+        for kind in _CLOSES.get(ch, ()):
+            if stacks.get(kind):
+                ends[stacks[kind].pop()] = i + 1
+                if kind == ch:
+                    break
+        else:
+            if ch in PAIRS:
+                stacks.setdefault(ch, []).append(i)
     out: list[tuple[int, int, bool]] = []
-    i, n = 0, len(text)
-    while i < n:
-        ch = text[i]
-        if ch in PAIRS and not (ch in '»"' and i and not text[i - 1].isspace() and text[i - 1] not in "(（[" and not _no_spaces(text[i - 1])):
-            depth, j = 1, i + 1
-            ends = PAIRS[ch]
-            while j < min(n, i + LONGEST_QUOTE):
-                if text[j] in ends:
-                    depth -= 1
-                    if not depth:
-                        break
-                elif text[j] == ch:
-                    depth += 1
-                j += 1
-            if not depth:
-                out.append((i, j + 1, ch in BRACKETS))
-                i = j + 1
-                continue
-        i += 1
+    at = 0
+    for i, ch in signs:
+        if i >= at and i in ends and not (ch in '»"' and i and not text[i - 1].isspace() and text[i - 1] not in "(（[" and not _no_spaces(text[i - 1])):
+            out.append((i, ends[i], ch in BRACKETS))
+            at = ends[i]
     return out
 
 
@@ -389,29 +397,48 @@ def _paragraph(text: str, base: int, p: Periods, out: list[tuple[int, int]]) ->
     return None
 
 
-def _counted(df: DataFrame, model: bytes, known: dict[str, set[str]] | None, text: str) -> DataFrame:
-    """``lang``, ``word``, ``what``, ``n`` over all documents, counted in each batch before the shuffle."""
+def with_languages(df: DataFrame, key: str, model: bytes, text: str = "text") -> DataFrame:
+    """``key``, ``text`` and its main language ``lang``, as a written table; null texts are left out."""
     shared = share(df.sparkSession, model)
-    sent = df.sparkSession.sparkContext.broadcast(known)
+    kind = dict(df.dtypes)[key]
 
     def make():
         m = loaded(shared)
+        return lambda keys, texts: (keys, texts, document_languages(m, texts))
 
-        def run(texts):
-            by: dict[str, Counter] = {}
-            for t, lang in zip(texts, document_languages(m, texts)):
-                if t:
-                    c = by.setdefault(lang, Counter())
-                    if sent.value is None:
-                        count_types(t, c)
-                    else:
-                        count_words(t, sent.value.get(lang, set()), c)
-            rows = [(lang, w, what, n) for lang, c in by.items() for (w, what), n in c.items()]
-            return tuple(map(list, zip(*rows))) if rows else ([], [], [], [])
+    return staged(map_columns(df.where(F.col(text).isNotNull()).select(key, text), make, f"`{key}` {kind}, text string, lang string"), "texts")
 
-        return run
 
-    each = map_columns(df.select(text), make, "lang string, word string, what string, n bigint")
+def _pairs(df: DataFrame) -> DataFrame:
+    """``lang``, ``word``, ``behind``, ``n``: the pairs of neighbouring tokens, counted in each batch before the shuffle, as a written table."""
+
+    def run(langs, texts):
+        by: dict[str, Counter] = {}
+        for lang, t in zip(langs, texts):
+            count_pairs(t, by.setdefault(lang, Counter()))
+        keys = [k for c in by.values() for k in c]
+        return [lang for lang, c in by.items() for _ in range(len(c))], [a for a, _ in keys], [b for _, b in keys], [n for c in by.values() for n in c.values()]
+
+    each = map_columns(df.select("lang", "text"), lambda: run, "lang string, word string, behind string, n bigint")
+    return staged(each.groupBy("lang", "word", "behind").agg(F.sum("n").alias("n")), "pairs")
+
+
+def _counted(pairs: DataFrame, known: dict[str, set[str]] | None) -> DataFrame:
+    """``lang``, ``word``, ``what``, ``n`` over all pairs: of types, or with the ``known`` abbreviations of words."""
+    sent = pairs.sparkSession.sparkContext.broadcast(known)
+
+    def run(langs, words, behind, counts):
+        by: dict[str, Counter] = {}
+        for lang, a, b, n in zip(langs, words, behind, counts):
+            c = by.setdefault(lang, Counter())
+            if sent.value is None:
+                count_types(a, b, n, c)
+            else:
+                count_words(a, b, n, sent.value.get(lang, set()), c)
+        rows = [(lang, w, what, n) for lang, c in by.items() for (w, what), n in c.items() if n]
+        return tuple(map(list, zip(*rows))) if rows else ([], [], [], [])
+
+    each = map_columns(pairs, lambda: run, "lang string, word string, what string, n bigint")
     return each.groupBy("lang", "word", "what").agg(F.sum("n").alias("n"))
 
 
@@ -454,37 +481,39 @@ def _selected(counted: DataFrame, least: str, totals: dict[str, dict[str, int]],
     return out
 
 
-def learn(df: DataFrame, model: bytes, text: str = "text") -> dict[str, Periods]:
-    """What periods mean in each language, from counts over all documents."""
-    types = staged(_counted(df, model, None, text), "types")
+def learn(df: DataFrame) -> dict[str, Periods]:
+    """What periods mean in each language, from counts over all documents (``df`` as ``with_languages`` gives it)."""
+    pairs = _pairs(df)
+    types = staged(_counted(pairs, None), "types")
     # foreign words in languages of other scripts count where they are at home
     known = {lang: {w for w in x.get("abbreviation", set()) if not (lang in OTHER_SCRIPTS and re.match("[A-Za-z]", w))} for lang, x in _selected(types, "with", _totals(types), lambda rows, total: {"abbreviation": abbreviations(rows, total)}).items()}
-    words = staged(_counted(df, model, known, text), "words")
+    words = staged(_counted(pairs, known), "words")
     found = _selected(words, "start after", _totals(words), lambda rows, total: dict(zip(("first", "after"), starters(rows, total))))
     return {lang: Periods(x, found.get(lang, {}).get("first", set()), found.get(lang, {}).get("after", set())) for lang, x in known.items()}
 
 
-def split(df: DataFrame, key: str, model: bytes, learned: dict[str, Periods], text: str = "text") -> DataFrame:
-    """``key``, ``lang``, ``start_pos``, ``end_pos`` of every sentence; rows whose text is null or blank have none. Repeated rows stay repeated."""
-    shared = share(df.sparkSession, model)
+def split(df: DataFrame, key: str, learned: dict[str, Periods]) -> DataFrame:
+    """``key``, ``lang``, ``start_pos``, ``end_pos`` of every sentence (``df`` as ``with_languages`` gives it); blank texts have none. Repeated rows stay repeated."""
     sent = df.sparkSession.sparkContext.broadcast(learned)
     kind = dict(df.dtypes)[key]
 
     def make():
-        m = loaded(shared)
         latin = Periods(*({w for p in sent.value.values() for w in part(p) if w.isascii()} for part in (lambda p: p.abbreviations, lambda p: p.starters, lambda p: p.after_number)))
         mixed = {lang: _with_latin(lang, p, latin) for lang, p in sent.value.items()}
 
-        def run(keys, texts):
+        def run(keys, texts, langs):
             out = ([], [], [], [])
-            for k, t, lang in zip(keys, texts, document_languages(m, texts)):
-                for a, b in sentences(t, mixed.get(lang, latin)):
-                    out[0].append(k), out[1].append(lang), out[2].append(a), out[3].append(b)
+            for k, t, lang in zip(keys, texts, langs):
+                found = sentences(t, mixed.get(lang, latin))
+                out[0].extend([k] * len(found))
+                out[1].extend([lang] * len(found))
+                out[2].extend([a for a, _ in found])
+                out[3].extend([b for _, b in found])
             return out
 
         return run
 
-    return map_columns(df.select(key, text), make, f"`{key}` {kind}, lang string, start_pos int, end_pos int")
+    return map_columns(df.select(key, "text", "lang"), make, f"`{key}` {kind}, lang string, start_pos int, end_pos int")
 
 
 def _with_latin(lang: str, p: Periods, latin: Periods) -> Periods:

@@ -185,14 +185,24 @@ def test_long_text_without_closing_quotes():
     assert len(sentences.sentences("“a b. " * 20_000, learned())) >= 1
 
 
+def test_long_quotes():
+    """A quote of more than 3,000 characters with a frame is one sentence; opening signs without an end are no quotes."""
+    inside = "It rained. " * 300
+    text = f"The clerk said: “{inside.strip()}” and left. It was late."
+    assert [text[a:b][-9:] for a, b in sentences.sentences(text, learned())] == ["and left.", "was late."]
+    assert len(sentences.sentences("“It rained. She left. The end.", learned())) == 3
+
+
 def test_abbreviations_are_learned():
     rng = random.Random(3)
     from collections import Counter
 
-    c = Counter()
+    c, pairs = Counter(), Counter()
     for _ in range(400):
         words = [rng.choice(["paper", "desk", "plan", "clerk", "sheet"]) for _ in range(12)]
-        sentences.count_types(f"The {' '.join(words[:6])} of vol. {rng.randint(1, 99)} {' '.join(words[6:])} {rng.choice(words)}. Dr. Vost came approx. {rng.randint(1, 9)} times {words[0]}.", c)
+        sentences.count_pairs(f"The {' '.join(words[:6])} of vol. {rng.randint(1, 99)} {' '.join(words[6:])} {rng.choice(words)}. Dr. Vost came approx. {rng.randint(1, 9)} times {words[0]}.", pairs)
+    for (a, b), n in pairs.items():
+        sentences.count_types(a, b, n, c)
     rows, total = {}, {}
     for (w, what), n in c.items():
         (rows.setdefault(w, {}) if w else total)[what] = n
@@ -212,6 +222,19 @@ def test_knapsack_is_the_best(items, budget):
     assert sum(g * x for g, x in zip(got, lengths)) == max(r for r in reach if r <= budget)
 
 
+def test_large_budgets_are_met_to_the_token():
+    rng = np.random.default_rng(7)
+    lengths = np.unique(rng.integers(300, 4_000_000, 1500))
+    counts = rng.integers(1, 40, len(lengths))
+    budget = int((lengths * counts).sum() * 3 // 7)
+    times, extra = mixing.plan(lengths, counts, budget, 3)
+    assert times == 0 and (extra <= counts).all() and int((extra * lengths).sum()) == budget
+    even = [x * 2 for x in (700_000, 1_300_003, 999_983)]
+    got = mixing.knapsack(even, [3, 3, 3], 10_000_001)
+    best = max(a * even[0] + b * even[1] + c * even[2] for a in range(4) for b in range(4) for c in range(4) if a * even[0] + b * even[1] + c * even[2] <= 10_000_001)
+    assert sum(g * x for g, x in zip(got, even)) == best
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 300), st.integers(1, 50)), min_size=1, max_size=30, unique_by=lambda x: x[0]), st.floats(0, 4), st.integers(0, 3))
 def test_plans_keep_the_budget(items, part, most):

@@ -173,7 +173,8 @@ def test_sentences_on_spark(spark):
     texts = [(1, "Dr. Brix came. He left."), (1, "Dr. Brix came. He left."), (2, None), (3, ""), (4, " \n ")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     model = languages.fit_languages(df.withColumn("lang", F.lit("en")), label="lang", by=("doc_id",))
-    found = sentences.split(df, "doc_id", model, sentences.learn(df, model)).distinct()
+    known = sentences.with_languages(df, "doc_id", model)
+    found = sentences.split(known, "doc_id", sentences.learn(known)).distinct()
     assert {r.doc_id for r in found.collect()} == {1}
 
 
