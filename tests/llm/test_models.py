@@ -313,3 +313,19 @@ def test_edit_distance():
 
     want = [min(3, plain(x, y)) for x, y in zip(a.tolist(), b.tolist())]
     assert np.minimum(leaks.edits(a, b, 2), 3).tolist() == want == np.minimum(leaks.verified(a, b, 2), 3).tolist()
+
+
+def test_long_tokens_are_labelled_whole():
+    """Texts without spaces of 600 and of 60,000 characters, garbled in the middle or as a whole, and clean."""
+    words = "次の会議の前に図書館は目次を保存した。この文書は来年の春に公開される予定です。町の図書館が新しい本を買いました。"
+    rng = random.Random(8)
+    text = "".join(rng.choice(words) for _ in range(60_000))
+    model = garble.fit([text[k : k + 40] for k in range(0, 20_000, 40)] + ["Die Prüfung für den jährlichen Bericht"] * 50)
+    steps = (("utf-8", "cp1252"),)
+    for size in (200, 20_000):
+        clean = text[:size]
+        bad = garble.garble(clean, steps)
+        assert len(bad) >= 600 and model.restored(bad) == (clean, True)
+        mixed = clean + garble.garble(text[size : size + 50], steps) + clean
+        assert model.restored(mixed) == (clean + text[size : size + 50] + clean, True)
+        assert not model.is_garbled(clean)
