@@ -32,13 +32,34 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema:
     return df.mapInArrow(run, parsed)
 
 
-def bounded_sample(df: DataFrame, columns: list[Column], by: list[str], rows: int, seed: int = 17) -> list[tuple]:
-    """About ``rows`` rows at most, chosen by a hash of the columns ``by``; all rows of a smaller table."""
+def bounded_sample(df: DataFrame, column: str, by: list[str], rows: int, seed: int = 17) -> list:
+    """The values of ``column`` that are not null in about ``rows`` rows at most, chosen by a hash of the columns ``by``; of a smaller table all.
+
+    The rows are counted without reading a column.
+    """
     n = max(1, df.count())
     if n > rows:
-        df = df.where(F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    found = df.select(*columns).toArrow()
+        df = df.where(_picked(seed, by) < int(1_000_000 * rows / n))
+    return df.where(F.col(column).isNotNull()).select(column).toArrow().column(0).to_pylist()
+
+
+def sample_of_each(df: DataFrame, column: str, group: Column, by: list[str], rows: int, seed: int = 17) -> list[tuple]:
+    """Values of ``column`` and of ``group`` for about ``rows`` rows at most of each group, all of a smaller one; rows without a group are left out.
+
+    ``group`` must have a bounded number of values. They are counted without reading ``column``.
+    """
+    df = df.withColumn("_lm_group", group).where(F.col("_lm_group").isNotNull())
+    counted = {r[0]: r[1] for r in df.groupBy("_lm_group").count().collect()}
+    share = F.lit(1_000_000)
+    for name, n in counted.items():
+        if n > rows:
+            share = F.when(F.col("_lm_group") == name, int(1_000_000 * rows / n)).otherwise(share)
+    found = df.where((_picked(seed, by) < share) & F.col(column).isNotNull()).select(column, "_lm_group").toArrow()
     return list(zip(*(c.to_pylist() for c in found.columns)))
 
 
+def _picked(seed: int, by: list[str]) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1_000_000))
+
+
 NOT_ASCII = r"[^\x00-\x7f]"

@@ -3,7 +3,10 @@
 Each language has a probability for every piece of a fixed public vocabulary; characters outside the vocabulary fall
 back to their bytes. A forward algorithm sums the probability of a word over all its segmentations into pieces, for all
 languages at once; pieces never reach over a word, so a text's score is the sum of its words' and each worker scores a
-word once. The probabilities are fitted by expectation-maximisation to a bounded sample of labelled rows.
+word once. The probabilities are fitted by expectation-maximisation to a bounded sample of labelled rows of each language.
+
+Beside the languages stands a background that knows none: pieces by their rank in the vocabulary. What it explains better
+than every language is of a language that the labels don't know, and comes out as ``und``.
 """
 
 from __future__ import annotations
@@ -11,19 +14,27 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
 
-#: Bound on the labelled rows that the model is fitted to, and on the distinct words of a language.
-SAMPLE_ROWS, SAMPLE_WORDS = 24_000, 4_000
+#: Bound on the labelled rows of a language that the model is fitted to, and the rows that it must have at least.
+SAMPLE_ROWS, LEAST_ROWS = 2_400, 5
+UNKNOWN = "und"
+#: By so many nats the background must explain a part better than a language does.
+DOUBT = 6.0
+#: So many nats a record's own label counts for: labels are right far more often than they name one wrong language.
+TRUST = 4.0
+#: The share of the background in each language.
+FOREIGN = 1e-5
 VOCABULARY = "piece_bpe_32k.model"
 #: A segment may hold another language than its text only if it is likelier by so many nats.
 MARGIN = 12.0
 MIN_LETTERS = 25
-_LONGEST, _PART, _FLOOR = 16, 32, 1e-9
+#: Words of so many letters and more are summed in logarithms, as their products would be too small for a number.
+_LONG, _FLOOR = 30, 1e-9
 
 # ISO 639-1 code, ISO 639-2 codes, English name.
 LANGUAGES = """
@@ -34,7 +45,7 @@ lt lit lithuanian; lv lav latvian; ms msa may malay; nl nld dut dutch; no nor no
 ro ron rum romanian; ru rus russian; sk slk slo slovak; sl slv slovenian; sr srp serbian; sv swe swedish; th tha thai; tr tur turkish;
 uk ukr ukrainian; ur urd urdu; vi vie vietnamese; zh zho chi chinese
 """
-_NAMES = {name: entry.split()[0] for entry in LANGUAGES.split(";") for name in entry.split()}
+NAMES = {name: entry.split()[0] for entry in LANGUAGES.split(";") for name in entry.split()}
 
 WORDS = re.compile(r"[぀-ヿ]+|[㐀-鿿]+|[^\W\d_]+")
 #: Where a sentence may end, for segments of one language.
@@ -48,7 +59,7 @@ def language_of_label(label: str | None) -> str | None:
     """The ISO 639-1 code that a label names in any notation; null if it names no language."""
     if not label:
         return None
-    return _NAMES.get(re.split(r"[-_\s(;,]", label.strip().lower(), maxsplit=1)[0])
+    return NAMES.get(re.split(r"[-_\s(;,]", label.strip().lower(), maxsplit=1)[0])
 
 
 def weight(text: str) -> int:
@@ -61,8 +72,8 @@ def n_letters(text: str) -> int:
     return len(_NO_LETTERS.sub("", text))
 
 
-def vocabulary(path: str | None = None) -> set[str]:
-    """The pieces of the public vocabulary."""
+def vocabulary(path: str | None = None) -> dict[str, int]:
+    """The pieces of the public vocabulary, regardless of case, with their ranks."""
     import sentencepiece
 
     if path is None:
@@ -70,26 +81,26 @@ def vocabulary(path: str | None = None) -> set[str]:
 
         path = public_tokenizers.path(VOCABULARY)
     sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
-    return {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    out: dict[str, int] = {}
+    for i in range(sp.get_piece_size()):
+        if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)):
+            out.setdefault(sp.id_to_piece(i).lower(), i)
+    return out
 
 
-def _lattice(words: list[str], ids: dict[str, int], grow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _lattice(words: list[str], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Edges of all words: start node, end node, end position in the word, and four piece ids (0: none)."""
     rows: list[tuple] = []
-    node = 0
+    node, longest = 0, max(map(len, ids), default=1)
     for word in words:
         text = "▁" + word
         n = len(text)
         for a in range(n):
             single = False
-            for b in range(a + 1, min(n, a + _LONGEST) + 1):
+            for b in range(a + 1, min(n, a + longest) + 1):
                 piece = text[a:b]
                 i = ids.get(piece)
                 if i is not None:
-                    if i < 0:
-                        if not grow:
-                            continue
-                        i = ids[piece] = -i
                     rows.append((node + a, node + b, b, i, 0, 0, 0))
                     single |= b == a + 1
             if not single:
@@ -107,10 +118,10 @@ def _nodes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return first, first + size - 1
 
 
-def _pass(at: np.ndarray, to: np.ndarray, level: np.ndarray, w: np.ndarray, begin: np.ndarray, n: int, back: bool) -> np.ndarray:
-    """Sums over all segmentations up to (or, backwards, from) each node, for every language."""
-    sums = np.zeros((n, w.shape[1]))
-    sums[begin] = 1.0
+def _pass(at: np.ndarray, to: np.ndarray, level: np.ndarray, w: np.ndarray, begin: np.ndarray, n: int, back: bool, logs: bool = False) -> np.ndarray:
+    """Sums over all segmentations up to (or, backwards, from) each node, for every language; with ``logs`` all in logarithms."""
+    sums = np.full((n, w.shape[1]), -np.inf if logs else 0.0)
+    sums[begin] = 0.0 if logs else 1.0
     bounds = np.searchsorted(level, np.arange(1, int(level.max()) + 2)) if len(level) else np.zeros(1, int)
     steps = list(zip(bounds, bounds[1:]))
     for a, b in reversed(steps) if back else steps:
@@ -120,13 +131,16 @@ def _pass(at: np.ndarray, to: np.ndarray, level: np.ndarray, w: np.ndarray, begi
         if not len(dst):
             continue
         cut = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
-        sums[dst[cut]] += np.add.reduceat(sums[src[order]] * w[a:b][order], cut)
+        if logs:
+            sums[dst[cut]] = np.logaddexp(sums[dst[cut]], np.logaddexp.reduceat(sums[src[order]] + w[a:b][order], cut))
+        else:
+            sums[dst[cut]] += np.add.reduceat(sums[src[order]] * w[a:b][order], cut)
     return sums
 
 
 @dataclass
 class Languages:
-    """The fitted model: ids of pieces, log-probabilities [piece, language]."""
+    """The fitted model: ids of pieces, log-probabilities [piece, language]; the last language is the background."""
 
     codes: list[str]
     ids: dict[str, int]
@@ -136,20 +150,24 @@ class Languages:
 
     def _score(self, words: list[str]) -> np.ndarray:
         """log P(word | language), summed over all segmentations."""
-        parts = [[w[i : i + _PART] for i in range(0, len(w), _PART)] for w in words]
-        flat = [p for x in parts for p in x]
-        at, to, level, ids = _lattice(flat, self.ids, False)
-        w = np.exp(self.logp[ids].sum(1))
-        begin, end = _nodes(flat)
-        alpha = _pass(at, to, level, w, begin, int(end[-1]) + 1, False)
-        out = np.log(np.maximum(alpha[end], 1e-300))
-        return out if len(flat) == len(words) else np.add.reduceat(out, np.cumsum([0, *map(len, parts)])[:-1])
+        out = np.empty((len(words), self.logp.shape[1]))
+        for logs in (False, True):
+            rows = [i for i, w in enumerate(words) if (len(w) >= _LONG) == logs]
+            if not rows:
+                continue
+            some = [words[i] for i in rows]
+            at, to, level, ids = _lattice(some, self.ids)
+            w = self.logp[ids].sum(1)
+            begin, end = _nodes(some)
+            alpha = _pass(at, to, level, w if logs else np.exp(w), begin, int(end[-1]) + 1, False, logs)[end]
+            out[rows] = alpha if logs else np.log(np.maximum(alpha, 1e-300))
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """[text, language] log-likelihoods; a text without letters has zeros."""
+        """[text, language] log-likelihoods, the background's last; a text without letters has zeros."""
         found = [WORDS.findall(t.lower()) for t in texts]
         if not self.codes:
-            return np.zeros((len(texts), 1))
+            return np.zeros((len(texts), 2))
         if len(self.rows) > 300_000:
             self.rows.clear()
             self.table = None
@@ -159,32 +177,43 @@ class Languages:
             made = self._score(part)
             base = 0 if self.table is None else len(self.rows)
             if self.table is None or base + len(part) > len(self.table):
-                grown = np.zeros((max(8_192, 2 * (base + len(part))), len(self.codes)))
+                grown = np.zeros((max(8_192, 2 * (base + len(part))), len(self.codes) + 1))
                 if self.table is not None:
                     grown[:base] = self.table[:base]
                 self.table = grown
             self.table[base : base + len(part)] = made
             self.rows.update((w, base + i) for i, w in enumerate(part))
         size = np.array([len(x) for x in found], np.int64)
-        out = np.zeros((len(texts), len(self.codes)))
+        out = np.zeros((len(texts), len(self.codes) + 1))
         if size.sum():
             flat = np.fromiter((self.rows[w] for x in found for w in x), np.int64, int(size.sum()))
             some = np.flatnonzero(size)
             out[some] = np.add.reduceat(self.table[flat], (np.cumsum(size) - size)[some])
         return out
 
-    def classify(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
-        """For each text its parts of one language: start, end, language and confidence. A text without letters has none."""
+    def classify(self, texts: list[str], labels: list[str | None] | None = None) -> list[list[tuple[int, int, str, float]]]:
+        """For each text its parts of one language: start, end, language and confidence. A text without letters has none.
+
+        ``labels`` are codes that the texts' records name, if any; they decide where the text leaves doubt.
+        """
         if not self.codes:
             return [[] for _ in texts]
         parts = [_parts(t) for t in texts]
         flat = [t[a:b] for t, x in zip(texts, parts) for a, b in x]
         found = self.scores(flat)
+        some = found.any(1).tolist()
+        found[:, -1] -= DOUBT
+        names = [*self.codes, UNKNOWN]
+        column = {c: i for i, c in enumerate(self.codes)}
+        hint = [column.get(x, -1) for x in labels or [None] * len(texts)]
+        first = np.cumsum([0, *map(len, parts)])[:-1]
+        alone = [k for k, x in enumerate(parts) if len(x) == 1 and hint[k] >= 0]
+        found[first[alone], [hint[k] for k in alone]] += TRUST
         best = found.argmax(1)
         sure_of = (1.0 / np.exp(np.minimum(found - found.max(1, keepdims=True), 0.0)).sum(1)).tolist()
-        some, codes = found.any(1).tolist(), [self.codes[i] for i in best.tolist()]
+        codes = [names[i] for i in best.tolist()]
         out, k = [], -1
-        for t, x in zip(texts, parts):
+        for t, x, own_label in zip(texts, parts, hint):
             n = len(x)
             if n == 1:
                 k += 1
@@ -192,13 +221,15 @@ class Languages:
                 continue
             s = found[k + 1 : k + 1 + n]
             k += n
-            total = s.sum(0)
-            if not total.any():
+            if not any(some[k - n + 1 : k + 1]):
                 out.append([])
                 continue
+            total = s.sum(0)
+            if own_label >= 0:
+                total[own_label] += TRUST
             main = int(total.argmax())
             if best[k - n + 1] == best[k] == main and len(set(codes[k - n + 1 : k + 1])) == 1:
-                out.append([(0, len(t), self.codes[main], _confidence(total, main))])
+                out.append([(0, len(t), names[main], _confidence(total, main))])
                 continue
             # a text of several languages may be called by none of them: the largest group of sure parts gives the main one
             own = s.argmax(1)
@@ -211,14 +242,14 @@ class Languages:
             for i in range(1, n + 1):
                 if i == n or kind[i] != kind[start]:
                     of = s[start:i].sum(0)
-                    made.append((0 if start == 0 else x[start][0], len(t) if i == n else x[i][0], self.codes[kind[start]], _confidence(of, int(kind[start]))))
+                    made.append((0 if start == 0 else x[start][0], len(t) if i == n else x[i][0], names[kind[start]], _confidence(of, int(kind[start]))))
                     start = i
             out.append(made)
         return out
 
 
 def _confidence(scores: np.ndarray, k: int) -> float:
-    return float(1.0 / np.exp(scores - scores[k]).clip(max=1e9).sum())
+    return float(1.0 / np.exp(np.minimum(scores - scores[k], 20.0)).sum())
 
 
 def _parts(text: str) -> list[tuple[int, int]]:
@@ -231,62 +262,98 @@ def _parts(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _fit(codes: list[str], words: list[str], counts: np.ndarray, pieces: set[str], rounds: int = 4) -> Languages:
-    """Expectation-maximisation of the piece probabilities; ``counts`` is [word, language]."""
-    ids = {p: -(257 + i) for i, p in enumerate(sorted(pieces))}
-    flat = [w[:_PART] for w in words]
-    at, to, level, edges = _lattice(flat, ids, True)
-    begin, end = _nodes(flat)
-    n, size = int(end[-1]) + 1, 257 + len(pieces)
+def _background(size: int, ranks: list[int]) -> np.ndarray:
+    """Probabilities that know no language: of pieces by their rank, of bytes alike."""
+    p = np.empty(size)
+    p[0], p[1:257] = 1.0, 0.05 / 256
+    p[257:] = 1.0 / (np.array(ranks) + 50.0)
+    p[257:] *= 0.95 / p[257:].sum()
+    return p
+
+
+def _expected(words: list[str], counts: np.ndarray, ids: dict[str, int], logs: bool) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from piece probabilities to expected counts of pieces over all segmentations; ``counts`` is [word, language]."""
+    at, to, level, edges = _lattice(words, ids)
+    begin, end = _nodes(words)
+    n = int(end[-1]) + 1
     word_of = np.searchsorted(begin, at, "right") - 1
+
+    def run(p: np.ndarray) -> np.ndarray:
+        w = np.log(p)[edges].sum(1) if logs else p[edges].prod(1)
+        alpha, beta = _pass(at, to, level, w, begin, n, False, logs), _pass(at, to, level, w, end, n, True, logs)
+        if logs:
+            gamma = np.exp(alpha[at] + w + beta[to] - alpha[end][word_of]) * counts[word_of]
+        else:
+            gamma = alpha[at] * w * beta[to] / np.maximum(alpha[end], 1e-300)[word_of] * counts[word_of]
+        got = np.zeros(p.shape)
+        for k in range(4):
+            np.add.at(got, edges[:, k], gamma)
+        return got
+
+    return run
+
+
+def _fit(codes: list[str], words: list[str], counts: np.ndarray, pieces: dict[str, int], rounds: int = 4) -> Languages:
+    """Expectation-maximisation of the piece probabilities; ``counts`` is [word, language]."""
+    ids = {p: 257 + i for i, p in enumerate(pieces)}
+    size = 257 + len(pieces)
+    parts = []
+    for logs in (False, True):
+        if rows := [i for i, w in enumerate(words) if (len(w) >= _LONG) == logs]:
+            parts.append(_expected([words[i] for i in rows], counts[rows], ids, logs))
     p = np.full((size, len(codes)), 1.0 / size)
     p[0] = 1.0
     for _ in range(rounds):
-        w = p[edges].prod(1)
-        alpha = _pass(at, to, level, w, begin, n, False)
-        beta = _pass(at, to, level, w, end, n, True)
-        z = np.maximum(alpha[end], 1e-300)
-        gamma = alpha[at] * w * beta[to] / z[word_of] * counts[word_of]
-        got = np.zeros((size, len(codes)))
-        for k in range(4):
-            np.add.at(got, edges[:, k], gamma)
+        got = sum(part(p) for part in parts)
         got[0] = 0
+        used = got.any(1)
         shared = got.sum(1, keepdims=True) / max(1.0, got.sum())
         p = (got + 2.0 * shared) / (got.sum(0) + 2.0) * (1 - size * _FLOOR) + _FLOOR
         p[0] = 1.0
-    used = {q: i for q, i in ids.items() if i > 0}
-    keep = {i: 257 + k for k, i in enumerate(sorted(used.values()))}
-    return Languages(codes, {q: keep[i] for q, i in used.items()}, np.log(p[[*range(257), *sorted(keep)]]))
+    # a piece that no word of the sample holds is the background's; of it each language has a little for foreign words
+    used[:257] = True
+    p[~used] = 0.0
+    background = _background(size, list(pieces.values()))
+    logp = np.log(np.column_stack([p + FOREIGN * background[:, None], background]))
+    logp[0] = 0.0  # stands for no piece
+    return Languages(codes, ids, logp)
 
 
 def fit(rows: Iterable[tuple[str | None, str | None]], path: str | None = None) -> Languages:
-    """Fit to rows of text and label. Labels may be missing or wrong now and then: the second round takes its own.
+    """Fit to rows of text and label. Labels may be wrong now and then: the second round takes another where the first one is sure of it.
 
-    Without labelled rows the model knows no language, and all texts come out without one.
+    A language must have LEAST_ROWS rows. Without labelled rows the model knows no language, and all texts
+    come out without one.
     """
-    texts, labels = [], []
+    # texts of equal words, such as lines repeated on many pages, count once, with the label that most of them have
+    by_words: dict[tuple[str, ...], Counter] = {}
     for text, label in rows:
-        if text:
-            texts.append(text)
-            labels.append(language_of_label(label))
-    codes = sorted(c for c, n in Counter(filter(None, labels)).items() if n >= 20 or n >= 0.005 * len(texts))
-    if not codes or not any(WORDS.search(t) for t in texts):
-        return Languages([], {}, np.zeros((257, 0)))
+        if text and (code := language_of_label(label)) and (found := WORDS.findall(text.lower())):
+            by_words.setdefault(tuple(found), Counter())[code] += 1
+    size = Counter()
+    for of in by_words.values():
+        size.update(of)
+    texts = [" ".join(x) for x in by_words]
+    labels: list[str | None] = [min(of, key=lambda c: (-of[c], c)) for of in by_words.values()]
+    codes = [c for c, n in size.items() if n >= LEAST_ROWS]
+    labels = [c if c in codes else None for c in labels]
     pieces = vocabulary(path)
-    model = None
+    model = Languages([], {}, np.zeros((257, 1)))
     for _ in range(2):
+        codes = sorted(set(filter(None, labels)))
         by = {c: Counter() for c in codes}
         for text, label in zip(texts, labels):
-            if label in by:
-                by[label].update(WORDS.findall(text.lower()))
-        kept = [dict(x.most_common(SAMPLE_WORDS)) for x in by.values()]
-        words = sorted({w for x in kept for w in x})
+            if label:
+                by[label].update(text.split(" "))
+        words = sorted({w for x in by.values() for w in x})
         if not words:
-            return Languages([], {}, np.zeros((257, 0)))
-        counts = np.array([[x.get(w, 0) for x in kept] for w in words], float)
+            return Languages([], {}, np.zeros((257, 1)))
+        counts = np.array([[x.get(w, 0) for x in by.values()] for w in words], float)
         model = _fit(codes, words, counts, pieces)
-        best = model.scores(texts)
-        labels = [codes[i] if s[i] < 0 else None for s, i in zip(best, best.argmax(1))]
+        best = model.scores(texts)[:, :-1]
+        column = {c: i for i, c in enumerate(codes)}
+        own = best[np.arange(len(texts)), [column[c] if c else 0 for c in labels]]
+        labels = [c if c and s[i] - o < MARGIN else codes[i] for c, s, i, o in zip(labels, best, best.argmax(1), own)]
     return model
 
 

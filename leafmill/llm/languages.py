@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import langid
-from .batches import bounded_sample, map_columns
+from .batches import map_columns, sample_of_each
 from .chars import consistent
-from .encoding import loaded, share
+from .encoding import loaded, share, stored
 
 _PLACES = "starts array<int>, ends array<int>, confidence array<double>"
 
 
+def code_of_label(label: Column) -> Column:
+    """As ``langid.language_of_label``: the code that a label names, or null."""
+    first = F.element_at(F.split(F.regexp_replace(F.lower(label), r"^\s+", ""), r"[-_\s(;,]", 2), 1)
+    names = F.create_map(*(F.lit(x) for pair in langid.NAMES.items() for x in pair))
+    return F.try_element_at(names, first)
+
+
 def fit_languages(df: DataFrame, text: str = "text", label: str = "language", by: tuple[str, ...] = ("doc_id", "page_no", "block_idx"), vocabulary: str | None = None, rows: int = langid.SAMPLE_ROWS) -> bytes:
-    """The model, fitted to at most ``rows`` labelled rows."""
-    found = bounded_sample(df.where(F.col(text).isNotNull()), [F.col(text), F.col(label)], list(by), rows)
-    return langid.dumps(langid.fit(found, vocabulary))
+    """The model, fitted to at most ``rows`` labelled rows of each language."""
+
+    def fit() -> bytes:
+        return langid.dumps(langid.fit(sample_of_each(df, text, code_of_label(F.col(label)), list(by), rows), vocabulary))
+
+    return stored([df], f"languages-{text}-{label}-{rows}", fit)
 
 
 def identified(
@@ -42,9 +52,9 @@ def identified(
             stored = ["" if t is None else t for t in texts]
             bad = [bool(g) and g.is_garbled(t) for t in stored]
             found = consistent([g.readable(t) if b else t for t, b in zip(stored, bad)])
-            parts = m.classify(found)
-            weights = [0 if b else langid.weight(t) for t, b in zip(stored, bad)]
             named = [langid.language_of_label(x) for x in labels]
+            parts = m.classify(found, named)
+            weights = [0 if b else langid.weight(t) for t, b in zip(stored, bad)]
             langs = [[x[2] for x in p] for p in parts]
             at = range(len(texts))
             if cases:
@@ -62,20 +72,21 @@ def identified(
 
 
 def mislabelled(found: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each language of the records whose label is missing or wrong, or that hold several languages."""
-    langs = F.array_distinct("langs")
+    """A row for each language of the records whose label is missing or wrong, or that hold several languages; unknown ones are none."""
+    langs = F.array_remove(F.array_distinct("langs"), langid.UNKNOWN)
     wrong = (F.size(langs) > 1) | ((F.size(langs) == 1) & ~F.col("label").eqNullSafe(F.element_at(langs, 1)))
     return found.where((F.col("weight") >= langid.MIN_LETTERS) & wrong).select(*keys, F.explode(langs).alias("lang")).distinct()
 
 
 def of_documents(found: DataFrame) -> DataFrame:
-    """``doc_id`` and the language of most letters in its blocks (ties: the first code), with its share of them.
+    """``doc_id`` and the language of most letters in its blocks (ties: the first code), with its share of them; unknown languages only where there is no other.
 
     ``found`` has a row for each block; blocks that are there twice count once.
     """
     each = found.repartition("doc_id").groupBy("doc_id", "page_no", "block_idx").agg(F.first(F.arrays_zip("langs", "letters")).alias("parts"))
     sums = each.select("doc_id", F.explode("parts").alias("p")).groupBy("doc_id", F.col("p.langs").alias("lang")).agg(F.sum("p.letters").alias("n"))
-    best = sums.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang")).alias("best"), F.sum("n").alias("all"))
+    unknown = (F.col("lang") == langid.UNKNOWN).alias("unknown")
+    best = sums.groupBy("doc_id").agg(F.min(F.struct(unknown, (-F.col("n")).alias("n"), "lang")).alias("best"), F.sum("n").alias("all"))
     return best.select("doc_id", F.col("best.lang").alias("lang"), (-F.col("best.n") / F.col("all")).alias("confidence"))
 
 

@@ -15,8 +15,8 @@ from .languages import fit_languages, identified, mislabelled, named, of_documen
 Query = Callable[[SparkSession, str], DataFrame]
 BLOCK = ["doc_id", "page_no", "block_idx"]
 FRAGMENT = ["doc_id", "page_no", "frag_idx"]
-#: Bound on the documents that the language model for whole documents is fitted to.
-DOCUMENT_SAMPLE = 6_000
+#: Bound on the documents of a language that the model for whole documents is fitted to.
+DOCUMENT_SAMPLE = 500
 
 
 def _cases(df: DataFrame, name: str, idx: str, *more: str) -> DataFrame:
@@ -104,7 +104,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(-1)
     a = mislabelled(of_blocks, BLOCK).select(unit("block"), "doc_id", "page_no", F.col("block_idx").alias("idx"), none.alias("run_idx"), "lang")
     b = mislabelled(of_runs, ["doc_id", "page_no", "para_idx", "run_idx"]).select(unit("run"), "doc_id", "page_no", F.col("para_idx").alias("idx"), "run_idx", "lang")
-    c = of_docs.where(~F.col("label").eqNullSafe(F.col("lang"))).select(unit("document"), "doc_id", none.alias("page_no"), none.alias("idx"), none.alias("run_idx"), "lang")
+    c = of_docs.where((F.col("lang") != langid.UNKNOWN) & ~F.col("label").eqNullSafe(F.col("lang"))).select(unit("document"), "doc_id", none.alias("page_no"), none.alias("idx"), none.alias("run_idx"), "lang")
     return a.unionByName(b).unionByName(c)
 
 

@@ -446,7 +446,7 @@ def document_languages(m: langid.Languages, texts: list[str | None]) -> list[str
     """The main language of each text, by all of it."""
     if not m.codes:
         return [_NEUTRAL] * len(texts)
-    found = m.scores([t or "" for t in texts])
+    found = m.scores([t or "" for t in texts])[:, :-1]
     return [m.codes[i] if s[i] else _NEUTRAL for s, i in zip(found, found.argmax(1))]
 
 

@@ -1,5 +1,6 @@
 """The models behind the operators, on small inputs."""
 
+import pickle
 import random
 import unicodedata
 
@@ -127,10 +128,62 @@ def brute(m, word, k):
 
 @pytest.mark.parametrize("word", ["night", "prüfung", "библиотека", "目次", "q"])
 def test_forward_algorithm(languages, word):
-    want = [np.log(brute(languages, word, k)) for k in range(len(languages.codes))]
+    want = [np.log(brute(languages, word, k)) for k in range(len(languages.codes) + 1)]
     assert np.allclose(languages._score([word])[0], want)
 
 
+def test_long_words_are_summed_whole(languages):
+    """Words of 40 and of 400 letters: the sums in logarithms equal those of numbers, and no letter is left out."""
+    word = "prüfungsberichtsverzeichnisablageordnung"
+    want = [np.log(brute_fast(languages, word, k)) for k in range(len(languages.codes) + 1)]
+    assert len(word) == 40 and np.allclose(languages._score([word])[0], want)
+    long = word * 10
+    assert languages._score([long])[0, :-1].argmax() == languages.codes.index("de") and (languages._score([long])[0] < languages._score([word])[0]).all()
+    fitted = langid.fit([("kurz und gut", "de")] * 5 + [("x" * 40 + "prüfung", "de"), ("short and good", "en"), ("the night shift", "en")] * 5)
+    assert np.isfinite(fitted.logp[:257]).all() and fitted.classify(["die prüfung"])[0][0][2] == "de"
+
+
+def brute_fast(m, word, k):
+    """The same sum by places, in numbers."""
+    text = "▁" + word
+    sums = [1.0] + [0.0] * len(text)
+    for i in range(len(text)):
+        single = False
+        for j in range(i + 1, len(text) + 1):
+            if (n := m.ids.get(text[i:j])) is not None:
+                sums[j] += sums[i] * np.exp(m.logp[n, k])
+                single |= j == i + 1
+        if not single:
+            sums[i + 1] += sums[i] * np.prod([np.exp(m.logp[1 + b, k]) for b in text[i].encode()])
+    return sums[-1]
+
+
+FINNISH = ["Kokous pidetään kirjastossa joka viikko ja jäsenet saavat asiakirjat ajoissa", "Kaikki asiakirjat tallennetaan huolellisesti arkistoon ennen kokousta", "Jäsenet ovat tervetulleita ensi viikolla", "Tämä sivu on tarkistettu ja hyväksytty viime vuonna", "Lomake täytetään ja palautetaan kirjastoon"]
+
+
+def test_rare_and_unknown_languages(spark):
+    """Ten labelled rows beside very many of other languages suffice; a language without any is unknown and not sure to be another."""
+    from leafmill.llm import languages as operators
+    from leafmill.session import table
+
+    blocks = table(spark, "/root/testdata/sf0.001", "text_blocks").select("doc_id", "page_no", "block_idx", "text", "language")
+    more = spark.createDataFrame([(f"f{k}", 0, 0, FINNISH[k % 5], "fi-FI") for k in range(10)], blocks.schema)
+    text = "Kirjaston kokous pidetään ensi viikolla ja kaikki jäsenet ovat tervetulleita. Asiakirjat tallennetaan arkistoon huolellisesti."
+    turkish = "Kütüphane toplantısı gelecek hafta yapılacak ve bütün üyeler davetlidir. Belgeler dikkatle arşivlenecektir."
+    without, with_finnish = (pickle.loads(operators.fit_languages(df)) for df in (blocks, blocks.unionByName(more)))
+    assert without.classify([text])[0][0][2] == langid.UNKNOWN
+    assert [x[2] for x in with_finnish.classify([text])[0]] == ["fi"]
+    for m in (without, with_finnish):
+        found = m.classify([turkish])[0]
+        assert all(x[2] == langid.UNKNOWN or x[3] < 0.5 for x in found)
+
+
+def test_a_label_decides_doubt_only(languages):
+    assert languages.classify(["die prüfung für den bericht"], ["en"])[0][0][2] == "de"
+    doubt = languages.scores(["x"])[0]
+    assert abs(doubt[:-1] - doubt[0]).max() < langid.TRUST and languages.classify(["x"], ["ru"])[0][0][2] in ("ru", langid.UNKNOWN)
+
+
 def test_labels():
     assert [langid.language_of_label(x) for x in ("en_US", "EN", "English", "ger", "zh-Hans", "und", "n/a", "xx", " ", "", None)] == ["en", "en", "en", "de", "zh", None, None, None, None, None, None]
 

@@ -210,3 +210,14 @@ def test_short_runs_have_a_language_too(spark):
     p = spark.sql(f"select 'd' as doc_id, 0 as page_no, 0 as para_idx, array({some.format('Kurz.')}, {some.format('')}, {some.format('Ein langer Satz, der für sich steht.')}) as runs")
     assert [r.run_idx for r in _runs(p).orderBy("run_idx").collect()] == [0, 2]
     assert [r.run_idx for r in _runs(p, 25).collect()] == [2]
+
+
+def test_models_are_kept_where_a_folder_is_named(spark, tmp_path):
+    blocks, fragments = table(spark, SF, "text_blocks"), table(spark, SF, "fragments")
+    plain = encoding.fit_garble(blocks, fragments)
+    spark.conf.set("spark.leafmill.models", f"file://{tmp_path}")
+    try:
+        assert encoding.fit_garble(blocks, fragments) == plain and len(list(tmp_path.glob("garble-*.model"))) == 1
+        assert encoding.stored([blocks, fragments], "garble", lambda: b"") == plain
+    finally:
+        spark.conf.unset("spark.leafmill.models")
