@@ -43,19 +43,21 @@ def bounded_sample(df: DataFrame, column: str, by: list[str], rows: int, seed: i
     return df.where(F.col(column).isNotNull()).select(column).toArrow().column(0).to_pylist()
 
 
-def sample_of_each(df: DataFrame, column: str, group: Column, by: list[str], rows: int, seed: int = 17) -> list[tuple]:
-    """Values of ``column`` and of ``group`` for about ``rows`` rows at most of each group, all of a smaller one; rows without a group are left out.
+def sample_of_each(df: DataFrame, column: str, name: Column, groups: dict[str, str], by: list[str], rows: int, seed: int = 17) -> list[tuple]:
+    """Values of ``column`` and their group for about ``rows`` rows at most of each group, all of a smaller one.
 
-    ``group`` must have a bounded number of values. They are counted without reading ``column``.
+    ``groups`` has the group of each ``name`` that counts; other rows are left out. They are counted without reading ``column``.
     """
-    df = df.withColumn("_lm_group", group).where(F.col("_lm_group").isNotNull())
-    counted = {r[0]: r[1] for r in df.groupBy("_lm_group").count().collect()}
+    df = df.withColumn("_lm_name", name).where(F.col("_lm_name").isin(list(groups)))
+    size: dict[str, int] = {}
+    for found, n in df.groupBy("_lm_name").count().collect():
+        size[groups[found]] = size.get(groups[found], 0) + n
     share = F.lit(1_000_000)
-    for name, n in counted.items():
+    for group, n in sorted(size.items(), key=lambda x: x[1]):
         if n > rows:
-            share = F.when(F.col("_lm_group") == name, int(1_000_000 * rows / n)).otherwise(share)
-    found = df.where((_picked(seed, by) < share) & F.col(column).isNotNull()).select(column, "_lm_group").toArrow()
-    return list(zip(*(c.to_pylist() for c in found.columns)))
+            share = F.when(F.col("_lm_name").isin([x for x, g in groups.items() if g == group]), int(1_000_000 * rows / n)).otherwise(share)
+    found = df.where((_picked(seed, by) < share) & F.col(column).isNotNull()).select(column, "_lm_name").toArrow()
+    return [(x, groups[y]) for x, y in zip(*(c.to_pylist() for c in found.columns))]
 
 
 def _picked(seed: int, by: list[str]) -> Column:

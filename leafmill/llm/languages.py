@@ -13,18 +13,17 @@ from .encoding import loaded, share, stored
 _PLACES = "starts array<int>, ends array<int>, confidence array<double>"
 
 
-def code_of_label(label: Column) -> Column:
-    """As ``langid.language_of_label``: the code that a label names, or null."""
-    first = F.element_at(F.split(F.regexp_replace(F.lower(label), r"^\s+", ""), r"[-_\s(;,]", 2), 1)
-    names = F.create_map(*(F.lit(x) for pair in langid.NAMES.items() for x in pair))
-    return F.try_element_at(names, first)
+def name_of_label(label: Column) -> Column:
+    """What a label begins with, in the notation of ``langid.NAMES``."""
+    marks = "\t\n\r-_(;,"
+    return F.substring_index(F.ltrim(F.translate(F.lower(label), marks, " " * len(marks))), " ", 1)
 
 
 def fit_languages(df: DataFrame, text: str = "text", label: str = "language", by: tuple[str, ...] = ("doc_id", "page_no", "block_idx"), vocabulary: str | None = None, rows: int = langid.SAMPLE_ROWS) -> bytes:
     """The model, fitted to at most ``rows`` labelled rows of each language."""
 
     def fit() -> bytes:
-        return langid.dumps(langid.fit(sample_of_each(df, text, code_of_label(F.col(label)), list(by), rows), vocabulary))
+        return langid.dumps(langid.fit(sample_of_each(df, text, name_of_label(F.col(label)), langid.NAMES, list(by), rows), vocabulary))
 
     return stored([df], f"languages-{text}-{label}-{rows}", fit)
 
