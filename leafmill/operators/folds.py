@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ..functions import text
-from .layout import BLOCK, PAGE, has_text, reading
+from ..functions import geometry, text
+from .layout import BLOCK, PAGE, has_text, page_columns, page_margins, reading
 
 # Formats and punctuations of numbered lists, in the order of their numbers (1 is the bullet list).
 FORMATS = ("decimal", "lowerLetter", "upperLetter", "lowerRoman", "upperRoman")
@@ -66,15 +66,18 @@ def _lines(page: list[dict]) -> Iterator[tuple]:
     """Lines and vertical columns of a page's fragments; a fragment joins the first one whose mean it is near to."""
     lines: list[list[dict]] = []
     columns: list[list[dict]] = []
+    sums: dict[int, float] = {}
     for r in page:
         home, axis, reach = (columns, "x", 0.8) if r["vertical"] else (lines, "y", 0.6)
         reach *= r["font_size"] or 12.0
         for members in home:
-            if abs(r[axis] - fmean(m[axis] for m in members)) <= reach:
+            if abs(r[axis] - sums[id(members)] / len(members)) <= reach:
                 members.append(r)
+                sums[id(members)] += r[axis]
                 break
         else:
             home.append([r])
+            sums[id(home[-1])] = r[axis]
     for vertical, members in [(False, m) for m in lines] + [(True, m) for m in columns]:
         members.sort(key=(lambda m: -m["y"]) if vertical else (lambda m: m["x"]))
         parts: list[str] = []
@@ -145,6 +148,79 @@ def sections(pages: DataFrame) -> DataFrame:
     return fold(shown, ["doc_id"], [F.col("page_no")], _sections, "page_no int, section_no int, first_page int")
 
 
+def section_pages(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Every page with ``section_no``, ``first_page`` and the size, margins and columns of its section, which are those of its first page."""
+    measured = page_margins(blocks, pages).join(page_columns(blocks), PAGE, "left").withColumn("columns", F.coalesce("columns", F.lit(1)))
+    first = measured.select("doc_id", F.col("page_no").alias("first_page"), "width", "height", "margin_left", "margin_right", "margin_top", "margin_bottom", "columns", "spacing")
+    return sections(measured).join(first, ["doc_id", "first_page"])
+
+
+def _paragraphs(blocks: list[dict]) -> Iterator[tuple]:
+    number, role, last = 0, None, None
+    for b in blocks:
+        if not (last and _goes_on(last, b, role)):
+            number, role = number + 1, b["block_role"]
+            new = True
+        else:
+            new = False
+        last = b
+        yield b["page_no"], b["block_idx"], new, number
+
+
+def _goes_on(last: dict, b: dict, role: str | None) -> bool:
+    """Whether a block belongs to the paragraph of the block before, whose role is that of the paragraph's first block."""
+    if b["listed"] or b["vertical"] or last["vertical"] or last["section_no"] != b["section_no"]:
+        return False
+    if b["block_role"] and role and b["block_role"] != role or b["columns"] > 1 and last["col"] != b["col"]:
+        return False
+    line = b["font_size"] or last["font_size"] or 12.0
+    if last["page_no"] == b["page_no"]:
+        return last["y_bottom"] - b["y_top"] <= 1.2 * line
+    reach = max(2 * line, 24.0)
+    top = b["height"] - b["margin_top"] - reach
+    return last["continues"] and b["margin_bottom"] + reach <= last["y_top"] <= top <= b["y_top"]
+
+
+def continuations(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Paragraphs of every document: ``new_paragraph`` of each block with text, and ``paragraph_no`` from 1.
+
+    ``pages`` are as ``section_pages`` gives them. A block goes on with the paragraph above it on its page if roles (the
+    block's and that of the paragraph's first one, where both are set) and columns are equal and the gap is 1.2 lines at
+    most; and with the last one of an earlier page of its section if that one has no end mark, the block before begins
+    above the bottom margin and below the top one, and this block at the top margin. Roles of list items begin a
+    paragraph, and a vertical block is one of its own. Blocks without a box are left out.
+    """
+    c = F.col
+    of_page = pages.select(*PAGE, "section_no", "width", "height", "margin_left", "margin_right", "margin_top", "margin_bottom", "columns", "spacing")
+    shown = _whole(blocks).where(has_text(c("text"))).join(of_page, PAGE).select(
+        *BLOCK, "section_no", "y_bottom", "y_top", "x_left", "font_size", "block_role", "columns", "height", "margin_bottom", "margin_top", F.coalesce("vertical", F.lit(False)).alias("vertical"),
+        geometry.column_of(c("x_left"), c("width"), c("margin_left"), c("margin_right"), c("columns"), c("spacing")).alias("col"),
+        text.continues(c("text"), c("block_role")).alias("continues"), text.list_marker(c("text"), c("block_role")).isNotNull().alias("listed"),
+    )
+    return fold(shown, ["doc_id"], reading("page_no"), _paragraphs, "page_no int, block_idx int, new_paragraph boolean, paragraph_no int")
+
+
+def _outline(nodes: list[dict]) -> Iterator[tuple]:
+    children: dict[object, list[dict]] = {}
+    for n in nodes:
+        children.setdefault(n["parent_id"], []).append(n)
+    open_nodes = [(n, (n["ord"],)) for n in reversed(children.pop(None, []))]
+    while open_nodes:
+        n, path = open_nodes.pop()
+        yield n["node_id"], n["title"], list(path), f"TOC{min(len(path), 9)}"
+        open_nodes += [(x, (*path, x["ord"])) for x in reversed(children.pop(n["node_id"], []))]
+
+
+def flatten_outline(nodes: DataFrame) -> DataFrame:
+    """Rows of a table of contents, pre-order (``path``), from nodes (``doc_id, node_id, parent_id, ord, title``); style TOC1 to TOC9.
+
+    An outline may be of any depth. Nodes whose parent isn't there, or that are their own ancestors, are no part of it.
+    """
+    kind = dict(nodes.dtypes)["node_id"]
+    shown = nodes.select("doc_id", "node_id", "parent_id", F.col("ord").cast("int").alias("ord"), text.blank_to_null(F.col("title")).alias("title"))
+    return fold(shown, ["doc_id"], [F.col("ord"), F.col("node_id")], _outline, f"node_id {kind}, title string, path array<int>, style string")
+
+
 def _levels(blocks: list[dict]) -> Iterator[tuple]:
     stack: list[tuple[float, str]] = []
     for b in blocks:
@@ -173,14 +249,24 @@ def _near(a: dict, b: dict, tolerance: float) -> bool:
 
 
 def _clusters(members: list[dict], tolerance: float) -> list[list[dict]]:
-    """A member joins the first cluster that has a near one; clusters never merge."""
+    """A member joins the first cluster that has a near one; clusters never merge.
+
+    Members are kept by squares of the page, so that each is compared with those around it only.
+    """
     out: list[list[dict]] = []
+    side = max(tolerance, 36.0)
+    squares: dict[tuple[int, int], list[tuple[int, dict]]] = {}
     for m in members:
-        home = next((c for c in out if any(_near(m, o, tolerance) for o in c)), None)
+        xs = range(int((m["x_left"] - tolerance) // side), int((m["x_right"] + tolerance) // side) + 1)
+        ys = range(int((m["y_bottom"] - tolerance) // side), int((m["y_top"] + tolerance) // side) + 1)
+        home = min((k for x in xs for y in ys for k, o in squares.get((x, y), ()) if _near(m, o, tolerance)), default=None)
         if home is None:
-            out.append([m])
-        else:
-            home.append(m)
+            home = len(out)
+            out.append([])
+        out[home].append(m)
+        for x in xs:
+            for y in ys:
+                squares.setdefault((x, y), []).append((home, m))
     return out
 
 

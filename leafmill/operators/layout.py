@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..functions.text import blank_to_null, continues, list_marker, strip
+from ..functions.text import list_marker, strip
 
 PAGE = ["doc_id", "page_no"]
 BLOCK = [*PAGE, "block_idx"]
@@ -79,7 +79,7 @@ def block_formats(shown: DataFrame) -> DataFrame:
 
 
 def heading_styles(blocks: DataFrame) -> DataFrame:
-    """The style of every block with text: list item, by role, or by its size against the mean of all earlier sizes in the document."""
+    """The style of every block that begins a paragraph: list item, by role, or by its size against the mean of all earlier ones' in the document."""
     order = Window.partitionBy("doc_id").orderBy(*reading("page_no"))
     mean = F.coalesce(F.avg("font_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("font_size"))
     role, ratio = F.upper("block_role"), F.col("font_size") / F.col("mean")
@@ -112,32 +112,6 @@ def block_spacing(blocks: DataFrame) -> DataFrame:
     return blocks.select(*BLOCK, F.when(before > 0.5 * size, before).alias("space_before"), F.when(last, 0.6 * line).when(after > 0.5 * line, after).alias("space_after"))
 
 
-def continuations(shown: DataFrame) -> DataFrame:
-    """Paragraphs of every document (from blocks as ``placed`` gives them): ``new_paragraph`` of each block and ``paragraph_no``.
-
-    A block goes on with the paragraph above it on its page if roles (where both are set) and columns are equal and the
-    gap is 1.2 lines at most; and with the last one of the page before if that one ends without an end mark near the
-    bottom margin and this one begins near the top. A vertical block is a paragraph of its own.
-    """
-    order = Window.partitionBy("doc_id").orderBy("seq")
-    shown = shown.where(has_text(F.col("text")))
-    c = F.col
-    shown = shown.withColumn("col", geometry.column_of(c("x_left"), c("width"), c("margin_left"), c("margin_right"), F.coalesce("columns", F.lit(1)), c("spacing")))
-    was = lambda name: F.lag(name).over(order)
-    line = F.coalesce("font_size", F.lit(12.0))
-    roles = F.coalesce(was("block_role") == c("block_role"), F.lit(True))
-    same_page = (was("page_no") == c("page_no")) & (was("col") == c("col")) & ((was("y_bottom") - c("y_top")) <= 1.2 * line)
-    reach = F.greatest(2 * line, F.lit(24.0))
-    bottom = was("y_top") <= F.lag(c("margin_bottom") + 3 * F.greatest(2 * line, F.lit(24.0))).over(order)
-    top = c("y_top") >= c("height") - c("margin_top") - reach
-    across = (was("page_no") + 1 == c("page_no")) & bottom & top & F.lag(continues(c("text"), c("block_role"))).over(order)
-    listed = list_marker(c("text"), c("block_role")).isNotNull()
-    upright = ~F.coalesce(c("vertical"), F.lit(False)) & ~F.coalesce(was("vertical"), F.lit(False))
-    goes_on = F.coalesce(roles & (same_page | across) & ~listed & upright, F.lit(False))
-    out = shown.withColumn("new_paragraph", ~goes_on)
-    return out.select(*BLOCK, "new_paragraph", F.sum(c("new_paragraph").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("paragraph_no"))
-
-
 def breaks(shown: DataFrame) -> DataFrame:
     """From blocks as ``placed`` gives them: whether a block begins a page behind the first one of its document, and whether a column behind the first of its page."""
     shown = shown.where(has_text(F.col("text")))
@@ -170,15 +144,20 @@ def box(prefix: str = "") -> tuple[Column, Column, Column, Column]:
     return tuple(F.col(prefix + c) for c in ("x_left", "y_bottom", "x_right", "y_top"))
 
 
+def overlaps(blocks: DataFrame, boxes: DataFrame, keys: list[str], box_key: str, least: float) -> DataFrame:
+    """Pairs of blocks and boxes of their page (columns with the prefix ``b_``) that cover more than ``least`` of the block, as ``score``."""
+    area = F.greatest(geometry.extent(F.col("x_left"), F.col("x_right")) * geometry.extent(F.col("y_bottom"), F.col("y_top")), F.lit(1.0))
+    score = geometry.overlap(box(), box("b_")) / area
+    both = blocks.select(*keys, "x_left", "y_bottom", "x_right", "y_top").join(boxes, PAGE).withColumn("score", score).where(F.col("score") > least)
+    return both.select(*keys, box_key, "score")
+
+
 def best_overlap(blocks: DataFrame, boxes: DataFrame, keys: list[str], box_key: str, least: float) -> DataFrame:
-    """For each block the box of its page (columns with the prefix ``b_``) that covers most of it, beyond ``least``; the first one of equals.
+    """For each block the box of its page that covers most of it, beyond ``least``; the first one of equals.
 
     A page's boxes are compared with its blocks only.
     """
-    area = F.greatest(geometry.extent(F.col("x_left"), F.col("x_right")) * geometry.extent(F.col("y_bottom"), F.col("y_top")), F.lit(1.0))
-    score = geometry.overlap(box(), box("b_")) / area
-    pairs = blocks.select(*keys, "x_left", "y_bottom", "x_right", "y_top").join(boxes, PAGE).withColumn("score", score).where(F.col("score") > least)
-    best = pairs.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(box_key))).alias("best"))
+    best = overlaps(blocks, boxes, keys, box_key, least).groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(box_key))).alias("best"))
     return best.select(*keys, F.col(f"best.{box_key}").alias(box_key), (-F.col("best.s")).alias("score"))
 
 
@@ -200,21 +179,3 @@ def anchor_targets(targets: DataFrame, paragraphs: DataFrame) -> DataFrame:
     holds = F.col("top").isNull() | F.col("top").between(F.col("y_bottom") - slack, F.col("y_top") + slack)
     both = targets.join(paragraphs, PAGE).where(holds)
     return both.groupBy("doc_id", "anchor").agg(F.min(F.struct("page_no", "para_idx")).alias("p")).select("doc_id", "anchor", "p.page_no", "p.para_idx")
-
-
-def flatten_outline(nodes: DataFrame, deepest: int = 64) -> DataFrame:
-    """Rows of a table of contents, pre-order (``path``), from nodes (``doc_id, node_id, parent_id, ord, title``); style TOC1 to TOC9.
-
-    Nodes are walked level by level; deeper than ``deepest`` is an error in the outline and raises when met.
-    """
-    level = nodes.where(F.col("parent_id").isNull()).select("doc_id", "node_id", "title", F.array("ord").alias("path"))
-    out = level
-    children = nodes.where(F.col("parent_id").isNotNull()).select("doc_id", F.col("node_id").alias("child"), "parent_id", "ord", F.col("title").alias("child_title"))
-    for _ in range(deepest):
-        level = level.join(children, (level.doc_id == children.doc_id) & (level.node_id == children.parent_id)).select(
-            level.doc_id, F.col("child").alias("node_id"), F.col("child_title").alias("title"), F.concat("path", F.array("ord")).alias("path")
-        )
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.select("doc_id", "node_id", blank_to_null(F.col("title")).alias("title"), "path", F.concat(F.lit("TOC"), F.least(F.size("path"), F.lit(9)).cast("string")).alias("style"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import best_overlap
+from .layout import has_text, overlaps
 
 
 def match_footnotes(markers: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -31,13 +31,13 @@ def match_footnotes(markers: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def match_comments(annotations: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """The paragraph of each annotation with text that covers more than a tenth of one; ids from 0 in order of pages and annotations.
+    """The paragraph of each annotation with text: the one that it covers most, a tenth at least; ids from 0 in order of pages and annotations.
 
-    ``annotations`` have ``b_``-boxes and ``annot_idx``; the score is relative to the paragraph; of equals the first paragraph.
+    ``annotations`` have ``b_``-boxes and ``annot_idx``; the score is relative to the paragraph; of equals the first
+    paragraph. A paragraph may have several comments.
     """
-    shown = annotations.where(F.trim(F.coalesce("text", F.lit(""))) != "").drop("text")
-    cols = ["doc_id", "page_no", "para_idx"]
-    area = best_overlap(paragraphs, shown, cols, "annot_idx", 0.1)
-    best = area.groupBy("doc_id", "page_no", "annot_idx").agg(F.min(F.struct((-F.col("score")).alias("s"), "para_idx")).alias("b"))
+    shown = annotations.where(has_text(F.col("text"))).drop("text")
+    both = overlaps(paragraphs, shown, ["doc_id", "page_no", "para_idx"], "annot_idx", 0.1)
+    best = both.groupBy("doc_id", "page_no", "annot_idx").agg(F.min(F.struct((-F.col("score")).alias("s"), "para_idx")).alias("b"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "annot_idx")) - 1
     return best.select("doc_id", "page_no", "annot_idx", F.col("b.para_idx").alias("para_idx"), number.alias("comment_id"))

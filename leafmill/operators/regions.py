@@ -6,39 +6,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import signature, strip
-from .layout import BLOCK, PAGE, has_text, page_margins, reading
+from .layout import PAGE, has_text
 
 
-def region_blocks(blocks: DataFrame, pages: DataFrame, footer: bool, depth: int = 3, reach: float = 24.0) -> DataFrame:
-    """Blocks within the margin and ``reach`` of a page's edge, the ``depth`` outermost, with their rank and signature."""
-    shown = blocks.where(has_text(F.col("text"))).join(page_margins(blocks, pages), PAGE)
-    near = F.col("y_bottom") <= F.col("margin_bottom") + reach if footer else F.col("y_top") >= F.col("height") - F.col("margin_top") - reach
-    order = [F.col("y_bottom"), F.col("x_left"), F.col("block_idx")] if footer else reading()
+def region_items(items: DataFrame, pages: DataFrame, footer: bool, idx: str = "block_idx", depth: int = 3, reach: float = 24.0) -> DataFrame:
+    """Paragraphs (or blocks) within the section's margin and ``reach`` of a page's edge, the ``depth`` outermost, with their rank and signature.
+
+    ``pages`` are as ``folds.section_pages`` gives them. Items that reach over a page (``end_page``, where it is there) don't count.
+    """
+    shown = items.where(has_text(F.col("text"))).join(pages.select(*PAGE, "section_no", "height", "margin_top", "margin_bottom"), PAGE)
+    if "end_page" in items.columns:
+        shown = shown.where(F.col("end_page") == F.col("page_no"))
+    near = F.col("y_bottom") <= F.col("margin_bottom") + reach if footer else F.col("height") - F.col("y_top") <= F.col("margin_top") + reach
+    order = [F.col("y_bottom") if footer else F.col("y_top").desc(), F.col("x_left"), F.col(idx)]
     rank = F.row_number().over(Window.partitionBy(*PAGE).orderBy(*order))
-    return shown.where(near).select(*BLOCK, rank.alias("rank"), signature(F.col("text"), footer).alias("signature")).where(F.col("rank") <= depth)
+    return shown.where(near).select(*PAGE, "section_no", idx, "text", rank.alias("rank"), signature(F.col("text"), footer).alias("signature")).where(F.col("rank") <= depth)
+
+
+def _of_pages(each: DataFrame) -> DataFrame:
+    """The signature of each page: those of its items, the outermost first."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "signature")))
+    return each.groupBy("doc_id", "section_no", "page_no").agg(F.concat_ws("\n", F.transform(ordered, lambda x: x["signature"])).alias("signature"))
+
+
+def repeating_regions(items: DataFrame, pages: DataFrame, footer: bool, idx: str = "block_idx", depth: int = 3) -> DataFrame:
+    """The running header or footer of every section: the signature that most pages share, two at least; of equals the one seen first.
 
+    ``first_variant`` is the section's first page if that has a header or footer of its own, else null.
+    """
+    of_page = _of_pages(region_items(items, pages, footer, idx, depth))
+    counted = of_page.groupBy("doc_id", "section_no", "signature").agg(F.count("*").alias("pages"), F.min("page_no").alias("first_page")).where(F.col("pages") >= 2)
+    best = counted.groupBy("doc_id", "section_no").agg(F.min(F.struct((-F.col("pages")).alias("n"), "first_page", "signature")).alias("b"))
+    found = best.select("doc_id", "section_no", F.col("b.signature").alias("signature"), (-F.col("b.n")).alias("pages"), F.col("b.first_page").alias("first_page"))
+    opening = pages.select("doc_id", "section_no", F.col("first_page").alias("page_no")).distinct()
+    own = of_page.join(opening, ["doc_id", "section_no", "page_no"]).select("doc_id", "section_no", F.col("page_no").alias("opening"), F.col("signature").alias("other"))
+    variant = F.when(F.col("other") != F.col("signature"), F.col("opening"))
+    return found.join(own, ["doc_id", "section_no"], "left").select(*found.columns, variant.alias("first_variant"))
 
-def repeating_regions(blocks: DataFrame, pages: DataFrame, footer: bool, depth: int = 3) -> DataFrame:
-    """The running header or footer of every document: the signature that most pages share, two at least; of equals the one seen first."""
-    each = region_blocks(blocks, pages, footer, depth)
-    of_page = each.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("rank", "signature"))).alias("s")).select(*PAGE, F.concat_ws("\n", F.transform("s", lambda x: x["signature"])).alias("signature"))
-    counted = of_page.groupBy("doc_id", "signature").agg(F.count("*").alias("pages"), F.min("page_no").alias("first_page")).where(F.col("pages") >= 2)
-    best = counted.groupBy("doc_id").agg(F.min(F.struct((-F.col("pages")).alias("n"), "first_page", "signature")).alias("b"))
-    return best.select("doc_id", F.col("b.signature").alias("signature"), (-F.col("b.n")).alias("pages"), F.col("b.first_page").alias("first_page"))
 
+def region_members(items: DataFrame, pages: DataFrame, found: DataFrame, footer: bool, idx: str = "block_idx", depth: int = 3) -> DataFrame:
+    """The items that make the headers (or footers) that ``found`` lists, with their section: on all pages that match, and on first pages of their own kind.
 
-def without_regions(blocks: DataFrame, pages: DataFrame, found: DataFrame, footer: bool, depth: int = 3) -> DataFrame:
-    """The blocks that remain once the running headers (or footers) that ``found`` lists are taken off their pages."""
-    each = region_blocks(blocks, pages, footer, depth)
-    of_page = each.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("rank", "signature"))).alias("s")).select(*PAGE, F.concat_ws("\n", F.transform("s", lambda x: x["signature"])).alias("signature"))
-    gone = each.select(*BLOCK).join(of_page.join(found.select("doc_id", "signature"), ["doc_id", "signature"], "left_semi"), PAGE, "left_semi")
-    return blocks.join(gone, BLOCK, "left_anti")
+    ``variant`` is ``default`` or ``first`` on the page whose items are shown for all, else null.
+    """
+    each = region_items(items, pages, footer, idx, depth)
+    listed = found.select("doc_id", "section_no", F.col("signature").alias("wanted"), F.col("first_page"), F.col("first_variant"))
+    of_page = _of_pages(each).join(listed, ["doc_id", "section_no"]).where((F.col("signature") == F.col("wanted")) | (F.col("page_no") == F.col("first_variant")))
+    variant = F.when(F.col("page_no") == F.col("first_variant"), "first").when(F.col("page_no") == F.col("first_page"), "default")
+    return each.select(*PAGE, idx, "rank", "text").join(of_page.select(*PAGE, "section_no", variant.alias("variant")), PAGE)
 
 
-def region_texts(blocks: DataFrame, pages: DataFrame, found: DataFrame, footer: bool, depth: int = 3) -> DataFrame:
-    """``doc_id`` and ``texts``: those of the running header (or footer) that ``found`` lists, as its first page has them, the outermost first."""
-    each = region_blocks(blocks, pages, footer, depth).join(found.select("doc_id", F.col("first_page").alias("page_no")), PAGE).join(blocks.select(*BLOCK, "text"), BLOCK)
-    return each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("t")).select("doc_id", F.transform("t", lambda x: x["text"]).alias("texts"))
+def region_texts(members: DataFrame) -> DataFrame:
+    """``doc_id, section_no, variant, texts``: what the headers (or footers) of ``region_members`` show, the outermost first."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "text")))
+    return members.where(F.col("variant").isNotNull()).groupBy("doc_id", "section_no", "variant").agg(F.transform(ordered, lambda x: x["text"]).alias("texts"))
 
 
 def watermarks(blocks: DataFrame, pages: DataFrame, share: float = 0.8) -> DataFrame:

@@ -52,15 +52,39 @@ STATS = f"""count(*) paragraphs, sum(case when s <> '' then len(regexp_extract_a
 N = "(select doc_id, page_no + 1 page from p)"
 
 
-def _regions(footer: bool, depth: int) -> str:
-    near = "y_bottom <= margin_bottom + 24" if footer else "y_top >= height - margin_top - 24"
-    order = "y_bottom, x_left, block_idx" if footer else READ
-    return f"""with {B}, {P}, {MARGINS}, a as (select b.doc_id, b.page_no, row_number() over (partition by b.doc_id, b.page_no order by {order}) rk, {FOOTER if footer else HEADER} sig, {near} near
-      from b join m using (doc_id, page_no) where {SHOWN}),
-    f as (select doc_id, page_no, string_agg(sig, chr(10) order by rk) signature from a where near and rk <= {depth} group by all),
-    n as (select doc_id, signature, count(*) pages, min(page_no) first_page from f group by all having count(*) >= 2),
-    r as (select *, row_number() over (partition by doc_id order by pages desc, first_page, signature) rn from n)
-    select doc_id, signature, pages, first_page from r where rn = 1"""
+SAME = """(abs(h.width - p.width) <= 0.5 and abs(h.height - p.height) <= 0.5 and abs(h.margin_left - p.margin_left) <= 6 and abs(h.margin_right - p.margin_right) <= 6 and abs(h.margin_top - p.margin_top) <= 6
+  and abs(h.margin_bottom - p.margin_bottom) <= 6 and (h.spacing is null and p.spacing is null or coalesce(abs(h.spacing - p.spacing) <= 3, false)) and h.columns = p.columns and (h.width > h.height) = (p.width > p.height))"""
+SECTIONS = f"""pg as (select m.*, coalesce(c.columns, 1) columns, c.spacing, row_number() over (partition by m.doc_id order by m.page_no) rn from m left join c using (doc_id, page_no) where width is not null and height is not null),
+sec as (select doc_id, page_no, rn, 0 section_no, page_no first_page from pg where rn = 1 union all
+  select p.doc_id, p.page_no, p.rn, case when {SAME} then s.section_no else s.section_no + 1 end, case when {SAME} then s.first_page else p.page_no end
+  from sec s join pg h on h.doc_id = s.doc_id and h.page_no = s.first_page join pg p on p.doc_id = s.doc_id and p.rn = s.rn + 1),
+sp as (select sec.doc_id, sec.page_no, section_no, first_page, h.* exclude (doc_id, page_no, rn) from sec join pg h on h.doc_id = sec.doc_id and h.page_no = sec.first_page)"""
+# paragraphs: each block with text against the one before, and the role of its paragraph's first block
+END = f"right(regexp_replace(text, '[{SPACE}]+$', ''), 1)"
+WALK = f"""q0 as (select b.*, sp.* exclude (doc_id, page_no), {END} not in ('', '.', '!', '?') and not coalesce(starts_with(upper(block_role), 'H'), false) cont, row_number() over (partition by b.doc_id order by b.page_no, {READ}) r
+  from b join sp using (doc_id, page_no) where {SHOWN} and x_left is not null and y_bottom is not null and x_right is not null and y_top is not null),
+q as (select q0.*, {COLUMN_NO} col, marks.kind is not null listed from q0 left join marks using (doc_id, page_no, block_idx)),
+st as (select n.*, l.doc_id is not null and not n.listed and not coalesce(n.vertical, false) and not coalesce(l.vertical, false) and l.section_no = n.section_no and (n.columns <= 1 or l.col = n.col)
+  and case when l.page_no = n.page_no then l.y_bottom - n.y_top <= 1.2 * coalesce(nullif(n.font_size, 0), nullif(l.font_size, 0), 12.0)
+  else l.cont and l.y_top >= n.margin_bottom + greatest(2 * coalesce(nullif(n.font_size, 0), nullif(l.font_size, 0), 12.0), 24.0) and l.y_top <= n.height - n.margin_top - greatest(2 * coalesce(nullif(n.font_size, 0), nullif(l.font_size, 0), 12.0), 24.0)
+    and n.y_top >= n.height - n.margin_top - greatest(2 * coalesce(nullif(n.font_size, 0), nullif(l.font_size, 0), 12.0), 24.0) end joins
+  from q n left join q l on l.doc_id = n.doc_id and l.r = n.r - 1),
+walk as (select doc_id, page_no, block_idx, r, block_role lead_role, true new_paragraph, 1 paragraph_no from st where r = 1 union all
+  select n.doc_id, n.page_no, n.block_idx, n.r, case when n.joins and not coalesce(nullif(n.block_role, '') <> nullif(w.lead_role, ''), false) then w.lead_role else n.block_role end,
+    not (n.joins and not coalesce(nullif(n.block_role, '') <> nullif(w.lead_role, ''), false)), w.paragraph_no + case when n.joins and not coalesce(nullif(n.block_role, '') <> nullif(w.lead_role, ''), false) then 0 else 1 end
+  from walk w join st n on n.doc_id = w.doc_id and n.r = w.r + 1)"""
+
+
+def _regions(footer: bool) -> str:
+    near = "y_bottom <= margin_bottom + 24" if footer else "height - y_top <= margin_top + 24"
+    order = "y_bottom, x_left, block_idx" if footer else "y_top desc, x_left, block_idx"
+    return f"""with recursive {B}, {P}, {MARGINS}, {COLUMNS}, {SECTIONS}, a as (select b.doc_id, b.page_no, section_no, row_number() over (partition by b.doc_id, b.page_no order by {order}) rk, {FOOTER if footer else HEADER} sig
+      from b join sp using (doc_id, page_no) where {SHOWN} and {near}),
+    f as (select doc_id, section_no, page_no, string_agg(sig, chr(10) order by rk) signature from a where rk <= 3 group by all),
+    n as (select doc_id, section_no, signature, count(*) pages, min(page_no) first_page from f group by all having count(*) >= 2),
+    r as (select *, row_number() over (partition by doc_id, section_no order by pages desc, first_page, signature) rn from n)
+    select r.doc_id, r.section_no, r.signature, r.pages, r.first_page, case when o.signature <> r.signature then o.page_no end first_variant from r
+    left join (select f.* from f join sp using (doc_id, page_no) where f.page_no = sp.first_page) o using (doc_id, section_no) where rn = 1"""
 
 
 def _ligatures(x: str) -> str:
@@ -81,7 +105,7 @@ def oracle_sql() -> dict[str, str]:
             + list_position(['dot', 'paren', 'enclosed'], punctuation) end)::int number_id, count(*) n from marks group by all""",
         "signature_text": f"with {B} select doc_id, page_no, block_idx, {HEADER} header, {FOOTER} footer from b",
         "font_traits": "select distinct font_name, contains(u, 'BOLD') or contains(u, 'BLACK') or contains(u, 'HEAVY') bold, contains(u, 'ITALIC') or contains(u, 'OBLIQUE') italic, contains(u, 'UNDERLINE') or contains(u, 'UL') underline from (select font_name, upper(coalesce(font_name, '')) u from fragments)",
-        "pdf_dates": f"""with d as (select distinct doc_id, created, regexp_replace({_strip('created')}, '^D:', '') r from doc_metadata where starts_with(created, 'D:')),
+        "pdf_dates": f"""with d as (select distinct doc_id, created, regexp_replace({_strip('created')}, '^D:', '') r from doc_metadata),
             e as (select doc_id, case when regexp_matches(r, '^[0-9]{{4}}') then try_strptime(left(r, 4) || case when length(r) >= 6 then substr(r, 5, 2) else '01' end || case when length(r) >= 8 then substr(r, 7, 2) else '01' end
               || case when length(r) >= 10 then substr(r, 9, 2) else '00' end || case when length(r) >= 12 then substr(r, 11, 2) else '00' end || case when length(r) >= 14 then substr(r, 13, 2) else '00' end, '%Y%m%d%H%M%S') end l,
               regexp_extract(r, '^[0-9]{{14}}([+-])([0-9]{{2}})''?([0-9]{{2}})', 1) sg, try_cast(regexp_extract(r, '^[0-9]{{14}}[+-]([0-9]{{2}})', 1) as int) * 60 + try_cast(regexp_extract(r, '^[0-9]{{14}}[+-][0-9]{{2}}''?([0-9]{{2}})', 1) as int) mi from d),
@@ -104,7 +128,10 @@ def oracle_sql() -> dict[str, str]:
             case when width - margin_left - margin_right <= 0 then null when abs((x_left + x_right) / 2 - (margin_left + (width - margin_left - margin_right) / 2)) <= greatest(10.0, greatest(x_right - x_left, 1.0) * 0.1) then 'center'
             when x_right >= width - margin_right - 5.0 and x_left > margin_left + greatest(x_right - x_left, 1.0) * 0.25 then 'right' when greatest(x_right - x_left, 1.0) >= (width - margin_left - margin_right) * 0.9 then 'both' else 'left' end alignment,
             greatest(x_left - margin_left, 0.0) indent, case when font_size > 0 then round_even(least(greatest(greatest(y_top - y_bottom, 0) / font_size, 1.0), 2.5), 2) else 1.2 end line_spacing from pl""",
-        "heading_styles": f"""with {B}, {MARKED}, h as (select *, coalesce(avg(font_size) over (partition by doc_id order by page_no, {READ} rows between unbounded preceding and 1 preceding), font_size) mean from b where {SHOWN})
+        "sections": f"with recursive {B}, {P}, {MARGINS}, {COLUMNS}, {SECTIONS} select doc_id, page_no, section_no, first_page from sec",
+        "continuations": f"with recursive {B}, {P}, {MARGINS}, {COLUMNS}, {SECTIONS}, {MARKED}, {WALK} select doc_id, page_no, block_idx, new_paragraph, paragraph_no from walk",
+        "heading_styles": f"""with recursive {B}, {P}, {MARGINS}, {COLUMNS}, {SECTIONS}, {MARKED}, {WALK}, h as (select b.*, coalesce(avg(font_size) over (partition by doc_id order by page_no, {READ} rows between unbounded preceding and 1 preceding), font_size) mean
+              from b join (select doc_id, page_no, block_idx from walk where new_paragraph) using (doc_id, page_no, block_idx) where {SHOWN})
             select h.doc_id, h.page_no, h.block_idx, case when marks.kind is not null then 'ListParagraph' when regexp_matches(upper(block_role), '^H[0-9]+$') then 'Heading' || substr(block_role, 2) when upper(block_role) = 'TITLE' then 'Title'
             when upper(block_role) = 'SUBTITLE' then 'Subtitle' when upper(block_role) in ('QUOTE', 'BLOCKQUOTE') then 'Quote' when upper(block_role) in ('CODE', 'PRE') then 'Code' when upper(block_role) = 'CAPTION' then 'Caption'
             when font_size / mean >= 1.8 then 'Heading1' when font_size / mean >= 1.5 then 'Heading2' when font_size / mean >= 1.3 then 'Heading3' end style from h left join marks using (doc_id, page_no, block_idx)""",
@@ -125,8 +152,7 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, page_no, block_idx, link_idx, score from r where rn = 1""",
         "comment_matches": f"""with {B}, o as (select doc_id, page_no, block_idx annot_idx, x_left + 2 lx, y_bottom + 6 bx, x_right + 2 rx, y_top + 6 ty from b where color is null and trim(coalesce(text, '')) <> ''),
             s as (select b.doc_id, b.page_no, b.block_idx para_idx, annot_idx, {SCORE} score from b join o using (doc_id, page_no) where block_role is not null),
-            q as (select *, row_number() over (partition by doc_id, page_no, para_idx order by score desc, annot_idx) rn from s where score > 0.1),
-            r as (select *, row_number() over (partition by doc_id, page_no, annot_idx order by score desc, para_idx) rk from q where rn = 1)
+            r as (select *, row_number() over (partition by doc_id, page_no, annot_idx order by score desc, para_idx) rk from s where score > 0.1)
             select doc_id, page_no, annot_idx, para_idx, row_number() over (partition by doc_id order by page_no, annot_idx) - 1 comment_id from r where rk = 1""",
         "background_matches": f"""with {B}, o as (select doc_id, page_no, block_idx path_idx, x_left - 10 lx, y_bottom - 30 bx, x_right + 300 rx, y_top + 30 ty, background_color fill, coalesce(opacity, 1.0) alpha from b where background_color is not null),
             s as (select b.doc_id, b.page_no, b.block_idx, path_idx, fill, alpha, row_number() over (partition by b.doc_id, b.page_no, b.block_idx order by path_idx) rn from b join o using (doc_id, page_no)
@@ -141,8 +167,8 @@ def oracle_sql() -> dict[str, str]:
             v as (select doc_id, marker, page_no body_page, seq, case when k <= n0 then page_no else page_no - 1 end mp, case when k <= n0 then k else k - n0 + used end mk from w)
             select v.doc_id, v.marker, body_page, v.seq, mp marker_page, m1.seq marker_seq, row_number() over (partition by v.doc_id order by body_page, v.seq) + 1 footnote_id
             from v join m1 on m1.doc_id = v.doc_id and m1.marker = v.marker and m1.page_no = v.mp and m1.k = v.mk""",
-        "header_regions": _regions(False, 3),
-        "footer_regions": _regions(True, 1),
+        "header_regions": _regions(False),
+        "footer_regions": _regions(True),
         "watermarks": f"""with {B}, {P}, s as (select b.doc_id, b.page_no, {_strip('text')} text, (x_left + x_right) / 2 / width x, (y_bottom + y_top) / 2 / height y from b join p using (doc_id, page_no)
               where {SHOWN} and (opacity is null or opacity <= 0.8)), z as (select doc_id, count(*) n from p group by 1 having count(*) > 1),
             f as (select doc_id, text, round_even(x * 100, 0)::int x_percent, round_even(y * 100, 0)::int y_percent, count(distinct page_no) pages from s where x between 0.2 and 0.8 and y between 0.2 and 0.8 group by all)

@@ -83,7 +83,7 @@ def font_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = text.pdf_date(F.col("created"))
     meta = table(spark, sf_dir, "doc_metadata").select("doc_id", "created").distinct()
-    return meta.where(F.col("created").startswith("D:")).select("doc_id", F.unix_micros(at).alias("utc_us"), text.w3c(at).alias("w3c"))
+    return meta.select("doc_id", F.unix_micros(at).alias("utc_us"), text.w3c(at).alias("w3c"))
 
 
 def footnote_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,9 @@ def block_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heading_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.heading_styles(_blocks(spark, sf_dir, "font_size", "block_role"))
+    """Styles of the blocks that begin paragraphs."""
+    begins = continuations(spark, sf_dir).where("new_paragraph").select(*BLOCK)
+    return layout.heading_styles(_blocks(spark, sf_dir, "font_size", "block_role").join(begins, BLOCK))
 
 
 def block_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +137,8 @@ def block_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.continuations(layout.placed(_blocks(spark, sf_dir, "font_size", "block_role", "vertical"), _pages(spark, sf_dir)))
+    b = _blocks(spark, sf_dir, "font_size", "block_role", "vertical")
+    return folds.continuations(b, folds.section_pages(b, _pages(spark, sf_dir)))
 
 
 def page_and_column_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,11 +195,13 @@ def footnote_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.repeating_regions(_blocks(spark, sf_dir), _pages(spark, sf_dir), footer=False)
+    b = _blocks(spark, sf_dir)
+    return regions.repeating_regions(b, folds.section_pages(b, _pages(spark, sf_dir)), footer=False)
 
 
 def footer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.repeating_regions(_blocks(spark, sf_dir), _pages(spark, sf_dir), footer=True, depth=1)
+    b = _blocks(spark, sf_dir)
+    return regions.repeating_regions(b, folds.section_pages(b, _pages(spark, sf_dir)), footer=True)
 
 
 def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
