@@ -175,3 +175,54 @@ def human_size(n: Column) -> Column:
         test = n < 1024 ** (k + 1)
         out = F.when(test, shown) if out is None else out.when(test, shown)
     return out
+
+
+# Roles of a structure tree, by what they make of a block.
+ANNOTATION_ROLES = ("ANNOT", "ANNOTATION", "NOTE", "COMMENT")
+EQUATION_ROLES = ("FORMULA", "MATH", "EQUATION")
+CELL_ROLES = ("TD", "TH", "CELL", "TABLECELL", "HEADER", "DATA")
+HEADER_ROLES = ("TH", "THEAD", "HEADER", "TABLEHEADER")
+
+
+def has_role(role: Column, names: tuple[str, ...]) -> Column:
+    """Whether a role is one of these; false for none."""
+    return F.coalesce(F.upper(role).isin(*names), F.lit(False))
+
+
+def element_kind(role: Column) -> Column:
+    """What a block becomes in a document: an annotation, an equation, a cell or a paragraph."""
+    kinds = (("annotation", ANNOTATION_ROLES), ("equation", EQUATION_ROLES), ("cell", CELL_ROLES))
+    out = F.when(has_role(role, kinds[0][1]), kinds[0][0])
+    for name, roles in kinds[1:]:
+        out = out.when(has_role(role, roles), name)
+    return out.otherwise("paragraph")
+
+
+def bookmark_name(text: Column) -> Column:
+    """As ``anchor_name``; ``bookmark`` where nothing of it is left."""
+    name = anchor_name(text)
+    return F.when(F.coalesce(F.regexp_replace(name, "_", ""), F.lit("")) == "", "bookmark").otherwise(name)
+
+
+_NOTE = r"^\s*([0-9A-Za-z]{1,3}|[*†‡])(?:[.)]|\s)+"
+
+
+def footnote_body(text: Column) -> Column:
+    """The marker that a footnote's text begins with and the length of what stands before the note itself (``marker``, ``prefix``); else null."""
+    found = F.regexp_extract(text, _NOTE, 0)
+    marker = footnote_marker(F.regexp_extract(text, _NOTE, 1))
+    good = (found != "") & marker.isNotNull() & (F.length(found) < F.length(text))
+    return F.when(good, F.struct(marker.alias("marker"), F.length(found).alias("prefix")))
+
+
+def without_prefix(runs: Column, n: Column) -> Column:
+    """Runs without their first ``n`` characters; runs that are used up are left out."""
+    start = lambda i: F.aggregate(F.slice(runs, F.lit(1), i), F.lit(0), lambda a, r: a + F.length(F.coalesce(r["text"], F.lit(""))))
+    cut = lambda r, i: r.withField("text", F.substring(r["text"], F.greatest(n - start(i), F.lit(0)) + 1, F.length(r["text"])))
+    return F.filter(F.transform(runs, cut), lambda r: F.length(F.coalesce(r["text"], F.lit(""))) > 0)
+
+
+def joined_hyphen(text: Column, behind: Column) -> Column:
+    """A run's text without the hyphen at its end if the text behind begins with a small letter."""
+    small = F.substring(behind, 1, 1).rlike(r"^\p{Ll}$")
+    return F.when(F.coalesce(small & text.endswith("-"), F.lit(False)), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)

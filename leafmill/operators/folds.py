@@ -392,9 +392,9 @@ def detect_tables(blocks: DataFrame, lines: DataFrame | None = None) -> DataFram
 
     A row of header cells alone is a header (``header_row``).
     """
-    role = F.upper(F.coalesce("block_role", F.lit("")))
+    role = F.col("block_role")
     none = lambda kind: F.lit(None).cast(kind)
-    shown = _whole(blocks).select(*BLOCK, *_BOX, "text", (role == "TH").alias("header"), role.isin("TD", "TH").alias("cell"), has_text(F.col("text")).alias("shown"), *(none("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    shown = _whole(blocks).select(*BLOCK, *_BOX, "text", text.has_role(role, text.HEADER_ROLES).alias("header"), text.has_role(role, text.CELL_ROLES).alias("cell"), has_text(F.col("text")).alias("shown"), *(none("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
     if lines is not None:
         other = lines.where(F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull())
         shown = shown.unionByName(other.select(*PAGE, "x0", "y0", "x1", "y1"), allowMissingColumns=True)
@@ -410,6 +410,12 @@ def detect_tables(blocks: DataFrame, lines: DataFrame | None = None) -> DataFram
     return fold(shown, PAGE, reading(), step, schema)
 
 
+def leading_header_rows(cells: DataFrame) -> DataFrame:
+    """How many rows of a table (``cells`` as ``detect_tables`` gives them) are headers before the first that is none."""
+    plain = F.when(~F.col("header_row"), F.col("row_no"))
+    return cells.groupBy(*PAGE, "table_no").agg(F.coalesce(F.min(plain), F.max("row_no") + 1).alias("header_rows"))
+
+
 def match_pictures(blocks: DataFrame, images: DataFrame, least: float = 0.25) -> DataFrame:
     """The picture of each equation block, one to one: the first unused one that covers ``least`` of the block.
 
@@ -447,7 +453,7 @@ def tagged_tables(blocks: DataFrame, least: int = 4, tolerance: float = 12.0) ->
                 yield c["block_idx"], k, r, col, rows, cols, c["header"], c["text"]
             k += 1
 
-    role = F.upper("block_role")
-    shown = _whole(blocks).where(role.isin("TD", "TH")).select(*BLOCK, *_BOX, "text", (role == "TH").alias("header"))
+    role = F.col("block_role")
+    shown = _whole(blocks).where(text.has_role(role, text.CELL_ROLES)).select(*BLOCK, *_BOX, "text", text.has_role(role, text.HEADER_ROLES).alias("header"))
     schema = "block_idx int, table_no int, row_no int, column_no int, row_span int, column_span int, header boolean, text string"
     return fold(shown, PAGE, reading(), step, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..functions.text import list_marker, strip
+from ..functions.text import EQUATION_ROLES, has_role, list_marker, strip
 
 PAGE = ["doc_id", "page_no"]
 BLOCK = [*PAGE, "block_idx"]
@@ -140,6 +140,25 @@ def roles_to_blocks(roles: DataFrame, blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("k", k).join(numbered, [*PAGE, "k"], "left").select(*BLOCK, "role")
 
 
+def chained_roles(of_page: DataFrame, of_file: DataFrame) -> DataFrame:
+    """Roles for each page (``role_idx, role``): its own, then those of the whole file (``doc_id, role_idx, role``), which each page without enough goes through."""
+    own = of_page.select(*PAGE, F.lit(0).alias("source"), "role_idx", "role")
+    pages = of_page.select(*PAGE).distinct()
+    both = own.unionByName(pages.join(of_file.select("doc_id", F.lit(1).alias("source"), "role_idx", "role"), "doc_id"))
+    k = F.row_number().over(Window.partitionBy(*PAGE).orderBy("source", "role_idx")) - 1
+    return both.select(*PAGE, k.alias("role_idx"), "role")
+
+
+def equation_lines(blocks: DataFrame, lines: DataFrame, least: float = 0.5) -> DataFrame:
+    """The lines that cover ``least`` of an equation's block at least: ``lines``, their numbers in order. A line without an area covers nothing.
+
+    ``lines`` have ``line_idx, x0, y0, x1, y1``; blocks without such lines have no row.
+    """
+    edges = [F.least("x0", "x1").alias("b_x_left"), F.least("y0", "y1").alias("b_y_bottom"), F.greatest("x0", "x1").alias("b_x_right"), F.greatest("y0", "y1").alias("b_y_top")]
+    both = overlaps(blocks.where(has_role(F.col("block_role"), EQUATION_ROLES)), lines.select(*PAGE, "line_idx", *edges), BLOCK, "line_idx", 0.0)
+    return both.where(F.col("score") >= least).groupBy(*BLOCK).agg(F.array_sort(F.collect_list("line_idx")).alias("lines"))
+
+
 def box(prefix: str = "") -> tuple[Column, Column, Column, Column]:
     return tuple(F.col(prefix + c) for c in ("x_left", "y_bottom", "x_right", "y_top"))
 
@@ -148,7 +167,8 @@ def overlaps(blocks: DataFrame, boxes: DataFrame, keys: list[str], box_key: str,
     """Pairs of blocks and boxes of their page (columns with the prefix ``b_``) that cover more than ``least`` of the block, as ``score``."""
     area = F.greatest(geometry.extent(F.col("x_left"), F.col("x_right")) * geometry.extent(F.col("y_bottom"), F.col("y_top")), F.lit(1.0))
     score = geometry.overlap(box(), box("b_")) / area
-    both = blocks.select(*keys, "x_left", "y_bottom", "x_right", "y_top").join(boxes, PAGE).withColumn("score", score).where(F.col("score") > least)
+    edges = ["x_left", "y_bottom", "x_right", "y_top"]
+    both = blocks.select(*keys, *edges).dropna(subset=edges).join(boxes.dropna(subset=[f"b_{e}" for e in edges]), PAGE).withColumn("score", score).where(F.col("score") > least)
     return both.select(*keys, box_key, "score")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import has_text, overlaps
+from ..functions.text import ANNOTATION_ROLES, footnote_body, has_role
+from .layout import PAGE, has_text, overlaps
 
 
 def match_footnotes(markers: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -30,6 +31,25 @@ def match_footnotes(markers: DataFrame, bodies: DataFrame) -> DataFrame:
     return found.select("doc_id", "marker", "body_page", "seq", F.col("page_no").alias("marker_page"), "marker_seq", number.alias("footnote_id"))
 
 
+def footnote_bodies(paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Paragraphs that may be a footnote's text: ``doc_id, page_no, seq, marker, prefix``.
+
+    They are no list items, stand within 72 points or 15 % of the page above the bottom margin, their runs have 12.5 points
+    at most on average, and they begin with a marker. ``paragraphs`` have ``para_idx, text, runs, number_id`` and edges;
+    ``pages`` are as ``folds.section_pages`` gives them.
+    """
+    size = F.expr("aggregate(filter(runs, r -> r.font_size > 0), cast(0 as double), (a, r) -> a + r.font_size) / nullif(size(filter(runs, r -> r.font_size > 0)), 0)")
+    low = F.col("y_top") <= F.col("margin_bottom") + F.greatest(F.lit(72.0), F.col("height") * 0.15)
+    shown = paragraphs.where(F.col("number_id").isNull() & (F.col("y_top") > F.col("y_bottom"))).join(pages.select(*PAGE, "height", "margin_bottom"), PAGE)
+    found = shown.where(low & (F.coalesce(size, F.lit(0.0)) <= 12.5)).withColumn("note", footnote_body(F.col("text"))).where(F.col("note").isNotNull())
+    return found.select(*PAGE, F.col("para_idx").alias("seq"), "note.marker", "note.prefix")
+
+
+def annotation_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks whose role is that of an annotation, as annotations: ``annot_idx`` counts on from the page's blocks."""
+    return blocks.where(has_role(F.col("block_role"), ANNOTATION_ROLES)).select(*PAGE, F.col("block_idx").alias("annot_idx"), "text", F.lit(None).cast("string").alias("author"), "x_left", "y_bottom", "x_right", "y_top")
+
+
 def match_comments(annotations: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """The paragraph of each annotation with text: the one that it covers most, a tenth at least; ids from 0 in order of pages and annotations.
 

@@ -69,6 +69,17 @@ def split_pages(pages: DataFrame, wanted: list[int], page: str = "page") -> Data
     return split_ranges(pages, [(p, p) for p in sorted(set(wanted))], page)
 
 
+def split(pages: DataFrame, mode: str, ranges: str | Iterable | None = None, wanted: Iterable | None = None, page: str = "page") -> DataFrame:
+    """Parts by ``mode``: ``range`` (``ranges`` as ``parse_ranges`` takes them) or ``pages`` (``wanted`` as ``normalise_pages``); anything else is an error."""
+    if mode == "range":
+        return split_ranges(pages, parse_ranges(ranges), page)
+    if mode != "pages":
+        raise InvalidRange(f"there is no mode {mode} of splitting")
+    if wanted is None:
+        raise InvalidRange("splitting by pages needs pages")
+    return split_pages(pages, normalise_pages(wanted), page)
+
+
 def extract_pages(pages: DataFrame, wanted: list[int], page: str = "page") -> DataFrame:
     """The wanted pages as one output: each once, in order (``new_page``)."""
     kept = sorted(set(wanted))

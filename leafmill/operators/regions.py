@@ -14,8 +14,9 @@ def region_items(items: DataFrame, pages: DataFrame, footer: bool, idx: str = "b
 
     ``pages`` are as ``folds.section_pages`` gives them. Items that reach over a page (``end_page``, where it is there) don't count.
     """
-    shown = items.where(has_text(F.col("text"))).join(pages.select(*PAGE, "section_no", "height", "margin_top", "margin_bottom"), PAGE)
-    if "end_page" in items.columns:
+    more = ["end_page"] if "end_page" in items.columns else []
+    shown = items.where(has_text(F.col("text"))).select(*PAGE, idx, "text", "x_left", "y_bottom", "y_top", *more).join(pages.select(*PAGE, "section_no", "height", "margin_top", "margin_bottom"), PAGE)
+    if more:
         shown = shown.where(F.col("end_page") == F.col("page_no"))
     near = F.col("y_bottom") <= F.col("margin_bottom") + reach if footer else F.col("height") - F.col("y_top") <= F.col("margin_top") + reach
     order = [F.col("y_bottom") if footer else F.col("y_top").desc(), F.col("x_left"), F.col(idx)]

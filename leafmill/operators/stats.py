@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.media import average_dpi
+
 from ..functions.text import blank_to_null, strip, words
 
 # What documents get that say nothing of themselves.
@@ -62,3 +64,11 @@ def overlay(base: DataFrame, over: DataFrame, key: str, columns: list[str]) -> D
     other = over.select(key, *(F.col(c).alias(f"_o_{c}") for c in columns))
     both = base.join(other, key, "left")
     return both.select(*(F.coalesce(f"_o_{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns))
+
+
+def image_statistics(images: DataFrame, pages: DataFrame) -> DataFrame:
+    """``doc_id, pages, images, average_dpi``: images have ``width_px, height_px`` and edges; those without a size count but say nothing of the mean."""
+    dpi = average_dpi(F.col("width_px"), F.col("height_px"), F.col("x_right") - F.col("x_left"), F.col("y_top") - F.col("y_bottom"))
+    found = images.groupBy("doc_id").agg(F.count("*").alias("images"), F.avg(dpi).alias("average_dpi"))
+    size = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    return size.join(found, "doc_id", "left").select("doc_id", "pages", F.coalesce("images", F.lit(0)).alias("images"), "average_dpi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -28,21 +29,28 @@ TYPES = {
     "/word/document.xml": WORD + "document.main+xml",
     "/word/styles.xml": WORD + "styles+xml",
     "/word/numbering.xml": WORD + "numbering+xml",
-    "/word/header.xml": WORD + "header+xml",
-    "/word/footer.xml": WORD + "footer+xml",
     "/word/footnotes.xml": WORD + "footnotes+xml",
     "/word/comments.xml": WORD + "comments+xml",
     "/docProps/core.xml": "application/vnd.openxmlformats-package.core-properties+xml",
     "/docProps/app.xml": "application/vnd.openxmlformats-officedocument.extended-properties+xml",
 }
+# Parts that may be there several times, picture formats, style names and their sizes in half points.
+NUMBERED = {"header": WORD + "header+xml", "footer": WORD + "footer+xml"}
+PICTURES = {"image/png": "png", "image/jpeg": "jpeg", "image/gif": "gif", "image/bmp": "bmp"}
 STYLES = ["Normal", "Title", "Subtitle", "Heading1", "Heading2", "Heading3", "ListParagraph", "Quote", "Caption", "Code"]
-HEADING_SIZES = {"Title": 56, "Subtitle": 32, "Heading1": 36, "Heading2": 30, "Heading3": 26}
+HEADING_SIZES = {"Title": 48, "Subtitle": 28, "Heading1": 32, "Heading2": 26, "Heading3": 22}
 ALIGNMENTS = {"left": "left", "right": "right", "center": "center", "both": "both"}
 BREAKS = {"line": None, "page": "page", "column": "column"}
 #: What XML can't hold.
 _ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff￾￿]")
 
-for _prefix, _uri in (("w", W), ("r", R), ("cp", CP), ("dc", DC), ("dcterms", TERMS), ("xsi", XSI)):
+# Namespaces of drawings.
+DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
+WP, A, PIC = f"{DRAWING}/wordprocessingDrawing", f"{DRAWING}/main", f"{DRAWING}/picture"
+#: A section where none is given: US letter with margins of an inch.
+PLAIN = {"width": 612.0, "height": 792.0, "margin_left": 72.0, "margin_right": 72.0, "margin_top": 72.0, "margin_bottom": 72.0, "columns": 1, "spacing": None}
+
+for _prefix, _uri in (("wp", WP), ("a", A), ("pic", PIC), ("w", W), ("r", R), ("cp", CP), ("dc", DC), ("dcterms", TERMS), ("xsi", XSI)):
     ET.register_namespace(_prefix, _uri)
 
 
@@ -61,22 +69,38 @@ def _xml(root: ET.Element) -> bytes:
     return ET.tostring(root, "utf-8", xml_declaration=True)
 
 
+def _type_of(name: str) -> str | None:
+    """The content type of a part that must be declared by its name."""
+    kind = re.fullmatch(r"word/(header|footer)\d+\.xml", name)
+    return NUMBERED[kind[1]] if kind else TYPES.get(f"/{name}")
+
+
 class Package:
     """The parts of one document while it is built."""
 
     def __init__(self) -> None:
+        self.related: list[tuple[str, str, str, bool]] = [("rId1", "styles", "styles.xml", False), ("rId2", "numbering", "numbering.xml", False)]
         self.targets: dict[str, str] = {}
+        self.media: dict[str, bytes] = {}
+        self.edges: dict[str, bytes] = {}
         self.comments: list[tuple[str, str]] = []
         self.footnotes: list[str] = []
+        self.bookmarks = 0
         self.body = ET.Element(_w("document"))
         self.place = ET.SubElement(self.body, _w("body"))
 
+    def relation(self, kind: str, target: str, outside: bool = False) -> str:
+        self.related.append((f"rId{len(self.related) + 1}", kind, target, outside))
+        return self.related[-1][0]
+
     def link(self, target: str) -> str:
         """The relationship of a target; equal targets share one."""
-        return self.targets.setdefault(target, f"rId{len(self.targets) + 3}")
+        if target not in self.targets:
+            self.targets[target] = self.relation("hyperlink", target, True)
+        return self.targets[target]
 
-    def paragraph(self, p: dict) -> None:
-        e = _add(self.place, "p")
+    def paragraph(self, p: dict, parent: ET.Element | None = None) -> None:
+        e = _add(self.place if parent is None else parent, "p")
         form = ET.Element(_w("pPr"))
         if p.get("style"):
             _add(form, "pStyle", val=p["style"])
@@ -86,22 +110,129 @@ class Package:
             n = _add(form, "numPr")
             _add(n, "ilvl", val=max(0, min(p.get("level") or 0, 8)))
             _add(n, "numId", val=p["number_id"])
+        if p.get("space_before") or p.get("space_after"):
+            _add(form, "spacing", **{k: round((p.get(f"space_{k}") or 0) * 20) for k in ("before", "after")})
+        if p.get("indent"):
+            _add(form, "ind", left=round(p["indent"] * 20))
         if p.get("alignment") in ALIGNMENTS:
             _add(form, "jc", val=ALIGNMENTS[p["alignment"]])
         if len(form):
             e.append(form)
+        if p.get("column_break"):
+            _add(_add(e, "r"), "br", type="column")
+        for name in p.get("bookmarks") or []:
+            _add(e, "bookmarkStart", id=self.bookmarks, name=name)
+            _add(e, "bookmarkEnd", id=self.bookmarks)
+            self.bookmarks += 1
+        notes = list(p.get("comments") or []) + ([{"author": p.get("comment_author"), "text": p["comment"]}] if p.get("comment") else [])
+        first = len(self.comments)
+        for k, c in enumerate(notes, first):
+            self.comments.append((c.get("author") or "", c.get("text") or ""))
+            _add(e, "commentRangeStart", id=k)
         for run in p.get("runs") or []:
             self._run(e, run)
-        if p.get("comment"):
-            self.comments.append((p.get("comment_author") or "", p["comment"]))
-            _add(_add(e, "r"), "commentReference", id=len(self.comments) - 1)
+        for k in range(first, first + len(notes)):
+            _add(e, "commentRangeEnd", id=k)
+            _add(_add(e, "r"), "commentReference", id=k)
         if p.get("footnote"):
             self.footnotes.append(p["footnote"])
             _add(_add(e, "r"), "footnoteReference", id=len(self.footnotes) + 1)
 
+    def table(self, cells: list[dict]) -> None:
+        """A grid of cells with spans; what a cell spans below it continues there, and places without a cell are empty."""
+        rows, columns = max(c["row_no"] + c["row_span"] for c in cells), max(c["column_no"] + c["column_span"] for c in cells)
+        grid: dict[tuple[int, int], tuple[dict, bool]] = {}
+        for c in sorted(cells, key=lambda c: (c["row_no"], c["column_no"])):
+            for r in range(c["row_no"], c["row_no"] + c["row_span"]):
+                grid.setdefault((r, c["column_no"]), (c, r > c["row_no"]))
+        table = _add(self.place, "tbl")
+        form = _add(table, "tblPr")
+        _add(form, "tblW", w=0, type="auto")
+        borders = _add(form, "tblBorders")
+        for side in ("top", "left", "bottom", "right", "insideH", "insideV"):
+            _add(borders, side, val="single", sz=4, space=0, color="auto")
+        widths = _add(table, "tblGrid")
+        for _ in range(columns):
+            _add(widths, "gridCol", w=round(9360 / columns))
+        heads = {r for r in range(rows) if any(c["row_no"] == r for c in cells) and all(c["header_row"] for c in cells if c["row_no"] == r)}
+        leading = next((r for r in range(rows) if r not in heads), rows)
+        for r in range(rows):
+            row = _add(table, "tr")
+            if r < leading:
+                _add(_add(row, "trPr"), "tblHeader")
+            k = 0
+            while k < columns:
+                c, goes_on = grid.get((r, k), (None, False))
+                span = 1
+                if c:
+                    while span < c["column_span"] and (r, k + span) not in grid:
+                        span += 1
+                cell = _add(row, "tc")
+                form = _add(cell, "tcPr")
+                if span > 1:
+                    _add(form, "gridSpan", val=span)
+                if c and c["row_span"] > 1:
+                    _add(form, "vMerge", **({} if goes_on else {"val": "restart"}))
+                texts = [x for o in cells if o["row_no"] == r and o["column_no"] == k for x in (o["text"] or "").split("\n")] if c and not goes_on else []
+                for text in texts or [""]:
+                    runs = [{"text": text, "bold": c["header"]}] if c and text else []
+                    self.paragraph({"runs": runs, "alignment": c["alignment"] if c and text else None}, cell)
+                k += span
+
+    def picture(self, image: dict) -> None:
+        """A picture in a paragraph of its own; equal pictures are one part."""
+        mime = image["mime_type"] if image["mime_type"] in PICTURES else "image/png"
+        name = f"media/{hashlib.sha256(image['data']).hexdigest()[:16]}.{PICTURES[mime]}"
+        if name not in self.media:
+            self.media[name] = bytes(image["data"])
+            self.targets[name] = self.relation("image", name)
+        wide, high = (max(1, round(max(image[k] or 1.0, 1.0) * 12_700)) for k in ("width", "height"))
+        drawing = _add(_add(_add(self.place, "p"), "r"), "drawing")
+        box = ET.SubElement(drawing, f"{{{WP}}}inline")
+        ET.SubElement(box, f"{{{WP}}}extent", {"cx": str(wide), "cy": str(high)})
+        ET.SubElement(box, f"{{{WP}}}docPr", {"id": str(image["number"]), "name": f"Picture {image['number']}"})
+        data = ET.SubElement(ET.SubElement(box, f"{{{A}}}graphic"), f"{{{A}}}graphicData", {"uri": PIC})
+        pic = ET.SubElement(data, f"{{{PIC}}}pic")
+        head = ET.SubElement(pic, f"{{{PIC}}}nvPicPr")
+        ET.SubElement(head, f"{{{PIC}}}cNvPr", {"id": str(image["number"]), "name": name.split("/")[1]})
+        ET.SubElement(head, f"{{{PIC}}}cNvPicPr")
+        fill = ET.SubElement(pic, f"{{{PIC}}}blipFill")
+        ET.SubElement(fill, f"{{{A}}}blip", {f"{{{R}}}embed": self.targets[name]})
+        ET.SubElement(ET.SubElement(fill, f"{{{A}}}stretch"), f"{{{A}}}fillRect")
+        shape = ET.SubElement(pic, f"{{{PIC}}}spPr")
+        size = ET.SubElement(shape, f"{{{A}}}xfrm")
+        ET.SubElement(size, f"{{{A}}}off", {"x": "0", "y": "0"})
+        ET.SubElement(size, f"{{{A}}}ext", {"cx": str(wide), "cy": str(high)})
+        ET.SubElement(ET.SubElement(shape, f"{{{A}}}prstGeom", {"prst": "rect"}), f"{{{A}}}avLst")
+
+    def section(self, section: dict, edges: list[dict], last: bool) -> None:
+        """The end of a section: in the last paragraph before it, or at the end of the body."""
+        end = ET.Element(_w("sectPr"))
+        for x in sorted(edges, key=lambda x: (x["kind"] != "header", x["variant"])):
+            name = f"{x['kind']}{len(self.edges) + 1}.xml"
+            self.edges[f"word/{name}"] = _edge(x["kind"], x["texts"])
+            ET.SubElement(end, _w(f"{x['kind']}Reference"), {_w("type"): x["variant"], f"{{{R}}}id": self.relation(x["kind"], name)})
+        _add(end, "pgSz", w=round(section["width"] * 20), h=round(section["height"] * 20), **({"orient": "landscape"} if section["width"] > section["height"] else {}))
+        _add(end, "pgMar", **{k: round(section[f"margin_{k}"] * 20) for k in ("top", "right", "bottom", "left")}, header=720, footer=720, gutter=0)
+        if (section["columns"] or 1) > 1:
+            _add(end, "cols", num=section["columns"], space=round((section["spacing"] or 36.0) * 20))
+        if any(x["variant"] == "first" for x in edges):
+            _add(end, "titlePg")
+        if last:
+            self.place.append(end)
+            return
+        before = self.place[-1] if len(self.place) and self.place[-1].tag == _w("p") else _add(self.place, "p")
+        form = before.find(_w("pPr"))
+        if form is None:
+            form = ET.Element(_w("pPr"))
+            before.insert(0, form)
+        form.append(end)
+
     def _run(self, parent: ET.Element, run: dict) -> None:
         target = run.get("hyperlink_target")
-        if target:
+        if target and target.startswith("#"):
+            parent = _add(parent, "hyperlink", anchor=target[1:])
+        elif target:
             parent = ET.SubElement(parent, _w("hyperlink"), {f"{{{R}}}id": self.link(target)})
         r = _add(parent, "r")
         form = ET.Element(_w("rPr"))
@@ -131,24 +262,14 @@ class Package:
             kind = BREAKS.get(run["break_type"])
             _add(r, "br", **({"type": kind} if kind else {}))
 
-    def parts(self, core: dict, stats: dict, size: tuple[float, float], header: list[str] | None = None, footer: list[str] | None = None) -> dict[str, bytes]:
-        end = _add(self.place, "sectPr")
-        edges = [(name, texts) for name, texts in (("header", header), ("footer", footer)) if texts]
-        for k, (name, _) in enumerate(edges, len(self.targets) + 3):
-            ET.SubElement(end, _w(f"{name}Reference"), {_w("type"): "default", f"{{{R}}}id": f"rId{k}"})
-        wide = size[0] > size[1]
-        _add(end, "pgSz", w=round(size[0] * 20), h=round(size[1] * 20), **({"orient": "landscape"} if wide else {}))
-        _add(end, "pgMar", top=1440, right=1440, bottom=1440, left=1440, header=720, footer=720, gutter=0)
+    def parts(self, core: dict, stats: dict) -> dict[str, bytes]:
         out = {"word/document.xml": _xml(self.body), "word/styles.xml": _styles(), "word/numbering.xml": _numbering(), "docProps/core.xml": _core(core), "docProps/app.xml": _app(stats)}
-        related = [("rId1", "styles", "styles.xml", False), ("rId2", "numbering", "numbering.xml", False), *((i, "hyperlink", t, True) for t, i in self.targets.items())]
-        for name, texts in edges:
-            out[f"word/{name}.xml"] = _edge(name, texts)
-            related.append((f"rId{len(related) + 1}", name, f"{name}.xml", False))
+        out |= self.edges | {f"word/{n}": x for n, x in self.media.items()}
         for name, entries in (("footnotes", [("", t) for t in self.footnotes]), ("comments", self.comments)):
             if entries:
                 out[f"word/{name}.xml"] = _notes(name, entries)
-                related.append((f"rId{len(related) + 1}", name, f"{name}.xml", False))
-        out["word/_rels/document.xml.rels"] = _relations(related)
+                self.relation(name, f"{name}.xml")
+        out["word/_rels/document.xml.rels"] = _relations(self.related)
         main = [("rId1", "officeDocument", "word/document.xml", False), ("rId2", P + "/relationships/metadata/core-properties", "docProps/core.xml", False), ("rId3", "extended-properties", "docProps/app.xml", False)]
         out["_rels/.rels"] = _relations(main)
         out["[Content_Types].xml"] = _types(out)
@@ -244,18 +365,19 @@ def _relations(related: list[tuple[str, str, str, bool]]) -> bytes:
 
 def _types(parts: dict[str, bytes]) -> bytes:
     root = ET.Element(f"{{{P}/content-types}}Types")
-    for ending, kind in (("rels", "application/vnd.openxmlformats-package.relationships+xml"), ("xml", "application/xml")):
+    pictures = [(ending, mime) for mime, ending in PICTURES.items() if any(n.endswith(f".{ending}") for n in parts)]
+    for ending, kind in (("rels", "application/vnd.openxmlformats-package.relationships+xml"), ("xml", "application/xml"), *pictures):
         ET.SubElement(root, f"{{{P}/content-types}}Default", {"Extension": ending, "ContentType": kind})
     for name in sorted(parts):
-        if f"/{name}" in TYPES:
-            ET.SubElement(root, f"{{{P}/content-types}}Override", {"PartName": f"/{name}", "ContentType": TYPES[f"/{name}"]})
+        if kind := _type_of(name):
+            ET.SubElement(root, f"{{{P}/content-types}}Override", {"PartName": f"/{name}", "ContentType": kind})
     return _xml(root)
 
 
 def check(parts: dict[str, bytes]) -> None:
     """The package is well-formed, relationship ids are unique, their targets exist, and each typed part is declared."""
     try:
-        trees = {n: ET.fromstring(x) for n, x in parts.items()}
+        trees = {n: ET.fromstring(x) for n, x in parts.items() if n.endswith((".xml", ".rels"))}
     except ET.ParseError as e:
         raise InvalidDocument(f"a part isn't well-formed: {e}") from e
     for name, tree in trees.items():
@@ -269,7 +391,7 @@ def check(parts: dict[str, bytes]) -> None:
             if r.get("TargetMode") != "External" and base + r.get("Target") not in parts:
                 raise InvalidDocument(f"{name} leads to {r.get('Target')}, which isn't there")
     declared = {o.get("PartName") for o in trees["[Content_Types].xml"] if o.get("PartName")}
-    if declared != {f"/{n}" for n in parts if f"/{n}" in TYPES}:
+    if declared != {f"/{n}" for n in parts if _type_of(n)}:
         raise InvalidDocument("the declared parts aren't those of the package")
 
 
@@ -287,35 +409,74 @@ def _stats(rows: list[dict], pages: int) -> dict:
     return out | {"pages": pages}
 
 
-def packages(paragraphs: DataFrame, core: DataFrame, pages: DataFrame | None = None, headers: DataFrame | None = None, footers: DataFrame | None = None) -> DataFrame:
-    """``doc_id, file, content`` and statistics: one DOCX file of each document's paragraphs, in order.
+_PARAGRAPH = ("style", "alignment", "indent", "space_before", "space_after", "number_id", "level", "page_break", "column_break", "comment", "comment_author", "comments", "footnote", "bookmarks")
 
-    ``paragraphs`` have ``doc_id, page_no, para_idx, runs`` and, where they are known, ``style, alignment, number_id, level,
-    page_break, comment, comment_author, footnote``; ``core`` has the core properties of each ``doc_id``. A document without
-    properties gets defaults; one without paragraphs no file. ``headers`` and ``footers`` have the running ``texts`` of each ``doc_id``. A document is built in one task.
-    """
-    own = [c for c in ("style", "alignment", "number_id", "level", "page_break", "comment", "comment_author", "footnote") if c in paragraphs.columns]
-    props = core.select("doc_id", F.struct(*(c for c in core.columns if c != "doc_id")).alias("_core"))
-    shown = paragraphs.select("doc_id", "page_no", "para_idx", "runs", *own).join(props, "doc_id", "left")
-    if pages is not None:
-        size = pages.groupBy("doc_id").agg(F.max("width").alias("_w"), F.max("height").alias("_h"), F.count("*").alias("_n"))
-        shown = shown.join(size, "doc_id", "left")
 
-    for name, texts in (("_header", headers), ("_footer", footers)):
-        if texts is not None:
-            shown = shown.join(texts.select("doc_id", F.col("texts").alias(name)), "doc_id", "left")
+def packages(
+    paragraphs: DataFrame,
+    core: DataFrame,
+    pages: DataFrame | None = None,
+    sections: DataFrame | None = None,
+    edges: DataFrame | None = None,
+    tables: DataFrame | None = None,
+    pictures: DataFrame | None = None,
+) -> DataFrame:
+    """``doc_id, file, content`` and statistics: one DOCX file of each document's paragraphs, tables and pictures, in order.
+
+    ``paragraphs`` have ``doc_id, page_no, para_idx, runs`` and, where they are known, ``section_no``, ``place`` (numbers in
+    whose order all is written) and the columns of _PARAGRAPH; ``core`` has the core properties of each ``doc_id``.
+    ``sections`` have ``doc_id, section_no`` and sizes, ``edges`` their running ``kind, variant, texts``, ``tables`` cells and
+    ``pictures`` an image for each ``place``. A document without properties gets defaults; one without anything but
+    ``pages`` gets a file too. A document is built in one task, its properties come with one row.
+    """
+    place, no_section = F.array(F.col("page_no").cast("double"), F.col("para_idx").cast("double")), F.lit(0)
+    own = lambda df, name, default: F.col(name) if name in df.columns else default.alias(name)
+    known = [c for c in _PARAGRAPH if c in paragraphs.columns]
+    rows = paragraphs.select("doc_id", own(paragraphs, "place", place), own(paragraphs, "section_no", no_section), "page_no", F.struct("runs", *known).alias("paragraph"))
+    if tables is not None:
+        rows = rows.unionByName(tables.select("doc_id", "place", "section_no", "page_no", "cells"), allowMissingColumns=True)
+    if pictures is not None:
+        rows = rows.unionByName(pictures.select("doc_id", "place", "section_no", "page_no", "image"), allowMissingColumns=True)
+    docs = pages.groupBy("doc_id").agg(F.max("width").alias("w"), F.max("height").alias("h"), F.count("*").alias("n")) if pages is not None else paragraphs.select("doc_id").distinct()
+    heads = docs.join(core.select("doc_id", F.struct(*(c for c in core.columns if c != "doc_id")).alias("core")), "doc_id", "left")
+    if sections is not None:
+        of_doc = sections.groupBy("doc_id").agg(F.collect_list(F.struct("section_no", *PLAIN)).alias("sections"))
+        heads = heads.join(of_doc, "doc_id", "left")
+    if edges is not None:
+        heads = heads.join(edges.groupBy("doc_id").agg(F.collect_list(F.struct("section_no", "kind", "variant", "texts")).alias("edges")), "doc_id", "left")
+    head = F.struct(*(c for c in heads.columns if c != "doc_id")).alias("head")
+    both = rows.unionByName(heads.select("doc_id", F.array(F.lit(-1.0)).alias("place"), head), allowMissingColumns=True)
 
     def step(rows: list[dict]) -> Iterator[tuple]:
-        package = Package()
-        for p in rows:
-            package.paragraph(p)
-        head = rows[0]
-        stats = _stats(rows, head.get("_n") or 1 + max(p["page_no"] for p in rows) - min(p["page_no"] for p in rows))
-        parts = package.parts(head["_core"] or {}, stats, (head.get("_w") or 612.0, head.get("_h") or 792.0), head.get("_header"), head.get("_footer"))
+        head = next((r["head"] for r in rows if r["head"]), {})
+        items = [r for r in rows if not r["head"]]
+        sizes = {x["section_no"]: x for x in head.get("sections") or []}
+        plain = PLAIN | {k: head[n] for k, n in (("width", "w"), ("height", "h")) if head.get(n)}
+        edges: dict[int, list[dict]] = {}
+        for x in head.get("edges") or []:
+            edges.setdefault(x["section_no"], []).append(x)
+        package, number = Package(), 0
+        now = items[0]["section_no"] if items else min(sizes, default=0)
+        for r in items:
+            if r["section_no"] != now:
+                package.section(sizes.get(now, plain), edges.get(now, []), False)
+                now = r["section_no"]
+            if r.get("cells"):
+                package.table(r["cells"])
+            elif r.get("image"):
+                number += 1
+                package.picture(r["image"] | {"number": number})
+            else:
+                package.paragraph(r["paragraph"])
+        package.section(sizes.get(now, plain), edges.get(now, []), True)
+        counted = [r["paragraph"] for r in items if r.get("paragraph")] + [{"runs": [{"text": c["text"]}]} for r in items for c in r.get("cells") or []]
+        seen = [r["page_no"] for r in items]
+        stats = _stats(counted, head.get("n") or (1 + max(seen) - min(seen) if seen else 0))
+        parts = package.parts(head.get("core") or {}, stats)
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
             for name in sorted(parts, key=lambda n: (n != "[Content_Types].xml", n)):
                 z.writestr(member(name), parts[name])
-        yield f"{head['doc_id']}.docx", out.getvalue(), *(stats[k] for k in ("pages", "paragraphs", "words", "lines", "characters"))
+        yield f"{rows[0]['doc_id']}.docx", out.getvalue(), *(stats[k] for k in ("pages", "paragraphs", "words", "lines", "characters"))
 
-    return fold(shown, ["doc_id"], [F.col("page_no"), F.col("para_idx")], step, "file string, content binary, pages int, paragraphs int, words int, lines int, characters int")
+    return fold(both, ["doc_id"], [F.col("place")], step, "file string, content binary, pages int, paragraphs int, words int, lines int, characters int")

@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..errors import InvalidDocument, LeafmillError
+from ..session import staged
 from . import pdfcontent as content
 from .pdfobjects import Pdf, Writer, stem
 
@@ -99,6 +100,27 @@ def read(df: DataFrame, table: str, password: str = "") -> DataFrame:
     return _each(df, step, TABLES[table])
 
 
+def read_tables(df: DataFrame, tables: list[str], password: str = "") -> dict[str, DataFrame]:
+    """Several of ``TABLES`` from one reading of each file, which is written once to the shared folder."""
+
+    def step(_: str, data: bytes) -> Iterator[tuple]:
+        try:
+            pdf = Pdf.load(data, password)
+            rows = [(k, row) for k, name in enumerate(tables) for row in _rows(pdf, name)]
+        except LeafmillError:
+            return
+        for k, row in rows:
+            own: list = [None] * len(tables)
+            own[k] = dict(zip(fields[k], row))
+            yield tables[k], *own
+
+    parsed = [_parse_datatype_string(TABLES[t]) for t in tables]
+    fields = [p.fieldNames() for p in parsed]
+    schema = "kind string, " + ", ".join(f"`{t}` struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in p.fields)}>" for t, p in zip(tables, parsed))
+    made = staged(_each(df, step, schema), "pdf")
+    return {t: made.where(F.col("kind") == t).select("path", f"{t}.*") for t in tables}
+
+
 def info(df: DataFrame, password: str = "") -> DataFrame:
     """``path, size, pages, encrypted, metadata, valid, error`` of every file; a valid one has a page at least."""
 

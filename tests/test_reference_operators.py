@@ -149,11 +149,85 @@ def test_regions_and_watermarks(spark):
     for p in range(3):
         rows += [(p, 0, "Report Title" if not p else "Quarterly Report", (72, 760, 300, 772), 12, None), (p, 1, f"Page {p + 1}", (280, 20, 330, 32), 8, None), (p, 2, "DRAFT", (200, 380, 400, 420), 40, None)]
     b, pg = blocks(spark, rows), page(spark, 3)
-    head, foot = regions.repeating_regions(b, pg, False).first(), regions.repeating_regions(b, pg, True).first()
-    assert (head.signature, head.pages, head.first_page) == ("quarterly report", 2, 1) and (foot.signature, foot.pages) == ("page", 3)
+    sec = folds.section_pages(b, pg)
+    head, foot = regions.repeating_regions(b, sec, False), regions.repeating_regions(b, sec, True)
+    assert [tuple(r) for r in head.collect()] == [("d", 0, "quarterly report", 2, 1, 0)] and [tuple(r) for r in foot.collect()] == [("d", 0, "page", 3, 0, None)]
     assert [tuple(r) for r in regions.watermarks(b, pg).select("text", "pages").collect()] == [("DRAFT", 3)]
-    left = regions.without_regions(b, pg, regions.repeating_regions(b, pg, True), True)
-    assert left.where("text like 'Page %'").count() == 0 and left.count() == 6
+    members = regions.region_members(b, sec, head, False)
+    assert {(r.page_no, r.block_idx, r.variant) for r in members.collect()} == {(0, 0, "first"), (1, 0, "default"), (2, 0, None)}
+    assert {(r.variant, *r.texts) for r in regions.region_texts(members).collect()} == {("first", "Report Title"), ("default", "Quarterly Report")}
+
+
+def test_regions_of_two_sections(spark):
+    rows = [(k, 0, "Part one" if k < 2 else "Part two", (72, 760 if k < 2 else 560, 300, 772 if k < 2 else 572), 12, None) for k in range(4)] + [(k, 1, f"Body {k}", (72, 300, 300, 312), 12, None) for k in range(4)]
+    pg = page(spark, 2).unionByName(page(spark, 4, 792.0, 612.0).where("page_no >= 2"))
+    b = blocks(spark, rows)
+    found = regions.repeating_regions(b, folds.section_pages(b, pg), False)
+    assert sorted((r.section_no, r.signature) for r in found.collect()) == [(0, "part one"), (1, "part two")]
+
+
+def test_two_annotations_on_one_paragraph(spark):
+    """Each annotation chooses its paragraph: two on one give two comments; blank ones and those beside all give none."""
+    a = spark.createDataFrame(
+        [("d", 0, k, t, *map(float, b)) for k, t, b in ((0, "one", (72, 700, 300, 712)), (1, "two", (80, 700, 200, 712)), (2, " ", (72, 700, 300, 712)), (3, "far", (500, 10, 510, 20)), (4, "low", (72, 660, 300, 705)))],
+        "doc_id string, page_no int, annot_idx int, text string, b_x_left double, b_y_bottom double, b_x_right double, b_y_top double",
+    )
+    p = spark.createDataFrame([("d", 0, 5, 72.0, 700.0, 300.0, 712.0), ("d", 0, 6, 72.0, 660.0, 300.0, 672.0), ("d", 0, 7, None, None, None, None)], "doc_id string, page_no int, para_idx int, x_left double, y_bottom double, x_right double, y_top double")
+    assert [(r.annot_idx, r.para_idx, r.comment_id) for r in notes.match_comments(a, p).orderBy("comment_id").collect()] == [(0, 5, 0), (1, 5, 1), (4, 6, 2)]
+
+
+def test_footnote_bodies(spark):
+    run = lambda t, s: [(t, None, "F", float(s), False, False, False, None, None)]
+    rows = [("d", 0, k, t, run(t, s), n, 72.0, y, 300.0, y + 10) for k, (t, s, n, y) in enumerate([("1 The note", 9, None, 80.0), ("2) Another", 9, 3, 80.0), ("3 too high", 9, None, 500.0), ("4 too large", 14, None, 80.0), ("† dagger", 9, None, 80.0), ("1 ", 9, None, 80.0), ("plain text", 9, None, 80.0)])]
+    p = spark.createDataFrame(rows, "doc_id string, page_no int, para_idx int, text string, runs array<struct<text: string, break_type: string, font_name: string, font_size: double, bold: boolean, italic: boolean, underline: boolean, language: string, hyperlink_target: string>>, number_id int, x_left double, y_bottom double, x_right double, y_top double")
+    sec = spark.createDataFrame([("d", 0, 792.0, 72.0)], "doc_id string, page_no int, height double, margin_bottom double")
+    assert sorted((r.seq, r.marker, r.prefix) for r in notes.footnote_bodies(p, sec).collect()) == [(0, "1", 2), (4, "†", 2)]
+    cut = p.where("para_idx = 0").select(text.without_prefix(F.array_union("runs", F.array(F.struct(F.lit("x").alias("text"), *(F.lit(None).alias(c) for c in ("break_type", "font_name")), F.lit(None).cast("double").alias("font_size"), *(F.lit(None).cast("boolean").alias(c) for c in ("bold", "italic", "underline")), *(F.lit(None).cast("string").alias(c) for c in ("language", "hyperlink_target"))))), F.lit(2)).alias("r")).first().r
+    assert [x.text for x in cut] == ["The note", "x"]
+
+
+def test_roles_equations_and_headers_of_tables(spark):
+    b = blocks(spark, [(0, k, "x", (10, 10 * k, 20, 10 * k + 10), 12, r) for k, r in enumerate(["Note", "FORMULA", "td", None, "P"])])
+    assert [r[0] for r in b.orderBy("block_idx").select(text.element_kind(F.col("block_role"))).collect()] == ["annotation", "equation", "cell", "paragraph", "paragraph"]
+    assert [(r.annot_idx, r.text) for r in notes.annotation_blocks(b).collect()] == [(0, "x")]
+    lines = spark.createDataFrame([("d", 0, 0, 10.0, 10.0, 20.0, 20.0), ("d", 0, 1, 10.0, 15.0, 20.0, 15.0), ("d", 0, 2, 20.0, 20.0, 10.0, 14.0)], "doc_id string, page_no int, line_idx int, x0 double, y0 double, x1 double, y1 double")
+    assert [(r.block_idx, r.lines) for r in layout.equation_lines(b, lines).collect()] == [(1, [0, 2])]
+    cells = spark.createDataFrame([("d", 0, 0, r, h) for r, h in ((0, True), (1, True), (2, False), (3, True))] + [("d", 0, 1, 0, True)], "doc_id string, page_no int, table_no int, row_no int, header_row boolean")
+    assert sorted((r.table_no, r.header_rows) for r in folds.leading_header_rows(cells).collect()) == [(0, 2), (1, 1)]
+    own = spark.createDataFrame([("d", 0, 0, "P"), ("d", 1, 0, "H1")], "doc_id string, page_no int, role_idx int, role string")
+    whole = spark.createDataFrame([("d", 0, "L"), ("d", 1, "LI")], "doc_id string, role_idx int, role string")
+    assert [(r.page_no, r.role_idx, r.role) for r in layout.chained_roles(own, whole).orderBy("page_no", "role_idx").collect()] == [(0, 0, "P"), (0, 1, "L"), (0, 2, "LI"), (1, 0, "H1"), (1, 1, "L"), (1, 2, "LI")]
+
+
+def test_small_text_functions(spark):
+    df = spark.createDataFrame([("exam-", "ple", "Größe 1!"), ("co-", "Op", "--"), ("plain", None, None)], "a string, b string, c string")
+    got = [tuple(r) for r in df.select(text.joined_hyphen(F.col("a"), F.col("b")), text.bookmark_name(F.col("c"))).collect()]
+    assert got[0] == ("exam", "Größe_1_") and got[1][0] == "co-" and got[2] == ("plain", "bookmark")
+
+
+def test_images_are_counted(spark):
+    images = spark.createDataFrame([("d", 300, 150, 0.0, 0.0, 72.0, 72.0), ("d", 0, None, 0.0, 0.0, 72.0, 72.0)], "doc_id string, width_px int, height_px int, x_left double, y_bottom double, x_right double, y_top double")
+    assert [tuple(r) for r in stats.image_statistics(images, page(spark, 3)).collect()] == [("d", 3, 2, 225.0)]
+
+
+def test_modes_of_splitting(spark):
+    p = spark.range(1, 6).select(F.col("id").cast("int").alias("page"))
+    assert pages.split(p, "range", ranges="1-2,4").count() == 3 and pages.split(p, "pages", wanted=[2, 2, "3"]).count() == 2
+    for bad in (lambda: pages.split(p, "pages"), lambda: pages.split(p, "odd")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_options(tmp_path):
+    from leafmill.sources import options
+
+    assert options.output_path("/a/b.pdf") == "/a/b.docx" and options.output_path("s3://x/b.c.pdf") == "s3://x/b.c.docx" and options.output_path(None, "y.docx") == "y.docx"
+    assert options.local_path("s3://x/y") == "s3://x/y" and options.local_path(tmp_path / ".." / "z").endswith("/z")
+    assert options.flag(["A", "B"], {"A": " Yes "}) and not options.flag(["A", "B"], {"A": "no", "B": "1"}) and not options.flag(["A"], {})
+    assert options.form_object('{"a": 1, "b": null}') == {"a": 1} and options.form_object("") is None
+    for bad in (lambda: options.output_path(None), lambda: options.form_object("[1]"), lambda: options.form_object("{")):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_footnotes(spark):
@@ -166,7 +240,10 @@ def test_footnotes(spark):
 
 def test_outline(spark):
     nodes = spark.createDataFrame([("d", 1, None, 0, "A"), ("d", 2, 1, 0, "B"), ("d", 3, None, 1, "C")], "doc_id string, node_id int, parent_id int, ord int, title string")
-    assert [(r.title, r.style) for r in layout.flatten_outline(nodes).orderBy("path").collect()] == [("A", "TOC1"), ("B", "TOC2"), ("C", "TOC1")]
+    deep = spark.createDataFrame([("e", k, k - 1 if k else None, 0, f"L{k}") for k in range(71)] + [("e", 100, 101, 0, "x"), ("e", 101, 100, 0, "y")], nodes.schema)
+    found = folds.flatten_outline(deep).orderBy("path").collect()
+    assert [r.title for r in found] == [f"L{k}" for k in range(71)] and found[70].style == "TOC9" and len(found[70].path) == 71
+    assert [(r.title, r.style) for r in folds.flatten_outline(nodes).orderBy("path").collect()] == [("A", "TOC1"), ("B", "TOC2"), ("C", "TOC1")]
 
 
 def test_dedup(spark):
