@@ -173,6 +173,36 @@ def oracle_sql() -> dict[str, str]:
               where {SHOWN} and (opacity is null or opacity <= 0.8)), z as (select doc_id, count(*) n from p group by 1 having count(*) > 1),
             f as (select doc_id, text, round_even(x * 100, 0)::int x_percent, round_even(y * 100, 0)::int y_percent, count(distinct page_no) pages from s where x between 0.2 and 0.8 and y between 0.2 and 0.8 group by all)
             select f.* from f join z using (doc_id) where pages >= greatest(2, floor(n * 0.1))""",
+        "pdf_fragments": f"""with {P}, f as (select distinct * exclude (ingested_at) from fragments) select doc_id, page_no - least_page page_no, text, round(x, 3) x, round(y, 3) y, font_name, round(coalesce(nullif(font_size, 0), 12.0), 3) font_size, coalesce(vertical, false) vertical
+            from f join p using (doc_id, page_no) join (select doc_id, min(page_no) least_page from p group by 1) using (doc_id) where text <> '' and x is not null and y is not null""",
+        "pdf_page_sizes": f"with {P} select doc_id, (row_number() over (partition by doc_id order by page_no) - 1)::int page_no, round(width, 3) width, round(height, 3) height from p",
+        "pdf_split_files": f"""with {P}, n as (select doc_id, count(*) n from p group by 1), a as (select doc_id, n, unnest(generate_series(1, n, 2)) a from n)
+            select replace(doc_id, ' ', '_') || '_' || case when a = least(n, a + 1) then 'page_' || a else 'pages_' || a || '-' || least(n, a + 1) end || '.pdf' file, (least(n, a + 1) - a + 1)::int pages from a""",
+        "pdf_info": f"with {P} select doc_id, count(*)::int pages, false encrypted from p group by doc_id",
+        "pdf_protected": f"with {P} select doc_id, true encrypted, count(*)::int pages from p group by doc_id",
+        "pdf_compressed": f"""with {P}, f as (select distinct * exclude (ingested_at) from fragments) select doc_id, count(*) fragments, sum(length(text))::bigint characters from f join p using (doc_id, page_no)
+            where text <> '' and x is not null and y is not null group by doc_id""",
+        "docx_files": f"""with {P}, q as ({dup} from paragraphs), t as (select doc_id, {_strip("coalesce(array_to_string(list_transform(runs, lambda r: coalesce(r.text, '')), ''), '')")} s from q),
+            n as (select doc_id, count(*) pages from p group by 1), c as (select doc_id, count(*) paragraphs, sum(case when s <> '' then len(regexp_extract_all(s, '[^{SPACE}]+')) else 0 end) words,
+              sum(case when s <> '' then length(s) - length(replace(s, chr(10), '')) + 1 else 0 end) "lines", sum(length(s)) characters from t group by 1)
+            select doc_id, doc_id || '.docx' file, pages::int pages, coalesce(paragraphs, 0)::int paragraphs, coalesce(words, 0)::int words, coalesce("lines", 0)::int "lines", coalesce(characters, 0)::int characters from n left join c using (doc_id)""",
+        "list_levels": f"""with recursive {B}, {P}, {MARGINS}, {COLUMNS}, {PLACED}, {MARKED},
+            it as (select pl.doc_id, pl.page_no, pl.block_idx, seq r, greatest(x_left - margin_left, 0.0) ind, case when {SHOWN} then kind end kind, format, punctuation, marker, case when kind = 'bullet' then kind else format || ':' || punctuation end kk
+              from pl left join marks using (doc_id, page_no, block_idx)),
+            lv as (select it.*, case when kind is null then []::struct(a double, k varchar)[] else [struct_pack(a := ind, k := kk)] end open, case when kind is not null then 0 end lvl from it where r = 1 union all
+              select n.*, case when n.kind is null then []::struct(a double, k varchar)[] when len(list_filter(w.open, lambda o: o.k = n.kk and abs(n.ind - o.a) <= 6)) > 0 or len(w.open) >= 9 then w.open
+                  else list_append(w.open, struct_pack(a := n.ind, k := n.kk)) end,
+                case when n.kind is null then null when len(list_filter(w.open, lambda o: o.k = n.kk and abs(n.ind - o.a) <= 6)) > 0
+                  then list_position(list_transform(w.open, lambda o: o.k = n.kk and abs(n.ind - o.a) <= 6), true) - 1 else least(len(w.open), 8) end
+              from lv w join it n on n.doc_id = w.doc_id and n.r = w.r + 1)
+            select doc_id, page_no, block_idx, kind, format, marker, lvl::int "level" from lv where kind is not null""",
+        "proximity_clusters": f"""with recursive {B}, o as (select doc_id, page_no, block_idx, x_left xl, y_bottom yb, x_right xr, y_top yt, row_number() over (partition by doc_id, page_no order by {READ}) r
+              from b where x_left is not null and y_bottom is not null and x_right is not null and y_top is not null),
+            cl as (select *, 0 c, 1 n, [struct_pack(l := xl, d := yb, r := xr, u := yt, c := 0)] seen from o where r = 1 union all
+              select o.*, coalesce(home, w.n), w.n + (home is null)::int, list_append(w.seen, struct_pack(l := o.xl, d := o.yb, r := o.xr, u := o.yt, c := coalesce(home, w.n)))
+              from cl w join o on o.doc_id = w.doc_id and o.page_no = w.page_no and o.r = w.r + 1,
+                lateral (select list_min(list_transform(list_filter(w.seen, lambda s: greatest(0, greatest(s.l, o.xl) - least(s.r, o.xr)) <= 36 and greatest(0, greatest(s.d, o.yb) - least(s.u, o.yt)) <= 36), lambda s: s.c)) home))
+            select doc_id, page_no, block_idx, c cluster_no from cl""",
         "payload_dedup": "select sha256(text) digest, min(doc_id) doc_id, count(*) copies from documents where text is not null group by 1",
         "hyperlink_dedup": """with q as (select doc_id, page_no, para_idx, unnest(range(len(runs))) run_idx, unnest(runs) run from (select distinct * exclude (ingested_at) from paragraphs)),
             f as (select doc_id, run.hyperlink_target target, min((page_no, para_idx, run_idx)) first_at from q where run.hyperlink_target <> '' group by all)

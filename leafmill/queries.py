@@ -11,8 +11,8 @@ from .functions import geometry, media, text
 from .operators import folds, layout, notes, pages, regions, stats
 from .operators.timestamps import normalised
 from .oracle import oracle_sql
-from .session import table
-from .sources import docx
+from .session import staged, table
+from .sources import docx, pdf
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -301,10 +301,50 @@ def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A DOCX package of every PDF's paragraphs: its size and statistics."""
+    """A DOCX package of every PDF's paragraphs: its name and statistics."""
     p = layout.once(table(spark, sf_dir, "paragraphs").select("doc_id", "page_no", "para_idx", "style", "alignment", "runs"), ["doc_id", "page_no", "para_idx"])
     made = docx.packages(p, core_properties(spark, sf_dir), _pages(spark, sf_dir))
-    return made.withColumn("bytes", F.length("content")).drop("content")
+    return made.where(F.length("content") > 0).drop("content")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PDF file of every document's pages and fragments, written once."""
+    f = layout.once(table(spark, sf_dir, "fragments").select("doc_id", "page_no", "frag_idx", "text", "x", "y", "font_name", "font_size", "vertical"), ["doc_id", "page_no", "frag_idx"])
+    return staged(pdf.from_fragments(f, _pages(spark, sf_dir)), "files")
+
+
+def pdf_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fragments as they are read from the files."""
+    found = pdf.read(_files(spark, sf_dir), "fragments")
+    return found.select(F.col("path").alias("doc_id"), "page_no", "text", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "font_name", F.round("font_size", 3).alias("font_size"), "vertical")
+
+
+def pdf_page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pdf.read(_files(spark, sf_dir), "pages")
+    return found.select(F.col("path").alias("doc_id"), "page_no", F.round("width", 3).alias("width"), F.round("height", 3).alias("height"))
+
+
+def pdf_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.info(_files(spark, sf_dir)).select(F.col("path").alias("doc_id"), "pages", "encrypted")
+
+
+def pdf_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the files that every file is split into, two pages each."""
+    parts = pdf.split(_files(spark, sf_dir), every=2).select(F.col("file").alias("path"), "content")
+    return pdf.info(parts).select(F.col("path").alias("file"), "pages")
+
+
+def pdf_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are protected, then opened again, with and without the password."""
+    closed = staged(pdf.protect(_files(spark, sf_dir), "secret").select("path", "content"), "closed")
+    opened = pdf.info(pdf.unprotect(closed, "secret").select("path", "content")).select("path", F.col("pages").alias("pages"))
+    return pdf.info(closed).select("path", "encrypted").join(opened, "path").select(F.col("path").alias("doc_id"), "encrypted", "pages")
+
+
+def pdf_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of the files once they are compressed."""
+    found = pdf.read(pdf.compress(_files(spark, sf_dir), "high").select("path", "content"), "fragments")
+    return found.groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("fragments"), F.sum(F.length("text")).alias("characters"))
 
 
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,6 +366,6 @@ def queries() -> dict[str, Query]:
         p3_found, p3_normalised, text_normalised, text_language, list_markers, signature_text, font_traits, pdf_dates, footnote_markers, anchor_names, document_statistics, text_statistics, core_properties,
         metadata_overlay, page_margins, page_columns, block_formats, heading_styles, block_spacing, continuations, page_and_column_breaks, edge_clusters, roles_to_blocks, link_matches, comment_matches,
         background_matches, footnote_matches, header_regions, footer_regions, watermarks, payload_dedup, hyperlink_dedup, split_ranges, split_pages, extract_pages, select_pages, split_points, split_every_n,
-        split_all, merge_pages, compression_info, page_units, cell_alignments, style_numbers, fragment_blocks, sections, list_levels, table_cells, proximity_clusters, docx_files, page_report, latest_records,
+        split_all, merge_pages, compression_info, page_units, cell_alignments, style_numbers, fragment_blocks, sections, list_levels, table_cells, proximity_clusters, docx_files, pdf_fragments, pdf_page_sizes, pdf_info, pdf_split_files, pdf_protected, pdf_compressed, page_report, latest_records,
     ]
     return {f.__name__: f for f in own}

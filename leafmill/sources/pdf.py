@@ -7,7 +7,9 @@ the executors and gives rows or files as bytes. A file that can't be read gives
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..errors import InvalidDocument, LeafmillError
+from ..operators.folds import fold
 from ..session import staged
 from . import pdfcontent as content
-from .pdfobjects import Pdf, Writer, stem
+from .pdfobjects import Name, Pdf, Stream, Writer, stem
 
 _EDGES = "x_left double, y_bottom double, x_right double, y_top double"
 #: Tables of what files hold, and their columns behind ``path``.
@@ -121,6 +124,51 @@ def read_tables(df: DataFrame, tables: list[str], password: str = "") -> dict[st
     return {t: made.where(F.col("kind") == t).select("path", f"{t}.*") for t in tables}
 
 
+def _page_of_text(rows: list[dict], codes: dict[str, int], fonts: dict[str | None, str]) -> Stream:
+    """The content of a page that shows each fragment at its place."""
+    out = []
+    for r in rows:
+        font = fonts.setdefault(r["font_name"], f"F{len(fonts) + 1}")
+        shown = "".join(f"{codes.setdefault(ch, len(codes) + 1):04X}" for ch in r["text"])
+        turn = "0 1 -1 0" if r["vertical"] else "1 0 0 1"
+        out.append(f"BT /{font} {r['font_size'] or 12.0:.4f} Tf {turn} {r['x']:.4f} {r['y']:.4f} Tm <{shown}> Tj ET")
+    return Stream({"Filter": Name("FlateDecode")}, zlib.compress("\n".join(out).encode("ascii"), 6))
+
+
+def from_fragments(fragments: DataFrame, pages: DataFrame) -> DataFrame:
+    """``path, content``: a PDF file of each document's pages with its fragments of text at their places.
+
+    ``fragments`` as ``read`` gives them with ``doc_id``, ``pages`` have ``doc_id, page_no, width, height``. Fragments
+    without a place or text, or on pages that aren't there, are left out. The characters of a document are numbered in
+    the order they come (65,535 different ones at most), with a map back to Unicode.
+    """
+    good = fragments.where(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.length("text") > 0))
+    shown = good.select("doc_id", "page_no", "frag_idx", "text", "x", "y", "font_name", "font_size", F.coalesce("vertical", F.lit(False)).alias("vertical"))
+    both = shown.unionByName(pages.select("doc_id", "page_no", F.lit(-1).alias("frag_idx"), "width", "height"), allowMissingColumns=True)
+
+    def step(rows: list[dict]) -> Iterator[tuple]:
+        w, codes, fonts = Writer(), {}, {}
+        made = []
+        for _, of_page in groupby(rows, key=lambda r: r["page_no"]):
+            head, *own = of_page
+            if head["frag_idx"] == -1 and head["width"] is not None and head["height"] is not None:
+                made.append(((head["width"], head["height"]), w.add(_page_of_text(own, codes, fonts))))
+        if not made:
+            return
+        pairs = [f"<{n:04X}> <{ch.encode('utf-16-be', 'surrogatepass').hex()}>" for ch, n in codes.items()]
+        cmap = w.add(Stream({"Filter": Name("FlateDecode")}, zlib.compress(f"1 begincodespacerange <0000> <FFFF> endcodespacerange {len(pairs)} beginbfchar {' '.join(pairs)} endbfchar".encode(), 6)))
+        of_font = {}
+        for name, short in fonts.items():
+            base = {"BaseFont": Name(name)} if name else {}
+            below = w.add({"Type": Name("Font"), "Subtype": Name("CIDFontType2"), **base})
+            of_font[short] = w.add({"Type": Name("Font"), "Subtype": Name("Type0"), "Encoding": Name("Identity-H"), "DescendantFonts": [below], "ToUnicode": cmap, **base})
+        for (wide, high), body in made:
+            w.kids.append(w.add({"Type": Name("Page"), "MediaBox": [0, 0, wide, high], "Contents": body, "Resources": {"Font": of_font}}))
+        yield (w.done({}),)
+
+    return fold(both, ["doc_id"], [F.col("page_no"), F.col("frag_idx")], step, "content binary").withColumnRenamed("doc_id", "path")
+
+
 def info(df: DataFrame, password: str = "") -> DataFrame:
     """``path, size, pages, encrypted, metadata, valid, error`` of every file; a valid one has a page at least."""
 
@@ -212,14 +260,15 @@ def merge(df: DataFrame, order: str, group: str | None = None, metadata: dict[st
     return shown.repartition("group").sortWithinPartitions("group", "place").mapInArrow(run, parsed)
 
 
-# zlib's level for each level of compression.
-LEVELS = {"low": 3, "medium": 6, "high": 9}
+# The share of a picture's pixels each way for each level of compression, with zlib's level.
+LEVELS = {"low": (1.0, 3), "medium": (0.75, 6), "high": (0.5, 9)}
 
 
 def compress(df: DataFrame, level: str = "medium") -> DataFrame:
     """Files with their streams compressed again: ``path, file, content, original_size, compressed_size, bytes_saved, ratio, backend``.
 
-    A file that would grow is kept as it is.
+    Pictures of plain 8-bit samples get fewer pixels by the level; those of other codecs stay as they are. A file that
+    would grow is kept as it is, and its ``backend`` is null.
     """
     if level not in LEVELS:
         raise ValueError(f"no level of compression: {level}")
@@ -227,10 +276,12 @@ def compress(df: DataFrame, level: str = "medium") -> DataFrame:
     def step(path: str, data: bytes) -> Iterator[tuple]:
         pdf = Pdf.load(data)
         w = Writer()
-        w.copy(pdf, list(range(len(pdf.pages()))), LEVELS[level])
+        ratio, packing = LEVELS[level]
+        w.copy(pdf, list(range(len(pdf.pages()))), packing, ratio)
         made = w.done(pdf.metadata())
-        made = made if len(made) < len(data) else data
-        yield os.path.basename(path), made, len(data), len(made), max(0, len(data) - len(made)), len(made) / len(data) if data else 1.0, "zlib"
+        kept = len(made) >= len(data)
+        made = data if kept else made
+        yield os.path.basename(path), made, len(data), len(made), max(0, len(data) - len(made)), len(made) / len(data) if data else 1.0, None if kept else "zlib"
 
     return _each(df, step, "file string, content binary, original_size bigint, compressed_size bigint, bytes_saved bigint, ratio double, backend string")
 

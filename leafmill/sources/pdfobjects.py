@@ -10,6 +10,8 @@ import zlib
 from dataclasses import dataclass, field
 from typing import Any, NamedTuple
 
+import numpy as np
+
 from ..errors import InvalidDocument, WrongPassword
 
 
@@ -433,6 +435,24 @@ def _written(value: Any) -> bytes:
     raise TypeError(type(value))
 
 
+def _downsampled(source: Pdf, attributes: dict, data: bytes, ratio: float) -> tuple[dict, bytes] | None:
+    """A picture of 8-bit samples with a share of its pixels each way: each new one is the mean of those it covers. Null for anything else."""
+    wide, high, bits = (source.get(attributes.get(k)) for k in ("Width", "Height", "BitsPerComponent"))
+    channels = {"DeviceGray": 1, "DeviceRGB": 3, "DeviceCMYK": 4}.get(str(source.get(attributes.get("ColorSpace")) or "").lstrip("/"))
+    if attributes.get("Subtype") not in ("Image", Name("Image")) or bits != 8 or not channels or not wide or not high or len(data) < wide * high * channels:
+        return None
+    new = max(1, round(wide * ratio)), max(1, round(high * ratio))
+    if new == (wide, high):
+        return None
+    pixels = np.frombuffer(data, np.uint8, wide * high * channels).reshape(high, wide, channels).astype(np.float64)
+    for axis, (size, to) in enumerate(((high, new[1]), (wide, new[0]))):
+        starts = np.arange(to) * size // to
+        ends = np.append(starts[1:], size)
+        sums = np.add.reduceat(pixels, starts, axis)
+        pixels = sums / (ends - starts).reshape([-1 if k == axis else 1 for k in range(3)])
+    return {**attributes, "Width": new[0], "Height": new[1]}, np.rint(pixels).astype(np.uint8).tobytes()
+
+
 @dataclass
 class Writer:
     """Collects pages of files and writes one file; equal input gives equal bytes."""
@@ -445,8 +465,8 @@ class Writer:
         self.objects.append(value)
         return Ref(len(self.objects), 0)
 
-    def copy(self, source: Pdf, pages: list[int], levels: int | None = None) -> None:
-        """Append pages (by their place) with all that they need; ``levels`` compresses streams again."""
+    def copy(self, source: Pdf, pages: list[int], levels: int | None = None, ratio: float = 1.0) -> None:
+        """Append pages (by their place) with all that they need; ``levels`` compresses streams again, pictures have ``ratio`` of their pixels each way."""
         made: dict[int, Ref] = {}
 
         def walk(v: Any) -> Any:
@@ -463,7 +483,8 @@ class Writer:
             if isinstance(v, list):
                 return [walk(x) for x in v]
             if isinstance(v, Stream):
-                return self._packed(source, Stream(walk(v.attributes), v.raw), levels)
+                s = self._packed(source, v, levels, ratio)
+                return Stream(walk(s.attributes), s.raw)
             return v
 
         for k in pages:
@@ -471,12 +492,15 @@ class Writer:
             self.kids.append(self.add({"Type": Name("Page"), "Parent": Ref(0, 0), **page}))
 
     @staticmethod
-    def _packed(source: Pdf, s: Stream, levels: int | None) -> Stream:
+    def _packed(source: Pdf, s: Stream, levels: int | None, ratio: float = 1.0) -> Stream:
         filters = s.attributes.get("Filter")
         if levels is None or not (filters is None or filters in ("FlateDecode", Name("FlateDecode"))) or s.attributes.get("DecodeParms"):
             return s
-        packed = zlib.compress(source.decoded(s), levels)
-        return Stream({**s.attributes, "Filter": Name("FlateDecode")}, packed) if len(packed) < len(s.raw) else s
+        data, attributes = source.decoded(s), s.attributes
+        if ratio < 1.0 and (smaller := _downsampled(source, attributes, data, ratio)):
+            attributes, data = smaller
+        packed = zlib.compress(data, levels)
+        return Stream({**attributes, "Filter": Name("FlateDecode")}, packed) if len(packed) < len(s.raw) else s
 
     def done(self, metadata: dict[str, str] | None = None, user: str | None = None, owner: str | None = None) -> bytes:
         objects = list(self.objects)

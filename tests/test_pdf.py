@@ -115,3 +115,26 @@ def test_damaged():
     with pytest.raises(InvalidDocument):
         Pdf.load(b"%PDF-1.4\n1 0 obj\n<<>>\nendobj")
     assert Pdf.load(data).get(Ref(10**6, 0)) is None
+
+
+def test_pictures_are_downsampled(spark):
+    import numpy as np
+
+    from leafmill.sources.pdfobjects import Pdf, _downsampled
+
+    rng = np.random.default_rng(1)
+    pixels = rng.integers(0, 256, (40, 60, 3), dtype=np.uint8)
+    w = Writer()
+    image = w.add(Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 60, "Height": 40, "BitsPerComponent": 8, "ColorSpace": Name("DeviceRGB"), "Filter": Name("FlateDecode")}, zlib.compress(pixels.tobytes(), 1)))
+    body = w.add(Stream({}, b"q 100 0 0 50 20 30 cm /Im1 Do Q"))
+    w.kids.append(w.add({"Type": Name("Page"), "MediaBox": [0, 0, 612, 792], "Contents": body, "Resources": {"XObject": {"Im1": image}}}))
+    df = spark.createDataFrame([("a.pdf", w.done({}))], "path string, content binary")
+    for level, size in (("low", (60, 40)), ("medium", (45, 30)), ("high", (30, 20))):
+        r = source.compress(df, level).first()
+        pdf = Pdf.load(r.content)
+        found = next(o for o in pdf.objects.values() if isinstance(o, Stream) and o.attributes.get("Width"))
+        assert (found.attributes["Width"], found.attributes["Height"]) == size
+        if level == "high":
+            want = np.rint(pixels.reshape(20, 2, 30, 2, 3).astype(float).mean((1, 3))).astype(np.uint8)
+            assert pdf.decoded(found) == want.tobytes() and r.backend == "zlib"
+    assert _downsampled(Pdf.load(df.first().content), {"Subtype": Name("Image"), "Width": 3, "Height": 1, "BitsPerComponent": 1}, b"x", 0.5) is None
