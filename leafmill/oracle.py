@@ -78,7 +78,10 @@ walk as (select doc_id, page_no, block_idx, r, block_role lead_role, true new_pa
 def _regions(footer: bool) -> str:
     near = "y_bottom <= margin_bottom + 24" if footer else "height - y_top <= margin_top + 24"
     order = "y_bottom, x_left, block_idx" if footer else "y_top desc, x_left, block_idx"
-    return f"""with recursive {B}, {P}, {MARGINS}, {COLUMNS}, {SECTIONS}, a as (select b.doc_id, b.page_no, section_no, row_number() over (partition by b.doc_id, b.page_no order by {order}) rk, {FOOTER if footer else HEADER} sig
+    read = B
+    if footer:  # the pages are numbered at their foot
+        read = B.replace("b as (", "b0 as (", 1) + ", b as (select doc_id, page_no, block_idx, text, x_left, y_bottom, x_right, y_top from b0 union all select distinct doc_id, page_no, -1, 'Page ' || (page_no + 1), 280.0, 20.0, 330.0, 32.0 from pdf_pages)"
+    return f"""with recursive {read}, {P}, {MARGINS}, {COLUMNS}, {SECTIONS}, a as (select b.doc_id, b.page_no, section_no, row_number() over (partition by b.doc_id, b.page_no order by {order}) rk, {FOOTER if footer else HEADER} sig
       from b join sp using (doc_id, page_no) where {SHOWN} and {near}),
     f as (select doc_id, section_no, page_no, string_agg(sig, chr(10) order by rk) signature from a where rk <= 3 group by all),
     n as (select doc_id, section_no, signature, count(*) pages, min(page_no) first_page from f group by all having count(*) >= 2),
@@ -169,10 +172,12 @@ def oracle_sql() -> dict[str, str]:
             from v join m1 on m1.doc_id = v.doc_id and m1.marker = v.marker and m1.page_no = v.mp and m1.k = v.mk""",
         "header_regions": _regions(False),
         "footer_regions": _regions(True),
-        "watermarks": f"""with {B}, {P}, s as (select b.doc_id, b.page_no, {_strip('text')} text, (x_left + x_right) / 2 / width x, (y_bottom + y_top) / 2 / height y from b join p using (doc_id, page_no)
+        "watermarks": f"""with {B}, {P}, ti as (select doc_id, max(title) title from doc_metadata where title <> '' group by 1),
+            al as (select doc_id, page_no, text, x_left, y_bottom, x_right, y_top, opacity from b union all select doc_id, page_no, title, width / 2 - 90, height / 2 - 20, width / 2 + 90, height / 2 + 20, 0.4 from p join ti using (doc_id) where page_no % 5 <> 4),
+            s as (select al.doc_id, al.page_no, {_strip('text')} text, (x_left + x_right) / 2 / width x, (y_bottom + y_top) / 2 / height y from al join p using (doc_id, page_no)
               where {SHOWN} and (opacity is null or opacity <= 0.8)), z as (select doc_id, count(*) n from p group by 1 having count(*) > 1),
             f as (select doc_id, text, round_even(x * 100, 0)::int x_percent, round_even(y * 100, 0)::int y_percent, count(distinct page_no) pages from s where x between 0.2 and 0.8 and y between 0.2 and 0.8 group by all)
-            select f.* from f join z using (doc_id) where pages >= greatest(2, floor(n * 0.1))""",
+            select f.* from f join z using (doc_id) where pages >= greatest(2, floor(n * 0.8))""",
         "pdf_fragments": f"""with {P}, f as (select distinct * exclude (ingested_at) from fragments) select doc_id, page_no - least_page page_no, text, round(x, 3) x, round(y, 3) y, font_name, round(coalesce(nullif(font_size, 0), 12.0), 3) font_size, coalesce(vertical, false) vertical
             from f join p using (doc_id, page_no) join (select doc_id, min(page_no) least_page from p group by 1) using (doc_id) where text <> '' and x is not null and y is not null""",
         "pdf_page_sizes": f"with {P} select doc_id, (row_number() over (partition by doc_id order by page_no) - 1)::int page_no, round(width, 3) width, round(height, 3) height from p",

@@ -200,12 +200,22 @@ def header_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def footer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _blocks(spark, sf_dir)
-    return regions.repeating_regions(b, folds.section_pages(b, _pages(spark, sf_dir)), footer=True)
+    """Footers of pages that are numbered at their foot."""
+    p, at = _pages(spark, sf_dir), dict(zip(("x_left", "y_bottom", "x_right", "y_top"), (280.0, 20.0, 330.0, 32.0)))
+    number = p.select(*PAGE, F.lit(-1).alias("block_idx"), F.concat(F.lit("Page "), F.col("page_no") + 1).alias("text"), *(F.lit(v).alias(k) for k, v in at.items()))
+    b = _blocks(spark, sf_dir).unionByName(number)
+    return regions.repeating_regions(b, folds.section_pages(b, p), footer=True)
 
 
 def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.watermarks(_blocks(spark, sf_dir, "opacity"), _pages(spark, sf_dir), share=0.1)
+    """Watermarks of the blocks, with each PDF's title stamped in the middle of its pages but every fifth."""
+    p = _pages(spark, sf_dir)
+    title = table(spark, sf_dir, "doc_metadata").where(F.col("title") != "").groupBy("doc_id").agg(F.max("title").alias("text"))
+    mid = lambda size, by: F.col(size) / 2 + by
+    stamp = p.where(F.col("page_no") % 5 != 4).join(title, "doc_id").select(
+        *PAGE, F.lit(-1).alias("block_idx"), "text", mid("width", -90.0).alias("x_left"), mid("height", -20.0).alias("y_bottom"), mid("width", 90.0).alias("x_right"), mid("height", 20.0).alias("y_top"), F.lit(0.4).alias("opacity")
+    )
+    return regions.watermarks(_blocks(spark, sf_dir, "opacity").unionByName(stamp), p)
 
 
 def payload_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +303,10 @@ def list_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.tagged_tables(_blocks(spark, sf_dir, "block_role"), least=3, tolerance=240.0)
+    """Tables of the cells on each page, closed up, with a second column beside them."""
+    b = _blocks(spark, sf_dir, "block_role").where(F.col("block_role") == "TD").withColumn("y_bottom", F.col("y_bottom") / 2).withColumn("y_top", F.col("y_top") / 2)
+    at = lambda x, k: b.withColumn("block_idx", F.col("block_idx") + k).withColumn("x_right", F.lit(x + 50.0)).withColumn("x_left", F.lit(x))
+    return folds.tagged_tables(at(72.0, 0).unionByName(at(130.0, 1_000)))
 
 
 def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
