@@ -18,6 +18,11 @@ import numpy as np
 CYRILLIC_AS_LATIN = dict(zip("аеорсухіјѕԁһԛԝӏАВЕЅІЈКМНОРСТУХԌԚԜҮ", "aeopcyxijsdhqwlABESIJKMHOPCTYXGQWY"))
 GREEK_AS_LATIN = dict(zip("οναιρυκχϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ovaipukxcjABEZHIKMNOPTYXCJ"))
 LATIN_AS_CYRILLIC = dict(zip("aeopcyxijsABEKMHOPCTYXIJS", "аеорсухіјѕАВЕКМНОРСТУХІЈЅ"))
+# Letters of further scripts (Armenian, Cherokee, Coptic, Lisu) that look like Latin ones.
+FURTHER_AS_LATIN = dict(zip(
+    "օսհոցզՕՍՏԼ" "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏙᏞᏟᏢᏦᏴ" "ⲞⲟⲤⲥⲢⲣⲬⲘⲚⲔⲎⲦ" "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ",
+    "ouhngqOUSL" "DRTAJEWMHGZSVLCPKB" "OoCcPpXMNKHT" "BPDTGKJCZFMNLSRVHWXYAEIOU",
+))
 # Variants inside the Latin script.
 LATIN_VARIANTS = {"ɑ": "a", "ɡ": "g"}
 # Characters that show nothing; white space of another kind than the plain space; hyphens.
@@ -32,6 +37,7 @@ PARTS = "̀-ͯᄀ-ᇿ゙゚ٓ-ٕ"
 ALWAYS = re.compile(f"[{INVISIBLE}{SPACES}{HYPHENS}{FORMS}{PARTS}{''.join(LATIN_VARIANTS)}]")
 LATIN = re.compile("[A-Za-zÀ-ɏ]")
 OTHER = re.compile("[Ͱ-ԯἀ-῿]")
+FURTHER = re.compile("[" + "".join(FURTHER_AS_LATIN) + "]")
 _NONE, _LATIN, _CYRILLIC, _GREEK, _BREAK = 0, 1, 2, 3, 4
 _in_forms = re.compile(f"[{FORMS}]").fullmatch
 _in_invisible = re.compile(f"[{INVISIBLE}]").fullmatch
@@ -74,7 +80,7 @@ def _ambiguous(ch: str) -> bool:
 
 @cache
 def _as_script(ch: str, script: int) -> str:
-    latin = CYRILLIC_AS_LATIN.get(ch) or GREEK_AS_LATIN.get(ch)
+    latin = CYRILLIC_AS_LATIN.get(ch) or GREEK_AS_LATIN.get(ch) or FURTHER_AS_LATIN.get(ch)
     if script == _LATIN:
         return latin or ch
     if script == _CYRILLIC and _script(ch) != _CYRILLIC:
@@ -143,11 +149,12 @@ def _rebuild(texts: list[str]) -> list[str]:
     script = np.array([_script(c) for c in signs], np.int8)[which]
     sure = np.array([_script(c) in (1, 2, 3) and not _ambiguous(c) for c in signs], bool)[which]
     of_word = _scripts_of_words(cp, row, script, sure)
-    change = np.flatnonzero((of_word != script) & (script > 0) & (script < _BREAK) & (of_word > 0))
+    further = np.array([c in FURTHER_AS_LATIN for c in signs], bool)[which]
+    change = np.flatnonzero((of_word != script) & (script < _BREAK) & ((script > 0) & (of_word > 0) | further & (of_word == _LATIN)))
     if len(change):
+        pairs, at = np.unique(cp[change].astype(np.int64) * 8 + of_word[change], return_inverse=True)
         cp = cp.copy()
-        for i in change:
-            cp[i] = ord(_as_script(chr(cp[i]), int(of_word[i])))
+        cp[change] = np.array([ord(_as_script(chr(x >> 3), int(x & 7))) for x in pairs.tolist()], np.uint32)[at]
     text = cp.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
     ends = np.searchsorted(row, np.arange(len(texts)), "right")
     starts = np.r_[0, ends[:-1]]
@@ -158,7 +165,7 @@ def suspect(text: str) -> bool:
     """Whether a text may have to be changed; what is not suspect is in its consistent form already."""
     if text.isascii():
         return False
-    return bool(ALWAYS.search(text) or (OTHER.search(text) and LATIN.search(text))) or not unicodedata.is_normalized("NFC", text)
+    return bool(ALWAYS.search(text) or ((OTHER.search(text) or FURTHER.search(text)) and LATIN.search(text))) or not unicodedata.is_normalized("NFC", text)
 
 
 def consistent(texts: list[str | None]) -> list[str | None]:

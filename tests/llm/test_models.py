@@ -76,6 +76,14 @@ def test_consistent_form_is_stable(texts):
     assert all(unicodedata.is_normalized("NFC", t) for t in once)
 
 
+def test_letters_of_further_scripts():
+    """Look-alikes of Armenian, Cherokee, Coptic and Lisu inside Latin words; words of these scripts alone stay."""
+    assert consistent(["Pհօtօ ꓢtandard ᏢDF ⲥopy", "Հայոց լեզու", "ᎠᎡᎢ ᎪᎫᎬ", "ꓐꓳꓡ Report"]) == ["Photo Standard PDF copy", "Հայոց լեզու", "ᎠᎡᎢ ᎪᎫᎬ", "ꓐꓳꓡ Report"]
+    from leafmill.llm.chars import FURTHER_AS_LATIN
+
+    assert all(unicodedata.name(a).split()[0] in ("ARMENIAN", "CHEROKEE", "COPTIC", "LISU") and b.isascii() for a, b in FURTHER_AS_LATIN.items())
+
+
 def test_letters():
     assert letters("Page 1 of ２ – Größe²!") == "pageofgrösse" and letters("12 –") == ""
 
