@@ -327,6 +327,23 @@ def _samples(pdf: Pdf, s: Stream) -> bytes | None:
     return None
 
 
+def _alpha(pdf: Pdf, mask: Stream, width: int, height: int, stencil: bool) -> bytes | None:
+    """A mask as a byte for each pixel of its picture, whose size it takes; of a stencil the ones are hidden."""
+    wide, high = (int(pdf.get(mask.attributes.get(k, 0)) or 0) for k in ("Width", "Height"))
+    bits = 1 if stencil else pdf.get(mask.attributes.get("BitsPerComponent", 8))
+    data, row = pdf.decoded(mask), (wide * bits + 7) // 8
+    if bits not in (1, 8) or not wide or not high or len(data) < row * high:
+        return None
+    flip = stencil != (list(map(pdf.get, pdf.get(mask.attributes.get("Decode")) or [])) == [1, 0])
+    if bits == 1:
+        data = bytes(255 * ((data[row * y + x // 8] >> (7 - x % 8) & 1) ^ flip) for y in range(high) for x in range(wide))
+    elif flip:
+        data = bytes(255 - v for v in data[: wide * high])
+    if (wide, high) == (width, height):
+        return data[: width * height]
+    return bytes(data[wide * (y * high // height) + x * wide // width] for y in range(height) for x in range(width))
+
+
 def image_bytes(pdf: Pdf, s: Stream) -> tuple[bytes, str]:
     """The picture as a file, and its MIME type: JPEG data as it is, other samples as PNG with their soft mask."""
     filters = pdf.get(s.attributes.get("Filter"))
@@ -338,13 +355,13 @@ def image_bytes(pdf: Pdf, s: Stream) -> tuple[bytes, str]:
     rgb = _samples(pdf, s) if not names & {"DCTDecode", "JPXDecode", "CCITTFaxDecode", "JBIG2Decode"} else None
     if rgb is None or not width or not height:
         return placeholder(width, height), "image/png"
-    alpha = None
-    if isinstance(mask, Stream) and (pdf.get(mask.attributes.get("Width")), pdf.get(mask.attributes.get("Height"))) == (width, height):
-        data, bits = pdf.decoded(mask), pdf.get(mask.attributes.get("BitsPerComponent", 8))
-        if bits == 1:
-            row = (width + 7) // 8
-            data = bytes(255 * (data[row * y + x // 8] >> (7 - x % 8) & 1) for y in range(height) for x in range(width)) if len(data) >= row * height else b""
-        alpha = data[: width * height] if len(data) >= width * height else None
+    alpha = _alpha(pdf, mask, width, height, False) if isinstance(mask, Stream) else None
+    if alpha is None and (hard := pdf.get(s.attributes.get("Mask"))) is not None:
+        if isinstance(hard, Stream):  # a stencil: what is painted by it is hidden
+            alpha = _alpha(pdf, hard, width, height, True)
+        elif isinstance(hard, list) and len(hard) == 6:  # a range of colours is hidden
+            low, high = ([pdf.get(x) for x in hard[k::2]] for k in (0, 1))
+            alpha = bytes(0 if all(a <= v <= z for a, v, z in zip(low, rgb[k : k + 3], high)) else 255 for k in range(0, 3 * width * height, 3))
     return png(width, height, rgb, alpha), "image/png"
 
 
@@ -353,6 +370,7 @@ def images(pdf: Pdf, page: dict) -> Iterator[tuple]:
     shown = {k: s for k, v in (pdf.get((pdf.get(page.get("Resources")) or {}).get("XObject")) or {}).items() if isinstance(s := pdf.get(v), Stream) and pdf.get(s.attributes.get("Subtype")) == "Image"}
     if not shown:
         return
+    made: dict[str, tuple[bytes, str]] = {}
     ctm, saved = IDENTITY, []
     for op, a in operations(contents(pdf, page)):
         if op == "q":
@@ -361,10 +379,12 @@ def images(pdf: Pdf, page: dict) -> Iterator[tuple]:
             ctm = saved.pop()
         elif op == "cm" and len(a) >= 6:
             ctm = times(tuple(map(float, a[:6])), ctm)
-        elif op == "Do" and a and str(a[0]) in shown:
+        elif op == "Do" and a and (name := str(a[0])) in shown:
+            if name not in made:
+                made[name] = image_bytes(pdf, shown[name])
             corners = [moved(ctm, x, y) for x in (0, 1) for y in (0, 1)]
             xs, ys = [c[0] for c in corners], [c[1] for c in corners]
-            yield *image_bytes(pdf, shown[str(a[0])])[:1], min(xs), min(ys), max(xs), max(ys), image_bytes(pdf, shown[str(a[0])])[1], str(a[0])
+            yield made[name][0], min(xs), min(ys), max(xs), max(ys), made[name][1], name
 
 
 def _box(pdf: Pdf, value: Any) -> tuple[float, float, float, float] | None:
@@ -391,7 +411,8 @@ def destination(pdf: Pdf, value: Any) -> tuple[str | None, int | None, float | N
         value = pdf.get(value.get("D"))
     if not isinstance(value, list) or not value:
         return (anchor(name) if name else None), None, None
-    numbers = {n: k for k, (n, _) in enumerate(pdf.pages())}
+    if (numbers := pdf.__dict__.get("_page_numbers")) is None:
+        numbers = pdf.__dict__["_page_numbers"] = {n: k for k, (n, _) in enumerate(pdf.pages())}
     page = numbers.get(value[0].number) if isinstance(value[0], Ref) else value[0] if isinstance(value[0], int) else None
     top = pdf.get(value[3]) if len(value) > 3 else None
     top = float(top) if isinstance(top, (int, float)) else None
@@ -400,28 +421,27 @@ def destination(pdf: Pdf, value: Any) -> tuple[str | None, int | None, float | N
 
 
 def _named(pdf: Pdf, name: str | None) -> Any:
-    root = pdf.get(pdf.trailer["Root"]) or {}
-    old = pdf.get(root.get("Dests")) or {}
-    if name in old:
-        return pdf.get(old[name])
-    seen = 0
-
-    def walk(node: Any) -> Any:
-        nonlocal seen
-        node = pdf.get(node)
-        seen += 1
-        if not isinstance(node, dict) or seen > 10_000:
-            return None
-        names = pdf.get(node.get("Names")) or []
-        for k, v in zip(names[::2], names[1::2]):
-            if text_of(pdf.get(k)) == name:
-                return pdf.get(v)
-        for kid in pdf.get(node.get("Kids")) or []:
-            if (found := walk(kid)) is not None:
-                return found
-        return None
-
-    return walk((pdf.get(root.get("Names")) or {}).get("Dests"))
+    """The destination of a name: from the names of the file, which are read once, whatever their number."""
+    if (found := pdf.__dict__.get("_destinations")) is None:
+        root = pdf.get(pdf.trailer["Root"]) or {}
+        found, seen = {}, set()
+        open_nodes = [(pdf.get(root.get("Names")) or {}).get("Dests")]
+        while open_nodes:
+            node = open_nodes.pop()
+            if isinstance(node, Ref):
+                if node.number in seen:
+                    continue
+                seen.add(node.number)
+            node = pdf.get(node)
+            if isinstance(node, dict):
+                names, kids = pdf.get(node.get("Names")), pdf.get(node.get("Kids"))
+                for k, v in zip(names[::2], names[1::2]) if isinstance(names, list) else ():
+                    found.setdefault(text_of(pdf.get(k)), v)
+                open_nodes += reversed(kids) if isinstance(kids, list) else ()
+        old = pdf.get(root.get("Dests")) or {}
+        found |= {str(k): v for k, v in old.items()}
+        pdf.__dict__["_destinations"] = found
+    return pdf.get(found.get(name))
 
 
 def _annotations(pdf: Pdf, page: dict) -> Iterator[tuple[dict, tuple]]:

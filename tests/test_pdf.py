@@ -138,3 +138,29 @@ def test_pictures_are_downsampled(spark):
             want = np.rint(pixels.reshape(20, 2, 30, 2, 3).astype(float).mean((1, 3))).astype(np.uint8)
             assert pdf.decoded(found) == want.tobytes() and r.backend == "zlib"
     assert _downsampled(Pdf.load(df.first().content), {"Subtype": Name("Image"), "Width": 3, "Height": 1, "BitsPerComponent": 1}, b"x", 0.5) is None
+
+
+def test_masks_and_many_names():
+    from leafmill.sources import pdfcontent
+    from leafmill.sources.pdfobjects import Pdf
+
+    w = Writer()
+    picture = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 2, "Height": 2, "BitsPerComponent": 8, "ColorSpace": Name("DeviceRGB")}
+    stencil = w.add(Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 1, "Height": 2, "ImageMask": True, "BitsPerComponent": 1}, bytes([0x80, 0x00])))
+    soft = w.add(Stream({"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 2, "Height": 2, "BitsPerComponent": 8, "ColorSpace": Name("DeviceGray")}, bytes([1, 2, 3, 4])))
+    samples = bytes([255, 0, 0] * 2 + [0, 0, 255] * 2)
+    own = {"A": w.add(Stream({**picture, "Mask": stencil}, samples)), "B": w.add(Stream({**picture, "Mask": [250, 255, 0, 5, 0, 5]}, samples)), "C": w.add(Stream({**picture, "SMask": soft}, samples))}
+    body = w.add(Stream({}, b"/A Do /B Do /C Do /A Do"))
+    w.kids.append(w.add({"Type": Name("Page"), "MediaBox": [0, 0, 9, 9], "Contents": body, "Resources": {"XObject": own}}))
+    pdf = Pdf.load(w.done({}))
+    found = list(pdfcontent.images(pdf, pdf.pages()[0][1]))
+    alpha = []
+    for data, *_ in found:
+        raw = zlib.decompress(data[data.index(b"IDAT") + 4 : data.index(b"IEND") - 8])
+        alpha.append([raw[9 * y + 1 + 4 * x + 3] for y in range(2) for x in range(2)])
+    assert alpha == [[0, 0, 255, 255], [0, 0, 255, 255], [1, 2, 3, 4], [0, 0, 255, 255]] and found[0][0] is found[3][0]
+    # 12,000 names in a tree of leaves, with a leaf that leads back to its own node
+    root = pdf.get(pdf.trailer["Root"])
+    root["Names"] = {"Dests": {"Kids": [{"Names": [f"n{k:05}".encode(), [0, Name("XYZ"), 0, k]]} for k in range(12_000)]}}
+    root["Names"]["Dests"]["Kids"].append({"Kids": [pdf.trailer["Root"], pdf.trailer["Root"]]})
+    assert pdfcontent.destination(pdf, b"n11999") == ("n11999", 0, 11999.0) and pdfcontent.destination(pdf, b"none")[1] is None
