@@ -101,7 +101,10 @@ class Font:
         for f in [font, *below]:
             s = pdf.get(f.get("ToUnicode")) if isinstance(f, dict) else None
             if isinstance(s, Stream):
-                found, longest = _unicode_map(pdf.decoded(s))
+                maps = pdf.__dict__.setdefault("_maps", {})  # fonts often share one, and pages share fonts
+                if id(s) not in maps:
+                    maps[id(s)] = _unicode_map(pdf.decoded(s))
+                found, longest = maps[id(s)]
                 self.map.update(found)
                 self.longest = max(self.longest, longest)
         e = pdf.get(font.get("Encoding"))
