@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry, media
+from ..functions import forms, geometry, media
 from ..functions.text import anchor_name, list_marker
 from ..operators import folds, layout, notes, regions, stats
 from ..session import staged
@@ -76,13 +76,13 @@ def _paragraphs(blocks: DataFrame, placed: DataFrame, sections: DataFrame, links
     return out.withColumn("text", stats.run_text(F.col("runs"))), levels
 
 
-def build(blocks: DataFrame, pages: DataFrame, links: DataFrame | None = None, lines: DataFrame | None = None, images: DataFrame | None = None, annotations: DataFrame | None = None, outline: DataFrame | None = None) -> dict[str, DataFrame]:
+def build(blocks: DataFrame, pages: DataFrame, links: DataFrame | None = None, lines: DataFrame | None = None, images: DataFrame | None = None, annotations: DataFrame | None = None, outline: DataFrame | None = None, fields: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables of a document: ``paragraphs``, ``tables``, ``pictures``, ``sections``, ``pages``, ``edges``, ``watermarks``, ``list_levels``, ``comments``, ``statistics``.
 
     What several steps read is written once to the shared folder. Blocks of tables are no paragraphs; running headers and
     footers leave the body and are in ``edges``. ``links`` have ``link_idx, uri, anchor``, ``images`` ``image_idx, data,
-    mime_type``, ``annotations`` ``annot_idx, text, author``, ``outline`` ``node_id, parent_id, ord, title, page_no, top``;
-    all but the outline have edges. A link to an anchor is kept if the outline or another link says where that is.
+    mime_type``, ``annotations`` ``annot_idx, text, author``, ``outline`` ``node_id, parent_id, ord, title, page_no, top``,
+    ``fields`` what PDF files hold of forms, each of which becomes a table of its label and value; all but the outline have edges. A link to an anchor is kept if the outline or another link says where that is.
     """
     blocks, pages = staged(_complete(blocks), "blocks"), staged(pages.select(*PAGE, "width", "height"), "pages")
     sections = staged(folds.section_pages(blocks, pages), "sections")
@@ -132,12 +132,20 @@ def build(blocks: DataFrame, pages: DataFrame, links: DataFrame | None = None, l
     kept = staged(kept, "body")
     of_cell = cells.join(blocks.select(*BLOCK, *EDGES), BLOCK).join(sections.select(*PAGE, "section_no"), PAGE)
     aligned = of_cell.withColumn("alignment", F.when(F.col("header"), "center").otherwise(geometry.cell_alignment(F.col("text"))))
-    cell = F.struct("row_no", "column_no", "block_idx", "row_span", "column_span", "header", "header_row", "text", "alignment")
+    cell = F.struct("row_no", "column_no", "block_idx", "row_span", "column_span", "header", "header_row", "text", "alignment", F.lit(None).cast("double").alias("share"))
     tables = aligned.groupBy(*PAGE, "section_no", "table_no").agg(F.max("y_top").alias("y_top"), F.min("x_left").alias("x_left"), F.array_sort(F.collect_list(cell)).alias("cells")).withColumn("place", place(1, "table_no"))
+    tables = tables.select("doc_id", "page_no", "section_no", "place", "cells")
+    if fields is not None:
+        label = forms.field_label(F.col("label"), F.col("name"), F.col("field_type"))
+        value = F.array_join(forms.field_value(F.col("field_type"), F.col("value"), F.col("checked"), F.col("options"), F.col("label"), F.col("tooltip")), "\n")
+        no, one = F.lit(0), F.lit(1)
+        half = lambda k, t, share: F.struct(no.alias("row_no"), F.lit(k).alias("column_no"), no.alias("block_idx"), one.alias("row_span"), one.alias("column_span"), F.lit(False).alias("header"), F.lit(False).alias("header_row"), t.alias("text"), F.lit(None).cast("string").alias("alignment"), F.lit(share).alias("share"))
+        both = F.array(half(0, label, forms.LABEL_SHARE), half(1, value, 1 - forms.LABEL_SHARE)).alias("cells")
+        tables = tables.unionByName(fields.join(sections.select(*PAGE, "section_no"), PAGE).select("doc_id", "page_no", "section_no", place(2, "field_idx"), both))
     pictures = None
     if images is not None:
         image = F.struct("data", media.mime_type(F.col("data"), F.col("mime_type")).alias("mime_type"), (F.col("x_right") - F.col("x_left")).alias("width"), (F.col("y_top") - F.col("y_bottom")).alias("height")).alias("image")
-        pictures = images.where(F.col("data").isNotNull()).join(sections.select(*PAGE, "section_no"), PAGE).select("doc_id", "page_no", "section_no", place(2, "image_idx"), image)
+        pictures = images.where(F.col("data").isNotNull()).join(sections.select(*PAGE, "section_no"), PAGE).select("doc_id", "page_no", "section_no", place(3, "image_idx"), image)
     texts = kept.select("doc_id", "text").unionByName(cells.select("doc_id", "text"))
     return {
         "paragraphs": kept,
@@ -162,8 +170,8 @@ def convert(blocks: DataFrame, pages: DataFrame, core: DataFrame, **more: DataFr
 
 def convert_files(files: DataFrame, password: str = "") -> DataFrame:
     """One DOCX package a PDF file (``path, content``), whose path is its ``doc_id``; each file is read once."""
-    wanted = ["pages", "fragments", "metadata", "links", "lines", "images", "annotations", "outline"]
+    wanted = ["pages", "fragments", "metadata", "links", "lines", "images", "annotations", "outline", "fields"]
     found = {name: df.withColumnRenamed("path", "doc_id") for name, df in pdf.read_tables(files, wanted, password).items()}
     blocks = folds.fragments_to_blocks(found["fragments"])
     core = found["metadata"].select("doc_id", *(F.col("metadata")[f"/{k}"].alias(c) for k, c in (("Title", "title"), ("Author", "creator"), ("Subject", "subject"), ("Keywords", "keywords"))))
-    return convert(blocks, found["pages"], core, **{k: found[k] for k in ("links", "lines", "images", "annotations", "outline")})
+    return convert(blocks, found["pages"], core, **{k: found[k] for k in ("links", "lines", "images", "annotations", "outline", "fields")})

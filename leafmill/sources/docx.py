@@ -152,8 +152,9 @@ class Package:
         for side in ("top", "left", "bottom", "right", "insideH", "insideV"):
             _add(borders, side, val="single", sz=4, space=0, color="auto")
         widths = _add(table, "tblGrid")
-        for _ in range(columns):
-            _add(widths, "gridCol", w=round(9360 / columns))
+        shares = {c["column_no"]: c.get("share") for c in cells}
+        for k in range(columns):
+            _add(widths, "gridCol", w=round(9360 * (shares.get(k) or 1 / columns)))
         heads = {r for r in range(rows) if any(c["row_no"] == r for c in cells) and all(c["header_row"] for c in cells if c["row_no"] == r)}
         leading = next((r for r in range(rows) if r not in heads), rows)
         for r in range(rows):

@@ -95,13 +95,17 @@ def test_whole_documents(spark):
     images = spark.createDataFrame([("d", 0, k, png, None, 72.0, 400.0, 172.0, 450.0) for k in range(2)], f"doc_id string, page_no int, image_idx int, data binary, mime_type string, {box}")
     notes = spark.createDataFrame([("d", 0, k, t, "Ann", 72.0, 300.0, 300.0, 312.0) for k, t in enumerate(("first", "second"))], f"doc_id string, page_no int, annot_idx int, text string, author string, {box}")
     outline = spark.createDataFrame([("d", 1, None, 0, "Start", 0, 742.0), ("d", 2, 1, 0, "Nowhere", None, None)], "doc_id string, node_id int, parent_id int, ord int, title string, page_no int, top double")
+    fields = spark.createDataFrame([("d", 0, 0, "dropdown", "n", "City", "Bonn", None, ["Bonn", "Ulm"], None, 72.0, 250.0, 300.0, 262.0)], f"doc_id string, page_no int, field_idx int, field_type string, name string, label string, value string, checked boolean, options array<string>, tooltip string, {box}")
     core = spark.createDataFrame([("d", "T")], "doc_id string, title string")
-    file = assemble.convert(blocks(spark, rows), pages, core, links=links, images=images, annotations=notes, outline=outline).first()
+    file = assemble.convert(blocks(spark, rows), pages, core, links=links, images=images, annotations=notes, outline=outline, fields=fields).first()
     z = zipfile.ZipFile(io.BytesIO(file.content))
     body = ET.fromstring(z.read("word/document.xml"))[0]
     w = lambda tag: f"{{{docx.W}}}{tag}"
-    assert [e.tag.split("}")[1] for e in body] == ["p", "p", "p", "tbl", "p", "p", "p", "p", "sectPr"]
-    assert ["".join(t.text for t in e.iter(w("t"))) for e in body if e.tag == w("p")] == ["Start", "Nowhere", "Heading", "", "", "See the end.", "The end."]
+    assert [e.tag.split("}")[1] for e in body] == ["p", "p", "p", "tbl", "p", "p", "p", "tbl", "p", "p", "sectPr"]
+    assert ["".join(t.text for t in e.iter(w("t"))) for e in body if e.tag == w("p")] == ["Start", "Nowhere", "Heading", "", "", "See the end.", "", "The end."]
+    form = body[7]
+    assert [["".join(t.text for t in p.iter(w("t"))) for p in c.findall(w("p"))] for c in form.iter(w("tc"))] == [["City"], ["Selected: Bonn", "Options: Bonn, Ulm"]]
+    assert [g.get(w("w")) for g in form.iter(w("gridCol"))] == ["3276", "6084"]
     table = body[3]
     shown = [[("".join(t.text for t in c.iter(w("t"))), (m := c.find(f"{w('tcPr')}/{w('vMerge')}")) is not None and (m.get(w("val")) or "on"), len(c.findall(w("p")))) for c in r.findall(w("tc"))] for r in table.findall(w("tr"))]
     assert shown == [[("Name", False, 1), ("Value", False, 1)], [("all rows", "restart", 1), ("12", False, 1)], [("", "on", 1), ("ab", False, 2)], [("", "on", 1), ("c", False, 1)]]
