@@ -21,7 +21,7 @@ from ..errors import InvalidDocument, LeafmillError
 from ..operators.folds import fold
 from ..session import staged
 from . import pdfcontent as content
-from .pdfobjects import Name, Pdf, Stream, Writer, stem
+from .pdfobjects import Asking, Name, Pdf, Stream, Writer, stem, together
 
 _EDGES = "x_left double, y_bottom double, x_right double, y_top double"
 #: Tables of what files hold, and their columns behind ``path``.
@@ -60,6 +60,39 @@ def _each(df: DataFrame, step: Callable[[str, bytes], Iterable[tuple]], schema:
     return df.select("path", "content").mapInArrow(run, parsed)
 
 
+#: Files, and their bytes, that are encrypted side by side at most; a larger file is taken alone.
+_SIDE_BY_SIDE, _BYTES = 64, 8_000_000
+
+
+def _each_locked(df: DataFrame, step: Callable[[str, bytes], Asking], schema: str) -> DataFrame:
+    """As ``_each`` for steps that encrypt: they run side by side and return their rows."""
+    parsed = _parse_datatype_string("path string, " + schema)
+    arrow = to_arrow_schema(parsed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[tuple[str, bytes]] = []
+        size = 0
+
+        def made() -> Iterator[pa.RecordBatch]:
+            for (path, _), found in zip(some, together(step(*x) for x in some)):
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*((path, *r) for r in found)), arrow.types)], schema=arrow)
+
+        for batch in batches:
+            for path, data in zip(batch.column(0), batch.column(1)):
+                if not data.is_valid:
+                    continue
+                content = data.as_py()
+                if some and (len(some) >= _SIDE_BY_SIDE or size + len(content) > _BYTES):
+                    yield from made()
+                    some, size = [], 0
+                some.append((path.as_py(), content))
+                size += len(content)
+        yield from made()
+
+    return df.select("path", "content").mapInArrow(run, parsed)
+
+
 def _rows(pdf: Pdf, table: str) -> Iterator[tuple]:
     if table == "outline":
         yield from content.outline(pdf)
@@ -172,17 +205,17 @@ def from_fragments(fragments: DataFrame, pages: DataFrame) -> DataFrame:
 def info(df: DataFrame, password: str = "") -> DataFrame:
     """``path, size, pages, encrypted, metadata, valid, error`` of every file; a valid one has a page at least."""
 
-    def step(_: str, data: bytes) -> list[tuple]:
+    def step(_: str, data: bytes) -> Asking:
         encrypted = False
         try:
             encrypted = b"/Encrypt" in data
-            pdf = Pdf.load(data, password)
+            pdf = yield from Pdf.loading(data, password)
             n = len(pdf.pages())
             return [(len(data), n, pdf.encrypted, list(pdf.metadata().items()), n > 0, None if n else "no pages")]
         except LeafmillError as e:
             return [(len(data), 0, encrypted, [], False, str(e))]
 
-    return _each(df, step, "size bigint, pages int, encrypted boolean, metadata map<string, string>, valid boolean, error string")
+    return _each_locked(df, step, "size bigint, pages int, encrypted boolean, metadata map<string, string>, valid boolean, error string")
 
 
 _FILES = "file string, content binary, pages int"
@@ -291,26 +324,26 @@ def protect(df: DataFrame, password: str, owner: str | None = None) -> DataFrame
     if not password:
         raise ValueError("the password is empty")
 
-    def step(path: str, data: bytes) -> Iterator[tuple]:
-        pdf = Pdf.load(data)
+    def step(path: str, data: bytes) -> Asking:
+        pdf = yield from Pdf.loading(data)
         if pdf.encrypted:
             raise InvalidDocument(f"{path} is encrypted already")
         w = Writer()
         w.copy(pdf, list(range(len(pdf.pages()))))
-        yield os.path.basename(path), w.done(pdf.metadata(), password, owner), len(w.kids)
+        return [(os.path.basename(path), (yield from w.ending(pdf.metadata(), password, owner)), len(w.kids))]
 
-    return _each(df, step, _FILES)
+    return _each_locked(df, step, _FILES)
 
 
 def unprotect(df: DataFrame, password: str) -> DataFrame:
     """Files without their encryption; a wrong password, or a file that isn't encrypted, is an error."""
 
-    def step(path: str, data: bytes) -> Iterator[tuple]:
-        pdf = Pdf.load(data, password)
+    def step(path: str, data: bytes) -> Asking:
+        pdf = yield from Pdf.loading(data, password)
         if not pdf.encrypted:
             raise InvalidDocument(f"{path} isn't encrypted")
         w = Writer()
         w.copy(pdf, list(range(len(pdf.pages()))))
-        yield os.path.basename(path), w.done(pdf.metadata()), len(w.kids)
+        return [(os.path.basename(path), w.done(pdf.metadata()), len(w.kids))]
 
-    return _each(df, step, _FILES)
+    return _each_locked(df, step, _FILES)

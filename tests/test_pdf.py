@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pytest
 
 from leafmill.errors import InvalidDocument, WrongPassword
@@ -164,3 +165,28 @@ def test_masks_and_many_names():
     root["Names"] = {"Dests": {"Kids": [{"Names": [f"n{k:05}".encode(), [0, Name("XYZ"), 0, k]]} for k in range(12_000)]}}
     root["Names"]["Dests"]["Kids"].append({"Kids": [pdf.trailer["Root"], pdf.trailer["Root"]]})
     assert pdfcontent.destination(pdf, b"n11999") == ("n11999", 0, 11999.0) and pdfcontent.destination(pdf, b"none")[1] is None
+
+
+def test_many_streams_are_encrypted_together(spark, monkeypatch):
+    """Streams of all lengths give what each gives alone, and no file's passwords are tried one key stream at a time."""
+    from leafmill.sources import pdfobjects
+
+    rng = np.random.default_rng(3)
+    jobs = [(rng.bytes(int(rng.integers(1, 17))), rng.bytes(int(n))) for n in [*range(300), 5_000, 0, 1, 20_000]]
+    assert pdfobjects.rc4_all(jobs) == [rc4(key, data) for key, data in jobs]
+    monkeypatch.setattr(pdfobjects, "_LANES", 64)
+    assert pdfobjects.rc4_all(jobs) == [rc4(key, data) for key, data in jobs] and pdfobjects.rc4_all([]) == []
+
+    def opened(data, password):
+        try:
+            return (yield from Pdf.loading(data, password)).metadata()["/Title"]
+        except WrongPassword:
+            return None
+
+    df = spark.createDataFrame([(f"{k:03}.pdf", made(f"Title {k}", 1)) for k in range(40)], "path string, content binary")
+    locked = [bytes(r.content) for r in source.protect(df, "user", "owner").orderBy("path").collect()]
+    alone: list = []
+    monkeypatch.setattr(pdfobjects, "rc4", lambda key, data: alone.append(key) or rc4(key, data))
+    for password, want in (("user", True), ("owner", True), ("", False)):
+        assert pdfobjects.together(opened(x, password) for x in locked) == [f"Title {k}" if want else None for k in range(40)]
+    assert not alone
