@@ -32,17 +32,6 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema:
     return df.mapInArrow(run, parsed)
 
 
-def bounded_sample(df: DataFrame, column: str, by: list[str], rows: int, seed: int = 17) -> list:
-    """The values of ``column`` that are not null in about ``rows`` rows at most, chosen by a hash of the columns ``by``; of a smaller table all.
-
-    The rows are counted without reading a column.
-    """
-    n = max(1, df.count())
-    if n > rows:
-        df = df.where(_picked(seed, by) < int(1_000_000 * rows / n))
-    return df.where(F.col(column).isNotNull()).select(column).toArrow().column(0).to_pylist()
-
-
 def sample_of_each(df: DataFrame, column: str, name: Column, groups: dict[str, str], by: list[str], rows: int, seed: int = 17) -> list[tuple]:
     """Values of ``column`` and their group for about ``rows`` rows at most of each group, all of a smaller one.
 

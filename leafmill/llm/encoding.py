@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Callable
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import staged
 from . import garble
-from .batches import NOT_ASCII, bounded_sample, map_columns
+from .batches import NOT_ASCII, map_columns
 from .chars import consistent
 
 #: The models that a worker used last, with what they have cached.
@@ -37,27 +39,113 @@ def stored(frames: list[DataFrame], what: str, fit: Callable[[], bytes]) -> byte
 
 
 def fit_garble(blocks: DataFrame, fragments: DataFrame) -> bytes:
-    """The model, fitted to at most ``garble.SAMPLE_ROWS`` block texts and a third as many font names (rows without any label)."""
+    """The model, fitted to all block texts and font names (rows without any label)."""
+    return stored([blocks, fragments], "garble", lambda: garble.dumps(_fitted(_tokens(blocks, fragments))))
 
-    def fit() -> bytes:
-        texts = bounded_sample(blocks, "text", ["doc_id", "page_no", "block_idx"], garble.SAMPLE_ROWS)
-        fonts = bounded_sample(fragments, "font_name", ["doc_id", "page_no", "frag_idx"], garble.SAMPLE_ROWS // 3)
-        return garble.dumps(garble.fit(texts + fonts))
 
-    return stored([blocks, fragments], "garble", fit)
+def _tokens(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Each token of the texts once, with how often it counts, in steps of ``garble.STEP``."""
+
+    def each(df: DataFrame, column: str, name: str) -> DataFrame:
+        def run(texts, rows):
+            count: Counter = Counter()
+            for text, n in zip(texts, rows):
+                for token, k in Counter(garble.tokens(text)).items():
+                    count[token] += k * n
+            count.pop("", None)
+            return list(count), list(count.values())
+
+        texts = df.where(F.col(column).isNotNull())
+        some = texts.groupBy(column).agg(F.count("*").alias("rows")) if name == "fonts" else texts.select(column, F.lit(1).alias("rows"))
+        return map_columns(some, lambda: run, f"token string, {name} bigint")
+
+    found = each(blocks, "text", "blocks").unionByName(each(fragments, "font_name", "fonts"), allowMissingColumns=True)
+    spark, n_blocks, n_fonts = blocks.sparkSession, blocks.count(), fragments.count()
+    summed = found.groupBy("token").agg(F.sum("blocks").alias("blocks"), F.sum("fonts").alias("fonts")).fillna(0)
+
+    def steps(tokens, of_blocks, of_fonts):
+        return tokens, [round(garble.counted(a, b, n_blocks, n_fonts) * garble.STEP) for a, b in zip(of_blocks, of_fonts)]
+
+    spread = summed.repartition(spark.sparkContext.defaultParallelism, "token")
+    return staged(map_columns(spread, lambda: steps, "token string, n bigint"), "tokens")
+
+
+def _fitted(tokens: DataFrame) -> garble.Garble:
+    """``garble.fit`` for a table of tokens; only pairs of characters and their sums come to the driver."""
+    usual = share(tokens.sparkSession, pickle.dumps(garble.Improving(_pairs(tokens))))
+
+    def undecided():
+        improving = loaded(usual)
+
+        def run(words, counts):
+            found = [improving.decided(t) for t in words]
+            at = [i for i, x in enumerate(found) if x is not True]
+            asked = [[{"part": a, "inverse": b} for a, b in sorted(set(found[i] or []))] for i in at]
+            return [words[i] for i in at], [counts[i] for i in at], asked
+
+        return run
+
+    kept = staged(map_columns(tokens, undecided, "token string, n bigint, asked array<struct<part: string, inverse: string>>"), "undecided")
+    asked = kept.select("token", "n", F.explode("asked").alias("a")).select("token", "n", "a.part", "a.inverse")
+    of_part, of_inverse = (tokens.select(F.col("token").alias(x), F.col("n").alias(f"of_{x}")) for x in ("part", "inverse"))
+    # what counts decide, as garble.Improving.by_counts
+    long = asked.where(F.length("part") >= 3).join(of_inverse, "inverse").where(F.col("of_inverse") > F.col("n"))
+    short = asked.where(F.length("part") < 3).join(of_inverse, "inverse", "left").join(of_part, "part", "left").fillna(0, ["of_inverse", "of_part"])
+    improved = long.select("token").unionByName(short.where(F.col("of_inverse") >= 10 * F.col("of_part")).select("token")).distinct()
+    model = _states(kept.select("token", "n").join(improved, "token", "left_anti"))
+    for _ in range(garble.ROUNDS):
+        shared = share(tokens.sparkSession, garble.dumps(model))
+
+        def clean(shared=shared):
+            m = loaded(shared)
+
+            def run(words, counts):
+                at = [i for i, t in enumerate(words) if not m.is_garbled(t)]
+                return [words[i] for i in at], [counts[i] for i in at]
+
+            return run
+
+        model = _states(map_columns(tokens, clean, "token string, n bigint"))
+    return model
+
+
+def _pairs(tokens: DataFrame) -> dict[tuple[str, str], float]:
+    def run(words, counts):
+        found = garble.pairs_of(zip(words, counts))
+        return [a for a, _ in found], [b for _, b in found], list(found.values())
+
+    made = map_columns(tokens, lambda: run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return {(a, b): n / garble.STEP for a, b, n in zip(*(c.to_pylist() for c in made.toArrow().columns))}
+
+
+def _states(clean: DataFrame) -> garble.Garble:
+    """The model of tokens that count as clean, and of these in capitals."""
+
+    def forms(words, counts):
+        found = [(t, n) for t, n in zip(words, counts)] + [(f, round(m * garble.STEP)) for t, n in zip(words, counts) for f, m in garble.rarer(t, n / garble.STEP)]
+        return [t for t, _ in found], [n for _, n in found]
+
+    def sums(words, counts):
+        found = garble.emissions((t, n / garble.STEP) for t, n in zip(words, counts))
+        return [s for s, _, _ in found], [a for _, a, _ in found], [b for _, _, b in found], list(found.values())
+
+    parts = 4 * clean.sparkSession.sparkContext.defaultParallelism  # what a task sums is held in memory
+    spread = map_columns(clean, lambda: forms, "token string, n bigint").repartition(parts, "token").groupBy("token").agg(F.sum("n").alias("n"))
+    made = map_columns(spread, lambda: sums, "state int, a string, b string, n bigint").groupBy("state", "a", "b").agg(F.sum("n").alias("n"))
+    return garble.from_emissions(zip(*(c.to_pylist() for c in made.toArrow().columns)))
 
 
 def loaded(shared: _Shared):
     """The model of a broadcast variable, once a worker."""
     if shared.id not in _models:
-        while len(_models) > 3:
+        while len(_models) > 1:
             del _models[next(iter(_models))]
         _models[shared.id] = pickle.loads(shared.value)
     return _models[shared.id]
 
 
 def share(spark: SparkSession, model: bytes):
-    """The model as a broadcast variable; its size is bounded by that of the sample."""
+    """The model as a broadcast variable; its size is that of the pairs of characters that are seen."""
     return _Shared(spark.sparkContext.broadcast(model), xxhash.xxh64_intdigest(model))
 
 

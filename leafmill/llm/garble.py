@@ -1,9 +1,9 @@
 """Text that was decoded with the wrong character encoding.
 
 A hidden Markov model labels the characters of a token: one clean state and one state per pair (encoding of the bytes,
-encoding they were read with). A state emits a character given the one before it. The clean state is fitted to a
-bounded sample of the stored texts; the others to what their pair makes of the same sample. The most likely path gives
-the spans, and each span gets its state's inverse.
+encoding they were read with). A state emits a character given the one before it. The clean state is fitted to the
+stored texts; the others to what their pair makes of the same texts. The most likely path gives the spans, and each
+span gets its state's inverse.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ PAIRS = [
 #: Each pair alone, and what is written as UTF-8 and misread twice.
 STEPS = [(p,) for p in PAIRS] + [(("utf-8", a), ("utf-8", a)) for a in ("cp1252", "latin-1", "cp437", "cp1251", "cp1250", "mac_roman", "cp850")]
 
-#: Bound on the rows that the model is fitted to.
-SAMPLE_ROWS = 20_000
+#: Tokens are counted by so many rows of blocks, and a third as many font names: of larger tables a token counts as often as it stands in so many rows on average.
+UNIT_ROWS = 20_000
+#: Weights of pairs of characters are summed in whole steps of this share, so that no order of rows changes a sum.
+STEP = 1 << 30
 #: Rounds in which the model is fitted to what the one before calls clean.
 ROUNDS = 1
 _CLEAN = 0
@@ -309,35 +311,41 @@ class Garble:
         return kept if any(map(str.isalpha, kept)) else text
 
 
-def _fit_states(clean: Counter) -> Garble:
-    """Emissions of all states from tokens that count as clean, and from these in capitals, which texts have more rarely."""
-    k = len(STEPS) + 1
-    rarer: Counter = Counter()
-    for token, n in clean.items():
-        if not token.isascii():
-            for form in {token.upper(), token[:1].upper() + token[1:]} - {token}:
-                rarer[form] += max(1, n // 20)
-    clean = clean + rarer
-    singles = [Counter() for _ in range(k)]
-    doubles = [Counter() for _ in range(k)]
-    steps: list[tuple] = [()]
+def rarer(token: str, n: float) -> list[tuple[str, float]]:
+    """A token in capitals, which texts have more rarely."""
+    return [] if token.isascii() else [(form, max(min(1.0, n), n // 20)) for form in {token.upper(), token[:1].upper() + token[1:]} - {token}]
+
+
+def emissions(clean: Iterable[tuple[str, float]]) -> dict[tuple[int, str, str], int]:
+    """How often each state makes each pair of characters of tokens that count as clean, in steps."""
     by_count: dict[int, list[str]] = {}
-    for token, n in clean.items():
-        by_count.setdefault(min(n, 50), []).append(token)
-    for s in range(k):
-        if s:
-            steps.append(STEPS[s - 1])
+    for token, n in clean:
+        by_count.setdefault(round(min(n, 50) * STEP), []).append(token)
+    out: dict[tuple[int, str, str], int] = {}
+    for s in range(len(STEPS) + 1):
         make = _garbler(STEPS[s - 1]) if s else None
+        if s == 1:  # no pair changes ASCII
+            by_count = {w: own for w, some in by_count.items() if (own := [t for t in some if not t.isascii()])}
         for w, some in by_count.items():
             pairs: Counter = Counter()
             for token in some:
                 made = make(token) if make else token
                 if made is not None and (not s or made != token):
                     pairs.update(_bigrams(made))
-            for ab, n in pairs.items():
-                if not (s and ab[1] == "\x02"):
-                    singles[s][ab[1]] += w * n
-                    doubles[s][ab] += w * n
+            for (a, b), n in pairs.items():
+                if not (s and b == "\x02"):
+                    out[s, a, b] = out.get((s, a, b), 0) + w * n
+    return out
+
+
+def from_emissions(sums: Iterable[tuple[int, str, str, int]]) -> Garble:
+    """The model of what ``emissions`` gives, in any order."""
+    k = len(STEPS) + 1
+    singles = [Counter() for _ in range(k)]
+    doubles: list[dict[tuple[str, str], float]] = [{} for _ in range(k)]
+    for s, a, b, n in sorted(sums):
+        singles[s][b] += n / STEP
+        doubles[s][a, b] = n / STEP
     floor = np.full(k, _FLOOR)
     rare: dict[str, np.ndarray] = {}
     found: dict[tuple[str, str], dict[int, float]] = {}
@@ -354,63 +362,87 @@ def _fit_states(clean: Counter) -> Garble:
     for b in rare:
         if "\x7f" <= b < "\xa0" or b == "�":
             rare[b][_CLEAN] = 2 * _FLOOR
-    return Garble(steps, rare, pairs, floor)
+    return Garble([(), *STEPS], rare, pairs, floor)
 
 
-def _seed(count: Counter) -> Counter:
-    """Tokens without those that the inverse of some pair turns into more usual text."""
-    usual = Counter()
-    for token, n in count.items():
-        for ab in _bigrams(token):
-            usual[ab] += n
+def _fit_states(clean: Counter) -> Garble:
+    """Emissions of all states from tokens that count as clean, and from these in capitals."""
+    more: Counter = Counter()
+    for token, n in clean.items():
+        for form, m in rarer(token, n):
+            more[form] += m
+    return from_emissions((*key, n) for key, n in emissions((clean + more).items()).items())
+
 
-    def score(part: str, whole: bool) -> float:
+class Improving:
+    """What the inverse of some pair turns into more usual text, by how often each pair of characters stands in all tokens."""
+
+    def __init__(self, usual: dict[tuple[str, str], float]):
+        self.usual = usual
+
+    def _score(self, part: str, whole: bool) -> float:
         found = list(_bigrams(part))[0 if whole or len(part) == 1 else 1 :]
-        return sum(math.log1p(usual[ab]) for ab in found) / max(1, len(found))
+        return sum(math.log1p(self.usual.get(ab, 0)) for ab in found) / max(1, len(found))
 
-    def mean(found: set) -> float:
-        return sum(math.log1p(usual[ab]) for ab in found) / len(found)
+    def _mean(self, found: set) -> float:
+        return sum(math.log1p(self.usual.get(ab, 0)) for ab in sorted(found)) / len(found)
 
-    def improved(part: str, n: int, whole: bool) -> bool:
-        own = None
-        for steps in STEPS:
-            inverse = restore(part, steps)
-            if inverse is None or inverse == part:
+    def decided(self, token: str) -> bool | list[tuple[str, str]]:
+        """Whether a token is improved; where this is left to counts, what they must be compared of (part and inverse)."""
+        if token.isascii():
+            return False
+        if any("\x7f" <= c < "\xa0" or c == "�" for c in token):
+            return True
+        usual, open_ = self.usual, []
+        for part in sorted({token, *_PARTS.findall(token)}):
+            if part.isascii():
                 continue
-            if len(part) < 3:  # little evidence: only what is far more usual counts
-                if count[inverse] >= 10 * count[part]:
+            own, whole = None, part == token
+            for steps in STEPS:
+                inverse = restore(part, steps)
+                if inverse is None or inverse == part:
+                    continue
+                open_.append((part, inverse))
+                if len(part) < 3:
+                    continue
+                own = self._score(part, whole) if own is None else own
+                new = [ab not in usual for ab in list(_bigrams(inverse))[1:]]
+                if self._score(inverse, whole) > own + 1.0 and sum(new) <= 0.1 * len(new):
                     return True
-                continue
-            if count[inverse] > n:
-                return True
-            own = score(part, whole) if own is None else own
-            new = [ab not in usual for ab in list(_bigrams(inverse))[1:]]
-            if score(inverse, whole) > own + 1.0 and sum(new) <= 0.1 * len(new):
-                return True
-            # a few characters in a long token: only the bigrams that change
-            before, after = set(_bigrams(part)), set(_bigrams(inverse))
-            lost, won = before - after, after - before
-            if lost and won and all(ab in usual for ab in won) and mean(won) > mean(lost) + 3.0:
-                return True
-        return False
+                # a few characters in a long token: only the bigrams that change
+                before, after = set(_bigrams(part)), set(_bigrams(inverse))
+                lost, won = before - after, after - before
+                if lost and won and all(ab in usual for ab in won) and self._mean(won) > self._mean(lost) + 3.0:
+                    return True
+        return open_
+
+    @staticmethod
+    def by_counts(part: str, of_part: float, of_inverse: float, n: float) -> bool:
+        """Whether counts decide for the inverse; of a short part there is little evidence, only what is far more usual counts."""
+        return of_inverse >= 10 * of_part if len(part) < 3 else of_inverse > n
+
 
+def pairs_of(tokens: Iterable[tuple[str, float]]) -> dict[tuple[str, str], float]:
+    out: dict[tuple[str, str], float] = {}
+    for token, n in tokens:
+        for ab in _bigrams(token):
+            out[ab] = out.get(ab, 0) + n
+    return out
+
+
+def _seed(count: Counter) -> Counter:
+    """Tokens without those that the inverse of some pair turns into more usual text."""
+    improving = Improving(pairs_of(count.items()))
     out = Counter()
     for token, n in count.items():
-        if not token.isascii():
-            if any("\x7f" <= c < "\xa0" or c == "�" for c in token):
-                continue
-            for part in {token, *_PARTS.findall(token)}:
-                if not part.isascii() and improved(part, n, part == token):
-                    break
-            else:
-                out[token] = n
-            continue
-        out[token] = n
+        found = improving.decided(token)
+        if found is not True and not any(improving.by_counts(part, count[part], count[inverse], n) for part, inverse in found or []):
+            out[token] = n
     return out
 
 
 def fit(texts: Iterable[str | None]) -> Garble:
-    """Fit the model to a sample of stored texts: first to tokens that no inverse improves, then to those it calls clean, and again."""
+    """Fit the model to stored texts: first to tokens that no inverse improves, then to those it calls clean, and again."""
     count: Counter = Counter()
     for text in texts:
         if text:
@@ -422,6 +454,11 @@ def fit(texts: Iterable[str | None]) -> Garble:
     return model
 
 
+def counted(n_blocks: int, n_fonts: int, blocks: int, fonts: int) -> float:
+    """How often a token counts that stands so often in tables of ``blocks`` and ``fonts`` rows."""
+    return n_blocks * min(1.0, UNIT_ROWS / max(1, blocks)) + n_fonts * min(1.0, UNIT_ROWS // 3 / max(1, fonts))
+
+
 def dumps(model: Garble) -> bytes:
     model.gain.clear()
     model.seen.clear()

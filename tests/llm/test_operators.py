@@ -1,8 +1,10 @@
 """The operators and queries on Spark: brute force on the smallest tables, and rows that no table should have."""
 
+import pickle
 from collections import Counter, defaultdict
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -221,3 +223,17 @@ def test_models_are_kept_where_a_folder_is_named(spark, tmp_path):
         assert encoding.stored([blocks, fragments], "garble", lambda: b"") == plain
     finally:
         spark.conf.unset("spark.leafmill.models")
+
+
+def test_encodings_are_fitted_to_all_rows(spark):
+    """The model of a table is that of all its texts, also of 80,000 rows; no letter of a rare row is missing."""
+    blocks, fragments = table(spark, SF, "text_blocks"), table(spark, SF, "fragments")
+    texts = [r[0] for df, c in ((blocks, "text"), (fragments, "font_name")) for r in df.select(c).collect()]
+    want, got = garble.fit(texts), pickle.loads(encoding.fit_garble(blocks, fragments))
+    assert want.pairs.keys() == got.pairs.keys() and want.rare.keys() == got.rare.keys()
+    assert all((a[0] == b[0]).all() and np.allclose(a[1], b[1]) for a, b in ((want.pairs[x], got.pairs[x]) for x in want.pairs))
+    rare = [chr(0x3B1 + k) for k in range(12)]
+    letter = "concat('Seite für ', " + f"case when id % 5000 = 0 and id < 60000 then element_at(array({', '.join(repr(x) for x in rare)}), cast(id / 5000 as int) + 1) else 'Jörg' end)"
+    many = spark.range(80_000).selectExpr("'d' as doc_id", "0 as page_no", "cast(id as int) as block_idx", letter + " as text")
+    model = pickle.loads(encoding.fit_garble(many, fragments.limit(0)))
+    assert set(rare) <= model.rare.keys()
