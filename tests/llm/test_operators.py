@@ -237,3 +237,18 @@ def test_encodings_are_fitted_to_all_rows(spark):
     many = spark.range(80_000).selectExpr("'d' as doc_id", "0 as page_no", "cast(id as int) as block_idx", letter + " as text")
     model = pickle.loads(encoding.fit_garble(many, fragments.limit(0)))
     assert set(rare) <= model.rare.keys()
+
+
+@pytest.mark.parametrize("name", ["p4_found"])
+def test_queries_fit_encodings_to_all_tokens(spark, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def fitted(tokens):
+        raise Seen(tokens.agg(F.sum("n")).first()[0])
+
+    monkeypatch.setattr(encoding, "_fitted", fitted)
+    texts = [r[0] for t, c in (("text_blocks", "text"), ("fragments", "font_name")) for r in table(spark, SF, t).select(c).collect()]
+    with pytest.raises(Seen) as e:
+        queries()[name](spark, SF)
+    assert e.value.args[0] == garble.STEP * sum(1 for text in texts if text for t in garble.tokens(text) if t)
