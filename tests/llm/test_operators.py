@@ -239,7 +239,7 @@ def test_encodings_are_fitted_to_all_rows(spark):
     assert set(rare) <= model.rare.keys()
 
 
-@pytest.mark.parametrize("name", ["p4_found"])
+@pytest.mark.parametrize("name", ["p4_found", "p5_found"])
 def test_queries_fit_encodings_to_all_tokens(spark, monkeypatch, name):
     class Seen(Exception):
         pass
