@@ -110,12 +110,8 @@ def _fitted(tokens: DataFrame) -> garble.Garble:
 
 
 def _pairs(tokens: DataFrame) -> dict[tuple[str, str], float]:
-    def run(words, counts):
-        found = garble.pairs_of(zip(words, counts))
-        return [a for a, _ in found], [b for _, b in found], list(found.values())
-
-    made = map_columns(tokens, lambda: run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return {(a, b): n / garble.STEP for a, b, n in zip(*(c.to_pylist() for c in made.toArrow().columns))}
+    made = map_columns(tokens, lambda: garble.pairs_of, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return {garble.pair(x): n / garble.STEP for x, n in zip(*(c.to_pylist() for c in made.toArrow().columns))}
 
 
 def _states(clean: DataFrame) -> garble.Garble:
@@ -125,14 +121,10 @@ def _states(clean: DataFrame) -> garble.Garble:
         found = [(t, n) for t, n in zip(words, counts)] + [(f, round(m * garble.STEP)) for t, n in zip(words, counts) for f, m in garble.rarer(t, n / garble.STEP)]
         return [t for t, _ in found], [n for _, n in found]
 
-    def sums(words, counts):
-        found = garble.emissions((t, n / garble.STEP) for t, n in zip(words, counts))
-        return [s for s, _, _ in found], [a for _, a, _ in found], [b for _, _, b in found], list(found.values())
-
-    parts = 4 * clean.sparkSession.sparkContext.defaultParallelism  # what a task sums is held in memory
-    spread = map_columns(clean, lambda: forms, "token string, n bigint").repartition(parts, "token").groupBy("token").agg(F.sum("n").alias("n"))
-    made = map_columns(spread, lambda: sums, "state int, a string, b string, n bigint").groupBy("state", "a", "b").agg(F.sum("n").alias("n"))
-    return garble.from_emissions(zip(*(c.to_pylist() for c in made.toArrow().columns)))
+    parts = clean.sparkSession.sparkContext.defaultParallelism
+    every = map_columns(clean, lambda: forms, "token string, n bigint").repartition(parts, "token").groupBy("token").agg(F.sum("n").alias("n"))
+    made = map_columns(every, lambda: garble.emissions, "of bigint, pair bigint, n bigint").groupBy("of", "pair").agg(F.sum("n").alias("n"))
+    return garble.from_emissions(*(c.to_numpy() for c in made.toArrow().columns))
 
 
 def loaded(shared: _Shared):

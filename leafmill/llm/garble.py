@@ -12,8 +12,9 @@ import math
 import pickle
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 
@@ -40,6 +41,8 @@ STEP = 1 << 30
 #: Rounds in which the model is fitted to what the one before calls clean.
 ROUNDS = 1
 _CLEAN = 0
+#: Bits of the characters of a key of two.
+_BITS = 21
 _FLOOR = math.log(1e-7)
 _ENTER, _LEAVE, _SWITCH = math.log(2e-3), math.log(0.05), math.log(1e-5)
 _MULTI = {"gb18030", "gbk", "cp932", "cp949", "big5", "euc_jp", "utf-8"}
@@ -90,23 +93,32 @@ def garble(text: str, steps: tuple) -> str | None:
     return text
 
 
-def _garbler(steps: tuple) -> Callable[[str], str | None]:
-    """``garble`` for many texts; where each byte is read by itself, each character is garbled once."""
-    if any(read_as in _MULTI for _, read_as in steps):
-        return lambda text: garble(text, steps)
-    known: dict[str, str | None] = {}
+#: States whose bytes are read one by one, so that each character is garbled by itself, and the others; the clean one is neither.
+_ALONE = [k + 1 for k, steps in enumerate(STEPS) if not any(read_as in _MULTI for _, read_as in steps)]
+_WHOLE = [k + 1 for k, steps in enumerate(STEPS) if any(read_as in _MULTI for _, read_as in steps)]
+#: Of each encoding of the bytes, a bit of the states that read them one by one.
+_BIT_OF = {STEPS[k - 1][0][0]: i + 1 for i, k in enumerate(_ALONE)}
+assert len(_ALONE) < 62 and all(len(STEPS[k - 1]) == 1 and STEPS[k - 1][0][0] in _BIT_OF for k in _WHOLE)
+#: The states of each encoding that text may have been read with last.
+_READ = list(dict.fromkeys(steps[-1][1] for steps in STEPS))
+_BY_READ = {read_as: [steps for steps in STEPS if steps[-1][1] == read_as] for read_as in _READ}
+
+
+@cache
+def _alone(ch: str) -> tuple[int, int]:
+    """Bits of what garbles a character by itself: where it can be written, and where it changes."""
+    made = changed = 0
+    for i, k in enumerate(_ALONE):
+        if (out := garble(ch, STEPS[k - 1])) is not None:
+            made |= 2 << i
+            changed |= (out != ch) << (i + 1)
+    return made, changed
 
-    def run(text: str) -> str | None:
-        out = []
-        for ch in text:
-            if ch not in known:
-                known[ch] = garble(ch, steps)
-            if (made := known[ch]) is None:
-                return None
-            out.append(made)
-        return "".join(out)
 
-    return run
+@cache
+def _read(ch: str) -> int:
+    """Bits of the encodings that a character may have been read with."""
+    return sum(1 << i for i, read_as in enumerate(_READ) if _to_bytes(ch, read_as) is not None)
 
 
 def restore(text: str, steps: tuple) -> str | None:
@@ -124,6 +136,32 @@ def restore(text: str, steps: tuple) -> str | None:
     return text
 
 
+def inverses(text: str) -> set[str]:
+    """All that ``restore`` makes of a text, without the text itself."""
+    out: set[str] = set()
+    if "\ufffd" in text:
+        return out
+    bits, tried = -1, set()
+    for ch in set(text):
+        bits &= _read(ch)
+    for i, read_as in enumerate(_READ):
+        if bits >> i & 1:
+            data = _to_bytes(text, read_as)
+            for steps in _BY_READ[read_as]:
+                if len(steps) == 1:  # other encodings may give the same bytes
+                    if (data, steps[0][0]) in tried:
+                        continue
+                    tried.add((data, steps[0][0]))
+                try:
+                    made = data.decode(steps[-1][0])
+                except UnicodeDecodeError:
+                    continue
+                if len(steps) == 1 or (made := restore(made, steps[:-1])) is not None:
+                    out.add(made)
+    out.discard(text)
+    return out
+
+
 def tokens(text: str) -> list[str]:
     """What is labelled by itself: a font name without its subset prefix, or what stands between spaces."""
     text = _PREFIX.sub("", text)
@@ -145,6 +183,17 @@ class Garble:
     gain: dict[tuple[str, str], float] = field(default_factory=dict)
     seen: dict[str, list[tuple[int, int, int]]] = field(default_factory=dict)
 
+    def __getstate__(self) -> dict:
+        """Without what is cached, and with a few large arrays in place of many small ones."""
+        keys = [ord(a) << _BITS | ord(b) for a, b in self.pairs]
+        size = [len(x) for x, _ in self.pairs.values()]
+        states, logs = (np.concatenate([x[i] for x in self.pairs.values()] or [np.zeros(0, t)]) for i, t in ((0, np.int16), (1, float)))
+        rare = np.array(list(self.rare.values())).reshape(len(self.rare), len(self.floor))
+        return {"steps": self.steps, "floor": self.floor, "letters": list(self.rare), "rare": rare, "pairs": (np.repeat(keys, size).astype(np.int64), states, logs)}
+
+    def __setstate__(self, of: dict) -> None:
+        self.__init__(of["steps"], dict(zip(of["letters"], of["rare"])), _by_pair(*of["pairs"]), of["floor"])
+
     def _emit(self, a: str, b: str) -> np.ndarray:
         out = self.rare.get(b, self.floor).copy()
         if (found := self.pairs.get((a, b))) is not None:
@@ -316,53 +365,134 @@ def rarer(token: str, n: float) -> list[tuple[str, float]]:
     return [] if token.isascii() else [(form, max(min(1.0, n), n // 20)) for form in {token.upper(), token[:1].upper() + token[1:]} - {token}]
 
 
-def emissions(clean: Iterable[tuple[str, float]]) -> dict[tuple[int, str, str], int]:
-    """How often each state makes each pair of characters of tokens that count as clean, in steps."""
-    by_count: dict[int, list[str]] = {}
-    for token, n in clean:
-        by_count.setdefault(round(min(n, 50) * STEP), []).append(token)
-    out: dict[tuple[int, str, str], int] = {}
-    for s in range(len(STEPS) + 1):
-        make = _garbler(STEPS[s - 1]) if s else None
-        if s == 1:  # no pair changes ASCII
-            by_count = {w: own for w, some in by_count.items() if (own := [t for t in some if not t.isascii()])}
-        for w, some in by_count.items():
-            pairs: Counter = Counter()
-            for token in some:
-                made = make(token) if make else token
-                if made is not None and (not s or made != token):
-                    pairs.update(_bigrams(made))
-            for (a, b), n in pairs.items():
-                if not (s and b == "\x02"):
-                    out[s, a, b] = out.get((s, a, b), 0) + w * n
-    return out
-
-
-def from_emissions(sums: Iterable[tuple[int, str, str, int]]) -> Garble:
+def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of texts that aren't empty, each with a 2 before it; where these stand; and lengths."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer("".join(["\x02" + t for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return flat, np.cumsum(size + 1) - size - 1, size
+
+
+def _keys(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Pairs of characters, one after another, as numbers."""
+    inside = np.ones(len(flat), bool)
+    inside[first] = False
+    at = np.flatnonzero(inside)
+    return flat[at - 1] << _BITS | flat[at]
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in their order, and the sums of ``n``."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[cut], np.add.reduceat(n[order], cut)
+
+
+def pairs_of(words: list[str], n: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of characters of different tokens, as numbers, and how often they stand there, in steps."""
+    flat, first, size = _coded(words)
+    return _summed(_keys(flat, first), np.repeat(np.fromiter(n, np.int64, len(words)), size))
+
+
+def pair(key: int) -> tuple[str, str]:
+    return chr(key >> _BITS), chr(key & (1 << _BITS) - 1)
+
+
+def emissions(words: list[str], n: Iterable[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often states make each pair of characters of different tokens that count as clean, in steps.
+
+    The first array has the state, as a negative number; or bits, where what is counted is the pair before it is garbled
+    by the states of ``_ALONE`` that they name (bit 0: the clean state), which ``spread`` does.
+    """
+    weights = np.minimum(np.fromiter(n, np.int64, len(words)), 50 * STEP)
+    flat, first, size = _coded(words)
+    if not len(words):
+        return flat, flat, flat
+    own, at = np.unique(flat, return_inverse=True)
+    bits = np.array([_alone(chr(c)) for c in own.tolist()], np.int64)[at]
+    made = np.bitwise_and.reduceat(bits[:, 0], first)  # the 2 before each token is written everywhere and never changes
+    kinds, kind = np.unique(made & np.bitwise_or.reduceat(bits[:, 1], first) | 1, return_inverse=True)
+    keys, sums = _summed(np.repeat(kind, size) << 2 * _BITS | _keys(flat, first), np.repeat(weights, size))
+    out = [(kinds[keys >> 2 * _BITS], keys & (1 << 2 * _BITS) - 1, sums)]
+    other = [i for i, t in enumerate(words) if not t.isascii()]  # no pair changes ASCII
+    for s in _WHOLE:
+        true = STEPS[s - 1][0][0]
+        found = [(t, i) for i in other if made[i] >> _BIT_OF[true] & 1 and (t := garble(words[i], STEPS[s - 1])) != words[i]]
+        flat, first, size = _coded([t for t, _ in found])
+        keys, sums = _summed(_keys(flat, first), np.repeat(weights[[i for _, i in found]], size))
+        kept = keys & (1 << _BITS) - 1 != 2
+        out.append((np.full(int(kept.sum()), -s), keys[kept], sums[kept]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def spread(of: np.ndarray, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State, pair of characters and sum, ordered and each once, of what ``emissions`` gives in any order and number."""
+    out = []
+    for i, s in [(0, _CLEAN), *((i + 1, s) for i, s in enumerate(_ALONE))]:
+        some = np.flatnonzero((of > 0) & (of >> i & 1 > 0))
+        of_state, sums = _summed(keys[some], n[some])
+        if s:
+            of_state, sums = _garbled_pairs(of_state, sums, STEPS[s - 1])
+        out.append((np.full(len(of_state), s), of_state, sums))
+    for s in _WHOLE:
+        some = np.flatnonzero(of == -s)
+        of_state, sums = _summed(keys[some], n[some])
+        out.append((np.full(len(of_state), s), of_state, sums))
+    states, pairs, sums = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((pairs, states))
+    return states[order], pairs[order], sums[order]
+
+
+def _garbled_pairs(keys: np.ndarray, n: np.ndarray, steps: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that stand where a pair's second character is garbled, behind what its first one becomes."""
+    before, behind = keys >> _BITS, keys & (1 << _BITS) - 1
+    made, sums = [], []
+    last = {c: ord(garble(chr(c), steps)[-1]) for c in np.unique(before).tolist()}
+    known, at = np.unique(behind, return_inverse=True)
+    texts = [garble(chr(c), steps) for c in known.tolist()]
+    longest = max(map(len, texts), default=0)
+    codes = np.array([[*map(ord, t), *[-1] * (longest - len(t))] for t in texts], np.int64).reshape(len(texts), longest)[at]
+    a = np.array([last[c] for c in before.tolist()], np.int64)
+    for k in range(longest):
+        b = codes[:, k]
+        some = (b >= 0) & (b != 2)
+        made.append(a[some] << _BITS | b[some])
+        sums.append(n[some])
+        a = np.where(b >= 0, b, a)
+    return _summed(np.concatenate(made), np.concatenate(sums)) if made else (keys, n)
+
+
+def from_emissions(of: np.ndarray, keys: np.ndarray, n: np.ndarray) -> Garble:
     """The model of what ``emissions`` gives, in any order."""
     k = len(STEPS) + 1
-    singles = [Counter() for _ in range(k)]
-    doubles: list[dict[tuple[str, str], float]] = [{} for _ in range(k)]
-    for s, a, b, n in sorted(sums):
-        singles[s][b] += n / STEP
-        doubles[s][a, b] = n / STEP
+    states, keys, sums = spread(of, keys, n)
+    weights = sums / STEP
+    # sums of a state's second characters, and of its first ones
+    behind, at_behind = np.unique(states << _BITS | keys & (1 << _BITS) - 1, return_inverse=True)
+    single = np.bincount(at_behind, weights, len(behind))
+    _, at_before = np.unique(states << _BITS | keys >> _BITS, return_inverse=True)
+    before = np.bincount(at_before, weights)
+    total = np.bincount(states, weights, k) + 1
     floor = np.full(k, _FLOOR)
     rare: dict[str, np.ndarray] = {}
-    found: dict[tuple[str, str], dict[int, float]] = {}
-    for s in range(k):
-        total = sum(singles[s].values()) + 1
-        before = Counter()
-        for (a, _), n in doubles[s].items():
-            before[a] += n
-        for b, n in singles[s].items():
-            rare.setdefault(b, floor.copy())[s] = max(_FLOOR, math.log(0.02 * n / total))
-        for (a, b), n in doubles[s].items():
-            found.setdefault((a, b), {})[s] = math.log(0.98 * n / (before[a] + 0.5) + 0.02 * singles[s][b] / total)
-    pairs = {ab: (np.fromiter(x, np.int16, len(x)), np.fromiter(x.values(), float, len(x))) for ab, x in found.items()}
+    for x, p in zip(behind.tolist(), np.maximum(_FLOOR, np.log(0.02 * single / total[behind >> _BITS])).tolist()):
+        if (found := rare.get(b := chr(x & (1 << _BITS) - 1))) is None:
+            found = rare[b] = floor.copy()
+        found[x >> _BITS] = p
+    logs = np.log(0.98 * weights / (before[at_before] + 0.5) + 0.02 * single[at_behind] / total[states])
     for b in rare:
         if "\x7f" <= b < "\xa0" or b == "�":
             rare[b][_CLEAN] = 2 * _FLOOR
-    return Garble([(), *STEPS], rare, pairs, floor)
+    order = np.argsort(keys, kind="stable")
+    return Garble([(), *STEPS], rare, _by_pair(keys[order], states[order].astype(np.int16), logs[order]), floor)
+
+
+def _by_pair(keys: np.ndarray, states: np.ndarray, logs: np.ndarray) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]:
+    """States and log-probabilities of each pair; ``keys`` are ordered."""
+    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return {pair(x): (states[a:b], logs[a:b]) for x, a, b in zip(keys[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(keys)])}
 
 
 def _fit_states(clean: Counter) -> Garble:
@@ -371,21 +501,22 @@ def _fit_states(clean: Counter) -> Garble:
     for token, n in clean.items():
         for form, m in rarer(token, n):
             more[form] += m
-    return from_emissions((*key, n) for key, n in emissions((clean + more).items()).items())
+    every = clean + more
+    return from_emissions(*emissions(list(every), (round(n * STEP) for n in every.values())))
 
 
 class Improving:
     """What the inverse of some pair turns into more usual text, by how often each pair of characters stands in all tokens."""
 
     def __init__(self, usual: dict[tuple[str, str], float]):
-        self.usual = usual
+        self.usual = {ab: math.log1p(n) for ab, n in usual.items()}
 
     def _score(self, part: str, whole: bool) -> float:
         found = list(_bigrams(part))[0 if whole or len(part) == 1 else 1 :]
-        return sum(math.log1p(self.usual.get(ab, 0)) for ab in found) / max(1, len(found))
+        return sum(self.usual.get(ab, 0.0) for ab in found) / max(1, len(found))
 
     def _mean(self, found: set) -> float:
-        return sum(math.log1p(self.usual.get(ab, 0)) for ab in sorted(found)) / len(found)
+        return sum(self.usual.get(ab, 0.0) for ab in sorted(found)) / len(found)
 
     def decided(self, token: str) -> bool | list[tuple[str, str]]:
         """Whether a token is improved; where this is left to counts, what they must be compared of (part and inverse)."""
@@ -394,25 +525,28 @@ class Improving:
         if any("\x7f" <= c < "\xa0" or c == "�" for c in token):
             return True
         usual, open_ = self.usual, []
-        for part in sorted({token, *_PARTS.findall(token)}):
+        for part in {token, *_PARTS.findall(token)}:
             if part.isascii():
                 continue
-            own, whole = None, part == token
-            for steps in STEPS:
-                inverse = restore(part, steps)
-                if inverse is None or inverse == part:
-                    continue
-                open_.append((part, inverse))
+            whole, own, before = part == token, None, None
+            for inverse in inverses(part):
                 if len(part) < 3:
+                    open_.append((part, inverse))
                     continue
-                own = self._score(part, whole) if own is None else own
-                new = [ab not in usual for ab in list(_bigrams(inverse))[1:]]
-                if self._score(inverse, whole) > own + 1.0 and sum(new) <= 0.1 * len(new):
-                    return True
+                pairs = list(_bigrams(inverse))
+                new = len(pairs) - 1 - sum(map(usual.__contains__, pairs[1:]))
+                if not new and pairs[0] in usual:  # no other text is a token
+                    open_.append((part, inverse))
+                if new <= 0.1 * (len(pairs) - 1):
+                    own = self._score(part, whole) if own is None else own
+                    if self._score(inverse, whole) > own + 1.0:
+                        return True
                 # a few characters in a long token: only the bigrams that change
-                before, after = set(_bigrams(part)), set(_bigrams(inverse))
-                lost, won = before - after, after - before
-                if lost and won and all(ab in usual for ab in won) and self._mean(won) > self._mean(lost) + 3.0:
+                if new and "\x02" not in inverse:
+                    continue
+                before = set(_bigrams(part)) if before is None else before
+                won = set(pairs) - before
+                if won and all(ab in usual for ab in won) and (lost := before - set(pairs)) and self._mean(won) > self._mean(lost) + 3.0:
                     return True
         return open_
 
@@ -422,17 +556,10 @@ class Improving:
         return of_inverse >= 10 * of_part if len(part) < 3 else of_inverse > n
 
 
-def pairs_of(tokens: Iterable[tuple[str, float]]) -> dict[tuple[str, str], float]:
-    out: dict[tuple[str, str], float] = {}
-    for token, n in tokens:
-        for ab in _bigrams(token):
-            out[ab] = out.get(ab, 0) + n
-    return out
-
-
 def _seed(count: Counter) -> Counter:
     """Tokens without those that the inverse of some pair turns into more usual text."""
-    improving = Improving(pairs_of(count.items()))
+    keys, sums = pairs_of(list(count), (round(n * STEP) for n in count.values()))
+    improving = Improving({pair(x): n / STEP for x, n in zip(keys.tolist(), sums.tolist())})
     out = Counter()
     for token, n in count.items():
         found = improving.decided(token)
@@ -460,6 +587,4 @@ def counted(n_blocks: int, n_fonts: int, blocks: int, fonts: int) -> float:
 
 
 def dumps(model: Garble) -> bytes:
-    model.gain.clear()
-    model.seen.clear()
     return pickle.dumps(model)

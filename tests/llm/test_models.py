@@ -3,8 +3,10 @@
 import pickle
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +14,8 @@ from hypothesis import strategies as st
 from leafmill.llm import garble, langid, leaks, mixing, repeats, sentences
 from leafmill.llm.chars import consistent, letters
 
+from ..conftest import SF
+
 CLEAN = (
     "Die Prüfung der Seiten für den jährlichen Bericht. Le relevé des frais a été publié après la séance. "
     "La sección guardó las páginas según indica la guía. Городская библиотека хранит титульный лист. "
@@ -390,3 +394,28 @@ def test_long_tokens_are_labelled_whole():
         mixed = clean + garble.garble(text[size : size + 50], steps) + clean
         assert model.restored(mixed) == (clean + text[size : size + 50] + clean, True)
         assert not model.is_garbled(clean)
+
+
+def test_emissions_are_those_of_each_token():
+    """Against brute force; what a task gives is less than half of the rows that they are spread to, and only inverses that may be tokens are asked for."""
+    texts = pq.read_table(f"{SF}/text_blocks.parquet", columns=["text"])["text"].to_pylist()
+    count = Counter(t for text in texts for t in garble.tokens(text or "") if t) + Counter({"ß\x02ж": 3, "\x02é": 60, "é\x85": 1, "für\x81日本": 2})
+    want = Counter()
+    for token, n in count.items():
+        for s, steps in enumerate([(), *garble.STEPS]):
+            made = garble.garble(token, steps)
+            if made is not None and (not s or made != token):
+                for ab in zip("\x02" + made, made):
+                    if not s or ab[1] != "\x02":
+                        want[s, *ab] += min(n, 50) * garble.STEP
+    words = list(count)
+    parts = [garble.emissions(words[i::3], [count[t] * garble.STEP for t in words[i::3]]) for i in range(3)]
+    states, keys, sums = garble.spread(*(np.concatenate(x) for x in zip(*parts)))
+    assert {(s, *garble.pair(k)): n for s, k, n in zip(states.tolist(), keys.tolist(), sums.tolist())} == want and len(states) == len(want)
+    assert len(garble.emissions(words, [garble.STEP] * len(words))[0]) < len(want) / 2
+    for token in words:
+        assert garble.inverses(token) == {x for steps in garble.STEPS if (x := garble.restore(token, steps)) is not None} - {token}
+    keys, sums = garble.pairs_of(words, [count[t] * garble.STEP for t in words])
+    improving = garble.Improving({garble.pair(k): n / garble.STEP for k, n in zip(keys.tolist(), sums.tolist())})
+    asked = [x for t in words if isinstance(found := improving.decided(t), list) for x in found]
+    assert all(set(zip("\x02" + b, b)) <= improving.usual.keys() for a, b in asked if len(a) > 2)
