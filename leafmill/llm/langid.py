@@ -3,7 +3,7 @@
 Each language has a probability for every piece of a fixed public vocabulary; characters outside the vocabulary fall
 back to their bytes. A forward algorithm sums the probability of a word over all its segmentations into pieces, for all
 languages at once; pieces never reach over a word, so a text's score is the sum of its words' and each worker scores a
-word once. The probabilities are fitted by expectation-maximisation to a bounded sample of labelled rows of each language.
+word once. The probabilities are fitted by expectation-maximisation to labelled rows of each language.
 
 Beside the languages stands a background that knows none: pieces by their rank in the vocabulary. What it explains better
 than every language is of a language that the labels don't know, and comes out as ``und``.
@@ -20,8 +20,10 @@ from functools import cache
 
 import numpy as np
 
-#: Bound on the labelled rows of a language that the model is fitted to, and the rows that it must have at least.
-SAMPLE_ROWS, LEAST_ROWS = 2_400, 5
+#: The labelled rows that a language must have at least.
+LEAST_ROWS = 5
+#: Expected counts of pieces are summed in whole steps of this share, so that no order of words changes a sum.
+STEP = 1 << 30
 UNKNOWN = "und"
 #: By so many nats the background must explain a part better than a language does.
 DOUBT = 6.0
@@ -287,24 +289,33 @@ def _expected(words: list[str], counts: np.ndarray, ids: dict[str, int], logs: b
             gamma = alpha[at] * w * beta[to] / np.maximum(alpha[end], 1e-300)[word_of] * counts[word_of]
         got = np.zeros(p.shape)
         for k in range(4):
-            np.add.at(got, edges[:, k], gamma)
+            some = slice(None) if not k else np.flatnonzero(edges[:, k])  # 0 stands for no piece
+            np.add.at(got, edges[some, k], gamma[some])
         return got
 
     return run
 
 
-def _fit(codes: list[str], words: list[str], counts: np.ndarray, pieces: dict[str, int], rounds: int = 4) -> Languages:
-    """Expectation-maximisation of the piece probabilities; ``counts`` is [word, language]."""
-    ids = {p: 257 + i for i, p in enumerate(pieces)}
-    size = 257 + len(pieces)
+def expected(words: list[str], counts: np.ndarray, ids: dict[str, int]) -> Callable[[np.ndarray], np.ndarray]:
+    """As ``_expected`` for words of any length."""
     parts = []
     for logs in (False, True):
         if rows := [i for i, w in enumerate(words) if (len(w) >= _LONG) == logs]:
             parts.append(_expected([words[i] for i in rows], counts[rows], ids, logs))
+    return lambda p: sum(part(p) for part in parts)
+
+
+def ids_of(pieces: dict[str, int]) -> dict[str, int]:
+    return {p: 257 + i for i, p in enumerate(pieces)}
+
+
+def maximised(codes: list[str], expect: Callable[[np.ndarray], np.ndarray], pieces: dict[str, int], rounds: int = 4) -> Languages:
+    """Expectation-maximisation of the piece probabilities; ``expect`` gives the expected counts of pieces [piece, language]."""
+    ids, size = ids_of(pieces), 257 + len(pieces)
     p = np.full((size, len(codes)), 1.0 / size)
     p[0] = 1.0
     for _ in range(rounds):
-        got = sum(part(p) for part in parts)
+        got = expect(p)
         got[0] = 0
         used = got.any(1)
         shared = got.sum(1, keepdims=True) / max(1.0, got.sum())
@@ -349,14 +360,19 @@ def fit(rows: Iterable[tuple[str | None, str | None]], path: str | None = None)
         if not words:
             return Languages([], {}, np.zeros((257, 1)))
         counts = np.array([[x.get(w, 0) for x in by.values()] for w in words], float)
-        model = _fit(codes, words, counts, pieces)
-        best = model.scores(texts)[:, :-1]
-        column = {c: i for i, c in enumerate(codes)}
-        own = best[np.arange(len(texts)), [column[c] if c else 0 for c in labels]]
-        labels = [c if c and s[i] - o < MARGIN else codes[i] for c, s, i, o in zip(labels, best, best.argmax(1), own)]
+        model = maximised(codes, expected(words, counts, ids_of(pieces)), pieces)
+        labels = relabelled(model, texts, labels)
     return model
 
 
+def relabelled(model: Languages, texts: list[str], labels: list[str | None]) -> list[str]:
+    """The labels, or what the model is sure of where a text has none or another one."""
+    best = model.scores(texts)[:, :-1]
+    column = {c: i for i, c in enumerate(model.codes)}
+    own = best[np.arange(len(texts)), [column[c] if c else 0 for c in labels]]
+    return [c if c and s[i] - o < MARGIN else model.codes[i] for c, s, i, o in zip(labels, best, best.argmax(1), own)]
+
+
 def dumps(model: Languages) -> bytes:
     model.rows.clear()
     model.table = None

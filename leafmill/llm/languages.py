@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from . import langid
 from .batches import map_columns, sample_of_each
 from .chars import consistent
@@ -19,13 +24,90 @@ def name_of_label(label: Column) -> Column:
     return F.substring_index(F.ltrim(F.translate(F.lower(label), marks, " " * len(marks))), " ", 1)
 
 
-def fit_languages(df: DataFrame, text: str = "text", label: str = "language", by: tuple[str, ...] = ("doc_id", "page_no", "block_idx"), vocabulary: str | None = None, rows: int = langid.SAMPLE_ROWS) -> bytes:
-    """The model, fitted to at most ``rows`` labelled rows of each language."""
+def fit_languages(df: DataFrame, text: str = "text", label: str = "language", by: tuple[str, ...] = ("doc_id", "page_no", "block_idx"), vocabulary: str | None = None, rows: int | None = None) -> bytes:
+    """The model, fitted to all labelled rows; with ``rows`` to at most so many of each language."""
 
     def fit() -> bytes:
+        if rows is None:
+            return langid.dumps(_fitted(df.select(F.col(text).alias("text"), F.col(label).alias("label")), vocabulary))
         return langid.dumps(langid.fit(sample_of_each(df, text, name_of_label(F.col(label)), langid.NAMES, list(by), rows), vocabulary))
 
-    return stored([df], f"languages-{text}-{label}-{rows}", fit)
+    return stored([df], f"languages-{text}-{label}-{rows or 'all'}", fit)
+
+
+def _fitted(df: DataFrame, vocabulary: str | None) -> langid.Languages:
+    """``langid.fit`` for a table of any size; only sums of pieces by language come to the driver."""
+    none, parts = langid.Languages([], {}, np.zeros((257, 1))), df.sparkSession.sparkContext.defaultParallelism
+
+    def words_of(texts, labels):
+        found = [(" ".join(langid.WORDS.findall(t.lower())), langid.language_of_label(x)) for t, x in zip(texts, labels)]
+        found = [x for x in found if x[0] and x[1]]
+        return [x for x, _ in found], [x for _, x in found]
+
+    # texts of equal words count once, with the label that most of them have
+    rows = map_columns(df.where(F.col("text").isNotNull() & F.col("label").isNotNull()), lambda: words_of, "words string, code string")
+    each = rows.repartition("words").groupBy("words", "code").agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "code"))["code"].alias("code")
+    texts = staged(each.groupBy("words").agg(best, F.collect_list(F.struct("code", "n")).alias("rows")), "labelled")
+    size = texts.select(F.explode("rows").alias("r")).groupBy("r.code").agg(F.sum("r.n").alias("n")).collect()
+    codes = [r.code for r in size if r.n >= langid.LEAST_ROWS]
+    texts = texts.select("words", F.when(F.col("code").isin(codes), F.col("code")).alias("code"))
+    pieces = langid.vocabulary(vocabulary)
+    ids = share(df.sparkSession, pickle.dumps(langid.ids_of(pieces)))
+    model = None
+    for _ in range(2):
+        shared = share(df.sparkSession, langid.dumps(model)) if model else None
+        counted = map_columns(texts, lambda shared=shared: _counting(shared), "word string, code string, n bigint")
+        if not model:
+            codes = sorted(r.code for r in texts.where("code is not null").select("code").distinct().collect())
+        sums = [F.sum(F.when(F.col("code") == c, F.col("n")).otherwise(0)).alias(f"n{i}") for i, c in enumerate(codes)]
+        if not sums:
+            return none
+        words = staged(counted.repartition(parts, "word").groupBy("word").agg(*sums).sortWithinPartitions("word"), "words")
+        if model:  # a language that all texts lose is none
+            left = words.agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(codes)))).first()
+            kept = [i for i, n in enumerate(left) if n]
+            codes, words = [codes[i] for i in kept], words.select("word", *(f"n{i}" for i in kept))
+        model = langid.maximised(codes, _expecting(words, ids, 257 + len(pieces), len(codes)), pieces)
+    return model
+
+
+def _counting(shared):
+    """Words of texts by the label of each, which a model may change."""
+    model = loaded(shared) if shared else None
+
+    def run(texts, codes):
+        by: dict[str, Counter] = {}
+        for text, c in zip(texts, langid.relabelled(model, texts, codes) if model else codes):
+            if c:
+                by.setdefault(c, Counter()).update(text.split(" "))
+        return [w for x in by.values() for w in x], [c for c, x in by.items() for _ in x], [n for x in by.values() for n in x.values()]
+
+    return run
+
+
+def _expecting(words: DataFrame, ids, size: int, n_codes: int):
+    """From piece probabilities to expected counts over all words, summed in Spark."""
+
+    def expect(p: np.ndarray) -> np.ndarray:
+        shared = share(words.sparkSession, pickle.dumps(p))
+
+        def make():
+            of, now = loaded(ids), loaded(shared)
+
+            def run(some, *counts):
+                got = np.ceil(langid.expected(some, np.array(counts, float).T, of)(now) * langid.STEP).astype(np.int64).ravel()
+                at = np.flatnonzero(got)
+                return at, got[at]
+
+            return run
+
+        made = map_columns(words, make, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(size * n_codes)
+        out[made["at"].to_numpy()] = made["n"].to_numpy() / langid.STEP
+        return out.reshape(size, n_codes)
+
+    return expect
 
 
 def identified(

@@ -252,3 +252,15 @@ def test_queries_fit_encodings_to_all_tokens(spark, monkeypatch, name):
     with pytest.raises(Seen) as e:
         queries()[name](spark, SF)
     assert e.value.args[0] == garble.STEP * sum(1 for text in texts if text for t in garble.tokens(text) if t)
+
+
+def test_languages_are_fitted_to_all_rows(spark):
+    """The model of a table is that of all its labelled texts, also where a language has more than 2,400 rows."""
+    words = "substr(translate(conv(cast(id * 7919 as string), 10, 16), '0123456789', 'ghijklmnop'), 1)"
+    many = spark.range(6_000).selectExpr("'d' as doc_id", "0 as page_no", "cast(id as int) as block_idx", f"concat('the page ', {words}) as text", "if(id % 3 = 0, 'de', 'en-GB') as language")
+    none = many.selectExpr("doc_id", "page_no", "-1 as block_idx", "cast(null as string) as text", "language").limit(1)
+    wrong = many.selectExpr("doc_id", "page_no", "-2 as block_idx", "'--' as text", "'klingon' as language").limit(1)
+    for df in (many.unionByName(none).unionByName(wrong), table(spark, SF, "text_blocks")):
+        want, got = langid.fit((r.text, r.language) for r in df.select("text", "language").collect()), pickle.loads(languages.fit_languages(df))
+        assert want.codes == got.codes and want.ids == got.ids and np.abs(want.logp - got.logp).max() < 0.05
+    assert pickle.loads(languages.fit_languages(many.limit(3))).codes == []
