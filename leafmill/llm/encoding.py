@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Callable
+from itertools import chain
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,10 +49,13 @@ def _tokens(blocks: DataFrame, fragments: DataFrame) -> DataFrame:
 
     def each(df: DataFrame, column: str, name: str) -> DataFrame:
         def run(texts, rows):
-            count: Counter = Counter()
-            for text, n in zip(texts, rows):
-                for token, k in Counter(garble.tokens(text)).items():
-                    count[token] += k * n
+            if rows.count(1) == len(rows):
+                count = Counter(chain.from_iterable(map(garble.tokens, texts)))
+            else:
+                count = Counter()
+                for text, n in zip(texts, rows):
+                    for token in garble.tokens(text):
+                        count[token] += n
             count.pop("", None)
             return list(count), list(count.values())
 

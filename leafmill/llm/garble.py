@@ -324,7 +324,7 @@ class Garble:
     def is_garbled(self, text: str | None) -> bool:
         if not text or text.isascii():
             return False
-        return "�" in text or any(self.spans(t) for t in tokens(text))
+        return "�" in text or any(self.spans(t) for t in tokens(text) if not t.isascii())
 
     def restored(self, text: str) -> tuple[str, bool]:
         """The text with each garbled span undone, and whether all of them could be."""

@@ -16,7 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -51,8 +51,9 @@ NAMES = {name: entry.split()[0] for entry in LANGUAGES.split(";") for name in en
 
 WORDS = re.compile(r"[぀-ヿ]+|[㐀-鿿]+|[^\W\d_]+")
 #: Where a sentence may end, for segments of one language.
-_ENDS = re.compile(r"(?<=[.!?؟।])(?=[\s\"”»“)])\s*|(?<=[。！？])|\n+")
+_ENDS = re.compile(r"[.!?؟।](?=[\s\"”»“)])\s*|[。！？]|\n+")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
+_NO_ASCII_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 _DOUBLE = re.compile(r"[぀-鿿가-힣]")
 
 
@@ -66,12 +67,18 @@ def language_of_label(label: str | None) -> str | None:
 
 def weight(text: str) -> int:
     """The letters of a text; those of scripts whose letters stand for whole syllables or words count twice."""
-    text = _NO_LETTERS.sub("", text)
-    return len(text) + (0 if text.isascii() else len(_DOUBLE.findall(text)))
+    return n_letters(text) + (0 if text.isascii() else len(_DOUBLE.findall(_letters(text))))
 
 
 def n_letters(text: str) -> int:
-    return len(_NO_LETTERS.sub("", text))
+    if text.isascii():
+        return len(text.encode().translate(None, _NO_ASCII_LETTERS))
+    return len(_letters(text))
+
+
+@lru_cache(20_000)
+def _letters(text: str) -> str:
+    return _NO_LETTERS.sub("", text)
 
 
 def vocabulary(path: str | None = None) -> dict[str, int]:

@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import re
 import unicodedata
 from collections import Counter
 
@@ -419,3 +420,16 @@ def test_emissions_are_those_of_each_token():
     improving = garble.Improving({garble.pair(k): n / garble.STEP for k, n in zip(keys.tolist(), sums.tolist())})
     asked = [x for t in words if isinstance(found := improving.decided(t), list) for x in found]
     assert all(set(zip("\x02" + b, b)) <= improving.usual.keys() for a, b in asked if len(a) > 2)
+
+
+def test_letters_and_parts_are_those_of_the_patterns():
+    """Against the plain patterns; a text is read once for its weight and its letters."""
+    ends, rng = re.compile(r"(?<=[.!?؟।])(?=[\s\"”»“)])\s*|(?<=[。！？])|\n+"), random.Random(3)
+    for _ in range(5_000):
+        text = "".join(rng.choice('.!?؟।。！？\n \t"”»“)ab1_\x1f\u3000é゛・か한٣') for _ in range(rng.randint(0, 12)))
+        kept = re.sub(r"[\W\d_]+", "", text)
+        assert langid.n_letters(text) == len(kept) and langid.weight(text) == len(kept) + len(re.findall("[぀-鿿가-힣]", kept))
+        cut = list(dict.fromkeys(m.end() for m in ends.finditer(text) if 0 < m.end() < len(text)))
+        assert langid._parts(text) == list(zip([0, *cut], [*cut, len(text)]))
+    before = langid._letters.cache_info().misses
+    assert langid.weight("für alle Fälle") + langid.n_letters("für alle Fälle") == 24 and langid._letters.cache_info().misses == before + 1
