@@ -11,8 +11,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
-def map_columns(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
-    """Rows made from batches of columns: ``make()`` runs once a task and gives a function of lists to a tuple of lists."""
+def map_columns(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str, kept: int = 0) -> DataFrame:
+    """Rows made from batches of columns: ``make()`` runs once a task and gives a function of lists to a tuple of lists.
+
+    The first ``kept`` columns stay Arrow arrays, which may be among what the function gives.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
@@ -21,8 +24,8 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema:
                 f = make()
             if not batch.num_rows:
                 continue
-            out = f(*(c.to_pylist() for c in batch.columns))
-            arrays = [pa.array(x, t) for x, t in zip(out, kinds)]
+            out = f(*batch.columns[:kept], *map(_listed, batch.columns[kept:]))
+            arrays = [(x if x.type == t else x.cast(t)) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     parsed = _parse_datatype_string(schema)
@@ -32,6 +35,13 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema:
     return df.mapInArrow(run, parsed)
 
 
+def _listed(column: pa.Array) -> list:
+    """The values as a list; of strings, and of numbers without nulls, the short way."""
+    if pa.types.is_string(column.type) or pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def sample_of_each(df: DataFrame, column: str, name: Column, groups: dict[str, str], by: list[str], rows: int, seed: int = 17) -> list[tuple]:
     """Values of ``column`` and their group for about ``rows`` rows at most of each group, all of a smaller one.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections import Counter
 from collections.abc import Callable
@@ -137,6 +138,7 @@ def loaded(shared: _Shared):
         while len(_models) > 1:
             del _models[next(iter(_models))]
         _models[shared.id] = pickle.loads(shared.value)
+        gc.freeze()  # a model holds many small objects, which collections need not walk
     return _models[shared.id]
 
 

@@ -164,7 +164,8 @@ def inverses(text: str) -> set[str]:
 
 def tokens(text: str) -> list[str]:
     """What is labelled by itself: a font name without its subset prefix, or what stands between spaces."""
-    text = _PREFIX.sub("", text)
+    if text[6:7] == "+":
+        text = _PREFIX.sub("", text)
     return text.replace("\n", " ").split(" ")
 
 
@@ -182,6 +183,8 @@ class Garble:
     floor: np.ndarray
     gain: dict[tuple[str, str], float] = field(default_factory=dict)
     seen: dict[str, list[tuple[int, int, int]]] = field(default_factory=dict)
+    clean: set[str] = field(default_factory=set)
+    emitted: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
         """Without what is cached, and with a few large arrays in place of many small ones."""
@@ -195,6 +198,14 @@ class Garble:
         self.__init__(of["steps"], dict(zip(of["letters"], of["rare"])), _by_pair(*of["pairs"]), of["floor"])
 
     def _emit(self, a: str, b: str) -> np.ndarray:
+        """Log-probabilities of a character after another one by state, which nobody may change."""
+        if (out := self.emitted.get((a, b))) is None:
+            if len(self.emitted) >= 20_000:
+                self.emitted.clear()
+            out = self.emitted[a, b] = self._made_of(a, b)
+        return out
+
+    def _made_of(self, a: str, b: str) -> np.ndarray:
         out = self.rare.get(b, self.floor).copy()
         if (found := self.pairs.get((a, b))) is not None:
             out[found[0]] = found[1]
@@ -235,8 +246,9 @@ class Garble:
         begins behind; and a stretch whose gains never reach what it costs to enter a garbled state holds no span.
         """
         out, start, total, most = [], 0, 0.0, 0.0
-        for t, (a, b) in enumerate(_bigrams(token)):
-            total += self._gain(a, b)
+        known = self.gain
+        for t, ab in enumerate(_bigrams(token)):
+            total += g if (g := known.get(ab)) is not None else self._gain(*ab)
             if total <= 0:
                 if most >= -_ENTER:
                     out.append((start, t))
@@ -324,7 +336,17 @@ class Garble:
     def is_garbled(self, text: str | None) -> bool:
         if not text or text.isascii():
             return False
-        return "�" in text or any(self.spans(t) for t in tokens(text) if not t.isascii())
+        if "�" in text:
+            return True
+        found = tokens(text)
+        if self.clean.issuperset(found):
+            return False
+        if any(self.spans(t) for t in found if not t.isascii()):
+            return True
+        if len(self.clean) > 300_000:
+            self.clean.clear()
+        self.clean.update(found)
+        return False
 
     def restored(self, text: str) -> tuple[str, bool]:
         """The text with each garbled span undone, and whether all of them could be."""

@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -50,8 +51,14 @@ uk ukr ukrainian; ur urd urdu; vi vie vietnamese; zh zho chi chinese
 NAMES = {name: entry.split()[0] for entry in LANGUAGES.split(";") for name in entry.split()}
 
 WORDS = re.compile(r"[぀-ヿ]+|[㐀-鿿]+|[^\W\d_]+")
+#: What stands between texts that are searched as one; no word holds it, and neither white space nor case goes over it.
+_BETWEEN = "\0"
+_WORDS_OF_ALL = re.compile(f"{_BETWEEN}|{WORDS.pattern}")
+_SYLLABLES = re.compile("[぀-ヿ㐀-鿿]")
+_ASCII_WORDS = bytes(c if chr(c).isalpha() or chr(c) == _BETWEEN else 32 for c in range(128)) + bytes(128)
 #: Where a sentence may end, for segments of one language.
 _ENDS = re.compile(r"[.!?؟।](?=[\s\"”»“)])\s*|[。！？]|\n+")
+_MAY_END = np.isin(np.arange(0x110000), [*map(ord, ".!?؟।。！？\n")])
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _NO_ASCII_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 _DOUBLE = re.compile(r"[぀-鿿가-힣]")
@@ -81,6 +88,56 @@ def _letters(text: str) -> str:
     return _NO_LETTERS.sub("", text)
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """What each code point counts in ``weight``."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.ones(len(every), np.int8)
+    for m in _DOUBLE.finditer(every):
+        out[m.start()] = 2
+    for m in _NO_LETTERS.finditer(every):
+        out[m.start() : m.end()] = 0
+    return out
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def sums_of_letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text begins in all of them, and ``n_letters`` and ``weight`` of what stands before each character of these and at the end."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    kinds = _kinds()[_code_points("".join(texts))]
+    out = np.zeros((2, len(kinds) + 1), np.int64)
+    np.cumsum(kinds > 0, out=out[0, 1:])
+    np.cumsum(kinds, out=out[1, 1:])
+    return np.cumsum(size) - size, out[0], out[1]
+
+
+def _alike(texts: list[str]) -> list[list[int]]:
+    """Numbers of texts that are ASCII, of others without scripts whose words have their own pattern, and of the rest."""
+    out: list[list[int]] = [[], [], []]
+    for i, t in enumerate(texts):
+        out[0 if t.isascii() else 2 if _SYLLABLES.search(t) else 1].append(i)
+    return [at for at in out if at]
+
+
+def _words_of_all(texts: list[str]) -> list[str]:
+    """The words of each text in lower case, with ``_BETWEEN`` between texts, which are one group of ``_alike``."""
+    joined = _BETWEEN.join(texts)
+    if joined.count(_BETWEEN) >= max(1, len(texts)):
+        joined = _BETWEEN.join([t.replace(_BETWEEN, " ") for t in texts])
+    joined = joined.lower()
+    if joined.isascii():
+        words = joined.encode().translate(_ASCII_WORDS).decode()
+    elif _SYLLABLES.search(joined):
+        return _WORDS_OF_ALL.findall(joined)
+    else:
+        at = _code_points(joined)
+        words = np.where((_kinds()[at] > 0) | (at == ord(_BETWEEN)), at, 32).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    return words.replace(_BETWEEN, f" {_BETWEEN} ").split()
+
+
 def vocabulary(path: str | None = None) -> dict[str, int]:
     """The pieces of the public vocabulary, regardless of case, with their ranks."""
     import sentencepiece
@@ -147,6 +204,15 @@ def _pass(at: np.ndarray, to: np.ndarray, level: np.ndarray, w: np.ndarray, begi
     return sums
 
 
+def words_of_texts(texts: list[str]) -> list[str]:
+    """The words of each text in lower case, with a space between them."""
+    out = [""] * len(texts)
+    for at in _alike(texts):
+        for i, words in zip(at, " ".join(_words_of_all([texts[i] for i in at])).split(_BETWEEN)):
+            out[i] = words.strip(" ")
+    return out
+
+
 @dataclass
 class Languages:
     """The fitted model: ids of pieces, log-probabilities [piece, language]; the last language is the background."""
@@ -174,13 +240,23 @@ class Languages:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """[text, language] log-likelihoods, the background's last; a text without letters has zeros."""
-        found = [WORDS.findall(t.lower()) for t in texts]
         if not self.codes:
             return np.zeros((len(texts), 2))
+        out = np.zeros((len(texts), len(self.codes) + 1))
+        for at in _alike(texts):
+            out[at] = self.scores_of_words(_words_of_all([texts[i] for i in at]))
+        return out
+
+    def scores_of_words(self, words: list[str]) -> np.ndarray:
+        """As ``scores`` for the words of texts, with ``_BETWEEN`` between these."""
         if len(self.rows) > 300_000:
             self.rows.clear()
             self.table = None
-        new = list(dict.fromkeys(w for x in found for w in x if w not in self.rows))
+        row = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(row < 0)
+        new = dict.fromkeys(words[i] for i in missing.tolist())
+        new.pop(_BETWEEN, None)
+        new = list(new)
         for k in range(0, len(new), 5_000):
             part = new[k : k + 5_000]
             made = self._score(part)
@@ -192,12 +268,14 @@ class Languages:
                 self.table = grown
             self.table[base : base + len(part)] = made
             self.rows.update((w, base + i) for i, w in enumerate(part))
-        size = np.array([len(x) for x in found], np.int64)
-        out = np.zeros((len(texts), len(self.codes) + 1))
-        if size.sum():
-            flat = np.fromiter((self.rows[w] for x in found for w in x), np.int64, int(size.sum()))
-            some = np.flatnonzero(size)
-            out[some] = np.add.reduceat(self.table[flat], (np.cumsum(size) - size)[some])
+        row[missing] = np.fromiter((self.rows.get(words[i], -1) for i in missing.tolist()), np.int64, len(missing))
+        cut = np.flatnonzero(row < 0)
+        ends = np.r_[cut - np.arange(len(cut)), len(row) - len(cut)]
+        size = np.diff(ends, prepend=0)
+        out = np.zeros((len(size), len(self.codes) + 1))
+        some = np.flatnonzero(size)
+        if len(some):
+            out[some] = np.add.reduceat(self.table[row[row >= 0]], (ends - size)[some])
         return out
 
     def classify(self, texts: list[str], labels: list[str | None] | None = None) -> list[list[tuple[int, int, str, float]]]:
@@ -207,39 +285,32 @@ class Languages:
         """
         if not self.codes:
             return [[] for _ in texts]
-        parts = [_parts(t) for t in texts]
-        flat = [t[a:b] for t, x in zip(texts, parts) for a, b in x]
+        if not texts:
+            return []
+        first, begins, ends = _parts_of_all(texts)
+        count = np.diff(first, append=len(begins))
+        flat = [texts[i][a:b] for i, a, b in zip(np.repeat(np.arange(len(texts)), count).tolist(), begins, ends)]
         found = self.scores(flat)
-        some = found.any(1).tolist()
+        some = np.logical_or.reduceat(found.any(1), first).tolist()
         found[:, -1] -= DOUBT
         names = [*self.codes, UNKNOWN]
         column = {c: i for i, c in enumerate(self.codes)}
-        hint = [column.get(x, -1) for x in labels or [None] * len(texts)]
-        first = np.cumsum([0, *map(len, parts)])[:-1]
-        alone = [k for k, x in enumerate(parts) if len(x) == 1 and hint[k] >= 0]
-        found[first[alone], [hint[k] for k in alone]] += TRUST
-        best = found.argmax(1)
-        sure_of = (1.0 / np.exp(np.minimum(found - found.max(1, keepdims=True), 0.0)).sum(1)).tolist()
-        codes = [names[i] for i in best.tolist()]
-        out, k = [], -1
-        for t, x, own_label in zip(texts, parts, hint):
-            n = len(x)
-            if n == 1:
-                k += 1
-                out.append([(0, len(t), codes[k], sure_of[k])] if some[k] else [])
-                continue
-            s = found[k + 1 : k + 1 + n]
-            k += n
-            if not any(some[k - n + 1 : k + 1]):
+        hint = np.array([column.get(x, -1) for x in labels or [None] * len(texts)])
+        totals = np.add.reduceat(found, first)
+        own_label = np.flatnonzero(hint >= 0)
+        totals[own_label, hint[own_label]] += TRUST
+        mains = totals.argmax(1)
+        sure_of = (1.0 / np.exp(np.minimum(totals - totals.max(1, keepdims=True), 0.0)).sum(1)).tolist()
+        whole = ((count == 1) | np.logical_and.reduceat(found.argmax(1) == np.repeat(mains, count), first)).tolist()
+        out = []
+        for j, (t, k, n, main) in enumerate(zip(texts, first.tolist(), count.tolist(), mains.tolist())):
+            if not some[j]:
                 out.append([])
                 continue
-            total = s.sum(0)
-            if own_label >= 0:
-                total[own_label] += TRUST
-            main = int(total.argmax())
-            if best[k - n + 1] == best[k] == main and len(set(codes[k - n + 1 : k + 1])) == 1:
-                out.append([(0, len(t), names[main], _confidence(total, main))])
+            if whole[j]:
+                out.append([(0, len(t), names[main], sure_of[j])])
                 continue
+            s, x = found[k : k + n], list(zip(begins[k : k + n], ends[k : k + n]))
             # a text of several languages may be called by none of them: the largest group of sure parts gives the main one
             own = s.argmax(1)
             sure = s[np.arange(n), own] - np.partition(s, -2, 1)[:, -2] >= MARGIN
@@ -262,13 +333,29 @@ def _confidence(scores: np.ndarray, k: int) -> float:
 
 
 def _parts(text: str) -> list[tuple[int, int]]:
-    out, at = [], 0
-    for m in _ENDS.finditer(text):
-        if m.end() > at and m.end() < len(text):
-            out.append((at, m.end()))
-            at = m.end()
-    out.append((at, len(text)))
-    return out
+    _, begins, ends = _parts_of_all([text])
+    return list(zip(begins, ends))
+
+
+def _parts_of_all(texts: list[str]) -> tuple[np.ndarray, list[int], list[int]]:
+    """The number of each text's first part, and where all parts begin and end in their texts."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    start = np.cumsum(size + 1) - size - 1
+    joined, found = _BETWEEN.join(texts), [0]
+    for i in np.flatnonzero(_MAY_END[_code_points(joined)]).tolist():
+        if i >= found[-1] and (m := _ENDS.match(joined, i)):
+            found.append(m.end())
+    at = np.array(found[1:], np.int64)
+    of = np.searchsorted(start, at, "right") - 1
+    kept = at - start[of] < size[of]
+    at, of = at[kept], of[kept]
+    count = np.bincount(of, minlength=len(texts)) + 1
+    first = np.cumsum(count) - count
+    begins = np.zeros(int(count.sum()), np.int64)
+    begins[np.arange(len(at)) + of + 1] = at - start[of]
+    ends = np.r_[begins[1:], 0]
+    ends[first + count - 1] = size
+    return first, begins.tolist(), ends.tolist()
 
 
 def _background(size: int, ranks: list[int]) -> np.ndarray:
@@ -373,8 +460,10 @@ def fit(rows: Iterable[tuple[str | None, str | None]], path: str | None = None)
 
 
 def relabelled(model: Languages, texts: list[str], labels: list[str | None]) -> list[str]:
-    """The labels, or what the model is sure of where a text has none or another one."""
-    best = model.scores(texts)[:, :-1]
+    """The labels, or what the model is sure of where a text has none or another one. Texts are words with a space between them."""
+    if not texts:
+        return []
+    best = model.scores_of_words(f" {_BETWEEN} ".join(texts).split(" "))[:, :-1]
     column = {c: i for i, c in enumerate(model.codes)}
     own = best[np.arange(len(texts)), [column[c] if c else 0 for c in labels]]
     return [c if c and s[i] - o < MARGIN else model.codes[i] for c, s, i, o in zip(labels, best, best.argmax(1), own)]

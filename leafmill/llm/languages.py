@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ from .batches import map_columns, sample_of_each
 from .chars import consistent
 from .encoding import loaded, share, stored
 
+#: A task keeps what it found of so many texts of so many characters at most, for those that are there again.
+_KNOWN, _SHORT = 100_000, 200
+#: What rows of sums begin with among those of texts; no word holds it.
+_ALL = "\0"
 _PLACES = "starts array<int>, ends array<int>, confidence array<double>"
 
 
@@ -39,19 +45,25 @@ def _fitted(df: DataFrame, vocabulary: str | None) -> langid.Languages:
     """``langid.fit`` for a table of any size; only sums of pieces by language come to the driver."""
     none, parts = langid.Languages([], {}, np.zeros((257, 1))), df.sparkSession.sparkContext.defaultParallelism
 
+    every = sorted(set(langid.NAMES.values()))
+    number = {c: i for i, c in enumerate(every)}
+
     def words_of(texts, labels):
-        found = [(" ".join(langid.WORDS.findall(t.lower())), langid.language_of_label(x)) for t, x in zip(texts, labels)]
-        found = [x for x in found if x[0] and x[1]]
-        return [x for x, _ in found], [x for _, x in found]
-
-    # texts of equal words count once, with the label that most of them have
-    rows = map_columns(df.where(F.col("text").isNotNull() & F.col("label").isNotNull()), lambda: words_of, "words string, code string")
-    each = rows.repartition("words").groupBy("words", "code").agg(F.count("*").alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), "code"))["code"].alias("code")
-    texts = staged(each.groupBy("words").agg(best, F.collect_list(F.struct("code", "n")).alias("rows")), "labelled")
-    size = texts.select(F.explode("rows").alias("r")).groupBy("r.code").agg(F.sum("r.n").alias("n")).collect()
-    codes = [r.code for r in size if r.n >= langid.LEAST_ROWS]
-    texts = texts.select("words", F.when(F.col("code").isin(codes), F.col("code")).alias("code"))
+        found = Counter(zip(langid.words_of_texts(texts), (number.get(langid.language_of_label(x), -1) for x in labels)))
+        found = Counter({x: n for x, n in found.items() if x[0] and x[1] >= 0})
+        for (_, i), n in list(found.items()):
+            found[_ALL + every[i], i] += n
+        return [x for x, _ in found], [i for _, i in found], list(found.values())
+
+    # texts of equal words count once, with the label that most of them have (ties: the first code); beside them stand the sums of all rows by label
+    rows = map_columns(df.where(F.col("text").isNotNull() & F.col("label").isNotNull()), lambda: words_of, "words string, number bigint, n bigint")
+    each = rows.repartition("words").groupBy("words", "number").agg(F.sum("n").alias("n"))
+    best = F.max(F.col("n") * len(every) + (len(every) - 1 - F.col("number"))).alias("best")
+    texts = staged(each.groupBy("words").agg(best), "labelled")
+    size = texts.where(F.col("words").startswith(_ALL)).collect()
+    codes = [r.words.removeprefix(_ALL) for r in size if r.best // len(every) >= langid.LEAST_ROWS]
+    code = F.element_at(F.array(*map(F.lit, every)), (len(every) - F.col("best") % len(every)).cast("int"))
+    texts = texts.where(~F.col("words").startswith(_ALL)).select("words", F.when(code.isin(codes), code).alias("code"))
     pieces = langid.vocabulary(vocabulary)
     ids = share(df.sparkSession, pickle.dumps(langid.ids_of(pieces)))
     model = None
@@ -127,29 +139,51 @@ def identified(
 
     def make():
         m, g = loaded(shared), loaded(other) if other else None
+        known: dict[tuple[str | None, str | None], tuple] = {}
 
         def run(*columns):
             *own, texts, labels = columns
-            stored = ["" if t is None else t for t in texts]
-            bad = [bool(g) and g.is_garbled(t) for t in stored]
-            found = consistent([g.readable(t) if b else t for t, b in zip(stored, bad)])
             named = [langid.language_of_label(x) for x in labels]
-            parts = m.classify(found, named)
-            weights = [0 if b else langid.weight(t) for t, b in zip(stored, bad)]
-            langs = [[x[2] for x in p] for p in parts]
-            at = range(len(texts))
+            found = _once(known, list(zip(texts, named)), lambda new: _of_texts(m, g, new))
             if cases:
-                at = [i for i in at if weights[i] >= langid.MIN_LETTERS and langs[i] and (langs[i][0] != named[i] or len(langs[i]) > 1)]
-                own, langs, weights, named, parts, found = ([x[i] for i in at] for x in (*own,)), *([x[i] for i in at] for x in (langs, weights, named, parts, found))
-            letters = [[langid.n_letters(t[x[0] : x[1]]) for x in p] for t, p in zip(found, parts)]
-            out = [*own, langs, letters, weights, named]
-            if places:
-                out += [[[x[k] for x in p] for p in parts] for k in (0, 1, 3)]
-            return tuple(out)
+                at = [i for i, (x, label) in enumerate(zip(found, named)) if x[2] >= langid.MIN_LETTERS and x[0] and (x[0][0] != label or len(x[0]) > 1)]
+                own, found, named = [c.take(pa.array(at, pa.int64())) for c in own], [found[i] for i in at], [named[i] for i in at]
+            out = list(zip(*found)) if found else [()] * 6
+            return (*own, *out[:3], named, *(out[3:] if places else ()))
 
         return run
 
-    return map_columns(df.select(*keys, text, label), make, schema)
+    return map_columns(df.select(*keys, text, label), make, schema, len(keys))
+
+
+def _once(known: dict, records: list[tuple[str | None, str | None]], find: Callable[[list], list[tuple]]) -> list[tuple]:
+    """What ``find`` gives for each record, which it is asked once for those that are there again; ``known`` keeps what it said."""
+    if len(known) > _KNOWN:
+        known.clear()
+    new = [x for x in dict.fromkeys(records) if x not in known]
+    made = dict(zip(new, find(new)))
+    known.update((x, y) for x, y in made.items() if len(x[0] or "") <= _SHORT)
+    return [made.get(x) or known[x] for x in records]
+
+
+def _of_texts(model: langid.Languages, garble, records: list[tuple[str | None, str | None]]) -> list[tuple]:
+    """Of texts and the codes of their labels: codes and letters of the parts, weight, and where the parts stand."""
+    stored = ["" if t is None else t for t, _ in records]
+    bad = [bool(garble) and garble.is_garbled(t) for t in stored]
+    texts = consistent([garble.readable(t) if b else t for t, b in zip(stored, bad)])
+    parts = model.classify(texts, [label for _, label in records])
+    first, letters, weights = langid.sums_of_letters(texts)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = []
+    for text, whole, b, k, n, weight, p in zip(texts, stored, bad, first.tolist(), *((x[first + size] - x[first]).tolist() for x in (letters, weights)), parts):
+        weight = 0 if b else weight if text is whole else langid.weight(whole)
+        if len(p) == 1:
+            ((start, end, lang, sure),) = p
+            out.append(((lang,), (n,), weight, (start,), (end,), (sure,)))
+        else:
+            starts, ends, langs, sure = zip(*p) if p else ((), (), (), ())
+            out.append((langs, tuple(int(letters[k + y] - letters[k + x]) for x, y in zip(starts, ends)), weight, starts, ends, sure))
+    return out
 
 
 def mislabelled(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 
 from leafmill.llm import garble, langid, leaks, mixing, repeats, sentences
 from leafmill.llm.chars import consistent, letters
+from leafmill.llm.languages import _of_texts, _once
 
 from ..conftest import SF
 
@@ -433,3 +434,32 @@ def test_letters_and_parts_are_those_of_the_patterns():
         assert langid._parts(text) == list(zip([0, *cut], [*cut, len(text)]))
     before = langid._letters.cache_info().misses
     assert langid.weight("für alle Fälle") + langid.n_letters("für alle Fälle") == 24 and langid._letters.cache_info().misses == before + 1
+
+
+def test_words_parts_and_letters_of_many_texts_are_those_of_each():
+    """Texts that are searched as one against the plain patterns; among them what the text between them is made of."""
+    rng = random.Random(7)
+    for _ in range(1_000):
+        texts = ["".join(rng.choice(".!?؟।。！？\n \t\"”»“)ab1_\x1f　é゛・か한٣\0ΣσΑ'İK漢字ーıß½²Ⅷ\ud800\u0307カA") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 8))]
+        assert langid.words_of_texts(texts) == [" ".join(langid.WORDS.findall(t.lower())) for t in texts]
+        first, begins, ends = langid._parts_of_all(texts)
+        start, letters, weights = langid.sums_of_letters(texts)
+        for t, k, of, x in zip(texts, start.tolist(), first.tolist(), [*first[1:].tolist(), len(begins)]):
+            cut = list(dict.fromkeys(m.end() for m in langid._ENDS.finditer(t) if 0 < m.end() < len(t)))
+            assert list(zip(begins[of:x], ends[of:x])) == list(zip([0, *cut], [*cut, len(t)]))
+            assert (letters[k + len(t)] - letters[k], weights[k + len(t)] - weights[k]) == (langid.n_letters(t), langid.weight(t))
+
+
+def test_equal_texts_are_looked_at_once(languages):
+    """Also over batches; what is kept is bounded, and each text has what it has alone."""
+    known, asked = {}, []
+
+    def find(records):
+        asked.extend(records)
+        return _of_texts(languages, None, records)
+
+    texts = ["Der Wind kam aus dem Norden.", "x", None, "", "Der Wind kam aus dem Norden.", "The house of the king was old. " * 9]
+    for _ in range(2):
+        found = _once(known, [(t, "de") for t in texts], find)
+        assert found == [_of_texts(languages, None, [(t, "de")])[0] for t in texts]
+    assert len(asked) == 6 and len([t for t, _ in asked if t and len(t) > 200]) == 2
