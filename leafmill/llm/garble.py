@@ -343,9 +343,10 @@ class Garble:
             return False
         if any(self.spans(t) for t in found if not t.isascii()):
             return True
-        if len(self.clean) > 300_000:
-            self.clean.clear()
-        self.clean.update(found)
+        if len(text) <= 2_000:  # so that no long tokens are kept
+            if len(self.clean) > 300_000:
+                self.clean.clear()
+            self.clean.update(found)
         return False
 
     def restored(self, text: str) -> tuple[str, bool]:
